@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagewright.shared import discard, new_path, write_shared
 
@@ -90,7 +91,7 @@ def run_stream(spark: SparkSession, prints: DataFrame, path: str, files_per_batc
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     query.awaitTermination()
-    schema = keyed_state(prints).schema.add("batch", "int")
+    schema = keyed_state(prints).schema.add("batch", T.IntegerType())
     made = spark._jvm.org.apache.hadoop.fs.Path(out)
     if not made.getFileSystem(spark._jsc.hadoopConfiguration()).exists(made):  # no rows, no batch
         return spark.createDataFrame([], keyed_state(prints).schema)

@@ -132,6 +132,11 @@ def postings(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return rows.select("row", F.explode(has).alias("trigram"))
 
 
+def _has_all(kind: str, clause: int, string: int, need: int) -> Column:
+    """Whether the row's postings cover all trigrams of one string of a query."""
+    return F.size(F.filter("has", lambda x: (x["kind"] == kind) & (x["clause"] == clause) & (x["string"] == string))) == need
+
+
 def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """``(row, kinds)``: the rules whose trigram query the row passes."""
     plan = [(r.kind, c, s, t, len(grams)) for r in rules for c, clause in enumerate(trigram_query(r.regex)) for s, grams in enumerate(clause) for t in sorted(grams)]
@@ -147,11 +152,7 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
         tests = []
         for c in range(n):
             strings = {(s, need) for k, cl, s, _, need in plan if k == kind and cl == c}
-            hit = [
-                F.size(F.filter("has", lambda x, s=s, c=c: (x["kind"] == kind) & (x["clause"] == c) & (x["string"] == s))) == need
-                for s, need in sorted(strings)
-            ]
-            tests.append(reduce(or_, hit))
+            tests.append(reduce(or_, [_has_all(kind, c, s, need) for s, need in sorted(strings)]))
         kinds.append(F.when(reduce(and_, tests), F.lit(kind)))
     return per_row.select("row", F.array_compact(F.array(*kinds)).alias("kinds")).filter(F.size("kinds") > 0)
 
