@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import exact_dedup, mixing, secrets
+from pagewright.llm import exact_dedup, mixing, secrets, toxicity
 from pagewright.shared import table, write_shared
 
 
@@ -25,10 +25,20 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learn = toxicity.bucket(F.col("doc_id"), 4) != 2
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), learn)
+    scored = toxicity.score(docs, model)
+    held_out = toxicity.bucket(F.col("doc_id"), 4) == 2
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op5_mixing": op5_mixing,
     "op6_secret_scan": op6_secret_scan,
+    "op9_toxicity": op9_toxicity,
 }
 
 _NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')"
