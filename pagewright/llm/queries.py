@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import exact_dedup, jaccard, mixing, secrets, toxicity
+from pagewright.llm import exact_dedup, hmm, jaccard, mixing, secrets, toxicity
 from pagewright.shared import table, write_shared
 
 
@@ -38,8 +38,13 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.language_model_scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_hmm_scores": op3_hmm_scores,
     "op5_mixing": op5_mixing,
     "op6_secret_scan": op6_secret_scan,
     "op9_toxicity": op9_toxicity,
