@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import exact_dedup, hmm, jaccard, mixing, secrets, toxicity
+from pagewright.llm import exact_dedup, hmm, jaccard, mixing, pieces, secrets, toxicity
 from pagewright.shared import table, write_shared
 
 
@@ -42,9 +42,17 @@ def op3_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.language_model_scores(table(spark, sf_dir, "documents"))
 
 
+TOKENIZERS = "/opt/tokenizers"
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str, model: str = f"{TOKENIZERS}/piece_bpe_32k.model") -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"), model)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_hmm_scores": op3_hmm_scores,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_mixing": op5_mixing,
     "op6_secret_scan": op6_secret_scan,
     "op9_toxicity": op9_toxicity,
