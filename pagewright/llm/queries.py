@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import exact_dedup, hmm, jaccard, mixing, pieces, secrets, toxicity
+from pagewright.llm import ann, exact_dedup, hmm, jaccard, mixing, pieces, secrets, toxicity
 from pagewright.shared import table, write_shared
 
 
@@ -49,12 +49,18 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str, model: str = f"{TOKENIZE
     return pieces.round_trip(table(spark, sf_dir, "documents"), model)
 
 
+def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return ann.search(rows, F.col("id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_hmm_scores": op3_hmm_scores,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_mixing": op5_mixing,
     "op6_secret_scan": op6_secret_scan,
+    "op8_multi_index": op8_multi_index,
     "op9_toxicity": op9_toxicity,
     "op10_jaccard_join": op10_jaccard_join,
 }
