@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import ann, exact_dedup, hmm, jaccard, mixing, pieces, secrets, toxicity
+from pagewright.llm import ann, chat, exact_dedup, hmm, jaccard, mixing, pieces, secrets, toxicity, warc
 from pagewright.shared import table, write_shared
 
 
@@ -54,12 +54,22 @@ def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(rows, F.col("id") % 50 == 0)
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(warc.write(table(spark, sf_dir, "pages")))
+
+
+def op7_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_warc": op2_warc,
     "op3_hmm_scores": op3_hmm_scores,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_mixing": op5_mixing,
     "op6_secret_scan": op6_secret_scan,
+    "op7_chat_collapse": op7_chat_collapse,
     "op8_multi_index": op8_multi_index,
     "op9_toxicity": op9_toxicity,
     "op10_jaccard_join": op10_jaccard_join,
@@ -105,3 +115,32 @@ def _op6_sql() -> str:
 
 
 SQL["op6_secret_scan"] = _op6_sql()
+
+# the base32 digits of a SHA-1 by five bits of its hex digits at a time
+_BITS = """list_reduce(list_transform(range(1, 41), lambda i: substr('0000000100100011010001010110011110001001101010111100110111101111',
+            (4 * (position(substr(sha, i, 1) IN '0123456789abcdef') - 1) + 1)::INT, 4)), lambda a, b: a || b)"""
+
+SQL["op2_warc"] = f"""
+    WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS sha FROM pages),
+    g AS (SELECT body, max(page_id) AS response FROM p GROUP BY body),
+    b AS (SELECT page_id, octet_length(encode(p.body)) AS payload_bytes, response, {_BITS} AS bits FROM p JOIN g ON p.body = g.body)
+    SELECT page_id, payload_bytes,
+           list_reduce(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (16 * (substr(bits, 5 * i + 1, 1)::INT) + 8 * (substr(bits, 5 * i + 2, 1)::INT)
+               + 4 * (substr(bits, 5 * i + 3, 1)::INT) + 2 * (substr(bits, 5 * i + 4, 1)::INT) + (substr(bits, 5 * i + 5, 1)::INT) + 1)::INT, 1)), lambda a, b: a || b) AS payload_digest,
+           CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id = response THEN NULL ELSE response END AS refers_to
+    FROM b
+"""
+
+SQL["op7_chat_collapse"] = """
+    WITH c AS (SELECT conv_id, count(*) AS n_turns, list({'r': role, 't': text} ORDER BY turn, role, text) AS turns FROM conversations GROUP BY conv_id),
+    firsts AS (SELECT turns, n_turns, min(conv_id) AS first FROM c GROUP BY turns, n_turns),
+    prefixes AS (SELECT conv_id, n_turns, list_slice(turns, 1, k) AS turns, k FROM (SELECT *, unnest(range(1, n_turns)) AS k FROM c)),
+    holders AS (SELECT turns, k, arg_max(conv_id, (n_turns, -conv_id)) AS holder FROM prefixes GROUP BY turns, k),
+    kept AS (SELECT c.conv_id, c.n_turns, c.turns, coalesce(h.holder, f.first) AS kept_by
+             FROM c JOIN firsts f ON c.turns = f.turns LEFT JOIN holders h ON h.turns = c.turns AND h.k = c.n_turns)
+    SELECT conv_id, n_turns, conv_id = kept_by AS kept, kept_by,
+           CASE WHEN conv_id = kept_by THEN 0 END AS part,
+           CASE WHEN conv_id = kept_by THEN list_reduce(list_transform(turns, lambda x: '<|im_start|>' || coalesce(x.r, '') || chr(10) || coalesce(x.t, '') || '<|im_end|>' || chr(10)), lambda a, b: a || b) END AS text
+    FROM kept
+"""
