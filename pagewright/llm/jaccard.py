@@ -371,7 +371,7 @@ def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, join: Join = Join()) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id, n_links, class_size.
+    """One row per row of ``docs``: doc_id, class_id, n_links.
 
     class_id is the smallest doc_id of those reachable over links; n_links counts the other rows whose
     similarity reaches the threshold.
@@ -406,5 +406,5 @@ def near_duplicates(docs: DataFrame, join: Join = Join()) -> DataFrame:
 
 def keep_one(docs: DataFrame, join: Join = Join()) -> DataFrame:
     """``docs`` with one document of each class, the one with the smallest doc_id; all columns stay."""
-    gone = near_duplicates(docs, join).filter("class_id <> doc_id").select("doc_id").distinct()
+    gone = near_duplicates(docs, join).groupBy("doc_id").agg(F.bool_and(F.col("class_id") != F.col("doc_id")).alias("gone")).filter("gone").select("doc_id")
     return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])

@@ -113,3 +113,13 @@ def sized(docs: DataFrame) -> DataFrame:
     size = word_count(F.col("text"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), "text")
     return rows.select("doc_id", "source", "size", quality_weight(F.col("text"), F.col("size")).alias("weight"))
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """``docs`` (read from files) with every row as often as the mix takes it; all columns stay."""
+    at = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")]
+    size = word_count(F.col("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), quality_weight(F.col("text"), size).alias("weight"), *at)
+    taken = mix(write_shared(rows, "mix-sizes"), weights, share, cap).filter("copies > 0").select("__file", "__row", F.col("copies").alias("__copies"))
+    joined = docs.select("*", *at).join(taken.hint("shuffle_hash"), ["__file", "__row"])
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[f"`{c}`" for c in docs.columns])
