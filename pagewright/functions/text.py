@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPACE = r"[\s   -     　﻿]"
+SPACE = r"[\s\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
 
 def normalize_block_text(text: Column) -> Column:
@@ -34,7 +34,7 @@ def canonical(text: Column, compose: bool = False) -> Column:
 
 def garbled_count(text: Column) -> Column:
     """Replacement characters, white squares and control characters other than LF, CR, TAB."""
-    kept = F.regexp_replace(text, "[�□\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]", "")
+    kept = F.regexp_replace(text, r"[\x{FFFD}\x{25A1}\x00-\x08\x0B\x0C\x0E-\x1F]", "")
     return F.char_length(text) - F.char_length(kept)
 
 
