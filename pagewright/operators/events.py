@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Allowed transitions.
 RUN_STATES = {
@@ -25,23 +29,26 @@ def sequenced(events: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     return events.withColumn("sequence", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
 
 
-def ordered_append(events: DataFrame, by: list[str], sequence: str = "sequence", arrival: str = "arrival") -> DataFrame:
+def ordered_append(events: DataFrame, by: str, sequence: str = "sequence", arrival: str = "arrival") -> DataFrame:
     """Add outcome: APPENDED, DUPLICATE (at or before the last) or GAP, with each key's events in the order of arrival.
 
-    A key begins with 1. What follows a gap stays a gap until the missing one comes, so an event is in
-    order exactly if the events up to it make a run without holes.
+    A key begins with 1; after a gap nothing is appended until the missing event comes. Rows stream through their
+    task in order, and all it keeps is the last number of the key at hand.
     """
-    w = Window.partitionBy(*by).orderBy(arrival)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    start = F.struct(F.lit(0).cast("long").alias("last"), F.lit("").alias("outcome"))
-    seen = F.collect_list(F.col(sequence)).over(before)
-
-    def step(acc: Column, s: Column) -> Column:
-        return F.struct(F.when(s == acc["last"] + 1, s).otherwise(acc["last"]).alias("last"), F.lit("").alias("outcome"))
 
-    last = F.aggregate(seen, start, step)["last"]
-    outcome = F.when(F.col(sequence) <= last, "DUPLICATE").when(F.col(sequence) == last + 1, "APPENDED").otherwise("GAP")
-    return events.withColumn("outcome", outcome)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, last = None, 0
+        for frame in frames:
+            outcome = []
+            for k, s in zip(frame[by], frame[sequence], strict=True):
+                if k != key:
+                    key, last = k, 0
+                outcome.append("DUPLICATE" if s <= last else "APPENDED" if s == last + 1 else "GAP")
+                last += s == last + 1
+            yield frame.assign(outcome=outcome)
+
+    ordered = events.repartition(by).sortWithinPartitions(by, arrival)
+    return ordered.mapInPandas(run, T.StructType([*events.schema.fields, T.StructField("outcome", T.StringType())]))
 
 
 def gaps(events: DataFrame, by: list[str], sequence: str) -> DataFrame:

@@ -8,16 +8,20 @@ from pyspark.sql import functions as F
 from pagewright.functions import ids, vectors
 from pagewright.operators.chunking import pack
 
+MOST_QUERIES = 1000
+
 
 def top_k(queries: DataFrame, rows: DataFrame, k: int, scope: str | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: exact cosine search of a stated set of queries.
 
     ``queries`` has query_id and q, ``rows`` vec_id and v. With ``scope`` a query only sees rows of its own scope.
-    The queries are few and sent to every task; each task keeps k candidates a query before anything is shuffled.
+    Up to ``MOST_QUERIES`` queries are sent to every task; more are joined without a hint. Each task keeps k
+    candidates a query before anything is shuffled.
     """
     q = queries.withColumnRenamed(scope, "__scope") if scope else queries
     where = F.col("__scope") == F.col(scope) if scope else F.lit(True)
-    hits = rows.join(F.broadcast(q.limit(1000)), where).select("query_id", "vec_id", vectors.cosine(F.col("q"), F.col("v")).alias("score"))
+    few = len(q.take(MOST_QUERIES + 1)) <= MOST_QUERIES
+    hits = rows.join(F.broadcast(q) if few else q, where).select("query_id", "vec_id", vectors.cosine(F.col("q"), F.col("v")).alias("score"))
     first = Window.partitionBy("query_id", "__task").orderBy(F.desc("score"), "vec_id")
     near = hits.withColumn("__task", F.spark_partition_id()).withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= k)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
