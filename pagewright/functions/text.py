@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SPACE = r"[\s\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
@@ -20,7 +21,7 @@ def normalize_block_text(text: Column) -> Column:
     return F.regexp_replace(t, f"^{SPACE}+|{SPACE}+$", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Compatibility composition, which Spark has no function for."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
