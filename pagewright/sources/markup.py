@@ -93,6 +93,8 @@ class _Page(HTMLParser):
             self._close(tag)
         elif tag in ENDS_P:
             self._close("p")
+            if tag in ("ul", "ol"):
+                self._close("li")
 
     def handle_data(self, data: str) -> None:
         if self.skip:
