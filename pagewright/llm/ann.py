@@ -32,7 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.shared import write_shared
@@ -61,6 +61,12 @@ def usable(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("id").isNotNull() & v.isNotNull() & ~bad & ~zero)
 
 
+def least(rows: DataFrame, by: list[str], order: list, n: int) -> DataFrame:
+    """The first n rows of each group; Spark limits each task's share of a group before it shuffles."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    return rows.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= n).drop("__n")
+
+
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
@@ -158,10 +164,10 @@ def _budget(index: DataFrame, counts: dict[int, int], q: Quantiser, width: int,
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(x)), config.k)), pa.array(scores.ravel()), pa.array(cells.ravel())], ["probe", "score", "cell"])
 
     found = index.select("entry", "v", "cell").mapInArrow(best, "probe long, score double, cell long").filter("cell >= 0")
-    top = found.groupBy("probe").agg(F.sort_array(F.collect_list(F.struct("score", "cell")), asc=False).alias("top"))  # k a task and probe
+    top = least(found, ["probe"], [F.desc("score"), "cell"], config.k).groupBy("probe").agg(F.collect_list("cell").alias("cells"))
     need = []
     for r in top.collect():
-        wanted = [t["cell"] for t in r["top"][: config.k]]
+        wanted = r["cells"]
         met, after = 0, {}
         for cell in q.walk(x[r["probe"]]):
             met += counts.get(cell, 0)
@@ -240,13 +246,9 @@ def search(rows: DataFrame, is_query: Column, config: Config = Config()) -> Data
         return empty
     width = widths["w"]
     good = good.filter(F.size("v") == width)
-    # equal vectors: one entry with the k + 1 smallest ids, taken task by task first
-    key = F.xxhash64("v")
-    flagged = good.select("id", "v", key.alias("part"), is_query.alias("asks"))
-    slim = flagged.select("part", "v", "id").distinct()
-    spread = slim.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
-    first = spread.groupBy("part", "v", "salt").agg(F.collect_list("id").alias("ids")).select("part", "v", F.slice(F.sort_array("ids"), 1, config.k + 1).alias("ids"))
-    entries = first.groupBy("part", "v").agg(F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, config.k + 1).alias("ids"))
+    # equal vectors: one entry with the k + 1 smallest ids; the row limit of a group acts in every task before the shuffle
+    flagged = good.select("id", "v", F.xxhash64("v").alias("part"), is_query.alias("asks"))
+    entries = least(flagged.select("part", "v", "id").distinct(), ["part", "v"], ["id"], config.k + 1).groupBy("part", "v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     entries = write_shared(entries.select(F.element_at("ids", 1).alias("entry"), "ids", "v"), "ann-entries")
     n = entries.count()
     q = fit(entries, width, n, config)
@@ -278,10 +280,9 @@ def search(rows: DataFrame, is_query: Column, config: Config = Config()) -> Data
     packed_e = packed_e.mapInArrow(_pack("cell", width, config.block, True), "cell int, entries binary, matrix binary, ids array<array<long>>")
     pairs = packed_q.select("cell", F.col("entries").alias("qe"), F.col("matrix").alias("qm")).join(packed_e.select("cell", F.col("matrix").alias("em"), "ids"), "cell").select("qe", "qm", "em", "ids")
     scored = pairs.mapInArrow(_rerank(width, config.k), "query long, id long, score double")
-    # the best k + 1 of each distinct query vector, task by task first; then each row's own id goes
-    order = F.struct((-F.col("score")).alias("down"), "id")
-    part = scored.withColumn("salt", F.spark_partition_id()).groupBy("query", "salt").agg(F.slice(F.sort_array(F.collect_list(order)), 1, config.k + 1).alias("top"))
-    best = part.groupBy("query").agg(F.slice(F.sort_array(F.flatten(F.collect_list("top"))), 1, config.k + 1).alias("top"))
+    # the best k + 1 of each distinct query vector; then each row's own id goes
+    best = least(scored, ["query"], [F.desc("score"), "id"], config.k + 1)
+    best = best.groupBy("query").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("down"), "id"))).alias("top"))
     names = asked.join(asking, "v").select(F.col("id").alias("query_id"), "query")
     own = names.join(best, "query").select("query_id", F.slice(F.filter("top", lambda t: t["id"] != F.col("query_id")), 1, config.k).alias("top"))
     return own.select("query_id", F.posexplode("top").alias("pos", "hit")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.id").alias("vec_id"), (-F.col("hit.down")).alias("score"))
