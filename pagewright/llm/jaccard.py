@@ -21,9 +21,9 @@ pair of blocks is a unit of work of its own, so that no task holds an unbounded
 group; pairs whose set sizes rule the threshold out are skipped.
 
 Defined cases: null and empty texts, and those of white space only, have no
-shingles and no links; equal word sequences are linked; a repeated doc_id
-counts once per row; an empty table gives an empty result; extra columns are
-ignored.
+shingles and no links; equal word sequences are linked; rows are told apart by
+where they lie, so repeated and null doc_ids count row by row; an empty table
+gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.llm.exact_dedup import with_locator
 from pagewright.shared import write_shared
 
 
@@ -157,8 +158,8 @@ def _describe(join: Join) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
                 bands.append(h.view(np.int64))
             flat = np.concatenate(bands) if bands else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary()), pa.ListArray.from_arrays(np.arange(len(sizes) + 1, dtype=np.int32) * join.bands, flat)],
-                ["doc_id", "copy", "size", "sig", "bands"],
+                [b.column(0), b.column(2), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary()), pa.ListArray.from_arrays(np.arange(len(sizes) + 1, dtype=np.int32) * join.bands, flat)],
+                ["doc_id", "at", "copy", "size", "sig", "bands"],
             )
 
     return run
@@ -371,17 +372,20 @@ def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, join: Join = Join()) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id, n_links.
+    """One row per row of ``docs``: doc_id, at (where the row lies), class_id, n_links, kept.
 
     class_id is the smallest doc_id of those reachable over links; n_links counts the other rows whose
-    similarity reaches the threshold.
+    similarity reaches the threshold; kept holds for one row of each class, with the smallest doc_id.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    described = write_shared(rows.mapInArrow(_describe(join), "doc_id long, copy binary, size int, sig binary, bands array<long>"), "jaccard-docs")
+    rows = with_locator(docs).select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), "at")
+    described = rows.mapInArrow(_describe(join), "doc_id long, at struct<file:string,row:long>, copy binary, size int, sig binary, bands array<long>")
+    described = write_shared(described.withColumn("row", F.monotonically_increasing_id()), "jaccard-docs")
     full = described.filter("size > 0")
-    reps = write_shared(full.groupBy("copy").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "jaccard-copies")
-    own = full.groupBy("copy").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    own = write_shared(own.filter("rep IS NOT NULL").groupBy("rep").agg(F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "jaccard-reps")
+    first = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")
+    reps = full.groupBy("copy").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("copies"))
+    reps = write_shared(reps.select("copy", F.col("first.row").alias("rep"), F.col("first.doc_id").alias("low"), "copies"), "jaccard-copies")
+    own = full.withColumnRenamed("row", "rep").join(reps.select("rep"), "rep", "left_semi").select("rep", "at", "size", "sig", "bands")
+    own = write_shared(own, "jaccard-reps")
 
     flat = own.select("rep", F.explode("bands").alias("band"))
     buckets = flat.groupBy("band").agg(F.count(F.lit(1)).alias("total")).filter("total > 1")
@@ -391,20 +395,29 @@ def near_duplicates(docs: DataFrame, join: Join = Join()) -> DataFrame:
     comps = write_shared(components(edges, "jaccard"), "jaccard-comps")
 
     sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("total"))
-    work = comps.join(sizes, "comp").withColumnRenamed("node", "rep").join(reps.select("rep", "copies"), "rep")
-    texts = rows.withColumnRenamed("doc_id", "rep").join(work.hint("shuffle_hash"), "rep").dropDuplicates(["rep"])
+    work = comps.join(sizes, "comp").withColumnRenamed("node", "rep").join(own.select("rep", "at"), "rep").join(reps.select("rep", "copies"), "rep")
+    texts = rows.select("at", "text").join(work.hint("shuffle_hash"), "at")
     units = _dealt(_blocked(texts, "total", join).select("comp", "i", "j", "side", "rep", "copies", "text"), "comp", "i", "j")
     verified = write_shared(units.mapInArrow(_verify(join), "rep long, root long, links long"), "jaccard-verified")
     links = verified.groupBy("rep").agg(F.sum("links").alias("others"))
     classes = components(verified.select(F.col("rep").alias("a"), F.col("root").alias("b")), "jaccard-class")
 
     named = reps.join(links, "rep", "left").join(classes.select(F.col("node").alias("rep"), "comp"), "rep", "left")
-    named = named.select("copy", F.coalesce("comp", "rep").alias("class_id"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    joined = described.select("doc_id", F.when(F.col("size") > 0, F.col("copy")).alias("copy")).join(named, "copy", "left")
-    return joined.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    named = write_shared(named.select("copy", "rep", "low", F.coalesce("comp", "rep").alias("comp"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "jaccard-named")
+    heads = named.groupBy("comp").agg(F.min(F.struct(F.col("low").isNull().alias("unknown"), "low", "rep")).alias("head"))
+    named = named.join(heads, "comp").select("copy", F.col("head.low").alias("class_id"), F.col("head.rep").alias("keeper"), "n_links")
+    joined = described.select("doc_id", "at", "row", F.when(F.col("size") > 0, F.col("copy")).alias("copy")).join(named, "copy", "left")
+    return joined.select(
+        "doc_id",
+        "at",
+        F.coalesce("class_id", "doc_id").alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce(F.col("row") == F.col("keeper"), F.lit(True)).alias("kept"),
+    )
 
 
 def keep_one(docs: DataFrame, join: Join = Join()) -> DataFrame:
-    """``docs`` with one document of each class, the one with the smallest doc_id; all columns stay."""
-    gone = near_duplicates(docs, join).groupBy("doc_id").agg(F.bool_and(F.col("class_id") != F.col("doc_id")).alias("gone")).filter("gone").select("doc_id")
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    """``docs`` (read from files) with one row of each class, the one with the smallest doc_id; all columns stay."""
+    gone = near_duplicates(docs, join).filter(~F.col("kept")).select(F.col("at.file").alias("__file"), F.col("at.row").alias("__row"))
+    marked = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    return marked.join(gone.hint("shuffle_hash"), ["__file", "__row"], "left_anti").select(*[f"`{c}`" for c in docs.columns])

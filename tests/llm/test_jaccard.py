@@ -57,13 +57,13 @@ def test_against_brute_force(spark, join):
     assert got == brute(rows)
 
 
-def test_awkward(spark, awkward):
-    rows = [r for r in awkward if r[0] is not None]
+def test_awkward(spark, awkward, tmp_path):
+    rows = [r for r in awkward if r[0] is not None] + [(10, "two texts of one id are two rows", "s"), (11, "two texts of one id are two rows", "s")]
     got = sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard.near_duplicates(documents(spark, rows)).collect())
     assert got == brute(rows)
     assert jaccard.near_duplicates(documents(spark, awkward)).count() == len(awkward)
     assert jaccard.near_duplicates(documents(spark, [])).count() == 0
-    docs = documents(spark, awkward)
+    docs = documents(spark, awkward + [(None, "null id", None)], tmp_path / "d")
     kept = jaccard.keep_one(docs)
     assert kept.columns == docs.columns and sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted([1, 3, 4, 5, 6, None, 9, 10], key=repr)
 
