@@ -51,7 +51,7 @@ class Join:
     bands: int = 30
     rows: int = 5
     step: int = 15
-    tolerance: float = 1e-4
+    tolerance: float = 1e-6
     block: int = 1024
     seed: int = 11
 

@@ -69,7 +69,7 @@ def test_awkward(spark, awkward, tmp_path):
 
 
 def test_pruning_keeps_what_may_reach_the_threshold():
-    least = jaccard.least_matches(0.8, 15, 150, 1e-4)
+    least = jaccard.least_matches(0.8, 15, 150, 1e-6)
     assert len(least) == 10 and least[0] < 15 * 0.8 and list(least) == sorted(least) and least[-1] < 120
     rng = np.random.default_rng(0)
     join = jaccard.Join()
