@@ -14,18 +14,24 @@ MOST_QUERIES = 1000
 def top_k(queries: DataFrame, rows: DataFrame, k: int, scope: str | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: exact cosine search of a stated set of queries.
 
-    ``queries`` has query_id and q, ``rows`` vec_id and v. With ``scope`` a query only sees rows of its own scope.
-    Up to ``MOST_QUERIES`` queries are sent to every task; more are joined without a hint. Each task keeps k
-    candidates a query before anything is shuffled.
+    ``queries`` has query_id and q, ``rows`` vec_id and v. With ``scope`` a query only sees rows of its own scope,
+    which is an equi-join. Without it the queries are cut into blocks of about ``MOST_QUERIES`` by their hash, and each
+    block is sent to the tasks by itself. Of every query a task keeps k rows before anything is shuffled.
     """
-    q = queries.withColumnRenamed(scope, "__scope") if scope else queries
-    where = F.col("__scope") == F.col(scope) if scope else F.lit(True)
-    few = len(q.take(MOST_QUERIES + 1)) <= MOST_QUERIES
-    hits = rows.join(F.broadcast(q) if few else q, where).select("query_id", "vec_id", vectors.cosine(F.col("q"), F.col("v")).alias("score"))
-    first = Window.partitionBy("query_id", "__task").orderBy(F.desc("score"), "vec_id")
-    near = hits.withColumn("__task", F.spark_partition_id()).withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= k)
+    if scope:
+        q = queries.withColumnRenamed(scope, "__scope")
+        parts = [rows.join(q, F.col("__scope") == F.col(scope))]
+    else:
+        n = max(1, -(-queries.count() // MOST_QUERIES))
+        mine = F.pmod(F.xxhash64("query_id"), F.lit(n))
+        parts = [rows.crossJoin(F.broadcast(queries.filter(mine == b))) for b in range(n)]
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = None
+    for hits in parts:
+        scored = hits.select("query_id", "vec_id", vectors.cosine(F.col("q"), F.col("v")).alias("score"))
+        best = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def valid_embeddings(rows: DataFrame, dimensions: int, model: str, slack: float = 0.02) -> DataFrame:

@@ -261,7 +261,7 @@ def html_blocks(spark, sf_dir):
 
 @query("SELECT page_id, CASE WHEN page_id % 2 = 0 AND regexp_matches(lower(html), '^\\s*(<!doctype html|<html)') THEN 'HTML' END AS format FROM pages")
 def file_formats(spark, sf_dir):
-    rows = table(spark, sf_dir, "pages").select("page_id", F.left("html", F.lit(2000)).cast("binary").alias("header"), F.when(F.col("page_id") % 2 == 0, "page.html").otherwise("page.txt").alias("name"))
+    rows = table(spark, sf_dir, "pages").select("page_id", F.substring(F.col("html").cast("binary"), 1, 8192).alias("header"), F.when(F.col("page_id") % 2 == 0, "page.html").otherwise("page.txt").alias("name"))
     return rows.select("page_id", files.file_format(F.col("header"), F.col("name")).alias("format"))
 
 
