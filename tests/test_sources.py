@@ -110,3 +110,44 @@ def test_archives_are_inspected(spark):
 def test_link_kinds(spark):
     df = spark.createDataFrame([(u,) for u in ("", "data:x", "/a", "https://x", "//x", "javascript:1", "#a", None)], "u string")
     assert [r[0] for r in df.select(markup.link_kind(F.col("u"))).collect()] == ["EMPTY", "DATA", "LOCAL", "EXTERNAL", "EXTERNAL", "EXTERNAL", "LOCAL", "EMPTY"]
+
+
+def test_snapshots_are_replaced_only_when_they_change(spark, tmp_path):
+    import os
+
+    from pagewright.sources import snapshots
+
+    path = str(tmp_path / "blocks")
+    schema = "document_version_id string, content_revision int, ordinal int, content_sha256 string"
+
+    def put(rows):
+        snapshots.put_snapshots(spark.createDataFrame(rows, schema), path)
+        return {os.path.join(d, f): os.path.getmtime(os.path.join(d, f)) for d, _, fs in os.walk(path) for f in fs if f.endswith(".parquet")}
+
+    first = put([("v", 1, 1, "a"), ("v", 1, 2, "b"), ("w", 1, 1, "c")])
+    assert put([("v", 1, 2, "b"), ("v", 1, 1, "a")]) == first
+    again = put([("v", 1, 1, "x")])
+    assert {p for p in first if "=w" in p} <= set(again) and not {p for p in first if "=v" in p} & set(again)
+    assert spark.read.parquet(path).count() == 2
+
+
+def test_vectors_by_manifest(spark, tmp_path):
+    from pagewright.sources import snapshots
+
+    path = str(tmp_path / "v")
+    df = spark.createDataFrame([("m1", "a", "h", "p"), ("m1", "a", "h", "p"), ("m2", "b", "h", "p")], "manifest_id string, vector_id string, content_sha256 string, embedding_profile_id string")
+    snapshots.put_vectors(df, path)
+    snapshots.put_vectors(df.filter("manifest_id = 'm2'"), path)
+    got = snapshots.scan_vectors(spark, path, "m1")
+    assert got.columns == ["vector_id", "content_sha256", "embedding_profile_id"] and got.count() == 1
+    assert "PartitionFilters: [isnotnull(manifest_id" in got._jdf.queryExecution().toString()
+    assert snapshots.drop_vectors(spark.read.parquet(path), df.filter("manifest_id = 'm1'")).count() == 1
+
+
+def test_layout_results(spark):
+    from pagewright.sources import snapshots
+
+    body = '{"texts":[{"label":"section_header","text":"T","level":2,"prov":[{"page_no":1,"bbox":{"l":10,"t":90,"r":50,"b":80,"coord_origin":"BOTTOMLEFT"}}]},{"label":"odd","text":"x"}],"pages":{"1":{"size":{"width":100,"height":100}}}}'
+    rows = snapshots.layout_blocks(spark.createDataFrame([(1, body)], "doc_id long, json string")).orderBy("ordinal").collect()
+    assert (rows[0]["type"], rows[0]["heading_level"], rows[0]["page_no"]) == ("TITLE", 2, 1)
+    assert tuple(rows[0]["bbox"]) == pytest.approx((0.1, 0.1, 0.5, 0.2)) and (rows[1]["type"], rows[1]["bbox"]) == ("PARAGRAPH", None)
