@@ -29,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -123,8 +124,13 @@ class Codec:
         self.v = vocabulary
         self.most = most
         self.words: dict[str, bytes] = {}
-        self.fits: dict[tuple[str, str], bool] = {}
-        self.longest = max(map(len, vocabulary.ids), default=1)
+        self.fits: dict[int, bool] = {}
+        # lengths of the pieces that end with certain three characters, longest first; shorter pieces are always tried
+        ends: dict[str, set[int]] = {}
+        for p in vocabulary.ids:
+            if len(p) > 2:
+                ends.setdefault(p[-3:], set()).add(len(p))
+        self.lengths = {e: (*sorted(n, reverse=True), 2, 1) for e, n in ends.items()}
         joins = {c for p in vocabulary.ids if len(p) > 1 for c in p}
         alone = "".join(re.escape(c) for c in "\n\t\r\x0b\x0c" if c not in joins)
         self.cut = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|[{alone}]" if alone else "")).findall
@@ -152,23 +158,24 @@ class Codec:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def _fit(self, left: str, right: str) -> bool:
-        """Whether the merges keep the two pieces (the second alone, if the first is empty)."""
-        known = self.fits.get((left, right))
-        if known is None:
-            if len(self.fits) > 4 * self.most:
-                self.fits.clear()
-            known = self.fits[left, right] = self._merged(left + right) == ([left, right] if left else [right])
+    def _fit(self, left: int, right: int) -> bool:
+        """Whether the merges keep the two pieces (the second alone, if the first is -1); ids in, as they hash fast."""
+        if len(self.fits) > 4 * self.most:
+            self.fits.clear()
+        second = self.v.pieces[right]
+        both = [second] if left < 0 else [self.v.pieces[left], second]
+        known = self.fits[left * len(self.v.pieces) + right] = self._merged("".join(both)) == both
         return known
 
     # ---- the traversal
 
     def segment(self, words: list[str]) -> Iterator[tuple[str, list[str]]]:
         """The pieces of each word; ``words`` are sorted and distinct. A piece that isn't in the vocabulary is a single character."""
-        ids, longest, bpe = self.v.ids, self.longest, self.v.model == BPE
-        scores = self.v.scores
+        ids, lengths, bpe = self.v.ids, self.lengths, self.v.model == BPE
+        scores, fits = self.v.scores, self.fits
         low = min(scores, default=0.0) - 10.0  # the score of an unknown character
-        state: list[tuple[float, int, str]] = [(0.0, 0, "")]  # score, start and text of the last piece
+        size = len(self.v.pieces)
+        state: list[tuple[float, int, int]] = [(0.0, 0, -1)]  # score, start and id of the last piece, -1 for none or an unknown character
         before = ""
         for word in words:
             same = 0
@@ -178,31 +185,36 @@ class Codec:
                 same += 1
             del state[same + 1 :]
             for end in range(same + 1, len(word) + 1):
-                best: tuple[float, int, str] | None = None
-                for start in range(max(0, end - longest), end):
-                    piece = word[start:end]
-                    k = ids.get(piece)
+                best: tuple[float, int, int] | None = None
+                for n in lengths.get(word[end - 3 : end], (2, 1)) if end > 2 else (2, 1):
+                    if n > end:
+                        continue
+                    start = end - n
+                    k = ids.get(word[start:end])
                     if k is None:
                         continue
                     if bpe:
                         last = state[start][2]
-                        if self._fit(last if last in ids else "", piece):
-                            best = (0.0, start, piece)
+                        fit = fits.get(last * size + k)
+                        if fit is None:
+                            fit = self._fit(last, k)
+                        if fit:
+                            best = (0.0, start, k)
                             break
                     else:
                         total = state[start][0] + scores[k]
                         if best is None or total > best[0]:
-                            best = (total, start, piece)
-                if word[end - 1] not in ids:
+                            best = (total, start, k)
+                if (best is None or not bpe) and word[end - 1] not in ids:
                     total = state[end - 1][0] + low
-                    if best is None or not bpe and total > best[0]:
-                        best = (total, end - 1, word[end - 1])
+                    if best is None or total > best[0]:
+                        best = (total, end - 1, -1)
                 state.append(best)
             before = word
             out, end = [], len(word)
             while end:
-                _, start, piece = state[end]
-                out.append(piece)
+                start = state[end][1]
+                out.append(word[start:end])
                 end = start
             out.reverse()
             yield word, out
@@ -217,7 +229,7 @@ class Codec:
                 ids += [self.v.byte_ids[b] for b in p.encode()]
             else:
                 ids.append(self.v.unknown)
-        return np.array(ids, np.int32).tobytes()
+        return array("i", ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
