@@ -45,6 +45,7 @@ class Config:
     k: int = 5
     sample: int = 10_000
     most_centroids: int = 256
+    per_cell: int = 256
     rounds: int = 12
     probes: int = 64
     coverage: float = 0.98
@@ -128,7 +129,7 @@ def fit(entries: DataFrame, width: int, n: int, config: Config) -> Quantiser:
     """Centroids from the vectors whose hash is smallest, at most ``config.sample``."""
     rows = entries.orderBy(F.xxhash64(F.lit(config.seed), "entry"), "entry").limit(config.sample).select("v").collect()
     x = _unit(np.array([r["v"] for r in rows], dtype=float))
-    k = int(min(config.most_centroids, max(1, round(4 * n**0.25))))
+    k = int(min(config.most_centroids, max(4, round(np.sqrt(n / config.per_cell)))))
     rng = np.random.default_rng(config.seed)
     half = width // 2
     return Quantiser(_centroids(x[:, :half], k, config.rounds, rng), _centroids(x[:, half:], k, config.rounds, rng))
@@ -209,23 +210,36 @@ def _pack(cells: str, width: int, size: int, ids: bool):
     return run
 
 
+def _best(queries: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first k rows of each query, by falling score and then by id."""
+    order = np.lexsort((ids, -scores, queries))
+    q = queries[order]
+    begin = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1]))) if len(q) else np.zeros(0, np.int64)
+    place = np.arange(len(q)) - np.repeat(begin, np.diff(np.concatenate((begin, [len(q)]))))
+    order = order[place < k]
+    return queries[order], ids[order], scores[order]
+
+
 def _rerank(width: int, k: int):
-    """Exact cosines of a block of queries and a block of entries; the best k + 1 of each query."""
+    """Exact cosines of blocks of queries and of entries; of each query the best k + 1 of a batch are sent on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for qe, qm, em, lists in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
+            kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            for at in range(b.num_rows):
+                qe, qm, em, lists = (b.column(c)[at].as_py() for c in range(4))
                 qs, x, y = np.frombuffer(qe, np.int64), np.frombuffer(qm).reshape(-1, width), np.frombuffer(em).reshape(-1, width)
                 rough = _unit(x) @ _unit(y).T
                 n = min(len(y), k + 8)
                 top = np.argpartition(-rough, n - 1, axis=1)[:, :n]
                 queries, ids, scores = [], [], []
                 for r in range(len(x)):
-                    s = cosine(x[r], y[top[r]])
-                    for e, value in zip(top[r].tolist(), s.tolist(), strict=True):
-                        for i in lists[e]:
-                            queries.append(int(qs[r])), ids.append(i), scores.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(queries, pa.int64()), pa.array(ids, pa.int64()), pa.array(scores, pa.float64())], ["query", "id", "score"])
+                    for e, value in zip(top[r].tolist(), cosine(x[r], y[top[r]]).tolist(), strict=True):
+                        queries += [int(qs[r])] * len(lists[e])
+                        ids += lists[e]
+                        scores += [value] * len(lists[e])
+                kept = _best(*(np.concatenate((old, np.array(new, old.dtype))) for old, new in zip(kept, (queries, ids, scores), strict=True)), k + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in kept], ["query", "id", "score"])
 
     return run
 
@@ -278,7 +292,7 @@ def search(rows: DataFrame, is_query: Column, config: Config = Config()) -> Data
     packed_q = routed.repartition("cell").sortWithinPartitions("cell", "query").mapInArrow(_pack("cell", width, config.query_block, False), "cell int, entries binary, matrix binary")
     packed_e = index.select("cell", "entry", "v", "ids").repartition("cell", F.pmod("entry", F.lit(16))).sortWithinPartitions("cell", "entry")
     packed_e = packed_e.mapInArrow(_pack("cell", width, config.block, True), "cell int, entries binary, matrix binary, ids array<array<long>>")
-    pairs = packed_q.select("cell", F.col("entries").alias("qe"), F.col("matrix").alias("qm")).join(packed_e.select("cell", F.col("matrix").alias("em"), "ids"), "cell").select("qe", "qm", "em", "ids")
+    pairs = packed_q.select("cell", F.col("entries").alias("qe"), F.col("matrix").alias("qm")).hint("merge").join(packed_e.select("cell", F.col("matrix").alias("em"), "ids"), "cell").select("qe", "qm", "em", "ids")
     scored = pairs.mapInArrow(_rerank(width, config.k), "query long, id long, score double")
     # the best k + 1 of each distinct query vector; then each row's own id goes
     best = least(scored, ["query"], [F.desc("score"), "id"], config.k + 1)
