@@ -83,7 +83,8 @@ def mix(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     """
     goals = write_shared(targets(sizes, weights, share, cap), "mix-targets")
     # u in (0, 1) from doc_id; the key -ln(u)/w grows with 1 - u^(1/w), which is bucketed
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) + 0.5) / float(1 << 53)
+    digits = F.left(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256), F.lit(13))
+    u = (F.conv(digits, 16, 10).cast("long") + 0.5) / float(1 << 52)
     rows = sizes.withColumn("key", F.lit(1.0) - F.pow(u, F.lit(1.0) / F.col("weight")))
     rows = rows.withColumn("bucket", F.least(F.lit(buckets - 1), (F.col("key") * buckets).cast("int")))
     part = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)

@@ -144,3 +144,38 @@ SQL["op7_chat_collapse"] = """
            CASE WHEN conv_id = kept_by THEN list_reduce(list_transform(turns, lambda x: '<|im_start|>' || coalesce(x.r, '') || chr(10) || coalesce(x.t, '') || '<|im_end|>' || chr(10)), lambda a, b: a || b) END AS text
     FROM kept
 """
+
+_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+
+# Every pair that shares a shingle, verified; classes by walking the links.
+SQL["op10_jaccard_join"] = f"""
+    WITH RECURSIVE w AS (SELECT doc_id, list_transform({_WORDS}, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w FROM documents),
+    i AS (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM w WHERE len(w) > 0),
+    s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM i),
+    c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    l AS (SELECT x, y FROM p JOIN c cx ON cx.doc_id = x JOIN c cy ON cy.doc_id = y WHERE k >= 0.8 * (cx.n + cy.n - k) - 1e-9),
+    e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+    r AS (SELECT x AS doc_id, y AS other FROM e UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.other)
+    SELECT d.doc_id, least(d.doc_id, coalesce(m.low, d.doc_id)) AS class_id, coalesce(n.n, 0) AS n_links
+    FROM documents d LEFT JOIN (SELECT doc_id, min(other) AS low FROM r GROUP BY 1) m ON m.doc_id = d.doc_id LEFT JOIN (SELECT x, count(*) AS n FROM e GROUP BY 1) n ON n.x = d.doc_id
+"""
+
+# Sources are full up to the first that the level of those after it doesn't fill; then the keys' order and its prefix sums.
+SQL["op5_mixing"] = f"""
+    WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size, length(coalesce(text, '')) AS chars FROM documents),
+    z AS (SELECT source, sum(size)::BIGINT AS source_size, ([3.0, 1.0, 2.0]::DOUBLE[])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight FROM d GROUP BY source),
+    o AS (SELECT *, source_size * 2.0::DOUBLE AS most, sum(source_size) OVER () * 1.5::DOUBLE AS total FROM z),
+    a AS (SELECT *, coalesce(sum(most) OVER (ORDER BY most / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled,
+                 sum(weight) OVER (ORDER BY most / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM o),
+    v AS (SELECT min_by((total - filled)::DOUBLE / open::DOUBLE, most / weight) AS level FROM a WHERE most > weight * ((total - filled)::DOUBLE / open::DOUBLE)),
+    t AS (SELECT source, source_size, CASE WHEN level IS NULL THEN most ELSE least(most, weight * level) END AS target FROM o, v),
+    g AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM t),
+    k AS (SELECT d.doc_id, d.source, d.size, g.source_size, g.target, g.epochs, g.target - g.epochs * g.source_size AS rest,
+                 1 - pow((('0x' || left(sha256('17:' || coalesce(doc_id::VARCHAR, '')), 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496,
+                         1 / greatest(0.1::DOUBLE, (size::DOUBLE / (size + 20)) / (1 + abs(chars::DOUBLE / greatest(size, 1) - 6.5::DOUBLE) / 6.5::DOUBLE))) AS key
+          FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+    s AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) AS after FROM k)
+    SELECT doc_id, size, source_size, target,
+           (size * (epochs + CASE WHEN size > 0 AND (after <= rest OR after - size < rest AND abs(after - rest) < abs(after - size - rest)) THEN 1 ELSE 0 END))::BIGINT AS taken FROM s
+"""
