@@ -235,34 +235,52 @@ class Expected:
         return cls(np.zeros(states), np.zeros((states, states)), np.zeros((classes, states)))
 
 
+def _steps(grid: np.ndarray, n: np.ndarray, model: Model, first: int, last: int, before: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Scaled forward values and their scales at the times first..last-1; ``before`` are the values at the time before."""
+    a = before
+    for t in range(first, last):
+        a = (model.start if a is None else a[: n[t]] @ model.move) * model.emit[grid[t, : n[t]]]
+        s = a.sum(axis=1)
+        a = a / s[:, None]
+        yield a, s
+
+
 def expect(seqs: list[np.ndarray], model: Model, into: Expected, cells: int) -> None:
-    """Add the sequences' expected counts under the model."""
+    """Add the sequences' expected counts under the model.
+
+    Forward values are kept for about ``cells`` tokens; of longer sequences they are kept where a stretch begins
+    and made again stretch by stretch on the way back.
+    """
     states = len(model.start)
     for _, lengths, grid in _padded(seqs, cells):
         n = _active(lengths, len(grid))
-        alpha, scale = [], []
-        a = model.emit[grid[0]] * model.start
-        for t in range(len(grid)):
-            if t:
-                a = (a[: n[t]] @ model.move) * model.emit[grid[t, : n[t]]]
-            s = a.sum(axis=1)
-            a = a / s[:, None]
-            alpha.append(a)
-            scale.append(s)
-        beta = np.ones((n[-1], states))
-        gammas: list[np.ndarray] = [alpha[-1] * beta]
-        for t in range(len(grid) - 2, -1, -1):
-            ahead = beta * model.emit[grid[t + 1, : n[t + 1]]] / scale[t + 1][:, None]
-            into.move += alpha[t][: n[t + 1]].T @ ahead
-            beta = np.ones((n[t], states))
-            beta[: n[t + 1]] = ahead @ model.move.T
-            gammas.append(alpha[t] * beta)
-        gammas.reverse()
-        into.start += gammas[0].sum(axis=0)
-        at = np.concatenate([grid[t, : n[t]] for t in range(len(grid))])
-        gamma = np.concatenate(gammas)
-        for k in range(states):
-            into.emit[:, k] += np.bincount(at, weights=gamma[:, k], minlength=len(into.emit))
+        size = max(1, cells // grid.shape[1])
+        marks: list[np.ndarray | None] = [None]
+        if len(grid) > size:
+            for t, (a, _) in enumerate(_steps(grid, n, model, 0, len(grid), None), 1):
+                if t % size == 0 and t < len(grid):
+                    marks.append(a)
+        beta = next_beta = next_scale = None
+        for k in range(len(marks) - 1, -1, -1):
+            first, last = k * size, min(len(grid), (k + 1) * size)
+            steps = list(_steps(grid, n, model, first, last, marks[k]))
+            gammas = []
+            for t in range(last - 1, first - 1, -1):
+                alpha, scale = steps[t - first]
+                beta = np.ones((n[t], states))
+                if next_beta is not None:
+                    ahead = next_beta * model.emit[grid[t + 1, : n[t + 1]]] / next_scale[:, None]
+                    into.move += alpha[: n[t + 1]].T @ ahead
+                    beta[: n[t + 1]] = ahead @ model.move.T
+                next_beta, next_scale = beta, scale
+                gammas.append(alpha * beta)
+            gammas.reverse()
+            if first == 0:
+                into.start += gammas[0].sum(axis=0)
+            at = np.concatenate([grid[t, : n[t]] for t in range(first, last)])
+            gamma = np.concatenate(gammas)
+            for j in range(states):
+                into.emit[:, j] += np.bincount(at, weights=gamma[:, j], minlength=len(into.emit))
 
 
 def maximised(got: Expected, old: Model, config: Config, prior: np.ndarray) -> Model:

@@ -38,11 +38,12 @@ def test_forward_sums_over_all_paths(cells):
     assert math.isclose(sum(math.exp(hmm.log_likelihood([np.array(s)], m)[0]) for s in itertools.product(range(5), repeat=3)), 1)
 
 
-def test_expected_counts_and_rounds_raise_the_likelihood():
+@pytest.mark.parametrize("cells", [1, 4, 8, 1000])
+def test_expected_counts_and_rounds_raise_the_likelihood(cells):
     m, rng = model(2, 4), np.random.default_rng(1)
     seqs = [rng.integers(0, 4, n) for n in (1, 5, 9, 9, 3)]
     got = hmm.Expected.none(2, 4)
-    hmm.expect(seqs, m, got, 8)
+    hmm.expect(seqs, m, got, cells)
     assert math.isclose(got.emit.sum(), 27) and math.isclose((got.move * m.move).sum(), 22) and math.isclose(got.start.sum(), 5)
     # emission counts against the paths' posteriors
     want = np.zeros((4, 2))
