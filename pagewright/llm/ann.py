@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewright.llm.sampling import lowest
 from pagewright.shared import write_shared
 
 
@@ -127,7 +128,7 @@ class Quantiser:
 
 def fit(entries: DataFrame, width: int, n: int, config: Config) -> Quantiser:
     """Centroids from the vectors whose hash is smallest, at most ``config.sample``."""
-    rows = entries.orderBy(F.xxhash64(F.lit(config.seed), "entry"), "entry").limit(config.sample).select("v").collect()
+    rows = lowest(entries, config.sample, config.seed, "entry").select("v").collect()
     x = _unit(np.array([r["v"] for r in rows], dtype=float))
     k = int(min(config.most_centroids, max(4, round(np.sqrt(n / config.per_cell)))))
     rng = np.random.default_rng(config.seed)
@@ -146,7 +147,7 @@ def _assign(q: Quantiser, width: int):
 
 def _budget(index: DataFrame, counts: dict[int, int], q: Quantiser, width: int, config: Config) -> int:
     """Entries after which the walk has met ``coverage`` of the true neighbours of the probes."""
-    probes = index.orderBy(F.xxhash64(F.lit(config.seed + 1), "entry"), "entry").limit(config.probes).select("entry", "v").collect()
+    probes = lowest(index, config.probes, config.seed + 1, "entry").select("entry", "v").collect()
     if not probes:
         return 0
     own = np.array([r["entry"] for r in probes])

@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.llm.sampling import lowest
 from pagewright.shared import write_shared
 
 END = b""
@@ -327,7 +328,7 @@ def train(rows: DataFrame, kind: type, lex: Lexicon, config: Config) -> Model:
         seen[k] = c
     seen[len(lex.hot) :] = lex.rare_total
     prior = (seen + 0.5) / (seen + 0.5).sum()
-    some = learn.filter(F.col("n_tokens") <= config.start_tokens // 100).orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").select("seq", "n_tokens").limit(2000).collect()
+    some = lowest(learn.filter(F.col("n_tokens") <= config.start_tokens // 100), 2000, 3, "doc_id").select("seq", "n_tokens").collect()
     seqs, size = [], 0
     for r in some:  # at most start_tokens tokens
         size += r["n_tokens"]

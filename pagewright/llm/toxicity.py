@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.llm.sampling import lowest
 from pagewright.shared import write_shared
 
 # Groups of identity terms; a term is swapped for the next one of its group.
@@ -103,8 +104,7 @@ def sample(docs: DataFrame, labels: DataFrame, fit: Fit, learn: Column) -> DataF
     """``(label, text)`` of the sample; ``learn`` says of a doc_id whether its label may be used."""
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("label"))
     known = known.filter(learn)
-    order = [F.xxhash64(F.lit(5), "doc_id"), "doc_id"]
-    some = known.filter("label = 1").orderBy(*order).limit(fit.max_positive).unionByName(known.filter("label = 0").orderBy(*order).limit(fit.max_negative))
+    some = lowest(known.filter("label = 1"), fit.max_positive, 5, "doc_id").unionByName(lowest(known.filter("label = 0"), fit.max_negative, 5, "doc_id"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     return write_shared(texts.join(F.broadcast(some), "doc_id").select("label", "text"), "toxicity-sample")  # the sample is bounded by fit
 
