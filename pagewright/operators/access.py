@@ -43,3 +43,9 @@ def all_allowed(sources: Column, allowed: Column) -> Column:
 def too_few_admins(grants: DataFrame, *by: str, least: int = 1) -> DataFrame:
     """Groups whose grants have fewer administrators than needed."""
     return grants.groupBy(*by).agg(F.count_if(F.array_contains("permissions", "ADMIN")).alias("admins")).filter(F.col("admins") < least)
+
+
+def mapped_roles(tokens: DataFrame, mapping: dict[str, list[str]]) -> DataFrame:
+    """user, role: the distinct roles that a user's external groups map to; unknown groups map to none."""
+    table = tokens.sparkSession.createDataFrame([(g, r) for g, roles in mapping.items() for r in roles], "grp string, role string")
+    return tokens.select("user", F.explode("groups").alias("grp")).join(F.broadcast(table), "grp").select("user", "role").distinct()

@@ -146,3 +146,18 @@ def stage_of(event_type: Column) -> Column:
         F.when(event_type.contains("ingestion.requested"), "PARSE").when(event_type.contains("knowledge_processing"), "CHUNK")
         .when(event_type.contains("indexing"), "INDEX").when(event_type.startswith("index.") | event_type.contains("cache"), "PROJECT").otherwise("UNKNOWN")
     )
+
+
+def renew_leases(jobs: DataFrame, owner: str, as_of: Column, seconds: int) -> DataFrame:
+    """Leases that are the owner's and still hold are moved on; others stay as they are."""
+    mine = (F.col("status") == "RUNNING") & (F.col("lease_owner") == owner) & (F.col("lease_expires_at") > as_of)
+    return jobs.withColumn("lease_expires_at", F.when(mine, as_of + F.make_dt_interval(secs=F.lit(seconds))).otherwise(F.col("lease_expires_at")))
+
+
+def outbox_results(claimed: DataFrame, as_of: Column, max_attempts: int) -> DataFrame:
+    """What becomes of claimed events (``ok`` says whether one was published): published, tried again later, or dead."""
+    from pagewright.functions.numbers import backoff_seconds
+
+    state = F.when(F.col("ok"), "PUBLISHED").when(F.col("attempts") + 1 >= max_attempts, "DEAD").otherwise("PENDING")
+    later = as_of + F.make_dt_interval(secs=backoff_seconds(F.col("attempts")))
+    return claimed.withColumn("state", state).withColumn("available_at", F.when(F.col("state") == "PENDING", later).otherwise(F.col("available_at")))

@@ -151,3 +151,15 @@ def test_layout_results(spark):
     rows = snapshots.layout_blocks(spark.createDataFrame([(1, body)], "doc_id long, json string")).orderBy("ordinal").collect()
     assert (rows[0]["type"], rows[0]["heading_level"], rows[0]["page_no"]) == ("TITLE", 2, 1)
     assert tuple(rows[0]["bbox"]) == pytest.approx((0.1, 0.1, 0.5, 0.2)) and (rows[1]["type"], rows[1]["bbox"]) == ("PARAGRAPH", None)
+
+
+def test_walked_image_headers(spark):
+    from pagewright.sources import images
+
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04xx\xff\xc0\x00\x11\x08\x00\x04\x00\x03" + b"\x00" * 12
+    tiff = b"II*\x00\x08\x00\x00\x00\x02\x00" + struct.pack("<HHIHH", 256, 3, 1, 3, 0) + struct.pack("<HHII", 257, 4, 1, 4)
+    webp = b"RIFF\x00\x00\x00\x00WEBPVP8X" + b"\x00" * 8 + (2).to_bytes(3, "little") + (3).to_bytes(3, "little")
+    lossless = b"RIFF\x00\x00\x00\x00WEBPVP8L\x00\x00\x00\x00\x2f" + (2 | 3 << 14).to_bytes(4, "little")
+    rows = [("a", "JPEG", jpeg), ("b", "TIFF", tiff), ("c", "WEBP", webp), ("d", "WEBP", lossless), ("e", "JPEG", b"\xff\xd8"), ("f", "TIFF", b"II")]
+    got = {r["path"]: (r["width"], r["height"]) for r in images.sizes(spark.createDataFrame([(p, k, bytearray(c)) for p, k, c in rows], "path string, kind string, content binary")).collect()}
+    assert got == {**{k: (3, 4) for k in "abcd"}, "e": (None, None), "f": (None, None)}

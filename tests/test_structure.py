@@ -156,3 +156,18 @@ def test_reading_order_and_footnotes(spark):
     notes = spark.createDataFrame([(1, None, "n")], "doc_id int, page_no int, note string")
     chunks = spark.createDataFrame([(1, None, "a", 1), (1, None, "b", 2), (1, 1, "c", 3)], "doc_id int, page_no int, chunk string, ordinal int")
     assert tuple(chunking.footnotes(notes, chunks).first()) == (1, "n", "b")
+
+
+def test_leases_and_outbox(spark):
+    now = F.lit("2024-01-01 00:00:10").cast("timestamp")
+    jobs = spark.createDataFrame([(1, "RUNNING", "me", 5), (2, "RUNNING", "you", 5), (3, "RUNNING", "me", -5)], "id int, status string, lease_owner string, s int")
+    jobs = jobs.withColumn("lease_expires_at", now + F.make_dt_interval(secs=F.col("s")))
+    got = {r["id"]: r["d"] for r in events.renew_leases(jobs, "me", now, 60).select("id", (F.unix_seconds("lease_expires_at") - F.unix_seconds(now)).alias("d")).collect()}
+    assert got == {1: 60, 2: 5, 3: -5}
+    rows = spark.createDataFrame([(1, True, 0), (2, False, 3), (3, False, 4)], "id int, ok boolean, attempts int").withColumn("available_at", now)
+    got = {r["id"]: (r["state"], r["d"]) for r in events.outbox_results(rows, now, 5).select("id", "state", (F.unix_seconds("available_at") - F.unix_seconds(now)).alias("d")).collect()}
+    assert got == {1: ("PUBLISHED", 0), 2: ("PENDING", 8), 3: ("DEAD", 0)}
+    tokens = spark.createDataFrame([("u", ["a", "b", "x"])], "user string, groups array<string>")
+    assert sorted(r["role"] for r in access.mapped_roles(tokens, {"a": ["r", "s"], "b": ["r"]}).collect()) == ["r", "s"]
+    kinds = spark.createDataFrame([("ingestion.requested.v1",), ("ingestion.indexing.x",), ("index.built",), ("other",)], "e string")
+    assert [r[0] for r in kinds.select(events.stage_of(F.col("e"))).collect()] == ["PARSE", "INDEX", "PROJECT", "UNKNOWN"]
