@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from pagewright.shared import write_shared
 
-BUCKETS = 1 << 14
+BUCKETS = 1 << 12
 
 
 def word_count(text: Column) -> Column:
