@@ -88,7 +88,8 @@ SQL: dict[str, str] = {
 
 
 def _op6_sql() -> str:
-    rules = secrets.BASE
+    rules = secrets.BASE + secrets.MORE
+    base = len(secrets.BASE)
     parts = []
     for place, r in enumerate(rules):
         rx = r.regex.replace("'", "''")
@@ -100,16 +101,17 @@ def _op6_sql() -> str:
                            regexp_extract_all(text, '{rx}', {r.group}) AS tested
                     FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)))""")
     least = " ".join(f"WHEN '{r.kind}' THEN {r.least}" for r in rules)
-    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in rules)
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in secrets.BASE)
     return f"""
         WITH pieces AS ({" UNION ALL ".join(parts)}),
         spans AS (SELECT doc_id, kind, place, tested, len,
                          sum(gap + len) OVER (PARTITION BY doc_id, kind ORDER BY i) AS stop FROM pieces),
         kept AS (SELECT *, kind || ':' || (stop - len)::BIGINT || ':' || stop::BIGINT AS item FROM spans
                  WHERE tested >= CASE kind {least} END),
-        per_doc AS (SELECT doc_id, {counts}, string_agg(item, ',' ORDER BY stop - len, place) AS spans FROM kept GROUP BY doc_id)
-        SELECT d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in rules)},
-               sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+        per_doc AS (SELECT doc_id, {counts}, string_agg(item, ',' ORDER BY stop - len, place) AS spans,
+                           string_agg(item, ',' ORDER BY stop - len, place) FILTER (place < {base}) AS own FROM kept GROUP BY doc_id)
+        SELECT d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secrets.BASE)},
+               sha256(coalesce(own, '')) AS base_sha256, coalesce(spans, '') AS spans
         FROM documents d LEFT JOIN per_doc USING (doc_id)
     """
 
