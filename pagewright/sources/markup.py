@@ -13,23 +13,84 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCKS = "doc_id long, ordinal int, type string, text string, heading_level int, cells array<array<string>>, header_rows int"
+MERGED = ", merged_cells array<struct<row:int,column:int,row_span:int,column_span:int>>"
 # Elements without content of their own, elements that make blocks, elements that end a paragraph.
-SKIPPED = {"script", "style", "noscript", "template", "object", "iframe", "head", "title"}
+SKIPPED = {"script", "style", "noscript", "template", "object", "iframe", "title"}
 TYPES = {"p": "PARAGRAPH", "li": "LIST", "pre": "CODE", "figcaption": "CAPTION", **{f"h{k}": "TITLE" for k in range(1, 7)}}
 ENDS_P = set(TYPES) | {"div", "article", "section", "nav", "ul", "ol", "table", "footer", "header", "blockquote", "body"}
 
 
+def _span(value: str | None) -> int:
+    return max(1, min(10_000, int(value))) if value and value.isascii() and value.isdigit() else 1
+
+
+class _Table:
+    """A grid under construction; end tags of cells and rows may be missing."""
+
+    def __init__(self, at: int) -> None:
+        self.at = at  # where its block goes
+        self.rows: list[list[str]] = []
+        self.heads: list[bool] = []
+        self.merged: list[tuple[int, int, int, int]] = []
+        self.taken: dict[int, int] = {}  # column to the last row that a cell from above covers
+        self.cell: list[str] | None = None
+        self.in_row = self.caption = False
+
+    def end_cell(self) -> None:
+        if self.cell is not None:
+            column, _, columns = self.place
+            row = self.rows[-1]
+            row += [""] * (column - len(row)) + [" ".join("".join(self.cell).split())] + [""] * (columns - 1)
+            self.cell = None
+
+    def end_row(self) -> None:
+        self.end_cell()
+        self.in_row = False
+
+    def begin_row(self) -> None:
+        self.end_row()
+        self.rows.append([])
+        self.heads.append(True)
+        self.in_row = True
+
+    def begin_cell(self, tag: str, attrs: dict) -> None:
+        self.end_cell()
+        if not self.in_row:
+            self.begin_row()
+        at, column = len(self.rows) - 1, len(self.rows[-1])
+        while self.taken.get(column, -1) >= at:
+            column += 1
+        self.place = column, rows, columns = column, _span(attrs.get("rowspan")), _span(attrs.get("colspan"))
+        if rows > 1:
+            self.taken.update((c, max(at + rows - 1, self.taken.get(c, -1))) for c in range(column, column + columns))
+        if rows > 1 or columns > 1:
+            self.merged.append((at, column, rows, columns))
+        self.heads[-1] &= tag == "th"
+        self.cell = []
+
+    def block(self) -> tuple | None:
+        self.end_row()
+        if not self.rows:
+            return None
+        width = max(map(len, self.rows))
+        cells = [r + [""] * (width - len(r)) for r in self.rows]
+        heads = next((i for i, h in enumerate(self.heads) if not h), len(self.heads))
+        return ("TABLE", "\n".join(" | ".join(r) for r in cells), None, cells, heads, self.merged)
+
+
 class _Page(HTMLParser):
-    """Collects blocks in document order; an open paragraph ends where a block begins."""
+    """Collects blocks in document order; an open paragraph ends where a block begins.
+
+    The head has no content of its own besides skipped elements, so it ends at the first element that makes a block. A table
+    inside a cell is a block of its own after the outer table's, and isn't part of the cell's text.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.out: list[tuple] = []
+        self.out: list[tuple | None] = []
         self.open: list[list] = []  # [tag, texts]
         self.skip = 0
-        self.rows: list[list[str]] | None = None
-        self.heads: list[bool] = []
-        self.cell: list[str] | None = None
+        self.tables: list[_Table] = []
 
     def _close(self, tag: str) -> None:
         if not any(o[0] == tag for o in self.open):
@@ -48,24 +109,15 @@ class _Page(HTMLParser):
             self.skip += 1
         if self.skip:
             return
-        if self.rows is not None:
-            if tag == "tr":
-                self.rows.append([])
-                self.heads.append(True)
-            elif tag in ("td", "th"):
-                self.cell = []
-                if not self.rows:
-                    self.rows.append([]), self.heads.append(True)
-                span = dict(attrs).get("colspan") or "1"
-                self.span = max(1, min(10_000, int(span))) if span.isdigit() else 1
-                self.heads[-1] &= tag == "th"
+        if self.tables:
+            self._table_tag(tag, dict(attrs))
             return
         if tag in ENDS_P and not any(o[0] == "li" for o in self.open):
             self._close("p")
         if tag == "li":
             self._close("li")
         if tag == "table":
-            self.rows, self.heads = [], []
+            self._begin_table()
         elif tag == "img":
             self.out.append(("IMAGE", dict(attrs).get("alt") or "", None, None, None))
         elif tag in TYPES and not (tag == "p" and any(o[0] == "li" for o in self.open)):
@@ -73,22 +125,49 @@ class _Page(HTMLParser):
         elif tag == "br" and self.open:
             self.open[-1][1].append("\n" if self.open[-1][0] == "pre" else " ")
 
+    def _begin_table(self) -> None:
+        self.tables.append(_Table(len(self.out)))
+        self.out.append(None)
+
+    def _end_table(self) -> None:
+        done = self.tables.pop()
+        self.out[done.at] = done.block()
+
+    def _table_tag(self, tag: str, attrs: dict) -> None:
+        top = self.tables[-1]
+        if tag == "table":
+            if top.cell is None and not top.caption:
+                self._end_table()  # outside of cells a new table ends the open one
+            elif top.cell is not None:
+                top.cell.append(" ")
+            self._begin_table()
+        elif tag == "caption":
+            top.end_row()
+            top.caption = True
+        elif tag in ("tr", "td", "th", "thead", "tbody", "tfoot"):
+            top.caption = False
+            if tag == "tr":
+                top.begin_row()
+            elif tag in ("td", "th"):
+                top.begin_cell(tag, attrs)
+            else:
+                top.end_row()
+
     def handle_endtag(self, tag: str) -> None:
         if tag in SKIPPED:
             self.skip = max(0, self.skip - 1)
         elif self.skip:
             return
-        elif self.rows is not None:
-            if tag in ("td", "th") and self.cell is not None:
-                self.rows[-1] += [" ".join("".join(self.cell).split())] + [""] * (self.span - 1)
-                self.cell = None
+        elif self.tables:
+            top = self.tables[-1]
+            if tag in ("td", "th"):
+                top.end_cell()
+            elif tag in ("tr", "thead", "tbody", "tfoot"):
+                top.end_row()
+            elif tag == "caption":
+                top.caption = False
             elif tag == "table":
-                width = max(map(len, self.rows), default=0)
-                cells = [r + [""] * (width - len(r)) for r in self.rows]
-                heads = next((i for i, h in enumerate(self.heads) if not h), len(self.heads))
-                if cells:
-                    self.out.append(("TABLE", "\n".join(" | ".join(r) for r in cells), None, cells, heads))
-                self.rows = None
+                self._end_table()
         elif tag in TYPES:
             self._close(tag)
         elif tag in ENDS_P:
@@ -99,8 +178,9 @@ class _Page(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.skip:
             return
-        if self.cell is not None:
-            self.cell.append(data)
+        cell = next((t.cell for t in reversed(self.tables) if t.cell is not None), None)
+        if cell is not None:
+            cell.append(data)
         elif self.open:
             self.open[-1][1].append(data)
 
@@ -109,9 +189,11 @@ def html_blocks_of(html: str) -> list[tuple]:
     page = _Page()
     page.feed(html or "")
     page.close()
+    while page.tables:
+        page._end_table()
     while page.open:
         page._close(page.open[-1][0])
-    return page.out
+    return [b for b in page.out if b is not None]
 
 
 def markdown_blocks_of(text: str) -> list[tuple]:
@@ -166,15 +248,15 @@ def csv_blocks_of(text: str) -> list[tuple]:
 
 
 def blocks(rows: DataFrame, parse: Callable[[str], list[tuple]]) -> DataFrame:
-    """``rows`` has doc_id and text; one row per block, numbered from 1."""
+    """``rows`` has doc_id and text; one row per block, numbered from 1; only HTML has merged cells."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            found = [(d, k, *b) for d, t in zip(f["doc_id"], f["text"], strict=True) for k, b in enumerate(parse(t), 1)]
-            out = pd.DataFrame(found, columns=["doc_id", "ordinal", "type", "text", "heading_level", "cells", "header_rows"])
+            found = [(d, k, *b[:5], b[5] if len(b) > 5 else None) for d, t in zip(f["doc_id"], f["text"], strict=True) for k, b in enumerate(parse(t), 1)]
+            out = pd.DataFrame(found, columns=["doc_id", "ordinal", "type", "text", "heading_level", "cells", "header_rows", "merged_cells"])
             yield out.astype({"heading_level": "Int32", "header_rows": "Int32"})
 
-    return rows.select("doc_id", "text").mapInPandas(run, BLOCKS)
+    return rows.select("doc_id", "text").mapInPandas(run, BLOCKS + MERGED)
 
 
 def html_title(html: Column) -> Column:

@@ -62,6 +62,28 @@ def test_html(spark):
     assert got[3][3] == [["a", ""], ["1", ""]]
 
 
+def test_html_with_end_tags_left_out():
+    page = "<html><head><title>x</title><meta charset=utf-8><body><p>one<table><tr><th>a<th>b<tr><td>1<td>2</table><p>two<table><tr><td>3<td>4"
+    got = markup.html_blocks_of(page)
+    assert [g[:2] for g in got] == [("PARAGRAPH", "one"), ("TABLE", "a | b\n1 | 2"), ("PARAGRAPH", "two"), ("TABLE", "3 | 4")]
+    assert [g[4] for g in got] == [None, 1, None, 0]
+    assert [g[:2] for g in markup.html_blocks_of("<head><title>x</title><h1>t</h1><p>u")] == [("TITLE", "t"), ("PARAGRAPH", "u")]
+    raw = '<html><head><title>x</title></head><body><p>two<table><tr><th colspan="2">a<tr><td>1</td></tr></table>'
+    assert markup.html_blocks_of(raw)[1][3] == [["a", ""], ["1", ""]]
+
+
+def test_html_nested_tables():
+    got = markup.html_blocks_of("<table><tr><td>a<table><tr><td>x<td>y</table>b<td>c</tr><tr><td>d<td>e</table><p>z")
+    assert [g[:2] for g in got] == [("TABLE", "a b | c\nd | e"), ("TABLE", "x | y"), ("PARAGRAPH", "z")]
+
+
+def test_html_row_spans(spark):
+    page = "<table><tr><th rowspan=2>a<th colspan=2>b<th>c<tr><td>d<td rowspan=3 colspan=2>e<tr><td>f<td>g<tr><td>h<td>i</table>"
+    r = markup.blocks(spark.createDataFrame([(1, page)], "doc_id long, text string"), markup.html_blocks_of).first()
+    assert r["cells"] == [["a", "b", "", "c"], ["", "d", "e", ""], ["f", "g", "", ""], ["h", "i", "", ""]]
+    assert [tuple(m) for m in r["merged_cells"]] == [(0, 0, 2, 1), (0, 1, 1, 2), (1, 2, 3, 2)]
+
+
 def test_markdown_and_csv(spark):
     got = parsed(spark, markup.markdown_blocks_of, "# 标题\n\n- 列表\n\n```ts\nx\n```\npara\nmore\n\n| a | b |\n|---|---|\n| 1 | 2 |\n")
     assert [g[:3] for g in got] == [("TITLE", "标题", 1), ("LIST", "列表", None), ("CODE", "x", None), ("PARAGRAPH", "para more", None), ("TABLE", "a | b\n1 | 2", None)]
