@@ -2,15 +2,19 @@
 
 Packing is a fold over a document's blocks in order. It runs in the JVM as an
 ``aggregate`` over the blocks' token counts, so a task holds one document's
-counts at a time.
+counts at a time. Groups that grow with the data, such as sources, are packed
+by ``pack_blocks``, where a task holds a block of rows.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import text
+from pagewright.shared import write_shared
 
 
 def _no_overlap(child: int, parent: int, overlap: int) -> None:
@@ -45,6 +49,70 @@ def pack(rows: DataFrame, by: list[str], size: str, most: int, items: int | None
     return numbered.groupBy(*by, F.col("r.pack").alias("pack")).agg(F.min("r.o").alias("first"), F.count(F.lit(1)).alias("n"), F.sum("r.s").alias("size"))
 
 
+def _ends(sizes: np.ndarray, most: int, items: int) -> np.ndarray:
+    """Where the next pack begins if one begins at each place."""
+    sums = np.concatenate([[0], np.cumsum(sizes)])
+    at = np.arange(len(sizes))
+    return np.minimum(np.maximum(np.searchsorted(sums, sums[:-1] + most, "right") - 1, at + 1), at + items)
+
+
+def pack_blocks(rows: DataFrame, by: list[str], size: str, most: int, items: int, order: str = "ordinal", block: int = 50_000) -> DataFrame:
+    """What ``pack`` gives, for groups of any size: rows are cut into ordered blocks of about ``block`` rows.
+
+    A pack has at most ``items`` items, so the first one that begins in a block begins at one of its first ``items`` places,
+    and it ends within ``items`` places after the block. Each block tells for all these entries how many packs begin in it and
+    where the next block is entered; a group's blocks are chained on these small tables, and then each makes its own packs.
+    """
+    flat = rows.select(*by, F.col(order).alias("o"), F.col(size).cast("long").alias("s"))
+    n = max(1, -(-rows.count() // block))
+    cut = write_shared(flat.repartitionByRange(n, *by, "o", "s").withColumn("block", F.spark_partition_id()), "pack-blocks")
+    keys = [*by, "block"]
+    types = {f.name: f.dataType.simpleString() for f in cut.schema}
+    named = ", ".join(f"`{k}` {types[k]}" for k in keys)
+
+    heads = cut.withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy("o", "s"))).filter(F.col("i") <= items)
+    heads = heads.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "s"))), lambda x: x["s"]).alias("head"))
+    after = Window.partitionBy(*by).orderBy("block").rowsBetween(1, items)
+    ahead = write_shared(heads.select(*keys, F.slice(F.flatten(F.collect_list("head").over(after)), 1, items).alias("ahead")), "pack-ahead")
+
+    def sizes_of(f: pd.DataFrame, more: pd.DataFrame) -> np.ndarray:
+        return np.concatenate([f["s"].to_numpy(np.int64), np.asarray(more["ahead"].iloc[0], np.int64)])
+
+    def exits(f: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
+        size_, ends = len(f), _ends(sizes_of(f.sort_values(["o", "s"]), more), most, items)
+        out, count = np.arange(size_ + items) - size_, np.zeros(size_ + items, np.int64)
+        for i in range(size_ - 1, -1, -1):
+            out[i], count[i] = out[ends[i]], count[ends[i]] + 1
+        return more[keys].assign(exits=[out[:items]], counts=[count[:items]])
+
+    def chained(f: pd.DataFrame) -> pd.DataFrame:
+        f, entry, pack_ = f.sort_values("block"), 0, 1
+        entries, firsts = [], []
+        for out, count in zip(f["exits"], f["counts"], strict=True):
+            entries.append(entry), firsts.append(pack_)
+            entry, pack_ = int(out[entry]), pack_ + int(count[entry])
+        return f[keys].assign(entry=entries, pack=firsts)
+
+    def packed(f: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(["o", "s"])
+        sizes = sizes_of(f, more)
+        ends, sums = _ends(sizes, most, items), np.concatenate([[0], np.cumsum(sizes)])
+        at, begins = int(more["entry"].iloc[0]), []
+        while at < len(f):
+            begins.append(at)
+            at = int(ends[at])
+        begins = np.array(begins, np.int64)
+        out = f.iloc[begins][[*by, "o"]].rename(columns={"o": "first"})
+        return out.assign(pack=int(more["pack"].iloc[0]) + np.arange(len(begins)), n=ends[begins] - begins, size=sums[ends[begins]] - sums[begins])[[*by, "pack", "first", "n", "size"]]
+
+    told = cut.groupBy(*keys).cogroup(ahead.groupBy(*keys)).applyInPandas(exits, f"{named}, exits array<long>, counts array<long>")
+    entered = told.groupBy(*by).applyInPandas(chained, f"{named}, entry long, pack long")
+    plans = ahead.join(entered, keys)
+    groups = ", ".join(f"`{k}` {types[k]}" for k in by)
+    made = cut.groupBy(*keys).cogroup(plans.groupBy(*keys)).applyInPandas(packed, f"{groups}, pack long, first {types['o']}, n long, size long")
+    return made.withColumn("pack", F.col("pack").cast("int"))
+
+
 def token_windows(docs: DataFrame, most: int, overlap: int) -> DataFrame:
     """doc_id, part, n_tokens, text: windows of ``most`` words that overlap; the last ends with the text."""
     _no_overlap(most, most, overlap)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import ids, vectors
-from pagewright.operators.chunking import pack
+from pagewright.operators.chunking import pack_blocks
 
 MOST_QUERIES = 1000
 
@@ -53,7 +53,7 @@ def new_facts(wanted: DataFrame, facts: DataFrame) -> DataFrame:
 
 def batches(items: DataFrame, by: list[str], max_tokens: int, max_items: int) -> DataFrame:
     """Embedding batches in order, under limits of tokens and of items."""
-    return pack(items, by, "tokens", max_tokens, max_items)
+    return pack_blocks(items, by, "tokens", max_tokens, max_items)
 
 
 def reconcile(expected: DataFrame, actual: DataFrame, profile: str) -> DataFrame:

@@ -44,6 +44,14 @@ def test_packing_closes_a_pack_when_the_next_does_not_fit(spark):
     assert got == [("d", 1, 0, 1, 6), ("d", 2, 1, 2, 9), ("d", 3, 3, 1, 20), ("d", 4, 4, 2, 2)]
 
 
+@pytest.mark.parametrize("block", [3, 40, 10_000])
+def test_packing_in_blocks_is_the_same(spark, block):
+    rows = spark.createDataFrame([("ab"[i % 7 == 0], i, 30 if i % 41 == 0 else i * i % 11) for i in range(200)], "doc string, ordinal long, tokens long")
+    got, want = chunking.pack_blocks(rows, ["doc"], "tokens", 20, 4, block=block), chunking.pack(rows, ["doc"], "tokens", 20, 4)
+    assert [(f.name, f.dataType) for f in got.schema] == [(f.name, f.dataType) for f in want.schema]
+    assert sorted(got.collect()) == sorted(want.collect())
+
+
 def test_windows_end_with_the_text(spark):
     docs = spark.createDataFrame([(1, " ".join(map(str, range(20)))), (2, None), (3, "a b")], "doc_id long, text string")
     got = [r["text"].split() for r in chunking.token_windows(docs, 10, 2).filter("doc_id = 1").orderBy("part").collect()]
