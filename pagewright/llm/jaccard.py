@@ -339,7 +339,8 @@ def _verify(join: Join):
 def components(edges: DataFrame, name: str, most: int = 60) -> DataFrame:
     """``(node, comp)`` for the nodes of ``edges`` (a, b): comp is the smallest node reachable.
 
-    Alternating large-star and small-star steps; each is grouped by node and written to the shared folder.
+    Alternating large-star and small-star steps; each is grouped by node and written to the shared folder. It is an error
+    if the edges still change after ``most`` rounds.
     """
     e = write_shared(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-edges")
     for _ in range(most):
@@ -354,6 +355,8 @@ def components(edges: DataFrame, name: str, most: int = 60) -> DataFrame:
         e = new
         if same:
             break
+    else:
+        raise RuntimeError(f"components are unfinished after {most} rounds")
     stars = e.groupBy("a").agg(F.min("b").alias("comp"))
     return stars.select(F.col("a").alias("node"), "comp").unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct().join(stars.select(F.col("a").alias("node")), "node", "left_anti"))
 

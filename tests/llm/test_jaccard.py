@@ -93,3 +93,10 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 50), (50, 75), (75, 60), (200, 200)]
     got = {r["node"]: r["comp"] for r in jaccard.components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}
     assert got == {i: 0 for i in range(41)} | {i: 50 for i in (50, 60, 75, 100)}
+
+
+def test_unfinished_components_are_an_error(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        jaccard.components(path, "test", most=1)
+    assert {r["comp"] for r in jaccard.components(path, "test").collect()} == {0}
