@@ -6,28 +6,36 @@ of the index. A query walks the pairs by their summed distance with a heap and
 reads cells until these hold ``budget`` entries; what they hold is reranked by
 the exact cosine, in double precision, on the original vectors.
 
-The centroids are fitted on at most ``Config.sample`` vectors; every vector is
-indexed. The budget isn't a fixed number: ``Config.probes`` vectors are
-searched by brute force, in one pass without a shuffle, and the budget is the
-number of entries after which the walk has met ``Config.coverage`` of their
-true neighbours. On clustered vectors it is small; on vectors without any
-structure it is a large share of all, as it must be.
+K grows with the root of the number of entries, up to ``Config.most_centroids``
+(beyond it, 256 million entries, cells grow instead, and nothing is left out).
+The centroids are fitted on ``Config.per_centroid`` vectors a centroid,
+``Config.least_sample`` at least; every vector is indexed. The budget isn't a
+fixed number: ``Config.probes`` vectors are searched by brute force, in one
+pass without a shuffle, and the budget is the number of entries after which
+the walk has met ``Config.coverage`` of their true neighbours. On clustered
+vectors it is small; on vectors without any structure it is a large share of
+all, as it must be, and a search then costs queries times entries.
 
 Equal vectors are one entry that carries its smallest ids (as many as a result
 can show), so that a vector that a third of the rows share costs one
-comparison. Entries and queries travel in packed blocks of bounded size.
+comparison. A query travels once per left centroid whose cells it reads, with
+a bitmap of the right ones; entries and queries lie in packed blocks, which
+are multiplied with each other as matrices. A left centroid with many entries
+or queries is dealt out in parts of a bounded number of blocks.
 
 Defined cases: vectors that are null, empty, zero, of another length than most,
 or that hold null or non-finite components take no part, neither do rows
-without an id; with fewer candidates than k all are returned; equal scores go
-to the smaller id; a repeated id counts once; an empty table gives an empty
-result; extra columns are ignored.
+without an id; of rows that share an id the one with the smallest vector,
+compared component by component, takes part; with fewer candidates than k all
+are returned; equal scores go to the smaller id, however many vectors are
+tied; components may be as large or small as a double can be; an empty table
+gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,7 +44,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.llm.sampling import lowest
-from pagewright.shared import write_shared
+from pagewright.shared import batches_of, write_shared
 
 
 @dataclass(frozen=True)
@@ -44,14 +52,17 @@ class Config:
     """Parameters of the index and the search."""
 
     k: int = 5
-    sample: int = 10_000
-    most_centroids: int = 256
+    most_centroids: int = 1024
     per_cell: int = 256
+    per_centroid: int = 32
+    least_sample: int = 4096
     rounds: int = 12
-    probes: int = 64
-    coverage: float = 0.98
+    probes: int = 256
+    coverage: float = 0.96
     block: int = 1024
+    blocks: int = 16
     query_block: int = 256
+    query_blocks: int = 64
     seed: int = 7
 
 
@@ -114,28 +125,33 @@ class Quantiser:
         """Cells by summed distance of their centroids to the query: the multi-sequence walk."""
         a = _distances(unit[None, : self.half], self.left)[0]
         b = _distances(unit[None, self.half :], self.right)[0]
-        order_a, order_b = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
-        a, b = a[order_a], b[order_b]
-        heap, seen = [(a[0] + b[0], 0, 0)], {(0, 0)}
+        order_a, order_b = np.argsort(a, kind="stable").tolist(), np.argsort(b, kind="stable").tolist()
+        a, b = np.sort(a).tolist(), np.sort(b).tolist()
+        heap, n = [(a[0] + b[0], 0, 0)], len(b)
         while heap:
             _, i, j = heapq.heappop(heap)
-            yield int(order_a[i]) * len(self.right) + int(order_b[j])
-            for x, y in ((i + 1, j), (i, j + 1)):
-                if x < len(a) and y < len(b) and (x, y) not in seen:
-                    seen.add((x, y))
-                    heapq.heappush(heap, (a[x] + b[y], x, y))
+            yield order_a[i] * n + order_b[j]
+            if j + 1 < n:
+                heapq.heappush(heap, (a[i] + b[j + 1], i, j + 1))
+            if not j and i + 1 < len(a):  # the next left centroid comes in with its nearest right one
+                heapq.heappush(heap, (a[i + 1] + b[0], i + 1, 0))
 
 
 def fit(entries: DataFrame, width: int, n: int, config: Config) -> Quantiser:
-    """Centroids from the vectors whose hash is smallest, at most ``config.sample``."""
-    rows = lowest(entries, config.sample, config.seed, "entry").select("v").collect()
-    x = _unit(np.array([r["v"] for r in rows], dtype=float))
+    """Centroids from the vectors whose hash is smallest."""
     k = int(min(config.most_centroids, max(4, round(np.sqrt(n / config.per_cell)))))
+    rows = lowest(entries, max(config.least_sample, config.per_centroid * k), config.seed, "entry").select("v").toArrow()
+    x = _unit(_matrix(rows.column(0).combine_chunks(), width))
     rng = np.random.default_rng(config.seed)
     half = width // 2
     return Quantiser(_centroids(x[:, :half], k, config.rounds, rng), _centroids(x[:, half:], k, config.rounds, rng))
 
 
+def _parts(counts: np.ndarray, config: Config) -> np.ndarray:
+    """Into how many parts the entries of each left centroid are dealt; ``counts`` has a row for each."""
+    return np.maximum(1, -(-counts.sum(axis=1) // (config.block * config.blocks)))
+
+
 def _assign(q: Quantiser, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -145,67 +161,78 @@ def _assign(q: Quantiser, width: int):
     return run
 
 
-def _budget(index: DataFrame, counts: dict[int, int], q: Quantiser, width: int, config: Config) -> int:
+def _budget(index: DataFrame, counts: np.ndarray, q: Quantiser, width: int, config: Config) -> int:
     """Entries after which the walk has met ``coverage`` of the true neighbours of the probes."""
-    probes = lowest(index, config.probes, config.seed + 1, "entry").select("entry", "v").collect()
-    if not probes:
+    probes = lowest(index, config.probes, config.seed + 1, "entry").select("entry", "v").toArrow()
+    if not probes.num_rows:
         return 0
-    own = np.array([r["entry"] for r in probes])
-    x = _unit(np.array([r["v"] for r in probes], dtype=float))
+    own = probes.column(0).to_numpy()
+    x = _unit(_matrix(probes.column(1).combine_chunks(), width))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores, cells = np.full((len(x), config.k), -2.0), np.full((len(x), config.k), -1, np.int64)
         for b in batches:
-            if not b.num_rows:
-                continue
-            s = x @ _unit(_matrix(b.column(1), width)).T
-            s[own[:, None] == b.column(0).to_numpy()[None, :]] = -2.0
-            s, c = np.concatenate([scores, s], axis=1), np.concatenate([cells, np.broadcast_to(b.column(2).to_numpy(), s.shape)], axis=1)
-            top = np.argsort(-s, axis=1, kind="stable")[:, : config.k]
-            scores, cells = np.take_along_axis(s, top, 1), np.take_along_axis(c, top, 1)
+            for at in range(0, b.num_rows, 4096):
+                part = b.slice(at, 4096)
+                s = x @ _unit(_matrix(part.column(1), width)).T
+                s[own[:, None] == part.column(0).to_numpy()[None, :]] = -2.0
+                s, c = np.concatenate([scores, s], axis=1), np.concatenate([cells, np.broadcast_to(part.column(2).to_numpy(), s.shape)], axis=1)
+                top = np.argpartition(-s, config.k - 1, axis=1)[:, : config.k]
+                scores, cells = np.take_along_axis(s, top, 1), np.take_along_axis(c, top, 1)
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(x)), config.k)), pa.array(scores.ravel()), pa.array(cells.ravel())], ["probe", "score", "cell"])
 
     found = index.select("entry", "v", "cell").mapInArrow(best, "probe long, score double, cell long").filter("cell >= 0")
-    top = least(found, ["probe"], [F.desc("score"), "cell"], config.k).groupBy("probe").agg(F.collect_list("cell").alias("cells"))
+    top = least(found, ["probe"], [F.desc("score"), "cell"], config.k).collect()  # k rows of each probe
     need = []
-    for r in top.collect():
-        wanted = r["cells"]
-        met, after = 0, {}
-        for cell in q.walk(x[r["probe"]]):
-            met += counts.get(cell, 0)
-            after[cell] = met
-        need += [after[c] for c in wanted]
+    for r in top:
+        u = x[r["probe"]]
+        away = _distances(u[None, : q.half], q.left)[0][:, None] + _distances(u[None, q.half :], q.right)[0][None, :]
+        need.append(int(counts[away <= away.flat[r["cell"]]].sum()))
     need.sort()
     return need[min(len(need) - 1, int(np.ceil(config.coverage * len(need))) - 1)] if need else 0
 
 
-def _pack(cells: str, width: int, size: int, ids: bool):
-    """Rows sorted by cell into packed blocks of at most ``size`` vectors of one cell."""
+def _numbers(a: pa.Array) -> bytes:
+    return a.to_numpy().tobytes()
+
+
+def _flat(a: pa.Array) -> bytes:
+    return a.flatten().to_numpy(zero_copy_only=False).tobytes()
+
+
+def _lengths(a: pa.Array) -> bytes:
+    return a.value_lengths().to_numpy().tobytes()
+
+
+def _bytes(a: pa.Array) -> bytes:
+    return b"".join(a.to_pylist())
+
+
+def _packed(keys: int, fields: list[tuple[str, int, Callable[[pa.Array], bytes]]], names: list[str], size: int):
+    """Rows sorted by their first ``keys`` columns (integers) into blocks of at most ``size`` rows of one key; each field is the bytes of a column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, entries, vectors, lists = None, [], [], []
+        key, open_, held = None, [], 0
 
         def out() -> pa.RecordBatch:
-            columns = [pa.array([cell], pa.int32()), pa.array([np.array(entries, np.int64).tobytes()]), pa.array([np.concatenate(vectors).tobytes()])]
-            return pa.RecordBatch.from_arrays(columns + ([pa.array([lists], pa.list_(pa.list_(pa.int64())))] if ids else []), [cells, "entries", "matrix"] + (["ids"] if ids else []))
+            return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()) for k in key] + [pa.array([b"".join(f(p.column(at)) for p in open_)], pa.binary()) for _, at, f in fields], names + [n for n, _, _ in fields])
 
         for b in batches:
             if not b.num_rows:
                 continue
-            at, who, x = b.column(0).to_numpy(), b.column(1).to_numpy(), _matrix(b.column(2), width)
-            names = b.column(3).to_pylist() if ids else None
-            cuts = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1, [len(at)]))
-            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                for s in range(i, j, size):
-                    e = min(j, s + size)
-                    if entries and (at[s] != cell or len(entries) + e - s > size):
+            k = np.stack([b.column(c).to_numpy() for c in range(keys)])
+            cuts = np.concatenate(([0], np.flatnonzero((k[:, 1:] != k[:, :-1]).any(axis=0)) + 1, [b.num_rows]))
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                while i < j:
+                    now = tuple(k[:, i].tolist())
+                    if open_ and (now != key or held == size):
                         yield out()
-                        entries, vectors, lists = [], [], []
-                    cell = int(at[s])
-                    entries += who[s:e].tolist()
-                    vectors.append(x[s:e])
-                    lists += names[s:e] if ids else []
-        if entries:
+                        open_, held = [], 0
+                    take = min(j - i, size - held)
+                    key, held = now, held + take
+                    open_.append(b.slice(i, take))
+                    i += take
+        if open_:
             yield out()
 
     return run
@@ -221,34 +248,65 @@ def _best(queries: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> t
     return queries[order], ids[order], scores[order]
 
 
-def _rerank(width: int, k: int):
-    """Exact cosines of blocks of queries and of entries; of each query the best k + 1 of a batch are sent on."""
+def _near(x: np.ndarray, y: np.ndarray, wanted: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of x, rows of y): of each row of x every wanted row of y that may be among its k nearest, ties and rounding allowed for."""
+    rough = _unit(x) @ _unit(y).T
+    rough[~wanted] = -np.inf
+    bound = np.maximum(np.partition(rough, len(y) - k, axis=1)[:, len(y) - k], -2.0) if len(y) > k else np.full(len(x), -2.0)
+    return np.nonzero(rough >= bound[:, None] - 1e-11)
+
+
+def _rerank(width: int, k: int, step: int = 1 << 15):
+    """Exact cosines of blocks of queries and of entries; of each query the best k of a batch are sent on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-            for at in range(b.num_rows):
-                qe, qm, em, lists = (b.column(c)[at].as_py() for c in range(4))
-                qs, x, y = np.frombuffer(qe, np.int64), np.frombuffer(qm).reshape(-1, width), np.frombuffer(em).reshape(-1, width)
-                rough = _unit(x) @ _unit(y).T
-                n = min(len(y), k + 8)
-                top = np.argpartition(-rough, n - 1, axis=1)[:, :n]
-                queries, ids, scores = [], [], []
-                for r in range(len(x)):
-                    for e, value in zip(top[r].tolist(), cosine(x[r], y[top[r]]).tolist(), strict=True):
-                        queries += [int(qs[r])] * len(lists[e])
-                        ids += lists[e]
-                        scores += [value] * len(lists[e])
-                kept = _best(*(np.concatenate((old, np.array(new, old.dtype))) for old, new in zip(kept, (queries, ids, scores), strict=True)), k + 1)
+            for asked, qm, reads, right, em, flat, lengths in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                queries, right = np.frombuffer(asked, np.int64), np.frombuffer(right, np.int32)
+                cells, at = np.unique(right, return_inverse=True)
+                wanted = np.unpackbits(np.frombuffer(reads, np.uint8).reshape(len(queries), -1), axis=1)[:, cells].astype(bool)
+                some = np.flatnonzero(wanted.any(axis=1))
+                if not len(some):
+                    continue
+                queries, x, y = queries[some], np.frombuffer(qm).reshape(-1, width)[some], np.frombuffer(em).reshape(-1, width)
+                lengths, flat = np.frombuffer(lengths, np.int32), np.frombuffer(flat, np.int64)
+                starts = np.cumsum(lengths) - lengths
+                left, hit = _near(x, y, wanted[some][:, at], k)
+                for i in range(0, len(left), step):
+                    l, h = left[i : i + step], hit[i : i + step]
+                    n = lengths[h]
+                    ids = flat[np.repeat(starts[h] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                    new = np.repeat(queries[l], n), ids, np.repeat(cosines(x[l], y[h]), n)
+                    kept = _best(*(np.concatenate(pair) for pair in zip(kept, new, strict=True)), k)
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in kept], ["query", "id", "score"])
 
     return run
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times the powers of two that bring their largest components near one: nothing is rounded, squares stay in range."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
+def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Cosines of the rows of two matrices, each row summed in the same order wherever it lies."""
+    x, y = _scaled(x), _scaled(y)
+    return (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
+
+
 def cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Cosines of one vector and the rows of a matrix, each row summed in the same order wherever it lies."""
-    y = np.ascontiguousarray(y)
-    return (y * x).sum(axis=1) / (np.sqrt((y * y).sum(axis=1)) * np.sqrt((x * x).sum()))
+    """Cosines of one vector and the rows of a matrix."""
+    return cosines(np.broadcast_to(x, y.shape), y)
+
+
+def _one_each(rows: DataFrame) -> DataFrame:
+    """One row per id: of those that share one, the one with the smallest vector."""
+    again = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id")
+    if again.isEmpty():
+        return rows
+    least_ = rows.join(again, "id", "left_semi").groupBy("id").agg(F.min("v").alias("v"))
+    return rows.join(again, "id", "left_anti").unionByName(least_)
 
 
 def search(rows: DataFrame, is_query: Column, config: Config = Config()) -> DataFrame:
@@ -259,44 +317,70 @@ def search(rows: DataFrame, is_query: Column, config: Config = Config()) -> Data
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if widths is None:
         return empty
-    width = widths["w"]
-    good = good.filter(F.size("v") == width)
-    # equal vectors: one entry with the k + 1 smallest ids; the row limit of a group acts in every task before the shuffle
-    flagged = good.select("id", "v", F.xxhash64("v").alias("part"), is_query.alias("asks"))
-    entries = least(flagged.select("part", "v", "id").distinct(), ["part", "v"], ["id"], config.k + 1).groupBy("part", "v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    width, k = widths["w"], config.k + 1
+    good = _one_each(good.filter(F.size("v") == width))
+    # equal vectors: one entry with the k smallest ids; the row limit of a group acts in every task before the shuffle
+    flagged = good.select("id", "v", F.xxhash64("v").alias("part"))
+    entries = least(flagged, ["part", "v"], ["id"], k).groupBy("part", "v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     entries = write_shared(entries.select(F.element_at("ids", 1).alias("entry"), "ids", "v"), "ann-entries")
     n = entries.count()
     q = fit(entries, width, n, config)
     index = write_shared(entries.mapInArrow(_assign(q, width), "entry long, ids array<long>, v array<double>, cell int"), "ann-index")
-    counts = {r["cell"]: r["n"] for r in index.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most most_centroids ** 2
-    budget = max(_budget(index, counts, q, width, config), config.k + 1)
-
-    asked = flagged.filter("asks").select("v", "id").distinct()
-    asking = asked.groupBy("v").agg(F.min("id").alias("query"))
-    sent = spark.sparkContext.broadcast(counts)
+    lefts, rights = len(q.left), len(q.right)
+    counts = np.zeros(lefts * rights, np.int64)
+    held = index.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).toArrow()  # at most most_centroids ** 2
+    counts[held.column(0).to_numpy()] = held.column(1).to_numpy()
+    counts = counts.reshape(lefts, rights)
+    budget = max(_budget(index, counts, q, width, config), k)
+
+    asked = write_shared(good.filter(is_query).select("v", "id"), "ann-asked")
+    asking = write_shared(asked.groupBy("v").agg(F.min("id").alias("query")).select("query", "v"), "ann-asking")
+    parts = _parts(counts, config)
+    query_parts = max(1, -(-asking.count() // (config.query_block * config.query_blocks)))
+    sent = spark.sparkContext.broadcast((counts.ravel(), parts))  # a number per cell
 
     def routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, dealt = sent.value
+        here = here.tolist()
         for b in batches:
-            x = _matrix(b.column(1), width)
-            for i, u in enumerate(_unit(x)) if b.num_rows else ():
+            who, rows_, groups, reads = b.column(0).to_numpy(), [], [], []
+            for i, u in enumerate(_unit(_matrix(b.column(1), width))) if b.num_rows else ():
                 met, cells = 0, []
                 for c in q.walk(u):
-                    here = sent.value.get(c, 0)
-                    if here:
+                    if here[c]:
                         cells.append(c)
-                        met += here
+                        met += here[c]
                     if met >= budget:
                         break
-                yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), b.column(0).take(pa.array([i] * len(cells), pa.int64())), b.column(1).take(pa.array([i] * len(cells), pa.int64()))], ["cell", "query", "v"])
-
-    routed = asking.select("query", "v").mapInArrow(routes, "cell int, query long, v array<double>")
-    packed_q = routed.repartition("cell").sortWithinPartitions("cell", "query").mapInArrow(_pack("cell", width, config.query_block, False), "cell int, entries binary, matrix binary")
-    packed_e = index.select("cell", "entry", "v", "ids").repartition("cell", F.pmod("entry", F.lit(16))).sortWithinPartitions("cell", "entry")
-    packed_e = packed_e.mapInArrow(_pack("cell", width, config.block, True), "cell int, entries binary, matrix binary, ids array<array<long>>")
-    pairs = packed_q.select("cell", F.col("entries").alias("qe"), F.col("matrix").alias("qm")).hint("merge").join(packed_e.select("cell", F.col("matrix").alias("em"), "ids"), "cell").select("qe", "qm", "em", "ids")
-    scored = pairs.mapInArrow(_rerank(width, config.k), "query long, id long, score double")
-    # the best k + 1 of each distinct query vector; then each row's own id goes
-    best = least(scored, ["query"], [F.desc("score"), "id"], config.k + 1)
+                at = np.array(cells, np.int64)
+                bits = np.zeros((lefts, rights), np.uint8)
+                bits.flat[at] = 1
+                for g in np.unique(at // rights).tolist():
+                    rows_.append(i), groups.append(g), reads.append(np.packbits(bits[g]).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(groups, pa.int32()), pa.array(who[rows_] % query_parts, pa.int32()), pa.array(dealt[groups], pa.int32()), b.column(0).take(pa.array(rows_, pa.int64())), b.column(1).take(pa.array(rows_, pa.int64())), pa.array(reads, pa.binary())],
+                ["left", "qp", "parts", "query", "v", "reads"],
+            )
+
+    def own_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, dealt = sent.value
+        for b in batches:
+            if b.num_rows:
+                left = b.column(3).to_numpy() // rights
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int32()), pa.array(b.column(0).to_numpy() % dealt[left], pa.int32()), pa.array(b.column(3).to_numpy() % rights, pa.int32()), b.column(0), b.column(2), b.column(1)], ["left", "part", "cell", "entry", "v", "ids"])
+
+    routed = asking.mapInArrow(routes, "left int, qp int, parts int, query long, v array<double>, reads binary")
+    blocks_q = routed.repartition("left", "qp").sortWithinPartitions("left", "qp", "query")
+    blocks_q = blocks_q.mapInArrow(_packed(3, [("asked", 3, _numbers), ("qm", 4, _flat), ("reads", 5, _bytes)], ["left", "qp", "parts"], config.query_block), "left int, qp int, parts int, asked binary, qm binary, reads binary")
+    blocks_q = blocks_q.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    blocks_e = index.mapInArrow(own_part, "left int, part int, cell int, entry long, v array<double>, ids array<long>").repartition("left", "part").sortWithinPartitions("left", "part", "cell", "entry")
+    blocks_e = blocks_e.mapInArrow(_packed(2, [("right", 2, _numbers), ("em", 4, _flat), ("flat", 5, _flat), ("lengths", 5, _lengths)], ["left", "part"], config.block), "left int, part int, right binary, em binary, flat binary, lengths binary")
+    blocks_e = blocks_e.withColumn("qp", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))))
+    pairs = blocks_q.hint("merge").join(blocks_e, ["left", "part", "qp"]).select("asked", "qm", "reads", "right", "em", "flat", "lengths")
+    with batches_of(spark, 64):  # a pair of blocks is a row of about a megabyte
+        scored = write_shared(pairs.mapInArrow(_rerank(width, k), "query long, id long, score double"), "ann-scored")
+    # the best of each distinct query vector; then each row's own id goes
+    best = least(scored, ["query"], [F.desc("score"), "id"], k)
     best = best.groupBy("query").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("down"), "id"))).alias("top"))
     names = asked.join(asking, "v").select(F.col("id").alias("query_id"), "query")
     own = names.join(best, "query").select("query_id", F.slice(F.filter("top", lambda t: t["id"] != F.col("query_id")), 1, config.k).alias("top"))

@@ -63,6 +63,37 @@ def test_a_third_of_all_rows_equal(spark):
     assert [i for i, _ in got[0]] == [3, 6, 9, 12, 15] and [i for i, _ in got[150]] == [0, 3, 6, 9, 12] and len(got) == 18
 
 
+def test_a_thousand_tied_vectors(spark):
+    rng = np.random.default_rng(3)
+    one = rng.integers(1, 9, 8)
+    rows = [(i, (one * 2.0 ** rng.integers(-20, 20)).tolist() if i < 1000 else rng.normal(size=8).tolist()) for i in range(1200)]
+    got = answers(ann.search(frame(spark, rows), F.col("id") == 900))
+    assert [i for i, _ in got[900]] == [0, 1, 2, 3, 4]
+
+
+def test_extreme_components(spark):
+    rows = [(0, [1.0, 2.0]), (1, [1e-200, 2e-200]), (2, [1e200, 2e200]), (3, [5e-324, 1e-323]), (4, [1e308, -1e308]), (5, [1e-320, 0.0])]
+    wide = spark.createDataFrame([(i, v) for i, v in rows], "id long, v array<double>")
+    got = answers(ann.search(wide, F.col("id") == 0))
+    assert [i for i, _ in got[0]] == [1, 2, 3, 5, 4] and all(abs(s - 1) < 1e-15 for _, s in got[0][:3]) and got[0][3][1] == ann.cosine(np.array([1.0, 2.0]), np.array([[1.0, 0.0]]))[0]
+
+
+def test_an_id_with_several_vectors(spark):
+    rows = [(0, [1.0] * 8), (7, [1.0] * 7 + [2.0]), (7, [1.0] * 8), (7, [9.0] + [1.0] * 7), (8, [2.0] * 8), (50, [3.0, *[1.0] * 7]), (50, [4.0, *[1.0] * 7])]
+    got = answers(ann.search(frame(spark, rows), F.col("id") % 50 == 0))
+    assert [i for i, _ in got[0]] == [7, 8, 50] and set(got) == {0, 50}
+    assert abs(got[50][0][1] - ann.cosine(np.array([3.0, *[1.0] * 7]), np.ones((1, 8)))[0]) < 1e-15
+
+
+def test_parts_of_hot_centroids(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(900)]
+    small = ann.Config(block=16, blocks=2, query_block=4, query_blocks=1, coverage=1.0)
+    want, got = brute(rows), answers(ann.search(frame(spark, rows), F.col("id") % 50 == 0, small))
+    same = sum(len({i for i, _ in want[q]} & {i for i, _ in got[q]}) for q in want)
+    assert set(got) == set(want) and same >= 0.97 * 5 * len(want)
+
+
 def test_empty_and_alone(spark):
     assert ann.search(frame(spark, []), F.col("id") % 50 == 0).count() == 0
     assert ann.search(frame(spark, [(0, [1.0] * 8)]), F.col("id") % 50 == 0).count() == 0
