@@ -1,7 +1,8 @@
 """Tables and checkpoints in the folder that the driver and all executors share.
 
 The folder is the one the cluster names in ``spark.checkpoint.dir``. Where that
-is unset (tests, a laptop) a temporary folder is made and removed at exit.
+is unset a local session gets a temporary folder that is removed at exit; on a
+cluster it is an error, as a machine's own folder isn't shared.
 """
 
 from __future__ import annotations
@@ -21,8 +22,11 @@ _own: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder, without a slash at its end."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
+    if named:  # with its scheme, which says on which file system it is
+        path = spark._jvm.org.apache.hadoop.fs.Path(named)
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="pagewright-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
