@@ -9,7 +9,13 @@ conversations that stay are rendered.
 
 A conversation's turns are numbered and summed in two steps, by blocks of
 ``BLOCK`` turn numbers and then inside them, and rendered in parts of a block
-each, so that no task holds a conversation of any length.
+each, so that a task holds the rows whose turn numbers share a block, and not
+a whole conversation. Rows of one conversation that repeat a turn number, or
+have none, share a block however many they are.
+
+Prefixes are compared by their hashes and lengths, not by their turns: two
+different ones of n conversations meet with a probability of about n * n /
+2 ** 128.
 
 Defined cases: turns are ordered by turn (null first), then role and text; a
 null role or text differs from an empty one for the comparison and is rendered
@@ -37,7 +43,7 @@ def _marked(c: Column) -> Column:
 def numbered(turns: DataFrame) -> DataFrame:
     """conv_id, block, position (from 1), role, text, and the rolling hash h0.. of the prefix that ends here."""
     rows = turns.filter("conv_id IS NOT NULL").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("slot", F.floor(F.coalesce("turn", F.lit(0)) / BLOCK).cast("long"))
+    rows = rows.withColumn("slot", F.coalesce(F.shiftright("turn", 10), F.lit(-(1 << 63))))  # BLOCK is 2 ** 10; null turns come first
     order = [F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first()]
     counts = rows.groupBy("conv_id", "slot").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("conv_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)

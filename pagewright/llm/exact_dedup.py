@@ -20,11 +20,11 @@ names.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagewright.llm.rows import from_files, placed
 from pagewright.shared import discard, new_path, write_shared
 
 STATE_STORE = {
@@ -44,15 +44,7 @@ def with_locator(docs: DataFrame) -> DataFrame:
 
     A frame that doesn't come straight from files is written to the shared folder first.
     """
-    here = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    try:
-        return docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"),
-            F.col("text").cast("string").alias("text"),
-            F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("at"),
-        )
-    except AnalysisException:
-        return with_locator(write_shared(here, "dedup-input"))
+    return placed(from_files(docs)).select(F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").cast("string").alias("text"), "at")
 
 
 def fingerprints(located: DataFrame, digest_bytes: int = 32) -> DataFrame:
@@ -138,10 +130,10 @@ def exact_groups(docs: DataFrame, digest_bytes: int = 32, files_per_batch: int =
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` (read from files) without the rows whose text a kept row has; all columns stay."""
-    gone = exact_groups(docs).filter(~F.col("kept")).select(F.col("at.file").alias("__file"), F.col("at.row").alias("__row"))
-    marked = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    return marked.join(gone.hint("shuffle_hash"), ["__file", "__row"], "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    """``docs`` without the rows whose text a kept row has; all columns stay, whatever their names."""
+    docs = from_files(docs)
+    gone = exact_groups(docs).filter(~F.col("kept")).select("at")
+    return placed(docs).join(gone.hint("shuffle_hash"), "at", "left_anti").select("doc.*")
 
 
 __all__ = ["discard", "drop_copies", "exact_groups", "fingerprints", "keyed_state", "normalised", "run_stream", "with_locator"]

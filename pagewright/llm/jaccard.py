@@ -16,9 +16,15 @@ shingle). The steps:
    their shingle sets; links are counted and classes are the components of the
    verified links.
 
-Buckets and components larger than ``Join.block`` are cut into blocks, and each
-pair of blocks is a unit of work of its own, so that no task holds an unbounded
-group; pairs whose set sizes rule the threshold out are skipped.
+Buckets and components larger than ``Join.block``, or with more than
+``Join.block_shingles`` shingles, are cut into blocks, and each pair of blocks
+is a unit of work of its own, so that no task holds an unbounded group; pairs
+whose set sizes rule the threshold out are skipped. As the links of every row
+are counted, a class of n different near copies costs n * n / 2 comparisons.
+
+Exact means the whole shingle sets, as 64-bit hashes of their shingles; copies
+are told by 128 bits of their word sequence. Two sets of 20,000 shingles
+differ from their hashes in any way with a probability below 1e-10.
 
 Defined cases: null and empty texts, and those of white space only, have no
 shingles and no links; equal word sequences are linked; rows are told apart by
@@ -39,6 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.exact_dedup import with_locator
+from pagewright.llm.rows import from_files, placed
 from pagewright.shared import write_shared
 
 
@@ -53,6 +60,7 @@ class Join:
     step: int = 15
     tolerance: float = 1e-6
     block: int = 1024
+    block_shingles: int = 2_000_000
     seed: int = 11
 
     @property
@@ -336,14 +344,14 @@ def _verify(join: Join):
 # ---- the join --------------------------------------------------------------------------
 
 
-def components(edges: DataFrame, name: str, most: int = 60) -> DataFrame:
+def components(edges: DataFrame, name: str) -> DataFrame:
     """``(node, comp)`` for the nodes of ``edges`` (a, b): comp is the smallest node reachable.
 
-    Alternating large-star and small-star steps; each is grouped by node and written to the shared folder. It is an error
-    if the edges still change after ``most`` rounds.
+    Alternating large-star and small-star steps until the edges no longer change; each is grouped by node and written to
+    the shared folder. A path of n nodes takes about log n rounds.
     """
     e = write_shared(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-edges")
-    for _ in range(most):
+    while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # written, so that the join deals its rows out by itself and Spark can split the rows of a node with many neighbours
         low = write_shared(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), f"{name}-least")
@@ -355,19 +363,16 @@ def components(edges: DataFrame, name: str, most: int = 60) -> DataFrame:
         e = new
         if same:
             break
-    else:
-        raise RuntimeError(f"components are unfinished after {most} rounds")
     stars = e.groupBy("a").agg(F.min("b").alias("comp"))
     return stars.select(F.col("a").alias("node"), "comp").unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct().join(stars.select(F.col("a").alias("node")), "node", "left_anti"))
 
 
-def _blocked(rows: DataFrame, total: str, join: Join) -> DataFrame:
-    """Give each row its block and a copy for every pair of blocks it takes part in: columns side, i, j."""
-    n = F.ceil(F.col(total) / join.block).cast("int")
+def _blocked(rows: DataFrame, blocks: str) -> DataFrame:
+    """Give each row its block, one of so many, and a copy for every pair of blocks it takes part in: columns side, i, j."""
+    n = F.col(blocks)
     side = F.when(n <= 1, 0).otherwise(F.pmod(F.xxhash64(F.lit(3), "rep"), n)).cast("int")
-    rows = rows.withColumn("blocks", n).withColumn("side", side)
-    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.withColumn("i", F.least("side", "with").cast("int")).withColumn("j", F.greatest("side", "with").cast("int")).drop("blocks", "with", total)
+    rows = rows.withColumn("side", side).withColumn("with", F.explode(F.sequence(F.lit(0), n - 1)))
+    return rows.withColumn("i", F.least("side", "with").cast("int")).withColumn("j", F.greatest("side", "with").cast("int")).drop(blocks, "with")
 
 
 def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
@@ -392,16 +397,17 @@ def near_duplicates(docs: DataFrame, join: Join = Join()) -> DataFrame:
     own = write_shared(own, "jaccard-reps")
 
     flat = own.select("rep", F.explode("bands").alias("band"))
-    buckets = flat.groupBy("band").agg(F.count(F.lit(1)).alias("total")).filter("total > 1")
+    buckets = flat.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", F.ceil(F.col("n") / join.block).cast("int").alias("total"))
     members = write_shared(flat.join(buckets, "band"), "jaccard-members")
-    compared = _blocked(members.join(own.select("rep", "size", "sig"), "rep"), "total", join)
+    compared = _blocked(members.join(own.select("rep", "size", "sig"), "rep"), "total")
     edges = _dealt(compared.select("band", "i", "j", "side", "rep", "size", "sig"), "band", "i", "j").mapInArrow(_forest_edges(join), "a long, b long")
     comps = write_shared(components(edges, "jaccard"), "jaccard-comps")
 
-    sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("total"))
-    work = comps.join(sizes, "comp").withColumnRenamed("node", "rep").join(own.select("rep", "at"), "rep").join(reps.select("rep", "copies"), "rep")
+    found = comps.withColumnRenamed("node", "rep").join(own.select("rep", "at", "size"), "rep").join(reps.select("rep", "copies"), "rep")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / join.block, F.sum("size") / join.block_shingles)).cast("int")
+    work = found.join(found.groupBy("comp").agg(blocks.alias("total")), "comp").drop("size")
     texts = rows.select("at", "text").join(work.hint("shuffle_hash"), "at")
-    units = _dealt(_blocked(texts, "total", join).select("comp", "i", "j", "side", "rep", "copies", "text"), "comp", "i", "j")
+    units = _dealt(_blocked(texts, "total").select("comp", "i", "j", "side", "rep", "copies", "text"), "comp", "i", "j")
     verified = write_shared(units.mapInArrow(_verify(join), "rep long, root long, links long"), "jaccard-verified")
     links = verified.groupBy("rep").agg(F.sum("links").alias("others"))
     classes = components(verified.select(F.col("rep").alias("a"), F.col("root").alias("b")), "jaccard-class")
@@ -421,7 +427,7 @@ def near_duplicates(docs: DataFrame, join: Join = Join()) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, join: Join = Join()) -> DataFrame:
-    """``docs`` (read from files) with one row of each class, the one with the smallest doc_id; all columns stay."""
-    gone = near_duplicates(docs, join).filter(~F.col("kept")).select(F.col("at.file").alias("__file"), F.col("at.row").alias("__row"))
-    marked = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    return marked.join(gone.hint("shuffle_hash"), ["__file", "__row"], "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    """``docs`` with one row of each class, the one with the smallest doc_id; all columns stay, whatever their names."""
+    docs = from_files(docs)
+    gone = near_duplicates(docs, join).filter(~F.col("kept")).select("at")
+    return placed(docs).join(gone.hint("shuffle_hash"), "at", "left_anti").select("doc.*")

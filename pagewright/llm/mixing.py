@@ -8,14 +8,16 @@ A source is then taken in whole epochs first; what its target asks beyond them
 is drawn by Efraimidis-Spirakis sampling: every document gets an exponential
 key scaled by its quality weight, the documents are sorted by it within their
 source, and the prefix sum of their sizes ends where it comes nearest to the
-target. The prefix sums are made in two steps, over buckets of the key and
-then inside the one bucket where the target falls, so that a source with a
-third of all rows never lies in one task.
+target. The prefix sums are made in steps: over buckets of the key, over finer
+buckets inside the one where the target falls, and so on until that one has at
+most ``INSIDE`` rows, so that a source with a third of all rows never lies in
+one task. Only rows with equal keys, repeats of one doc_id, can't be parted.
 
 Defined cases: null or empty text has size 0 and is never taken for more than
 0 words; the null source is a source of its own, ordered last; sources of
 size 0 get target 0; keys depend on doc_id alone, so reruns agree and repeated
-rows share a key; an empty table gives an empty result.
+rows share a key; an empty table gives an empty result; extra columns stay in
+the mix, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,9 +25,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewright.llm.rows import from_files, placed
 from pagewright.shared import write_shared
 
-BUCKETS = 1 << 12
+BITS = 12  # a bucket is cut in 2 ** BITS finer ones
+LEVELS = 4  # keys have 2 ** (BITS * LEVELS) values
+INSIDE = 1 << 16
 
 
 def word_count(text: Column) -> Column:
@@ -76,7 +81,29 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: flo
     return sources.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def mix(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17, buckets: int = BUCKETS) -> DataFrame:
+def _edges(rows: DataFrame, goals: DataFrame, bits: int, inside: int) -> DataFrame:
+    """goal_source, source_size, target, epochs, rest and, where a part of a source is asked: the bucket in which the rest falls, its level and the words before it."""
+    named = goals.select(F.col("source").alias("goal_source"), "source_size", "target", "epochs", "rest", F.lit(0).cast("long").alias("edge"), F.lit(0).cast("long").alias("before"))
+    narrow = rows.select("source", "size", "cell")
+    for level in range(1, LEVELS + 1):
+        shift, wider = bits * (LEVELS - level), bits * (LEVELS - level + 1)
+        here = narrow.join(named.select("goal_source", "edge"), F.col("source").eqNullSafe(F.col("goal_source"))).filter(F.shiftright("cell", wider) == F.col("edge"))
+        sums = here.groupBy("goal_source", F.shiftright("cell", shift).alias("bucket")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
+        upto = Window.partitionBy("goal_source").orderBy("bucket")  # at most 2 ** bits buckets of a source
+        sums = sums.withColumn("so_far", F.sum("words").over(upto))
+        both = sums.alias("s").join(named.alias("g"), F.col("s.goal_source").eqNullSafe(F.col("g.goal_source"))).withColumn("after", F.col("before") + F.col("so_far"))
+        edge = both.filter((F.col("after") - F.col("words") < F.col("rest")) & (F.col("after") >= F.col("rest"))).groupBy(F.col("g.goal_source").alias("goal_source"))
+        edge = edge.agg(F.min_by(F.struct("bucket", (F.col("after") - F.col("words")).alias("before"), F.col("s.n").alias("n")), "bucket").alias("to"))
+        found = named.alias("g").join(edge.alias("e"), F.col("g.goal_source").eqNullSafe(F.col("e.goal_source")), "left")
+        kept = [F.col(f"g.{c}").alias(c) for c in ("goal_source", "source_size", "target", "epochs", "rest")]
+        named = found.select(*kept, F.coalesce("to.bucket", F.lit(-1)).alias("edge"), F.coalesce("to.before", F.lit(0)).alias("before"), F.coalesce("to.n", F.lit(0)).alias("n"))
+        named = write_shared(named, "mix-edges")
+        if (named.agg(F.max("n").alias("n")).first()["n"] or 0) <= inside:
+            break
+    return named.withColumn("shift", F.lit(shift)).drop("n")
+
+
+def mix(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 17, bits: int = BITS, inside: int = INSIDE) -> DataFrame:
     """``sizes`` has doc_id, source, size, weight; returns its rows with source_size, target, copies, taken.
 
     ``copies`` says how often the mix takes the document.
@@ -86,27 +113,20 @@ def mix(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     digits = F.left(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256), F.lit(13))
     u = (F.conv(digits, 16, 10).cast("long") + 0.5) / float(1 << 52)
     rows = sizes.withColumn("key", F.lit(1.0) - F.pow(u, F.lit(1.0) / F.col("weight")))
-    rows = rows.withColumn("bucket", F.least(F.lit(buckets - 1), (F.col("key") * buckets).cast("int")))
+    last = (1 << bits * LEVELS) - 1
+    rows = rows.withColumn("cell", F.least(F.lit(last), (F.col("key") * float(last + 1)).cast("long")))
     part = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     goals = goals.withColumn("epochs", part).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    upto = Window.partitionBy("source").orderBy("bucket")
-    sums = sums.withColumn("after", F.sum("words").over(upto)).withColumn("before", F.col("after") - F.col("words"))
-    named = goals.select(F.col("source").alias("goal_source"), "rest")
-    edge = sums.join(named, F.col("source").eqNullSafe(F.col("goal_source"))).filter((F.col("before") < F.col("rest")) & (F.col("after") >= F.col("rest")))
-    edge = edge.groupBy("source").agg(F.min_by(F.struct("bucket", "before"), "bucket").alias("edge"))
-    goals = goals.alias("g").join(edge.alias("e"), F.col("g.source").eqNullSafe(F.col("e.source")), "left").select(
-        F.col("g.source").alias("goal_source"), "source_size", "target", "epochs", "rest", F.coalesce("edge.bucket", F.lit(-1)).alias("edge_bucket"), F.coalesce("edge.before", F.lit(0)).alias("edge_before")
-    )
-    goals = write_shared(goals, "mix-goals")
-    rows = rows.join(goals, F.col("source").eqNullSafe(F.col("goal_source"))).drop("goal_source")
-    below = rows.filter(F.col("bucket") != F.col("edge_bucket")).withColumn("extra", (F.col("bucket") < F.col("edge_bucket")).cast("int"))
-    inside = Window.partitionBy("source").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = rows.filter(F.col("bucket") == F.col("edge_bucket")).withColumn("after", F.col("edge_before") + F.sum("size").over(inside))
+    named = _edges(rows, goals, bits, inside)
+    rows = rows.join(named, F.col("source").eqNullSafe(F.col("goal_source"))).drop("goal_source")
+    bucket = F.expr("shiftright(cell, shift)")
+    below = rows.filter(bucket != F.col("edge")).withColumn("extra", (bucket < F.col("edge")).cast("int"))
+    order = Window.partitionBy("source").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = rows.filter(bucket == F.col("edge")).withColumn("after", F.col("before") + F.sum("size").over(order))
     # the document at the cut is taken when that comes nearer to the target
     cut = cut.withColumn("extra", ((F.col("after") - F.col("size") < F.col("rest")) & (F.abs(F.col("after") - F.col("rest")) < F.abs(F.col("after") - F.col("size") - F.col("rest")))).cast("int")).drop("after")
     taken = below.unionByName(cut).withColumn("copies", (F.col("epochs") + F.when(F.col("size") > 0, F.col("extra")).otherwise(0)).cast("long"))
-    return taken.withColumn("taken", F.col("copies") * F.col("size")).drop("key", "bucket", "epochs", "rest", "edge_bucket", "edge_before", "extra")
+    return taken.withColumn("taken", F.col("copies") * F.col("size")).drop("key", "cell", "epochs", "rest", "edge", "before", "shift", "extra")
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -117,10 +137,11 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """``docs`` (read from files) with every row as often as the mix takes it; all columns stay."""
-    at = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")]
-    size = word_count(F.col("text"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), quality_weight(F.col("text"), size).alias("weight"), *at)
-    taken = mix(write_shared(rows, "mix-sizes"), weights, share, cap).filter("copies > 0").select("__file", "__row", F.col("copies").alias("__copies"))
-    joined = docs.select("*", *at).join(taken.hint("shuffle_hash"), ["__file", "__row"])
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[f"`{c}`" for c in docs.columns])
+    """``docs`` with every row as often as the mix takes it; all columns stay, whatever their names."""
+    rows = placed(from_files(docs))
+    text = F.col("doc.text").cast("string")
+    size = word_count(text)
+    sizes = rows.select(F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.source").cast("string").alias("source"), size.alias("size"), quality_weight(text, size).alias("weight"), "at")
+    taken = mix(write_shared(sizes, "mix-sizes"), weights, share, cap).filter("copies > 0").select("at", "copies")
+    joined = rows.join(taken.hint("shuffle_hash"), "at")
+    return joined.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc.*")

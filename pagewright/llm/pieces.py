@@ -11,7 +11,8 @@ the prefix, the earliest start winning ties. For BPE models, where a
 segmentation's score depends on neighbours alone, transitions between pieces
 score 0 if the merges, run on the two pieces, leave just these two, and minus
 infinity otherwise; exactly one path survives, and it is the one the merges
-would make of the whole word.
+would make of the whole word. Where a vocabulary's merges leave no path (it
+has pieces that no merge reaches), the merges are run on the whole word.
 
 The model file is read on the driver and sent to the tasks; it is never
 trained. Texts are encoded where they lie, without a shuffle.
@@ -175,7 +176,7 @@ class Codec:
         scores, fits = self.v.scores, self.fits
         low = min(scores, default=0.0) - 10.0  # the score of an unknown character
         size = len(self.v.pieces)
-        state: list[tuple[float, int, int]] = [(0.0, 0, -1)]  # score, start and id of the last piece, -1 for none or an unknown character
+        state: list[tuple[float, int, int] | None] = [(0.0, 0, -1)]  # score, start and id of the last piece, -1 for none or an unknown character
         before = ""
         for word in words:
             same = 0
@@ -194,6 +195,8 @@ class Codec:
                     if k is None:
                         continue
                     if bpe:
+                        if state[start] is None:
+                            continue
                         last = state[start][2]
                         fit = fits.get(last * size + k)
                         if fit is None:
@@ -205,12 +208,15 @@ class Codec:
                         total = state[start][0] + scores[k]
                         if best is None or total > best[0]:
                             best = (total, start, k)
-                if (best is None or not bpe) and word[end - 1] not in ids:
+                if (best is None or not bpe) and word[end - 1] not in ids and state[end - 1] is not None:
                     total = state[end - 1][0] + low
                     if best is None or total > best[0]:
                         best = (total, end - 1, -1)
                 state.append(best)
             before = word
+            if state[-1] is None:
+                yield word, self._merged(word)
+                continue
             out, end = [], len(word)
             while end:
                 start = state[end][1]
@@ -279,7 +285,7 @@ def round_trip(docs: DataFrame, path: str, chunk: int = 2_000_000) -> DataFrame:
     """Per row of ``docs``: doc_id, n_tokens, ids, the SHA-256 of the text decoded from them, and whether that is the text."""
     vocabulary = Vocabulary.read(path)
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)  # as large as the model file
-    key = hash((path, len(vocabulary.pieces), docs.sparkSession.sparkContext.applicationId))
+    key = hash((tuple(vocabulary.pieces), tuple(vocabulary.scores), vocabulary.model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(key, sent.value)

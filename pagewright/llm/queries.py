@@ -134,7 +134,7 @@ SQL["op2_warc"] = f"""
     FROM b
 """
 
-SQL["op7_chat_collapse"] = """
+SQL["op7_chat_collapse"] = r"""
     WITH c AS (SELECT conv_id, count(*) AS n_turns, list({'r': role, 't': text} ORDER BY turn, role, text) AS turns FROM conversations GROUP BY conv_id),
     firsts AS (SELECT turns, n_turns, min(conv_id) AS first FROM c GROUP BY turns, n_turns),
     prefixes AS (SELECT conv_id, n_turns, list_slice(turns, 1, k) AS turns, k FROM (SELECT *, unnest(range(1, n_turns)) AS k FROM c)),
@@ -143,7 +143,7 @@ SQL["op7_chat_collapse"] = """
              FROM c JOIN firsts f ON c.turns = f.turns LEFT JOIN holders h ON h.turns = c.turns AND h.k = c.n_turns)
     SELECT conv_id, n_turns, conv_id = kept_by AS kept, kept_by,
            CASE WHEN conv_id = kept_by THEN 0 END AS part,
-           CASE WHEN conv_id = kept_by THEN list_reduce(list_transform(turns, lambda x: '<|im_start|>' || coalesce(x.r, '') || chr(10) || coalesce(x.t, '') || '<|im_end|>' || chr(10)), lambda a, b: a || b) END AS text
+           CASE WHEN conv_id = kept_by THEN list_reduce(list_transform(turns, lambda x: '<|im_start|>' || regexp_replace(coalesce(x.r, ''), '<\|(im_start|im_end)\|>', '<| \1 |>', 'g') || chr(10) || regexp_replace(coalesce(x.t, ''), '<\|(im_start|im_end)\|>', '<| \1 |>', 'g') || '<|im_end|>' || chr(10)), lambda a, b: a || b) END AS text
     FROM kept
 """
 

@@ -34,6 +34,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.llm.rows import from_files, placed
 from pagewright.shared import new_path, write_shared
 
 # Fixed values of the formats: the skippable frame's magic number, the revisit profile.
@@ -58,22 +59,23 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+def record_id(row: str) -> str:
+    """A record's name from 32 hex digits that stand for the place of its row, so that repeated pages have names of their own."""
+    return f"<urn:uuid:{uuid.UUID(hex=row, version=5)}>"
 
 
 def _safe(url: str | None) -> str:
     return "".join(c if " " < c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url or "") or "about:blank"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, date: str) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, row: str, other: str, date: str) -> bytes:
     """One WARC record; a revisit has the response's HTTP header and no payload."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {record_id(page_id)}",
+        f"WARC-Record-ID: {record_id(row)}",
         f"WARC-Date: {date}",
         f"WARC-Target-URI: {_safe(url)}",
         f"WARC-Payload-Digest: sha1:{payload_digest(payload)}",
@@ -81,7 +83,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
         f"X-Page-Id: {'' if page_id is None else page_id}",
     ]
     if revisit:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page-Id: {refers_to}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(other)}", f"X-Refers-To-Page-Id: {refers_to}"]
     return "\r\n".join([*head, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
 
 
@@ -143,17 +145,19 @@ def parsed(raw: bytes) -> tuple[int | None, int, str, str, int | None]:
 
 
 def _filesystem(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+    return fs.FileSystem.from_uri(uri)
 
 
 def planned(pages: DataFrame, config: Config = Config()) -> DataFrame:
-    """page_id, url, payload, refers_to, revisit for every row."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
+    """page_id, url, payload, refers_to, revisit, row (32 hex digits), other (those of the response) for every row."""
+    place = F.left(F.sha1(F.concat_ws(":", "at.file", "at.row")), F.lit(32))
+    html = F.coalesce(F.col("doc.html").cast("string"), F.lit("")).cast("binary")
+    rows = placed(from_files(pages)).select(F.col("doc.page_id").cast("long").alias("page_id"), F.col("doc.url").cast("string").alias("url"), html.alias("payload"), place.alias("row"))
     rows = rows.withColumn("key", F.sha2("payload", 256))
-    most = rows.groupBy("key").agg(F.max("page_id").alias("response"))
+    most = rows.groupBy("key").agg(F.max(F.struct("page_id", "row")).alias("most")).select("key", F.col("most.page_id").alias("response"), F.col("most.row").alias("other"))
     revisit = (F.coalesce(F.col("page_id"), F.col("response") - 1) < F.col("response")) & (F.octet_length("payload") >= config.revisit_least)
     joined = rows.join(most, "key").withColumn("revisit", F.coalesce(revisit, F.lit(False)))
-    return joined.select("page_id", "url", "payload", F.when(F.col("revisit"), F.col("response")).alias("refers_to"), "revisit")
+    return joined.select("page_id", "url", "payload", F.when(F.col("revisit"), F.col("response")).alias("refers_to"), "revisit", "row", "other")
 
 
 def write(pages: DataFrame, folder: str | None = None, config: Config = Config()) -> DataFrame:
@@ -174,8 +178,8 @@ def write(pages: DataFrame, folder: str | None = None, config: Config = Config()
 
         records, total = [], 0
         for b in batches:
-            for page_id, url, payload, refers_to, revisit in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
-                records.append(record(page_id, url, payload, refers_to, revisit, config.date))
+            for fields in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                records.append(record(*fields, config.date))
                 total += len(records[-1])
                 if total >= config.archive_bytes:
                     yield put(records)

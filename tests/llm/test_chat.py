@@ -62,5 +62,12 @@ def test_long_conversations_come_in_parts(spark):
     check(spark, rows)
 
 
+def test_order_of_turn_numbers(spark):
+    """Null turns come first, then negative ones, over the borders of blocks as well."""
+    turns = [None, None, -5000, -1025, -1024, -1, 0, 1023, 1024, 9000]
+    rows = [(1, t, "u", f"{t}") for t in turns] + [(2, t, "u", f"{t}") for t in turns[:6]] + [(3, -1, "u", "None")]
+    check(spark, rows)
+
+
 def test_empty(spark):
     assert chat.format_chats(frame(spark, [])).count() == 0

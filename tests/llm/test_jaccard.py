@@ -95,8 +95,13 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {i: 50 for i in (50, 60, 75, 100)}
 
 
-def test_unfinished_components_are_an_error(spark):
-    path = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
-    with pytest.raises(RuntimeError):
-        jaccard.components(path, "test", most=1)
-    assert {r["comp"] for r in jaccard.components(path, "test").collect()} == {0}
+def test_a_long_path_is_one_component(spark):
+    path = [(i * 7919 % 200, (i + 1) * 7919 % 200) for i in range(199)]
+    got = jaccard.components(spark.createDataFrame(path, "a long, b long"), "path").collect()
+    assert {r["node"] for r in got} == set(range(200)) and {r["comp"] for r in got} == {0}
+
+
+def test_blocks_are_bounded_in_shingles(spark):
+    rows = corpus(2, groups=4)
+    got = sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard.near_duplicates(documents(spark, rows), replace(jaccard.Join(), block_shingles=200)).collect())
+    assert got == brute(rows)

@@ -32,8 +32,8 @@ def test_targets_and_takes(spark, seed):
     for _, t, s in rows:
         sizes[s] = sizes.get(s, 0) + len(t.split())
     want = fill(sizes, (3, 1, 2), 1.5, 2.0)
-    got = mixing.mix(mixing.sized(documents(spark, rows)), buckets=8).collect()
-    again = mixing.mix(mixing.sized(documents(spark, rows[::-1])), buckets=8).collect()
+    got = mixing.mix(mixing.sized(documents(spark, rows)), bits=3, inside=10).collect()
+    again = mixing.mix(mixing.sized(documents(spark, rows[::-1])), bits=3, inside=10).collect()
     assert sorted((r["doc_id"], r["taken"]) for r in got) == sorted((r["doc_id"], r["taken"]) for r in again)
     assert len(got) == len(rows)
     for s, t in want.items():
@@ -47,7 +47,7 @@ def test_targets_and_takes(spark, seed):
 
 def test_buckets_do_not_change_the_selection(spark):
     rows = [(i, "w " * (i % 17), "s" if i % 3 else "t") for i in range(300)]
-    results = [sorted((r["doc_id"], r["taken"]) for r in mixing.mix(mixing.sized(documents(spark, rows)), buckets=b).collect()) for b in (1, 5, 1000)]
+    results = [sorted((r["doc_id"], r["taken"]) for r in mixing.mix(mixing.sized(documents(spark, rows)), bits=b, inside=i).collect()) for b, i in ((1, 0), (5, 20), (12, 1))]
     assert results[0] == results[1] == results[2]
 
 

@@ -50,6 +50,18 @@ def test_unigram_finds_the_best_segmentation():
         assert sum(v.scores[v.ids[p]] if p in v.ids else low for p in got) == pytest.approx(best(word))
 
 
+def test_pieces_that_no_merge_reaches():
+    """abc can't be merged from ab and c as ab isn't a piece; the word is then what the merges make of it."""
+    names = ["<unk>", "a", "b", "c", "abc", "bc", "x", "▁"]
+    v = pieces.Vocabulary.of(names, [0.0, -5, -5, -5, -1, -2, -5, -5], [2] + [1] * 7, pieces.BPE)
+    c = pieces.Codec(v)
+    words = sorted(["▁abc", "▁bca", "▁xabcx", "▁aabc", "▁zabc"])
+    for word, got in c.segment(words):
+        assert "".join(got) == word and got == c._merged(word)
+    narrow = pieces.Codec(pieces.Vocabulary.of(["<unk>", "ab", "abc"], [0.0, -1.0, -2.0], [2, 1, 1], pieces.BPE))
+    assert all("".join(got) == word for word, got in narrow.segment(["ab", "abc", "abcab", "b"]))
+
+
 def test_shared_prefixes_change_nothing(codec):
     words = sorted({"▁" + w for w in "token tokens tokenize tokenization to tok a ab abc abd".split()})
     together = dict(codec.segment(words))

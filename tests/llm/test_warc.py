@@ -6,12 +6,12 @@ import pytest
 
 from pagewright.llm import warc
 
-SCHEMA = "page_id long, url string, html string, uri string, records int"
+SCHEMA = "page_id long, url string, html string, uri string, records int, at int, doc int, _metadata int"
 ROWS = [(1, "http://a/x y\r\nEvil: 1", "<p>same</p>"), (2, "http://b", "<p>same</p>"), (3, None, None), (4, "u", ""), (5, "ü", "x" * 300_000), (6, "v", "ein\r\n\r\nzwei ü"), (7, "w", "<p>same</p>"), (7, "w", "<p>same</p>"), (None, "n", "<p>same</p>"), (None, "n", "alone")]
 
 
 def pages(spark, rows):
-    return spark.createDataFrame([(*r, "c", 1) for r in rows], SCHEMA)
+    return spark.createDataFrame([(*r, "c", 1, 2, 3, 4) for r in rows], SCHEMA)
 
 
 def brute(rows, least=0):
@@ -37,8 +37,26 @@ def test_small_payloads_are_responses_and_empty_tables_write_nothing(spark):
     assert made.count() == 0 and warc.read(made).count() == 0
 
 
+def test_names_of_records(spark):
+    """Every record has a name of its own, repeated and null pages too; revisits name the response."""
+    import re
+
+    from pyarrow import fs
+
+    names, types, refers = [], {}, []
+    for r in warc.write(pages(spark, ROWS)).collect():
+        system, path = fs.FileSystem.from_uri(r["uri"])
+        with system.open_input_stream(path) as stream:
+            for raw in warc.records_of(stream):
+                name, kind = re.search(rb"WARC-Record-ID: (\S+)", raw)[1], re.search(rb"WARC-Type: (\S+)", raw)[1]
+                names.append(name)
+                types[name] = kind
+                refers += re.findall(rb"WARC-Refers-To: (\S+)", raw)
+    assert len(set(names)) == len(names) == len(ROWS) and refers and all(types[n] == b"response" for n in refers)
+
+
 def test_archive_layout():
-    records = [warc.record(i, f"http://h/{i}", (b"<p>word %d </p>" % i) * 40, None, False, "1970-01-01T00:00:00Z") for i in range(200)]
+    records = [warc.record(i, f"http://h/{i}", (b"<p>word %d </p>" % i) * 40, None, False, f"{i:032x}", "", "1970-01-01T00:00:00Z") for i in range(200)]
     parts = list(warc.archive(records, warc.Config()))
     assert len(parts) == 201 and parts[0][:4] == bytes.fromhex("5d2a4d18")
     whole = b"".join(parts)
