@@ -12,10 +12,19 @@ class, and the class emits the token:
 
 Baum-Welch: every partition runs the scaled forward-backward recursion over
 its training texts and sends on expected counts by state and class; their sums
-give the next parameters. The scaled forward recursion then gives the exact
-likelihood of each class sequence, and the counts of rare tokens come in by a
-join. Counts cover all training rows; only the starting point of Baum-Welch
-is fitted on a sample of at most ``Config.start_tokens`` tokens.
+give the next parameters. Everything is learned from all training rows:
+
+* the starting point: each row falls into a group by the signs of a few random
+  projections of its class frequencies, and the groups' class counts, summed
+  over all rows, are the states' first emissions;
+* one incremental pass: ``Config.shares`` rounds, each over another share of
+  the rows (by a hash), that together see every row once;
+* whole rounds over all rows until a round's gain in likelihood falls below
+  ``Config.gain`` (log10 a token), at most ``Config.rounds``.
+
+The scaled forward recursion then gives the exact likelihood of each class
+sequence, and the counts of rare tokens come in by a join. Sums over
+partitions are made in whole units, so that they don't depend on their order.
 
 Defined cases: null and empty texts are the end alone; a null doc_id hashes as
 an empty text; repeated rows are scored one by one; without training rows all
@@ -35,7 +44,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.sampling import lowest
 from pagewright.shared import write_shared
 
 END = b""
@@ -47,15 +55,17 @@ class Config:
     """Parameters of the model."""
 
     states: int = 8
-    rounds: int = 2
+    shares: int = 8
+    rounds: int = 20
+    gain: float = 0.003
     hot_share: float = 4e-6
     rare_classes: int = 4096
     smooth_classes: float = 0.05
     stay: float = 0.9
-    start_tokens: int = 400_000
-    start_rounds: int = 12
     cells: int = 400_000
     fixed_point: int = 10**10
+    count_units: int = 10**6
+    seed: int = 1
 
 
 @dataclass
@@ -78,6 +88,7 @@ class Model:
     start: np.ndarray  # (K,)
     move: np.ndarray  # (K, K)
     emit: np.ndarray  # (classes, K)
+    history: tuple[float, ...] = ()  # mean log10 likelihood of a class at the beginning of each round
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -230,6 +241,7 @@ class Expected:
     start: np.ndarray
     move: np.ndarray
     emit: np.ndarray
+    log_likelihood: float = 0.0
 
     @classmethod
     def none(cls, states: int, classes: int) -> Expected:
@@ -238,10 +250,10 @@ class Expected:
 
 def _steps(grid: np.ndarray, n: np.ndarray, model: Model, first: int, last: int, before: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Scaled forward values and their scales at the times first..last-1; ``before`` are the values at the time before."""
-    a = before
+    a, ones = before, np.ones(len(model.start))
     for t in range(first, last):
         a = (model.start if a is None else a[: n[t]] @ model.move) * model.emit[grid[t, : n[t]]]
-        s = a.sum(axis=1)
+        s = a @ ones
         a = a / s[:, None]
         yield a, s
 
@@ -274,6 +286,7 @@ def expect(seqs: list[np.ndarray], model: Model, into: Expected, cells: int) ->
                     into.move += alpha[: n[t + 1]].T @ ahead
                     beta[: n[t + 1]] = ahead @ model.move.T
                 next_beta, next_scale = beta, scale
+                into.log_likelihood += np.log(scale).sum()
                 gammas.append(alpha * beta)
             gammas.reverse()
             if first == 0:
@@ -292,68 +305,92 @@ def maximised(got: Expected, old: Model, config: Config, prior: np.ndarray) -> M
     return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
-def started(seqs: list[np.ndarray], classes: int, config: Config, prior: np.ndarray) -> Model:
-    """A starting point from a bounded sample: far-apart texts seed the states, then Baum-Welch on the sample."""
+def _summed(rows: DataFrame, count, states: int) -> dict[int, np.ndarray]:
+    """Sums of the vectors that ``count`` (from batches of rows) sends on, in whole units, by their number."""
+    names = [f"g{k}" for k in range(states)]
+    sums = rows.mapInArrow(count, "at long, " + ", ".join(f"{x} long" for x in names)).groupBy("at").agg(*[F.sum(x).alias(x) for x in names]).toArrow()
+    values = np.stack([sums.column(x).to_numpy() for x in names], axis=1) if sums.num_rows else np.zeros((0, states), np.int64)
+    return dict(zip(sums.column("at").to_pylist(), values, strict=True))
+
+
+def _sent(rows: np.ndarray, units: int) -> pa.RecordBatch:
+    """The rows that aren't zero, in whole units, with their numbers."""
+    whole = np.rint(rows * units).astype(np.int64)
+    at = np.flatnonzero(whole.any(axis=1))
+    return pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(whole[at, k]) for k in range(rows.shape[1]))], ["at", *(f"g{k}" for k in range(rows.shape[1]))])
+
+
+def started(learn: DataFrame, kind: type, classes: int, config: Config, prior: np.ndarray) -> Model:
+    """A starting point from all rows: groups by signs of random projections of class frequencies, which tell languages and subjects apart."""
     k = config.states
+    bits = max(1, int(np.ceil(np.log2(k))))
+    rng = np.random.default_rng(config.seed)
+    directions = rng.choice([-1.0, 1.0], (classes, bits)) / np.sqrt(prior)[:, None] ** 0.5
+    sent = learn.sparkSession.sparkContext.broadcast((directions, prior @ directions))  # classes x bits numbers
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        toward, middle = sent.value
+        seen = np.zeros((classes, k))
+        for b in batches:
+            for raw in b.column(0).to_pylist():
+                s = np.frombuffer(raw, kind)
+                side = toward[s].sum(axis=0) > middle * len(s)
+                np.add.at(seen, (s, int(side @ (1 << np.arange(bits))) % k), 1)
+        yield _sent(seen, 1)
+
+    emit = np.repeat(prior[:, None], k, axis=1)
+    counts = np.zeros((classes, k))
+    for at, row in _summed(learn.select("seq"), grouped, k).items():
+        counts[at] = row
+    sent.unpersist()
+    total = counts.sum(axis=0)
+    emit = np.where(total > 0, 0.5 * emit + 0.5 * counts / np.maximum(total, 1), emit)
+    emit *= 1 + 0.01 * rng.random(emit.shape)
     move = np.full((k, k), (1 - config.stay) / max(1, k - 1))
     np.fill_diagonal(move, config.stay if k > 1 else 1.0)
-    chosen: list[np.ndarray] = []
-    bags = [np.bincount(s, minlength=classes)[:2000].astype(float) for s in seqs if len(s) >= 30][:400]
-    bags = [b / (np.linalg.norm(b) + 1e-9) for b in bags]
-    if bags:
-        near = np.zeros(len(bags))
-        pick = 0
-        for _ in range(k):
-            chosen.append(bags[pick])
-            near = np.maximum(near, np.array([b @ bags[pick] for b in bags]))
-            pick = int(near.argmin())
-    emit = np.repeat(prior[:, None], k, axis=1)
-    for i, c in enumerate(chosen):
-        emit[: len(c), i] = 0.7 * emit[: len(c), i] + 0.3 * c / max(c.sum(), 1e-9)
-    emit *= 1 + 0.01 * np.random.default_rng(1).random(emit.shape)
-    model = Model(np.full(k, 1 / k), move, emit / emit.sum(axis=0))
-    for _ in range(config.start_rounds if seqs else 0):
-        got = Expected.none(k, classes)
-        expect(seqs, model, got, config.cells)
-        model = maximised(got, model, config, prior)
-    return model
+    return Model(np.full(k, 1 / k), move, emit / emit.sum(axis=0))
+
+
+def baum_welch(learn: DataFrame, kind: type, model: Model, config: Config, prior: np.ndarray) -> tuple[Model, float]:
+    """One round over the rows: the next model and the mean log10 likelihood of a class under the old one."""
+    states, classes = len(model.start), len(prior)
+    sent = learn.sparkSession.sparkContext.broadcast(model)  # classes x states numbers, bounded by hot_share
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = Expected.none(states, classes)
+        for b in batches:
+            expect([np.frombuffer(s, kind) for s in b.column(0).to_pylist()], sent.value, got, config.cells)
+        logs = np.zeros((1, states))
+        logs[0, 0] = got.log_likelihood / np.log(10)
+        yield _sent(np.concatenate([logs, got.start[None], got.move, got.emit]), config.count_units)
+
+    whole = np.zeros((2 + states + classes, states))
+    for at, row in _summed(learn.select("seq"), counted, states).items():
+        whole[at] = row / config.count_units
+    sent.unpersist()
+    got = Expected(whole[1], whole[2 : 2 + states], whole[2 + states :])
+    return maximised(got, model, config, prior), whole[0, 0] / max(1.0, got.emit.sum())
 
 
 def train(rows: DataFrame, kind: type, lex: Lexicon, config: Config) -> Model:
     """Baum-Welch over all rows that aren't held out."""
     learn = rows.filter(~F.col("held_out"))
-    spark, classes, states = rows.sparkSession, lex.classes, config.states
-    seen = np.zeros(classes)
+    seen = np.zeros(lex.classes)
     for k, c in lex.hot.values():
         seen[k] = c
     seen[len(lex.hot) :] = lex.rare_total
     prior = (seen + 0.5) / (seen + 0.5).sum()
-    some = lowest(learn.filter(F.col("n_tokens") <= config.start_tokens // 100), 2000, 3, "doc_id").select("seq", "n_tokens").collect()
-    seqs, size = [], 0
-    for r in some:  # at most start_tokens tokens
-        size += r["n_tokens"]
-        if size > config.start_tokens:
-            break
-        seqs.append(np.frombuffer(r["seq"], kind))
-    model = started(seqs, classes, config, prior)
-    names = [f"g{k}" for k in range(states)]
+    model, history = started(learn, kind, lex.classes, config, prior), []
+    for share in range(config.shares):
+        model, mean = baum_welch(learn.filter(F.pmod(F.xxhash64(F.lit(config.seed), "row"), F.lit(config.shares)) == share), kind, model, config, prior)
+        history.append(mean)
     for _ in range(config.rounds):
-        sent = spark.sparkContext.broadcast(model)  # classes x states numbers, bounded by hot_share
-
-        def counted(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            got = Expected.none(states, classes)
-            for b in batches:
-                expect([np.frombuffer(s, kind) for s in b.column(0).to_pylist()], sent.value, got, config.cells)
-            rows_ = np.concatenate([got.start[None], got.move, got.emit])
-            at = np.flatnonzero(rows_.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(at)] + [pa.array(rows_[at, k]) for k in range(states)], ["at", *names])
-
-        sums = learn.select("seq").mapInArrow(counted, "at long, " + ", ".join(f"{x} double" for x in names)).groupBy("at").agg(*[F.sum(x).alias(x) for x in names]).collect()
-        whole = np.zeros((1 + states + classes, states))
-        for r in sums:
-            whole[r["at"]] = [r[x] for x in names]
-        model = maximised(Expected(whole[0], whole[1 : 1 + states], whole[1 + states :]), model, config, prior)
-        sent.unpersist()
+        model, mean = baum_welch(learn, kind, model, config, prior)
+        settled = len(history) > config.shares and mean - history[-1] < config.gain
+        history.append(mean)
+        if settled:
+            break
+    model.history = tuple(history)
     return model
 
 

@@ -9,7 +9,7 @@ from conftest_llm import documents
 
 from pagewright.llm import hmm
 
-SMALL = hmm.Config(states=2, rounds=2, hot_share=0.02, rare_classes=16, start_rounds=3)
+SMALL = hmm.Config(states=2, rounds=2, hot_share=0.02, rare_classes=16)
 
 
 def words(t):
@@ -86,6 +86,21 @@ def test_scores(spark, awkward):
     assert ours > base
 
 
+def test_whole_rounds_raise_the_likelihood_and_long_texts_take_part(spark):
+    rng = np.random.default_rng(5)
+    kinds = [[f"{c}{i}" for i in range(40)] for c in "abc"]
+    rows = [(i, " ".join(rng.choice(kinds[i % 3], 30)), "s") for i in range(120)] + [(1000, " ".join(rng.choice(kinds[2], 9000)), "s")]
+    config = hmm.Config(states=3, rounds=6, gain=-1.0, hot_share=1e-4, rare_classes=16, shares=2)
+    docs = documents(spark, rows).select("doc_id", hmm.held_out(hmm.F.col("doc_id")).alias("held_out"), hmm.F.col("text").cast("binary").alias("text"))
+    counts = hmm.token_counts(docs.filter("NOT held_out").select("text"))
+    lex = hmm.lexicon(counts, config)
+    encoded, kind = hmm.encode(docs, lex, config)
+    whole = hmm.train(encoded, kind, lex, config).history[config.shares :]
+    assert len(whole) == 6 and all(b >= a - 1e-6 for a, b in itertools.pairwise(whole)) and whole[-1] > whole[0]
+    again = hmm.train(encoded, kind, lex, config).history
+    assert again[config.shares :] == whole
+
+
 def test_model_is_a_distribution_over_tokens():
     """Over all known tokens and one unseen token per class the model's probabilities of a first token sum to 1."""
     lex = hmm.Lexicon(20, 6, {b"": (0, 5), b"hot": (1, 9)}, np.array([4, 2, 0]), np.array([2, 1, 0]))
