@@ -10,7 +10,8 @@ regex itself. A rule without a mandatory trigram scans every row.
 Only DataFrame and SQL functions are used.
 
 Defined cases: a null text counts as empty; rows with a null or a repeated
-doc_id are kept, one result row for each; spans are code points, end
+doc_id are kept, one result row for each, as rows are told apart by where
+they lie; spans are code points, end
 exclusive; matches are leftmost and non-overlapping within a rule, and a match
 that fails its rule's length test is dropped together with its characters;
 an empty table gives an empty result; extra columns are ignored.
@@ -28,6 +29,9 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.llm.rows import from_files, placed
+from pagewright.shared import write_shared
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -56,12 +60,13 @@ MORE = (
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
     Rule("github", r"gh[opsur]_[A-Za-z0-9]+", 0, 40),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 0, 20),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{1,1000}\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),  # a header of any length would be tried from each of its own starts
 )
 
 
 # ---- the queries -------------------------------------------------------------------------
 
+BROADCAST_ROWS = 200_000  # candidates, about a hundred bytes each, that are sent to every task
 MOST_STRINGS = 64  # alternatives that are spelled out before a piece counts as open
 
 
@@ -118,18 +123,18 @@ def trigram_query(regex: str) -> list[list[frozenset[str]]]:
 # ---- the index ---------------------------------------------------------------------------
 
 
-def _key(doc_id: Column, text: Column) -> Column:
-    """Rows are told apart by this; rows that share it share their candidates, which only costs verification."""
-    return F.xxhash64(doc_id, text)
+def keyed(docs: DataFrame) -> DataFrame:
+    """``(row, doc_id, text)``: row is a hash of where the row lies; rows that share it share their candidates, which only costs verification."""
+    rows = placed(from_files(docs))
+    return rows.select(F.xxhash64("at").alias("row"), F.col("doc.doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc.text").cast("string"), F.lit("")).alias("text"))
 
 
-def postings(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """``(trigram, row)`` for every trigram that a rule's query asks for; ``docs`` has doc_id and text."""
+def postings(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """``(trigram, row)`` for every trigram that a rule's query asks for; ``rows`` has row and text."""
     asked = sorted(set().union(*(g for r in rules for clause in trigram_query(r.regex) for g in clause), frozenset()))
     lower = F.lower("text")
     has = F.array_compact(F.array(*[F.when(F.contains(F.col("low"), F.lit(t)), F.lit(t)) for t in asked]))
-    rows = docs.select(_key(F.col("doc_id"), F.col("text")).alias("row"), lower.alias("low"))
-    return rows.select("row", F.explode(has).alias("trigram"))
+    return rows.select("row", lower.alias("low")).select("row", F.explode(has).alias("trigram"))
 
 
 def _has_all(kind: str, clause: int, string: int, need: int) -> Column:
@@ -137,12 +142,12 @@ def _has_all(kind: str, clause: int, string: int, need: int) -> Column:
     return F.size(F.filter("has", lambda x: (x["kind"] == kind) & (x["clause"] == clause) & (x["string"] == string))) == need
 
 
-def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+def candidates(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """``(row, kinds)``: the rules whose trigram query the row passes."""
     plan = [(r.kind, c, s, t, len(grams)) for r in rules for c, clause in enumerate(trigram_query(r.regex)) for s, grams in enumerate(clause) for t in sorted(grams)]
     clauses = {r.kind: len(trigram_query(r.regex)) for r in rules}
-    asked = docs.sparkSession.createDataFrame(plan, "kind string, clause int, string int, trigram string, need int")
-    found = postings(docs, rules).join(F.broadcast(asked), "trigram")  # as many rows as the rules have trigrams
+    asked = rows.sparkSession.createDataFrame(plan, "kind string, clause int, string int, trigram string, need int")
+    found = postings(rows, rules).join(F.broadcast(asked), "trigram")  # as many rows as the rules have trigrams
     # per row: which strings have all their trigrams, which clauses one of their strings, which rules all their clauses
     per_row = found.groupBy("row").agg(F.collect_set(F.struct("kind", "clause", "string", "trigram", "need")).alias("has"))
     kinds = []
@@ -159,6 +164,7 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 
 # ---- verification ------------------------------------------------------------------------
 
+STEP = 256  # matches whose places are added up in one array
 
 def _spans(text: Column, rule: Rule) -> Column:
     """Spans of the rule's matches, as structs (start, end, kind); the matches and the gaps between them make the text."""
@@ -175,9 +181,22 @@ def _spans(text: Column, rule: Rule) -> Column:
         span = F.struct(begin.alias("start"), end.alias("end"), F.lit(rule.kind).alias("kind"), p["tested"].alias("tested"))
         return F.struct(F.coalesce(end, acc["at"]).alias("at"), F.when(p["length"].isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], F.array(span))).alias("spans"))
 
-    spans = F.aggregate(pieces, start, step)["spans"]
-    kept = F.filter(spans, lambda s: s["tested"] >= rule.least)
-    return F.transform(kept, lambda s: F.struct(s["start"], s["end"], s["kind"]))
+    # some pieces at a time, so that the growing arrays stay small: the time is in proportion to the matches
+    cuts = F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / STEP).cast("int"))
+    parts = F.transform(cuts, lambda k: F.aggregate(F.slice(pieces, k * STEP + 1, STEP), start, step))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<base:int,spans:array<struct<start:int,end:int,kind:string,tested:int>>>>").alias("out"))
+
+    def place(acc: Column, part: Column) -> Column:
+        based = F.struct(acc["at"].alias("base"), part["spans"].alias("spans"))
+        return F.struct((acc["at"] + part["at"]).alias("at"), F.concat(acc["out"], F.array(based)).alias("out"))
+
+    placed_ = F.aggregate(parts, none, place)["out"]
+
+    def kept(part: Column) -> Column:
+        good = F.filter(part["spans"], lambda s: s["tested"] >= rule.least)
+        return F.transform(good, lambda s: F.struct((s["start"] + part["base"]).alias("start"), (s["end"] + part["base"]).alias("end"), s["kind"].alias("kind")))
+
+    return F.flatten(F.transform(placed_, kept))
 
 
 def _listed(spans: Column, order: list[str]) -> Column:
@@ -190,10 +209,11 @@ def _listed(spans: Column, order: list[str]) -> Column:
 def scan(docs: DataFrame, base: tuple[Rule, ...] = BASE, more: tuple[Rule, ...] = MORE) -> DataFrame:
     """One row per row of ``docs``: doc_id, text, and per rule an array of spans in a column of the rule's name."""
     rules = base + more
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = candidates(rows, rules)
-    keyed = rows.withColumn("row", _key(F.col("doc_id"), F.col("text")))
-    joined = keyed.join(found.hint("shuffle_hash"), "row", "left").drop("row")
+    rows = keyed(docs)
+    found = write_shared(candidates(rows, rules), "secret-candidates")
+    # few candidates go to the texts where they lie; many are joined to them by a shuffle
+    few = found.count() <= BROADCAST_ROWS
+    joined = rows.join(F.broadcast(found) if few else found.hint("shuffle_hash"), "row", "left").drop("row")
     none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
     for r in rules:
         asked = F.array_contains("kinds", r.kind) if trigram_query(r.regex) else F.col("text").rlike(f"[0-9a-f]{{{r.least}}}" if r.kind == "hex" else r.regex)

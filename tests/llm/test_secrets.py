@@ -51,6 +51,22 @@ def test_queries():
                 assert all(any(all(g in low for g in s) for s in clause) for clause in secrets.trigram_query(r.regex))
 
 
+def test_long_runs_take_a_time_in_proportion(spark):
+    import time
+
+    texts = ["eyJ" * 60_000, "token=" + "a" * 200_000, "f" * 100_000 + " " + "AKIA" * 30_000, " ".join(f"token={i:016x}" for i in range(20_000))]
+    began = time.time()
+    got = secrets.report(secrets.scan(documents(spark, [(i, t, "s") for i, t in enumerate(texts)]))).orderBy("doc_id").collect()
+    assert time.time() - began < 60 and got[3]["n_assign"] == got[3]["n_hex"] == 20_000
+    assert [r["spans"] for r in got] == [brute(t, secrets.BASE + secrets.MORE)[0] for t in texts]
+
+
+def test_rows_of_one_id_and_text(spark):
+    rows = [(None, "password=abcdefghijkl", "s")] * 40 + [(1, "plain", "s")] * 3
+    got = secrets.report(secrets.scan(documents(spark, rows))).collect()
+    assert len(got) == 43 and sum(r["n_assign"] for r in got) == 40
+
+
 def test_many_matches_in_one_text(spark):
     text = " ".join(f"token={i:016x}" for i in range(2000))
     r = secrets.report(secrets.scan(documents(spark, [(1, text, "s")]))).first()
