@@ -55,7 +55,7 @@ class Config:
     """Parameters of the model."""
 
     states: int = 8
-    shares: int = 8
+    shares: int = 6
     rounds: int = 20
     gain: float = 0.003
     hot_share: float = 4e-6
@@ -151,7 +151,9 @@ def lexicon(counts: DataFrame, config: Config) -> Lexicon:
 def _encode(lex: Lexicon, config: Config):
     kind = np.uint16 if lex.classes <= 1 << 16 else np.uint32
     hot = {t: k for t, (k, _) in lex.hot.items()}
-    logs = {t: log10(c + SMOOTH) for t, (_, c) in lex.hot.items()}
+    logs = np.zeros(lex.classes)  # none for rare classes: their tokens' shares come in by a join
+    for k, c in lex.hot.values():
+        logs[k] = log10(c + SMOOTH)
     first, n = len(hot), config.rare_classes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,24 +163,21 @@ def _encode(lex: Lexicon, config: Config):
             for text in b.column(2).to_pylist():
                 words = tokens(text)
                 words.append(END)
-                classes, others, total = [], [], 0.0
-                for w in words:
-                    k = hot.get(w)
+                classes = list(map(hot.get, words))
+                others = [(i, words[i]) for i, k in enumerate(classes) if k is None] if None in classes else []
+                for i, w in others:
+                    k = cache.get(w)
                     if k is None:
-                        others.append(w)
-                        k = cache.get(w)
-                        if k is None:
-                            if len(cache) > 200_000:
-                                cache.clear()
-                            k = cache[w] = first + _rare_class(w, n)
-                    else:
-                        total += logs[w]
-                    classes.append(k)
+                        if len(cache) > 200_000:
+                            cache.clear()
+                        k = cache[w] = first + _rare_class(w, n)
+                    classes[i] = k
+                found = np.array(classes, kind)
                 size.append(len(words))
                 known.append(len(words) - len(others))
-                hot_log.append(total)
-                seq.append(np.array(classes, kind).tobytes())
-                rare.append(b" ".join(others))
+                hot_log.append(float(logs[found].sum()))
+                seq.append(found.tobytes())
+                rare.append(b" ".join([w for _, w in others]))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(known, pa.int64()), pa.array(hot_log, pa.float64()), pa.array(seq, pa.binary()), pa.array(rare, pa.binary())],
                 ["doc_id", "held_out", "n_tokens", "n_hot", "hot_log", "seq", "rare"],
@@ -248,14 +247,17 @@ class Expected:
         return cls(np.zeros(states), np.zeros((states, states)), np.zeros((classes, states)))
 
 
-def _steps(grid: np.ndarray, n: np.ndarray, model: Model, first: int, last: int, before: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Scaled forward values and their scales at the times first..last-1; ``before`` are the values at the time before."""
+def _steps(grid: np.ndarray, n: np.ndarray, model: Model, first: int, last: int, before: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Scaled forward values, their scales and the emissions over the scales at the times first..last-1; ``before`` are the values at the time before."""
     a, ones = before, np.ones(len(model.start))
     for t in range(first, last):
-        a = (model.start if a is None else a[: n[t]] @ model.move) * model.emit[grid[t, : n[t]]]
+        e = model.emit.take(grid[t, : n[t]], axis=0)
+        a = (model.start if a is None else a[: n[t]] @ model.move) * e
         s = a @ ones
-        a = a / s[:, None]
-        yield a, s
+        r = (1 / s)[:, None]
+        a *= r
+        e *= r
+        yield a, s, e
 
 
 def expect(seqs: list[np.ndarray], model: Model, into: Expected, cells: int) -> None:
@@ -264,29 +266,32 @@ def expect(seqs: list[np.ndarray], model: Model, into: Expected, cells: int) ->
     Forward values are kept for about ``cells`` tokens; of longer sequences they are kept where a stretch begins
     and made again stretch by stretch on the way back.
     """
-    states = len(model.start)
+    states, back = len(model.start), np.ascontiguousarray(model.move.T)
     for _, lengths, grid in _padded(seqs, cells):
         n = _active(lengths, len(grid))
         size = max(1, cells // grid.shape[1])
         marks: list[np.ndarray | None] = [None]
         if len(grid) > size:
-            for t, (a, _) in enumerate(_steps(grid, n, model, 0, len(grid), None), 1):
+            for t, (a, _, _) in enumerate(_steps(grid, n, model, 0, len(grid), None), 1):
                 if t % size == 0 and t < len(grid):
                     marks.append(a)
-        beta = next_beta = next_scale = None
+        next_beta = next_emit = None
         for k in range(len(marks) - 1, -1, -1):
             first, last = k * size, min(len(grid), (k + 1) * size)
             steps = list(_steps(grid, n, model, first, last, marks[k]))
             gammas = []
+            into.log_likelihood += np.log(np.concatenate([s for _, s, _ in steps])).sum()
             for t in range(last - 1, first - 1, -1):
-                alpha, scale = steps[t - first]
-                beta = np.ones((n[t], states))
-                if next_beta is not None:
-                    ahead = next_beta * model.emit[grid[t + 1, : n[t + 1]]] / next_scale[:, None]
+                alpha, _, emit = steps[t - first]
+                if next_beta is None:
+                    beta = np.ones((n[t], states))
+                else:
+                    ahead = next_beta * next_emit
                     into.move += alpha[: n[t + 1]].T @ ahead
-                    beta[: n[t + 1]] = ahead @ model.move.T
-                next_beta, next_scale = beta, scale
-                into.log_likelihood += np.log(scale).sum()
+                    beta = ahead @ back
+                    if n[t] > n[t + 1]:
+                        beta = np.concatenate([beta, np.ones((n[t] - n[t + 1], states))])
+                next_beta, next_emit = beta, emit
                 gammas.append(alpha * beta)
             gammas.reverse()
             if first == 0:
