@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The steps of an ingestion job and their weights.
-STEP_WEIGHTS = {"UPLOAD": 8, "SCAN": 20, "PARSE": 12, "OCR": 10, "NORMALIZE": 15, "CHUNK": 10, "QUALITY": 12, "EMBED": 8, "INDEX": 3, "PUBLISH": 2}
+STEP_WEIGHTS = {"SECURITY_SCAN": 8, "PARSE": 20, "OCR": 12, "NORMALIZE": 10, "CHUNK": 15, "QUALITY_GATE": 10, "EMBED": 12, "INDEX": 8, "VERIFY": 3, "PUBLISH": 2}
 
 
 def ratio(part: Column, whole: Column, digits: int = 5) -> Column:

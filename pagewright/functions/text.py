@@ -49,11 +49,23 @@ def token_count(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
+def word_windows(text: Column, size: Column, overlap: Column) -> Column:
+    """An array of windows of ``size`` words, each ``overlap`` words into the one before; the last ends with the text."""
+    w, stride = words(text), size - overlap
+    last = F.when(F.size(w) <= size, 0).otherwise(F.ceil((F.size(w) - size) / stride)).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(w, (i * stride + 1).cast("int"), size.cast("int")), " "))
+    return F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(parts)
+
+
+def trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+
+
 def embedding_text(heading_path: Column, body: Column) -> Column:
     """The heading path's line, then the trimmed body; empty parts are left out."""
     path = F.when(F.size(heading_path) > 0, F.concat(F.lit("标题路径："), F.array_join(heading_path, " > ")))
-    trimmed = F.regexp_replace(body, f"^{SPACE}+|{SPACE}+$", "")
-    return F.concat_ws("\n", path, F.when(trimmed != "", trimmed))
+    rest = trimmed(body)
+    return F.concat_ws("\n", path, F.when(rest != "", rest))
 
 
 def short_summary(text: Column, size: int = 500) -> Column:

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from pagewright.functions import ids, text
 
 
-def paragraphs(docs: DataFrame, by: str = r"(?:\r?\n){2,}") -> DataFrame:
-    """doc_id, ordinal (from 1), text: the parts of a text, normalised, blank ones left out."""
+def paragraphs(docs: DataFrame, by: str = r"(?:\r?\n){2,}", *more: str) -> DataFrame:
+    """doc_id, more, ordinal (from 1), text: the parts of a text, normalised, blank ones left out."""
     parts = F.filter(F.transform(F.split("text", by), text.normalize_block_text), lambda p: p != "")
-    return docs.select("doc_id", F.posexplode(parts).alias("pos", "text")).select("doc_id", (F.col("pos") + 1).alias("ordinal"), "text")
+    return docs.select("doc_id", *more, F.posexplode(parts).alias("pos", "text")).select("doc_id", *more, (F.col("pos") + 1).alias("ordinal"), "text")
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -19,6 +19,11 @@ def lines(docs: DataFrame) -> DataFrame:
     return paragraphs(docs, r"\r?\n")
 
 
+def lines_with(docs: DataFrame, *more: str) -> DataFrame:
+    """Lines that carry columns of their document along."""
+    return paragraphs(docs, r"\r?\n", *more)
+
+
 def identified(blocks: DataFrame, version: Column, revision: int = 1) -> DataFrame:
     """Blocks with the hash of their content and their id."""
     hashed = blocks.withColumn("content_sha256", ids.sha(F.lit("PARAGRAPH"), F.col("text")))

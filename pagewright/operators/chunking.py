@@ -148,30 +148,6 @@ def neighbours(rows: DataFrame, by: list[str], order: str, key: str) -> DataFram
     return rows.withColumn("previous", F.lag(key).over(w)).withColumn("next", F.lead(key).over(w))
 
 
-def relations(chunks: DataFrame) -> DataFrame:
-    """from_chunk, relation, to_chunk, to_block, ordinal: one row per link, each with exactly one target.
-
-    ``chunks`` has doc_id, chunk, parent, ordinal, blocks (array) and duplicate_of.
-    """
-    none = F.lit(None).cast("string")
-    near = neighbours(chunks, ["doc_id"], "ordinal", "chunk")
-
-    def link(rows: DataFrame, name: str, to_chunk: Column = none, to_block: Column = none, ordinal: Column | None = None) -> DataFrame:
-        return rows.select(F.col("chunk").alias("from_chunk"), F.lit(name).alias("relation"), to_chunk.alias("to_chunk"), to_block.alias("to_block"), (F.lit(0) if ordinal is None else ordinal).alias("ordinal"))
-
-    parts = [
-        link(chunks.filter("parent IS NOT NULL"), "PARENT_CHILD", F.col("parent")),
-        link(near.filter("previous IS NOT NULL"), "PREVIOUS", F.col("previous")),
-        link(near.filter("next IS NOT NULL"), "NEXT", F.col("next")),
-        link(chunks.filter("duplicate_of IS NOT NULL"), "DUPLICATE_OF", F.col("duplicate_of")),
-        link(chunks.select("*", F.posexplode("blocks").alias("at", "block")), "SOURCE_BLOCK", none, F.col("block"), F.col("at")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.dropDuplicates(["from_chunk", "relation", "to_chunk", "to_block", "ordinal"])
-
-
 def footnotes(notes: DataFrame, chunks: DataFrame) -> DataFrame:
     """doc_id, note, chunk: each footnote and the last chunk of its page; a page that isn't known matches one that isn't either."""
     last = chunks.groupBy("doc_id", "page_no").agg(F.max_by("chunk", "ordinal").alias("chunk"))

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+
+from pagewright.functions.numbers import stage_percent
 from pyspark.sql import types as T
 
 # Allowed transitions.
@@ -134,10 +136,15 @@ def lag_histogram(rows: DataFrame, lag: Column, bounds: tuple[float, ...], *by:
 
 
 def progress(steps: DataFrame, weights: dict[str, int], *by: str) -> DataFrame:
-    """by, overall: the weighted mean of the steps' percentages; a step that isn't known counts as 0."""
+    """by, overall: the steps' percentages by weight, at most 100.
+
+    A step that has succeeded is done whatever its numbers; one without a percentage has that of its units, or 0 where their
+    total isn't known. ``steps`` has step, status, percent, processed and total.
+    """
     table = steps.sparkSession.createDataFrame(list(weights.items()), "step string, weight int")
-    total = float(sum(weights.values()))
-    return steps.join(F.broadcast(table), "step").groupBy(*by).agg(F.round(F.sum(F.col("weight") * F.coalesce("percent", F.lit(0.0))) / total, 2).alias("overall"))
+    done = F.when(F.col("status") == "SUCCEEDED", 100.0).otherwise(F.coalesce("percent", stage_percent(F.col("processed"), F.col("total")), F.lit(0.0)))
+    whole = F.round(F.least(F.lit(100.0), F.sum(F.col("weight") * done / 100)), 2)
+    return steps.join(F.broadcast(table), "step").groupBy(*by).agg(whole.alias("overall"))
 
 
 def stage_of(event_type: Column) -> Column:

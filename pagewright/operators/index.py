@@ -2,36 +2,91 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import ids, vectors
 from pagewright.operators.chunking import pack_blocks
+from pagewright.shared import write_shared
+
+MOST_QUERIES = 4096
 
-MOST_QUERIES = 1000
+
+def _matrices(vectors_: pa.ChunkedArray | pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length: the places of the vectors of that length, and their rows made unit length (zero stays zero)."""
+    flat = vectors_.combine_chunks() if isinstance(vectors_, pa.ChunkedArray) else vectors_
+    sizes = flat.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    out = {}
+    for width in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == width)
+        x = flat.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), width) if width else np.zeros((len(at), 1))
+        length = np.sqrt((x * x).sum(axis=1, keepdims=True))
+        out[width] = (at, np.divide(x, length, out=np.zeros_like(x), where=length > 0))
+    return out
+
+
+def _best_rows(asked: Broadcast, k: int):
+    """Per task: the k best rows of each query of a block, ties to the smaller id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = asked.value
+        who, scopes = table.column("query_id").to_numpy(), table.column("scope").to_pandas().to_numpy()
+        mine = _matrices(table.column("q"))
+        queries, ids_, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for b in batches:
+            for begin in range(0, b.num_rows, 2048):
+                part = b.slice(begin, 2048)
+                found = np.full((len(who), part.num_rows), -1.0)
+                for width, (at, x) in _matrices(part.column(1)).items():
+                    if width and width in mine:
+                        rows_, q = mine[width]
+                        s = q @ x.T
+                        empty = ~x.any(axis=1)
+                        s[~q.any(axis=1)] = -1.0
+                        s[:, empty] = -1.0
+                        found[np.ix_(rows_, at)] = s
+                if part.column(2).null_count < part.num_rows:
+                    found[scopes[:, None] != part.column(2).to_pandas().to_numpy()[None, :]] = -2.0
+                bound = np.partition(found, found.shape[1] - k, axis=1)[:, -k] if found.shape[1] > k else np.full(len(who), -2.0)
+                l, h = np.nonzero((found >= bound[:, None] - 1e-12) & (found > -1.5))
+                new = who[l], part.column(0).to_numpy()[h], found[l, h]
+                queries, ids_, scores = (np.concatenate(pair) for pair in zip((queries, ids_, scores), new, strict=True))
+                order = np.lexsort((ids_, -scores, queries))
+                queries, ids_, scores = queries[order], ids_[order], scores[order]
+                first = np.flatnonzero(np.concatenate(([True], queries[1:] != queries[:-1]))) if len(queries) else np.zeros(0, np.int64)
+                kept = np.arange(len(queries)) - np.repeat(first, np.diff(np.append(first, len(queries)))) < k
+                queries, ids_, scores = queries[kept], ids_[kept], scores[kept]
+        yield pa.RecordBatch.from_arrays([pa.array(queries), pa.array(ids_), pa.array(scores)], ["query_id", "vec_id", "score"])
+
+    return run
 
 
 def top_k(queries: DataFrame, rows: DataFrame, k: int, scope: str | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: exact cosine search of a stated set of queries.
 
-    ``queries`` has query_id and q, ``rows`` vec_id and v. With ``scope`` a query only sees rows of its own scope,
-    which is an equi-join. Without it the queries are cut into blocks of about ``MOST_QUERIES`` by their hash, and each
-    block is sent to the tasks by itself. Of every query a task keeps k rows before anything is shuffled.
+    ``queries`` has query_id and q, ``rows`` vec_id and v. With ``scope`` a query only sees rows of its own scope. Queries
+    travel in packed blocks of at most ``MOST_QUERIES``, each of which passes over the rows once; a task multiplies a block with
+    a batch of rows as matrices and keeps k rows of each query, so nothing but these is shuffled. Scores are -1 for vectors of
+    another length or without one.
     """
-    if scope:
-        q = queries.withColumnRenamed(scope, "__scope")
-        parts = [rows.join(q, F.col("__scope") == F.col(scope))]
-    else:
-        n = max(1, -(-queries.count() // MOST_QUERIES))
-        mine = F.pmod(F.xxhash64("query_id"), F.lit(n))
-        parts = [rows.crossJoin(F.broadcast(queries.filter(mine == b))) for b in range(n)]
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    spark = rows.sparkSession
+    asked = queries.select("query_id", F.col("q").cast("array<double>").alias("q"), *([F.col(scope).alias("scope")] if scope else [F.lit(None).cast("int").alias("scope")]))
+    held = rows.select("vec_id", F.col("v").cast("array<double>").alias("v"), *([F.col(scope).alias("scope")] if scope else [F.lit(None).cast("int").alias("scope")]))
+    n = max(1, -(-asked.count() // MOST_QUERIES))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int")
+    placed = write_shared(asked.withColumn("block", block), "asked")
     out = None
-    for hits in parts:
-        scored = hits.select("query_id", "vec_id", vectors.cosine(F.col("q"), F.col("v")).alias("score"))
-        best = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    for b in range(n):  # a block is one broadcast and one pass over the rows
+        part = placed.filter(F.col("block") == b).orderBy("query_id").toArrow()
+        best = held.mapInArrow(_best_rows(spark.sparkContext.broadcast(part), k), "query_id long, vec_id long, score double")
         out = best if out is None else out.unionByName(best)
-    return out
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def valid_embeddings(rows: DataFrame, dimensions: int, model: str, slack: float = 0.02) -> DataFrame:
@@ -56,28 +111,53 @@ def batches(items: DataFrame, by: list[str], max_tokens: int, max_items: int) ->
     return pack_blocks(items, by, "tokens", max_tokens, max_items)
 
 
-def reconcile(expected: DataFrame, actual: DataFrame, profile: str) -> DataFrame:
-    """code, vector_id: how a written index differs from what it should hold."""
+def reconcile(expected: DataFrame, actual: DataFrame, profile: str, asked: DataFrame | None = None, returned: DataFrame | None = None) -> DataFrame:
+    """code, vector_id, repairable: how a written index differs from what it should hold, by code and vector.
+
+    ``asked`` and ``returned`` have the ids (id) that fixed queries should and do find, with repeats.
+    """
+    # The issues' codes.
     e = expected.select("vector_id", F.col("content_sha256").alias("want"), F.lit(True).alias("e"))
     a = actual.select("vector_id", F.col("content_sha256").alias("have"), F.col("profile").alias("p"), F.lit(True).alias("a"))
     both = e.join(a, "vector_id", "full")
+    met = F.col("e") & F.col("a")
     codes = F.array_compact(
         F.array(
-            F.when(F.col("a").isNull(), "MISSING_VECTOR"),
-            F.when(F.col("e").isNull(), "UNEXPECTED_VECTOR"),
-            F.when(F.col("want") != F.col("have"), "HASH_MISMATCH"),
-            F.when(F.col("e") & (F.col("p") != profile), "PROFILE_MISMATCH"),
+            F.when(F.col("a").isNull(), F.struct(F.lit("MISSING_PRIMARY_KEY").alias("code"), F.lit(True).alias("repairable"))),
+            F.when(F.col("e").isNull(), F.struct(F.lit("UNEXPECTED_PRIMARY_KEY").alias("code"), F.lit(True).alias("repairable"))),
+            F.when(met & ~F.col("want").eqNullSafe(F.col("have")), F.struct(F.lit("CONTENT_HASH_MISMATCH").alias("code"), F.lit(True).alias("repairable"))),
+            F.when(met & ~F.col("p").eqNullSafe(F.lit(profile)), F.struct(F.lit("PROFILE_MISMATCH").alias("code"), F.lit(False).alias("repairable"))),
         )
     )
-    return both.select(F.explode(codes).alias("code"), "vector_id")
+    found = both.select(F.explode(codes).alias("i"), "vector_id").select("i.code", "vector_id", "i.repairable")
+    none = F.lit(None).cast(found.schema["vector_id"].dataType)
+    uneven = both.agg((F.count("e") != F.count("a")).alias("differ")).filter("differ").select(F.lit("COUNT_MISMATCH").alias("code"), none.alias("vector_id"), F.lit(True).alias("repairable"))
+    found = found.unionByName(uneven)
+    if asked is not None and returned is not None:
+        sides = asked.select("id", F.lit(1).alias("n")).unionByName(returned.select("id", F.lit(-1).alias("n")))
+        missed = sides.groupBy("id").agg(F.sum("n").alias("n")).agg(F.count_if(F.col("n") != 0).alias("n")).filter("n > 0")
+        found = found.unionByName(missed.select(F.lit("FIXED_QUERY_MISMATCH").alias("code"), none.alias("vector_id"), F.lit(False).alias("repairable")))
+    return found
+
+
+def issues_in_order(issues: DataFrame) -> DataFrame:
+    """Issues by code and vector as one text."""
+    return issues.orderBy(F.concat_ws(":", "code", F.coalesce(F.col("vector_id").cast("string"), F.lit(""))))
 
 
 def probe_ids(rows: DataFrame, by: list[str], key: str) -> DataFrame:
     """First, middle and last of each group; all if there are up to three."""
-    w = Window.partitionBy(*by).orderBy(key)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    numbered = rows.withColumn("__i", F.row_number().over(w)).withColumn("__n", n)
-    return numbered.filter((F.col("__n") <= 3) | F.col("__i").isin(1) | (F.col("__i") == F.floor(F.col("__n") / 2) + 1) | (F.col("__i") == F.col("__n"))).drop("__i", "__n")
+    # places by counts of key ranges, so that no task orders a whole group
+    flat = rows.select(*by, key)
+    ranged = write_shared(flat.repartitionByRange(*by, key).withColumn("__part", F.spark_partition_id()), "probe-ranges")
+    counts = ranged.groupBy(*by, "__part").agg(F.count(F.lit(1)).alias("__c"))
+    upto = Window.partitionBy(*by).orderBy("__part")
+    counts = counts.withColumns({"__before": F.sum("__c").over(upto) - F.col("__c"), "__n": F.sum("__c").over(Window.partitionBy(*by))})
+    middle = F.floor(F.col("__n") / 2) + 1
+    holds = (F.col("__n") <= 3) | (F.col("__before") == 0) | ((F.col("__before") < middle) & (middle <= F.col("__before") + F.col("__c"))) | (F.col("__before") + F.col("__c") == F.col("__n"))
+    place = F.row_number().over(Window.partitionBy(*by, "__part").orderBy(key)) + F.col("__before")
+    numbered = ranged.join(counts.filter(holds), [*by, "__part"]).withColumn("__i", place)
+    return numbered.filter((F.col("__n") <= 3) | (F.col("__i") == 1) | (F.col("__i") == middle) | (F.col("__i") == F.col("__n"))).select(*by, key)
 
 
 def recall(hits: DataFrame, truth: DataFrame, least: float) -> DataFrame:

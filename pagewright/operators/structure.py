@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# How clauses, questions and answers begin.
-CLAUSE = r"^(?:第[0-9一二三四五六七八九十百千零〇两]+[条章节款]|[0-9]+(?:\.[0-9]+)+[.、\s])"
-QUESTION = r"^(?:[Qq][：:.、]|问[：:]|问题[：:])"
+from pagewright.functions import text
+
+# How clauses and questions begin, on trimmed texts.
+CLAUSE = r"^(?:第[一二三四五六七八九十百千0-9]+[编章节条款项]|[0-9]+(?:\.[0-9]+)+[.、\s])"
+QUESTION = r"^(?:[Qq]|问|问题)\s*[:：]"
 LEVELS = 6
 
 
@@ -20,8 +22,8 @@ def heading_stack(blocks: DataFrame, *by: str) -> DataFrame:
     w = _upto(*by)
     level = F.least(F.lit(LEVELS), F.greatest(F.lit(1), F.coalesce("heading_level", F.lit(1))))
     titled = F.col("type") == "TITLE"
-    number = F.sum(titled.cast("int")).over(w).cast("string")
-    title = F.when(F.trim("text") == "", F.concat(F.lit("未命名标题 "), number)).otherwise(F.col("text"))
+    named = text.trimmed(F.coalesce("text", F.lit("")))
+    title = F.when(named == "", F.concat(F.lit("未命名标题 "), F.col("ordinal").cast("string"))).otherwise(named)
     rows = blocks.withColumn("__title", F.when(titled, title))
     for k in range(1, LEVELS + 1):
         rows = rows.withColumn(f"__s{k}", F.max(F.when(titled & (level == k), F.struct(F.col("ordinal").alias("o"), F.col("__title").alias("t")))).over(w))
@@ -35,32 +37,49 @@ def heading_stack(blocks: DataFrame, *by: str) -> DataFrame:
 
 
 def kinds(blocks: DataFrame, *by: str) -> DataFrame:
-    """Add kind, boundary and include: an answer belongs to the question before it until a title, table, code or clause."""
+    """Add kind, boundary and include; ``blocks`` also has block_id, parent_block_id, sheet_name and slide_no.
+
+    An answer belongs to the question before it until a title, table, code or clause. Other texts belong to their sheet, their
+    slide, or the title before them.
+    """
     w = _upto(*by)
-    t, body = F.col("type"), F.coalesce("text", F.lit(""))
+    t, body = F.col("type"), text.trimmed(F.coalesce("text", F.lit("")))
     clause, question = body.rlike(CLAUSE), body.rlike(QUESTION)
     plain = ~t.isin("TITLE", "HEADER", "FOOTER", "FOOTNOTE", "TABLE", "TABLE_ROW", "CODE")
-    opened = F.max(F.when(plain & ~clause & question, F.col("ordinal"))).over(w)
-    closed = F.max(F.when(t.isin("TITLE", "TABLE", "TABLE_ROW", "CODE") | (plain & clause), F.col("ordinal"))).over(w)
-    faq = opened.isNotNull() & (opened > F.coalesce(closed, F.lit(-1)))
+    here = F.struct("ordinal", "block_id")
+    rows = blocks.withColumns({
+        "__asked": F.max(F.when(plain & ~clause & question, here)).over(w),
+        "__ended": F.max(F.when(t.isin("TITLE", "TABLE", "TABLE_ROW", "CODE") | (plain & clause), F.col("ordinal"))).over(w),
+        "__titled": F.max(F.when(t == "TITLE", here)).over(w),
+    })
+    faq = F.col("__asked").isNotNull() & (F.col("__asked.ordinal") > F.coalesce("__ended", F.lit(-1)))
     kind = (
         F.when(t == "TITLE", "TITLE").when(t.isin("HEADER", "FOOTER"), "DECORATION").when(t == "FOOTNOTE", "FOOTNOTE")
         .when(t.isin("TABLE", "TABLE_ROW"), "TABLE").when(t == "CODE", "CODE").when(clause, "CLAUSE").when(faq, "FAQ")
         .when(t == "LIST", "LIST").otherwise("PROSE")
     )
-    rows = blocks.withColumn("__faq", opened).withColumn("kind", kind)
-    own = F.concat_ws(":", "kind", F.col("ordinal").cast("string"))
-    shared = F.concat_ws(":", F.lit("TEXT"), F.coalesce(F.sum((t == "TITLE").cast("int")).over(w), F.lit(0)).cast("string"))
-    boundary = F.when(F.col("kind") == "FAQ", F.concat_ws(":", F.lit("FAQ"), F.col("__faq").cast("string"))).when(F.col("kind").isin("TABLE", "CODE", "CLAUSE"), own).otherwise(shared)
-    rows = rows.withColumn("boundary", boundary)
-    skipped = F.col("kind").isin("TITLE", "DECORATION", "FOOTNOTE")
-    return rows.withColumn("include", F.when(skipped, False).when(F.trim(body) == "", False).otherwise(True)).drop("__faq")
+    k = F.col("kind")
+    boundary = (
+        F.when(k == "TABLE", F.concat(F.lit("table:"), F.coalesce("parent_block_id", "block_id")))
+        .when(k == "FAQ", F.concat(F.lit("faq:"), F.col("__asked.block_id")))
+        .when(k.isin("DECORATION", "FOOTNOTE", "CODE", "CLAUSE"), F.concat_ws(":", F.lower(k), "block_id"))
+        .when((k != "TITLE") & (F.coalesce("sheet_name", F.lit("")) != ""), F.concat(F.lit("sheet:"), F.col("sheet_name")))
+        .when((k != "TITLE") & (F.coalesce("slide_no", F.lit(0)) != 0), F.concat(F.lit("slide:"), F.col("slide_no").cast("string")))
+        .otherwise(F.coalesce(F.concat(F.lit("heading:"), F.col("__titled.block_id")), F.lit("document-root")))
+    )
+    include = F.when(k.isin("TITLE", "DECORATION", "FOOTNOTE"), False).when(k.isin("TABLE", "CODE", "CLAUSE", "FAQ"), True).otherwise(body != "")
+    return rows.withColumn("kind", kind).withColumns({"boundary": boundary, "include": include}).drop("__asked", "__ended", "__titled")
+
+
+def compatible_kind(kind: Column, file_format: Column) -> Column:
+    """Blocks are packed together if they are of one boundary and have this in common."""
+    return F.when(kind.isin("TABLE", "CODE", "CLAUSE", "FAQ"), kind).when(file_format == "PPTX", "SLIDE").when(file_format.isin("XLSX", "CSV"), "SHEET").otherwise(kind)
 
 
 def content_type(kind: Column, file_format: Column) -> Column:
     """What a chunk of these blocks is called."""
-    sheet = file_format.isin("XLSX", "CSV")
-    return F.when(kind.isin("TABLE", "CODE", "CLAUSE", "FAQ"), kind).when(file_format == "PPTX", "SLIDE").when(sheet, "SHEET").otherwise(kind)
+    own = kind.isin("TABLE", "CODE", "CLAUSE", "FAQ", "LIST")
+    return F.when(own, kind).when(file_format == "PPTX", "SLIDE").when(file_format.isin("XLSX", "CSV"), "SHEET").otherwise("PROSE")
 
 
 def islands(rows: DataFrame, key: Column, by: list[str], order: list[str]) -> DataFrame:

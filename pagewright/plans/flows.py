@@ -1,30 +1,13 @@
-"""Composite flows: documents to eligible chunks, and reviews."""
+"""Reviews and flows of events."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagewright.operators import chunking, events, quality, review
+from pagewright.operators import chunking, events, review
 from pagewright.plans.registry import query
-from pagewright.plans.texts import _MEASURED, _measured, greedy_pack, sql_pack, sql_words
 from pagewright.shared import table
 
-_FLOW = f"""{_MEASURED}, sized AS (SELECT doc_id, ordinal AS o, len({sql_words('text')}) AS s FROM lines), {sql_pack('sized', 'doc_id', '64', 'p')},
-    v AS (SELECT doc_id, CASE WHEN doc_id % 50 = 0 OR garbled_ratio > 0.15 OR filled = 0 THEN 'REJECT'
-        WHEN 2 > observed_pages OR ocr_confidence < 0.75 OR duplicate_ratio > 0.4 OR (blocks > 20 AND headings = 0) OR garbled_ratio > 0.03 THEN 'MANUAL_REVIEW' ELSE 'PASS' END AS verdict FROM q)"""
-
-
-@query(f"""WITH RECURSIVE {_FLOW} SELECT d.lang, v.verdict, count(*) AS chunks, count(*) FILTER (v.verdict = 'PASS' OR v.verdict = 'MANUAL_REVIEW' AND d.doc_id % 3 = 0) AS eligible, sum(p.size)::BIGINT AS tokens
-    FROM p JOIN v ON v.doc_id = p.doc_id JOIN documents d ON d.doc_id = p.doc_id GROUP BY 1, 2""")
-def knowledge_chunks(spark, sf_dir):
-    """Lines to chunks, verdicts to eligibility, by language."""
-    rows = _measured(spark, sf_dir).withColumns({"expected_pages": F.lit(2), "owner_ok": F.col("doc_id") % 50 != 0, "version_ok": F.lit(True)})
-    judged = quality.verdict(rows).select("doc_id", "verdict")
-    chunks = greedy_pack(spark, sf_dir).join(judged, "doc_id").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
-    may = review.eligible(F.lit("CHILD"), F.lit("UNIQUE"), F.col("verdict"), F.when(F.col("doc_id") % 3 == 0, "APPROVED"))
-    return chunks.groupBy("lang", "verdict").agg(F.count(F.lit(1)).alias("chunks"), F.count_if(may).alias("eligible"), F.sum("size").alias("tokens"))
-
-
 @query("""WITH r AS (SELECT o_custkey AS report_id, arg_max(CASE WHEN o_orderstatus = 'F' THEN 'APPROVED' ELSE 'REJECTED' END, o_orderkey) AS decision, arg_max(o_orderkey % 10, o_orderkey) AS reviewer FROM orders GROUP BY 1),
     j AS (SELECT c_custkey AS report_id, CASE WHEN c_acctbal < 0 THEN 'REJECT' ELSE 'MANUAL_REVIEW' END AS verdict, c_custkey % 10 AS owner, decision, reviewer FROM customer LEFT JOIN r ON r.report_id = c_custkey),
     i AS (SELECT *, CASE WHEN verdict = 'REJECT' AND decision = 'APPROVED' THEN 'REJECTED_NOT_APPROVABLE' WHEN reviewer = owner THEN 'SELF_REVIEW' END AS issue FROM j)

@@ -47,15 +47,16 @@ def manifest_top_k(spark, sf_dir):
     return _rounded(index.top_k(asked, rows, 5, "label"))
 
 
-@query(f"""WITH {_E}, s AS (SELECT q.vec_id AS case_id, e.vec_id, {_COS} AS score FROM e q, e WHERE q.vec_id % 20 = 0),
+@query(f"""WITH {_E}, s AS (SELECT q.vec_id AS case_id, q.label AS wanted, e.vec_id, e.label, {_COS} AS score FROM e q, e WHERE q.vec_id % 20 = 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, vec_id) AS rank FROM s),
-    h AS (SELECT case_id, max((vec_id = case_id)::INT) AS hit FROM r WHERE rank <= 5 GROUP BY 1)
+    h AS (SELECT case_id, max((vec_id <> case_id AND label = wanted)::INT) AS hit FROM r WHERE rank <= 5 GROUP BY 1)
     SELECT count(*) AS cases, sum(hit)::BIGINT AS passed, round(sum(hit) / count(*), 6) AS recall, sum(hit) / count(*) >= 0.9 AS ok FROM h""")
 def recall_at_k(spark, sf_dir):
+    """A case passes if another vector of its label is among its hits."""
     rows = _vectors(spark, sf_dir)
     asked = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    hits = index.top_k(asked, rows, 5).select(F.col("query_id").alias("case_id"), F.col("vec_id").alias("found"))
-    return index.recall(hits, asked.select(F.col("query_id").alias("case_id"), F.col("query_id").alias("expected")), 0.9)
+    hits = index.top_k(asked, rows, 5).filter("vec_id <> query_id").join(rows.select("vec_id", "label"), "vec_id").select(F.col("query_id").alias("case_id"), F.col("label").alias("found"))
+    return index.recall(hits, rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("case_id"), F.col("label").alias("expected")), 0.9)
 
 
 @query("SELECT vec_id, CASE WHEN len(embedding) <> 64 THEN 'DIMENSION_MISMATCH' WHEN abs(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) - 1) > 0.02 THEN 'NORM_OUT_OF_RANGE' END AS issue FROM embeddings")
@@ -63,19 +64,23 @@ def embedding_issues(spark, sf_dir):
     return index.valid_embeddings(_vectors(spark, sf_dir).withColumn("model", F.lit("m")), 64, "m").select("vec_id", "issue")
 
 
-@query("""WITH e AS (SELECT vec_id, sha256(vec_id::VARCHAR) AS want FROM embeddings),
-    a AS (SELECT vec_id, CASE WHEN vec_id % 11 = 0 THEN sha256('x') ELSE sha256(vec_id::VARCHAR) END AS have, CASE WHEN vec_id % 17 = 0 THEN 'q' ELSE 'p' END AS p FROM embeddings WHERE vec_id % 7 <> 0
-          UNION ALL SELECT vec_id + 1000000, sha256('y'), 'p' FROM embeddings WHERE vec_id % 13 = 0),
-    j AS (SELECT coalesce(e.vec_id, a.vec_id) AS vector_id, want, have, p, e.vec_id AS ev, a.vec_id AS av FROM e FULL JOIN a ON e.vec_id = a.vec_id)
-    SELECT 'MISSING_VECTOR' AS code, vector_id FROM j WHERE av IS NULL UNION ALL SELECT 'UNEXPECTED_VECTOR', vector_id FROM j WHERE ev IS NULL
-    UNION ALL SELECT 'HASH_MISMATCH', vector_id FROM j WHERE want <> have UNION ALL SELECT 'PROFILE_MISMATCH', vector_id FROM j WHERE ev IS NOT NULL AND p <> 'p'""")
+@query("""WITH e AS (SELECT vec_id, CASE WHEN vec_id % 19 > 0 THEN sha256(vec_id::VARCHAR) END AS want FROM embeddings),
+    a AS (SELECT vec_id, CASE WHEN vec_id % 11 = 0 THEN sha256('x') ELSE sha256(vec_id::VARCHAR) END AS have, CASE WHEN vec_id % 17 = 0 THEN 'q' WHEN vec_id % 23 > 0 THEN 'p' END AS p FROM embeddings WHERE vec_id % 7 <> 0
+          UNION ALL SELECT vec_id + 1000000, sha256('y'), 'q' FROM embeddings WHERE vec_id % 13 = 0),
+    i AS (SELECT 'MISSING_PRIMARY_KEY' AS code, vec_id AS vector_id, true AS repairable FROM e WHERE vec_id NOT IN (SELECT vec_id FROM a) UNION ALL SELECT 'UNEXPECTED_PRIMARY_KEY', vec_id, true FROM a WHERE vec_id NOT IN (SELECT vec_id FROM e)
+          UNION ALL SELECT 'CONTENT_HASH_MISMATCH', vec_id, true FROM e JOIN a USING (vec_id) WHERE want IS DISTINCT FROM have UNION ALL SELECT 'PROFILE_MISMATCH', vec_id, false FROM e JOIN a USING (vec_id) WHERE p IS DISTINCT FROM 'p'
+          UNION ALL SELECT 'COUNT_MISMATCH', NULL, true WHERE (SELECT count(*) FROM e) <> (SELECT count(*) FROM a)
+          UNION ALL SELECT 'FIXED_QUERY_MISMATCH', NULL, false WHERE (SELECT list(x ORDER BY x) FROM (SELECT vec_id % 5 AS x FROM e WHERE vec_id < 40)) <> (SELECT list(x ORDER BY x) FROM (SELECT vec_id % 5 AS x FROM e WHERE vec_id < 41)))
+    SELECT code, vector_id, repairable FROM i""")
 def reconcile(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("vec_id")
-    own = F.sha2(F.col("vec_id").cast("string"), 256)
-    expected = rows.select(F.col("vec_id").alias("vector_id"), own.alias("content_sha256"))
-    actual = rows.filter("vec_id % 7 <> 0").select(F.col("vec_id").alias("vector_id"), F.when(F.col("vec_id") % 11 == 0, F.sha2(F.lit("x"), 256)).otherwise(own).alias("content_sha256"), F.when(F.col("vec_id") % 17 == 0, "q").otherwise("p").alias("profile"))
-    more = rows.filter("vec_id % 13 = 0").select((F.col("vec_id") + 1000000).alias("vector_id"), F.sha2(F.lit("y"), 256).alias("content_sha256"), F.lit("p").alias("profile"))
-    return index.reconcile(expected, actual.unionByName(more), "p")
+    k = F.col("vec_id")
+    own = F.sha2(k.cast("string"), 256)
+    expected = rows.select(k.alias("vector_id"), F.when(k % 19 > 0, own).alias("content_sha256"))
+    actual = rows.filter("vec_id % 7 <> 0").select(k.alias("vector_id"), F.when(k % 11 == 0, F.sha2(F.lit("x"), 256)).otherwise(own).alias("content_sha256"), F.when(k % 17 == 0, "q").when(k % 23 > 0, "p").alias("profile"))
+    more = rows.filter("vec_id % 13 = 0").select((k + 1000000).alias("vector_id"), F.sha2(F.lit("y"), 256).alias("content_sha256"), F.lit("q").alias("profile"))
+    probes = lambda most: rows.filter(k < most).select((k % 5).alias("id"))
+    return index.reconcile(expected, actual.unionByName(more), "p", probes(40), probes(41))
 
 
 @query("""WITH w AS (SELECT lang, sha256(text) AS h FROM documents), f AS (SELECT DISTINCT sha256(text) AS h FROM documents WHERE doc_id % 3 = 0)
@@ -126,15 +131,16 @@ def canary_route(spark, sf_dir):
 
 
 @query("""WITH m AS (SELECT o_orderkey AS manifest, o_custkey % 25 AS space, CASE o_orderstatus WHEN 'F' THEN 'ACTIVE' WHEN 'O' THEN 'SUPERSEDED' ELSE 'CANARY' END AS status FROM orders),
-    h AS (SELECT space, max(manifest) AS head FROM m WHERE status = 'ACTIVE' GROUP BY 1), c AS (SELECT space, max(manifest) AS candidate FROM m WHERE status = 'CANARY' AND space % 2 = 0 GROUP BY 1)
-    SELECT h.space, coalesce(candidate, head) AS manifest, CASE WHEN candidate IS NULL THEN 'STABLE' ELSE 'CANARY' END AS route FROM nation n JOIN h ON h.space = n.n_nationkey LEFT JOIN c ON c.space = h.space""")
+    h AS (SELECT space, max(manifest) AS head FROM m WHERE status = 'ACTIVE' GROUP BY 1), c AS (SELECT space, max(manifest) AS candidate FROM m WHERE status = 'CANARY' AND space % 3 > 0 GROUP BY 1),
+    u AS (SELECT n_nationkey AS space, ('0x' || left(sha256('salt:employee-' || n_nationkey), 8))::BIGINT % 100 < 50 AS early FROM nation)
+    SELECT h.space, CASE WHEN early THEN coalesce(candidate, head) ELSE head END AS manifest, CASE WHEN candidate IS NULL OR NOT early THEN 'STABLE' ELSE 'CANARY' END AS route FROM u JOIN h ON h.space = u.space LEFT JOIN c ON c.space = h.space""")
 def publication_routes(spark, sf_dir):
     status = F.when(F.col("o_orderstatus") == "F", "ACTIVE").when(F.col("o_orderstatus") == "O", "SUPERSEDED").otherwise("CANARY")
     m = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("manifest"), (F.col("o_custkey") % 25).alias("space"), F.col("o_orderkey").alias("version"), status.alias("status"))
-    m = m.filter((F.col("status") != "CANARY") | (F.col("space") % 2 == 0))
+    m = m.filter((F.col("status") != "CANARY") | (F.col("space") % 3 > 0))
     heads = m.filter("status = 'ACTIVE'").groupBy("space").agg(F.max("manifest").alias("head"))
-    spaces = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("space"))
-    return index.routes(spaces, heads, m, F.lit("employee-3"), "salt", 99)  # the user's bucket is below 99
+    spaces = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("space"), F.concat(F.lit("employee-"), F.col("n_nationkey").cast("string")).alias("user"))
+    return index.routes(spaces, heads, m, F.col("user"), "salt", 50)
 
 
 # ---- access ---------------------------------------------------------------------------------
@@ -175,18 +181,12 @@ def admin_counts(spark, sf_dir):
 
 
 @query("""WITH a AS (SELECT n_regionkey, list(n_nationkey) AS a FROM nation GROUP BY 1)
-    SELECT n_nationkey, array_to_string(list_filter([n_nationkey, 3, 7], lambda x: list_contains(a, x)), ',') AS scope, list_contains(a, 3) AND list_contains(a, n_nationkey) AS allowed FROM nation JOIN a USING (n_regionkey)""")
+    SELECT n_nationkey, array_to_string(list_sort(list_filter(list_distinct([n_nationkey, 3, 7]), lambda x: list_contains(a, x))), ',') AS scope, list_contains(a, 3) AND list_contains(a, n_nationkey) AS allowed FROM nation JOIN a USING (n_regionkey)""")
 def requested_spaces(spark, sf_dir):
     n = table(spark, sf_dir, "nation")
     both = n.join(n.groupBy("n_regionkey").agg(F.collect_list("n_nationkey").alias("a")), "n_regionkey")
     asked = F.array("n_nationkey", F.lit(3), F.lit(7))
-    return both.select("n_nationkey", F.array_join(access.in_scope(asked, F.col("a")), ",").alias("scope"), access.all_allowed(F.array(F.lit(3), F.col("n_nationkey")), F.col("a")).alias("allowed"))
-
-
-# The list of SQL keeps repeats, the intersection doesn't: nations 3 and 7 ask for themselves twice.
-from pagewright.plans.registry import SQL  # noqa: E402
-
-SQL["requested_spaces"] = SQL["requested_spaces"].replace("[n_nationkey, 3, 7]", "CASE WHEN n_nationkey IN (3, 7) THEN [n_nationkey, 10 - n_nationkey] ELSE [n_nationkey, 3, 7] END")
+    return both.select("n_nationkey", F.array_join(F.array_sort(access.in_scope(asked, F.col("a"))), ",").alias("scope"), access.all_allowed(F.array(F.lit(3), F.col("n_nationkey")), F.col("a")).alias("allowed"))
 
 
 # ---- pages of rows ------------------------------------------------------------------------------
@@ -313,14 +313,18 @@ def state_transitions(spark, sf_dir):
     return events.illegal_transitions(rows.withColumnRenamed("previous", "from_state").drop("next"), events.RUN_STATES)
 
 
-_STEPS = list(numbers.STEP_WEIGHTS)
-
-
-@query(f"""WITH w AS (SELECT unnest({list(range(1, 8))}) AS k, unnest({list(numbers.STEP_WEIGHTS.values())[:7]}) AS weight)
-    SELECT l_orderkey, round(sum(weight * l_quantity * 2) / 100.0, 2) AS overall FROM lineitem JOIN w ON w.k = l_linenumber GROUP BY 1""")
+# Lines of orders stand for the ten steps of jobs: those returned have succeeded, those of even quantity know their units only.
+@query("""WITH w AS (SELECT * FROM (VALUES ('SECURITY_SCAN', 8), ('PARSE', 20), ('OCR', 12), ('NORMALIZE', 10), ('CHUNK', 15), ('QUALITY_GATE', 10), ('EMBED', 12), ('INDEX', 8), ('VERIFY', 3), ('PUBLISH', 2)) AS t(step, weight)),
+    n AS (SELECT *, (['SECURITY_SCAN', 'PARSE', 'OCR', 'NORMALIZE', 'CHUNK', 'QUALITY_GATE', 'EMBED', 'INDEX', 'VERIFY', 'PUBLISH'])[((l_linenumber + l_orderkey) % 10 + 1)::INT] AS step FROM lineitem),
+    s AS (SELECT l_orderkey, weight, CASE WHEN l_returnflag = 'R' THEN 100.0 WHEN l_quantity % 2 = 1 THEN l_quantity * 2 WHEN l_linenumber % 3 = 0 THEN 0 ELSE round(least(100, 100.0 * l_quantity / 37), 2) END AS percent FROM n JOIN w USING (step))
+    SELECT l_orderkey, round(least(100.0, sum(weight * percent / 100.0)), 2) AS overall FROM s GROUP BY 1""")
 def weighted_progress(spark, sf_dir):
-    names = F.element_at(F.array(*[F.lit(s) for s in _STEPS]), F.col("l_linenumber"))
-    steps = table(spark, sf_dir, "lineitem").select("l_orderkey", names.alias("step"), (F.col("l_quantity") * 2).alias("percent"))
+    quantity = F.col("l_quantity").cast("double")
+    names = F.element_at(F.array(*[F.lit(s) for s in numbers.STEP_WEIGHTS]), ((F.col("l_linenumber") + F.col("l_orderkey")) % 10 + 1).cast("int"))
+    steps = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", names.alias("step"), F.when(F.col("l_returnflag") == "R", "SUCCEEDED").otherwise("RUNNING").alias("status"),
+        F.when(quantity % 2 == 1, quantity * 2).alias("percent"), quantity.alias("processed"), F.when(F.col("l_linenumber") % 3 != 0, 37).alias("total"),
+    )
     return events.progress(steps, numbers.STEP_WEIGHTS, "l_orderkey")
 
 

@@ -129,12 +129,6 @@ def heading_stack(spark, sf_dir):
     return found.select("doc_id", "ordinal", F.array_join("heading_path", " > ").alias("path"))
 
 
-@query(f"""WITH {_TYPED}, k AS (SELECT doc_id, ordinal, CASE type WHEN 'TITLE' THEN 'TITLE' ELSE 'PROSE' END AS kind, sum((type = 'TITLE')::INT) OVER (PARTITION BY doc_id ORDER BY ordinal) AS t FROM typed)
-    SELECT doc_id, ordinal::INT AS ordinal, kind, 'TEXT:' || t::BIGINT AS boundary, kind = 'PROSE' AS include FROM k""")
-def block_kinds(spark, sf_dir):
-    return structure.kinds(_typed(spark, sf_dir), "doc_id").select("doc_id", "ordinal", "kind", "boundary", "include")
-
-
 _SIZED = f"{LINES}, sized AS (SELECT doc_id, ordinal AS o, len({sql_words('text')}) AS s FROM lines)"
 
 
@@ -157,60 +151,25 @@ def token_windows(spark, sf_dir):
     return chunking.token_windows(_docs(spark, sf_dir), 64, 8)
 
 
-_MEASURED = rf"""{_TYPED}, b AS (SELECT t.doc_id, t.ordinal, t.type, t.text, (t.ordinal - 1) // 20 + 1 AS page_no, CASE WHEN d.lang = 'de' THEN (t.ordinal % 10) / 10.0 END AS confidence,
-        min(t.ordinal) OVER (PARTITION BY t.doc_id, {sql_canon('t.text')}) < t.ordinal AS suppressed FROM typed t JOIN documents d ON d.doc_id = t.doc_id),
-    m AS (SELECT doc_id, count(*) AS blocks, count(*) FILTER (trim(text) <> '') AS filled, count(DISTINCT page_no) AS observed_pages, round(avg(confidence::DOUBLE), 5) AS ocr_confidence,
-        sum(length(text) - length(regexp_replace(text, '[\x{{FFFD}}\x{{25A1}}\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g')))::BIGINT AS garbled, sum(length(text))::BIGINT AS chars,
-        count(*) FILTER (type = 'TITLE') AS headings, count(*) FILTER (suppressed) AS suppressed FROM b GROUP BY doc_id),
-    q AS (SELECT *, round(filled / blocks, 5) AS non_empty_ratio, CASE WHEN chars = 0 THEN 0 ELSE round(garbled / chars, 5) END AS garbled_ratio, round(suppressed / blocks, 5) AS duplicate_ratio FROM m)"""
-
-
-def _measured(spark, sf_dir):
-    rows = _typed(spark, sf_dir).join(_docs(spark, sf_dir).select("doc_id", "lang"), "doc_id")
-    rows = rows.withColumns({
-        "page_no": F.floor((F.col("ordinal") - 1) / 20) + 1,
-        "ocr_engine": F.when(F.col("lang") == "de", "engine"),
-        "confidence": F.when(F.col("lang") == "de", (F.col("ordinal") % 10) / 10.0),
-    })
-    rows = chunking.duplicates(rows, ["doc_id"]).withColumn("suppressed", F.col("dedup_status") != "UNIQUE")
-    return quality.metrics(rows, "doc_id")
-
-
-@query(f"WITH {_MEASURED} SELECT doc_id, blocks, filled, observed_pages, ocr_confidence, garbled, chars, headings, suppressed, non_empty_ratio, garbled_ratio, duplicate_ratio FROM q")
-def quality_metrics(spark, sf_dir):
-    return _measured(spark, sf_dir).drop("pages", "tables")
-
-
-@query(f"""WITH {_MEASURED}, f AS (SELECT doc_id, list_filter([
-        CASE WHEN filled = 0 THEN 'QUALITY_EMPTY_DOCUMENT' END, CASE WHEN filled > 0 AND non_empty_ratio < 0.6 THEN 'QUALITY_NON_EMPTY_LOW' END,
-        CASE WHEN 2 > observed_pages THEN 'QUALITY_MISSING_PAGES' END, CASE WHEN ocr_confidence < 0.75 THEN 'QUALITY_OCR_CONFIDENCE_LOW' END,
-        CASE WHEN garbled_ratio > 0.15 THEN 'QUALITY_GARBLED_REJECT' END, CASE WHEN garbled_ratio > 0.03 AND garbled_ratio <= 0.15 THEN 'QUALITY_GARBLED_HIGH' END,
-        CASE WHEN duplicate_ratio > 0.4 THEN 'QUALITY_DUPLICATE_HIGH' END, CASE WHEN blocks > 20 AND headings = 0 THEN 'QUALITY_HEADINGS_MISSING' END,
-        CASE WHEN doc_id % 50 = 0 THEN 'QUALITY_OWNER_MISSING' END], lambda x: x IS NOT NULL) AS findings FROM q)
-    SELECT doc_id, array_to_string(findings, ',') AS findings, CASE WHEN list_has_any(findings, ['QUALITY_EMPTY_DOCUMENT', 'QUALITY_GARBLED_REJECT', 'QUALITY_OWNER_MISSING']) THEN 'REJECT'
-        WHEN len(findings) > 0 THEN 'MANUAL_REVIEW' ELSE 'PASS' END AS verdict FROM f""")
-def quality_verdict(spark, sf_dir):
-    rows = _measured(spark, sf_dir).withColumns({"expected_pages": F.lit(2), "owner_ok": F.col("doc_id") % 50 != 0, "version_ok": F.lit(True)})
-    return quality.verdict(rows).select("doc_id", F.array_join("findings", ",").alias("findings"), "verdict")
-
-
 @query("""SELECT l_orderkey, array_to_string(list_filter(range(1, 8), lambda x: NOT list_contains(list(l_linenumber), x)), ',') AS missing FROM lineitem GROUP BY l_orderkey""")
 def missing_sequence(spark, sf_dir):
     seen = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_linenumber").alias("seen"))
     return seen.select("l_orderkey", F.array_join(F.array_sort(quality.missing_numbers(F.col("seen"), F.lit(7))), ",").alias("missing"))
 
 
-@query("""WITH f AS (SELECT p_partkey, p_size % 11 = 0 AS encrypted, p_size % 13 = 0 AS has_macros, p_size % 4 AS depth, p_size % 5 AS packed, p_size * 30 AS raw, p_size * 60 AS pages, p_size % 6 AS embedded FROM part),
-    g AS (SELECT p_partkey, list_filter([CASE WHEN encrypted THEN 'FILE_ENCRYPTED' END, CASE WHEN has_macros THEN 'MACROS_PRESENT' END, CASE WHEN depth > 1 THEN 'ARCHIVE_TOO_DEEP' END,
+@query("""WITH f AS (SELECT p_partkey, p_partkey % 23 = 0 AS malware, p_partkey % 11 = 0 AS encrypted, p_partkey % 13 = 0 AS has_macros, CASE WHEN p_partkey % 3 > 0 THEN p_size % 4 // 2 * 2 END AS depth, p_size % 5 AS packed, p_size * 10 AS raw,
+        CASE WHEN p_partkey % 17 = 0 THEN p_size * 60 END AS pages, p_size * 11000000 AS pixels, p_size * 105000 AS cells, p_partkey % 6 // 5 AS embedded, p_partkey % 7 // 6 AS links FROM part),
+    g AS (SELECT p_partkey, list_filter([CASE WHEN malware THEN 'MALWARE_DETECTED' END, CASE WHEN encrypted THEN 'PASSWORD_PROTECTED' END, CASE WHEN has_macros THEN 'ACTIVE_MACRO' END, CASE WHEN depth > 1 THEN 'ARCHIVE_DEPTH_EXCEEDED' END,
         CASE WHEN (packed = 0 AND raw > 0) OR (packed <> 0 AND raw / packed > 100) THEN 'COMPRESSION_RATIO_EXCEEDED' END, CASE WHEN pages > 2000 THEN 'PAGE_LIMIT_EXCEEDED' END,
-        CASE WHEN embedded > 0 THEN 'EMBEDDED_OBJECTS' END], lambda x: x IS NOT NULL) AS f FROM f)
-    SELECT p_partkey, array_to_string(f, ',') AS findings, CASE WHEN len(list_filter(f, lambda x: x <> 'EMBEDDED_OBJECTS')) > 0 THEN 'REJECTED' WHEN len(f) > 0 THEN 'MANUAL_REVIEW' ELSE 'CLEAN' END AS verdict FROM g""")
+        CASE WHEN pixels > 500000000 THEN 'PIXEL_LIMIT_EXCEEDED' END, CASE WHEN cells > 5000000 THEN 'TABLE_CELL_LIMIT_EXCEEDED' END], lambda x: x IS NOT NULL) AS errors,
+        list_filter([CASE WHEN embedded > 0 THEN 'EMBEDDED_OBJECT_FOUND' END, CASE WHEN links > 0 THEN 'EXTERNAL_LINK_FOUND' END], lambda x: x IS NOT NULL) AS warnings FROM f)
+    SELECT p_partkey, array_to_string(errors || warnings, ',') AS findings, CASE WHEN len(errors) > 0 THEN 'REJECTED' WHEN len(warnings) > 0 THEN 'MANUAL_REVIEW' ELSE 'CLEAN' END AS verdict FROM g""")
 def security_gate(spark, sf_dir):
-    size = F.col("p_size")
+    size, key = F.col("p_size"), F.col("p_partkey")
     rows = table(spark, sf_dir, "part").select(
-        "p_partkey", F.lit(False).alias("malware"), (size % 11 == 0).alias("encrypted"), (size % 13 == 0).alias("has_macros"), (size % 4).alias("archive_depth"), (size % 5).alias("compressed_size_bytes"),
-        (size * 30).alias("uncompressed_size_bytes"), (size * 60).alias("page_count"), F.lit(None).cast("long").alias("total_pixels"), F.lit(None).cast("long").alias("table_cell_count"),
-        (size % 6).alias("embedded_object_count"), F.lit(0).alias("external_link_count"),
+        "p_partkey", (key % 23 == 0).alias("malware"), (key % 11 == 0).alias("encrypted"), (key % 13 == 0).alias("has_macros"), F.when(key % 3 > 0, F.floor(size % 4 / 2) * 2).alias("archive_depth"), (size % 5).alias("compressed_size_bytes"),
+        (size * 10).alias("uncompressed_size_bytes"), F.when(key % 17 == 0, size * 60).alias("page_count"), (size.cast("long") * 11000000).alias("total_pixels"), (size.cast("long") * 105000).alias("table_cell_count"),
+        (key % 6 == 5).cast("int").alias("embedded_object_count"), (key % 7 == 6).cast("int").alias("external_link_count"),
     )
     return quality.security_gate(rows).select("p_partkey", F.array_join("findings", ",").alias("findings"), "verdict")
 
@@ -247,11 +206,22 @@ def html_title(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", markup.html_title(F.col("html")).alias("title"))
 
 
-@query("""WITH u AS (SELECT page_id, unnest(regexp_extract_all(html, '<(?:a|img|link|video|audio|source)\\s[^>]*?(?:href|src)="([^"]*)"', 1)) AS url FROM pages),
-    k AS (SELECT page_id, CASE WHEN trim(url) = '' THEN 'EMPTY' WHEN lower(trim(url)) LIKE 'data:%' THEN 'DATA' WHEN regexp_matches(lower(trim(url)), '^(?:[a-z][a-z0-9+.-]*:|//)') THEN 'EXTERNAL' ELSE 'LOCAL' END AS kind FROM u)
-    SELECT page_id, kind, count(*) AS n FROM k GROUP BY 1, 2""")
+# The pages' own links are few in kind: each also stands here with other beginnings.
+_URLS = r"""u AS (SELECT page_id, unnest([url, '//' || url, 'HTTPS://x/' || url, 'mailto:' || url, 'JavaScript:' || url, 'data:' || url, '  ', '/a/' || url]) AS url
+        FROM (SELECT page_id, unnest(list_transform(regexp_extract_all(html, '<(?i:a|img|link|video|audio|source)\s[^>]*?(?i:href|src)\s*=\s*("[^"]*"|''[^'']*'')', 1), lambda x: x[2:-2])) AS url FROM pages))"""
+_STARTS = ("", "//", "HTTPS://x/", "mailto:", "JavaScript:", "data:", None, "/a/")
+
+
+def _urls(spark, sf_dir):
+    found = markup.links(table(spark, sf_dir, "pages"), "page_id")
+    more = F.array(*[F.lit("  ") if s is None else F.concat(F.lit(s), "url") for s in _STARTS])
+    return found.select("page_id", F.explode(more).alias("url"))
+
+
+@query(f"""WITH {_URLS}, k AS (SELECT page_id, CASE WHEN trim(url) = '' THEN 'EMPTY' WHEN trim(url) LIKE 'data:%' THEN 'DATA' WHEN regexp_matches(trim(url), '^(?i:https?:)?//') THEN 'EXTERNAL' ELSE 'LOCAL' END AS kind, url FROM u)
+    SELECT page_id, kind, count(*) AS n, count(*) FILTER (kind = 'EXTERNAL' OR lower(trim(url)) LIKE 'javascript:%') AS leaving FROM k GROUP BY 1, 2""")
 def link_kinds(spark, sf_dir):
-    return markup.links(table(spark, sf_dir, "pages"), "page_id").groupBy("page_id", markup.link_kind(F.col("url")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return _urls(spark, sf_dir).groupBy("page_id", markup.link_kind(F.col("url")).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.count_if(markup.leaves(F.col("url"))).alias("leaving"))
 
 
 @query()
@@ -259,10 +229,20 @@ def html_blocks(spark, sf_dir):
     return markup.blocks(table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")), markup.html_blocks_of)
 
 
-@query("SELECT page_id, CASE WHEN page_id % 2 = 0 AND regexp_matches(lower(html), '^\\s*(<!doctype html|<html)') THEN 'HTML' END AS format FROM pages")
+_NAMES = "['page.html', 'page.txt', 'page.PDF', 'a.b.csv', 'page', 'page.htm', 'notes.md', 'x.docx']"
+
+
+@query(rf"""WITH f AS (SELECT page_id, ({_NAMES})[page_id % 8 + 1] AS name, CASE page_id % 7 WHEN 1 THEN '%PDF-1.7' WHEN 2 THEN chr(80) || 'K' || chr(3) || chr(4) WHEN 3 THEN 'GIF89a' ELSE html END AS body FROM pages),
+    x AS (SELECT *, CASE WHEN contains(name, '.') THEN lower(regexp_extract(name, '\.([^.]+)$', 1)) ELSE name END AS ext, regexp_matches(lower(body), '^\s*(<!doctype html|<html)') AS page FROM f)
+    SELECT page_id, CASE WHEN body LIKE '\%PDF-%' ESCAPE '\' THEN CASE WHEN ext = 'pdf' THEN 'PDF' END WHEN body LIKE 'PK%' THEN CASE WHEN ext = 'docx' THEN 'DOCX' END WHEN body LIKE 'GIF8%' THEN NULL
+            WHEN ext IN ('html', 'htm') THEN CASE WHEN page THEN 'HTML' END WHEN ext = 'txt' THEN 'TEXT' WHEN ext = 'csv' THEN 'CSV' WHEN ext = 'md' THEN 'MARKDOWN' END AS format,
+        CASE WHEN body LIKE '\%PDF-%' ESCAPE '\' THEN CASE WHEN ext <> 'pdf' THEN 'EXTENSION_MAGIC_MISMATCH' END WHEN body LIKE 'PK%' THEN CASE WHEN ext <> 'docx' THEN 'UNSUPPORTED_ZIP_CONTAINER' END WHEN body LIKE 'GIF8%' THEN 'EXTENSION_MAGIC_MISMATCH'
+            WHEN ext IN ('html', 'htm') THEN CASE WHEN NOT page THEN 'HTML_SIGNATURE_MISMATCH' END WHEN ext NOT IN ('txt', 'csv', 'md') THEN 'UNSUPPORTED_TEXT_EXTENSION' END AS code FROM x""")
 def file_formats(spark, sf_dir):
-    rows = table(spark, sf_dir, "pages").select("page_id", F.substring(F.col("html").cast("binary"), 1, 8192).alias("header"), F.when(F.col("page_id") % 2 == 0, "page.html").otherwise("page.txt").alias("name"))
-    return rows.select("page_id", files.file_format(F.col("header"), F.col("name")).alias("format"))
+    key = F.col("page_id")
+    name = F.element_at(F.array(*[F.lit(n) for n in ("page.html", "page.txt", "page.PDF", "a.b.csv", "page", "page.htm", "notes.md", "x.docx")]), (key % 8 + 1).cast("int"))
+    body = F.when(key % 7 == 1, F.lit(b"%PDF-1.7")).when(key % 7 == 2, F.lit(b"PK\x03\x04")).when(key % 7 == 3, F.lit(b"GIF89a")).otherwise(F.substring(F.col("html").cast("binary"), 1, 8192))
+    return table(spark, sf_dir, "pages").select("page_id", files.detection(body, name).alias("d")).select("page_id", "d.format", "d.code")
 
 
 @query("""WITH last AS (SELECT doc_id, o % 3 AS page, arg_max(o, o) AS chunk FROM (SELECT conv_id AS doc_id, turn AS o FROM conversations WHERE role <> 'user') GROUP BY 1, 2)
@@ -287,16 +267,3 @@ def table_row_groups(spark, sf_dir):
     rows = rows.select(F.col("l_orderkey").alias("table_id"), F.col("l_linenumber").alias("ordinal"), F.array("l_returnflag", "l_linestatus", F.col("l_suppkey").cast("string")).alias("cells"), "first", "l_linenumber")
     rows = rows.select("table_id", "ordinal", "cells", (F.col("l_linenumber") == F.col("first")).alias("is_header"))
     return chunking.table_groups(rows, 21)
-
-
-@query(f"""WITH {_TYPED}, s AS (SELECT doc_id, ordinal, doc_id || '.' || ordinal AS chunk, min(ordinal) OVER (PARTITION BY doc_id, {sql_canon('text')}) AS f FROM typed),
-    n AS (SELECT *, lag(chunk) OVER w AS p, lead(chunk) OVER w AS x FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY ordinal))
-    SELECT chunk AS from_chunk, 'PARENT_CHILD' AS relation, 'parent.' || doc_id AS to_chunk, NULL::VARCHAR AS to_block, 0 AS ordinal FROM s
-    UNION ALL SELECT chunk, 'PREVIOUS', p, NULL, 0 FROM n WHERE p IS NOT NULL UNION ALL SELECT chunk, 'NEXT', x, NULL, 0 FROM n WHERE x IS NOT NULL
-    UNION ALL SELECT chunk, 'DUPLICATE_OF', doc_id || '.' || f, NULL, 0 FROM s WHERE f < ordinal UNION ALL SELECT chunk, 'SOURCE_BLOCK', NULL, chunk, 0 FROM s""")
-def chunk_relations(spark, sf_dir):
-    rows = chunking.duplicates(_lines(spark, sf_dir), ["doc_id"])
-    name = F.concat_ws(".", F.col("doc_id").cast("string"), F.col("ordinal").cast("string"))
-    first = F.when(F.col("duplicate_of").isNotNull(), F.concat_ws(".", F.col("doc_id").cast("string"), F.col("duplicate_of").cast("string")))
-    rows = rows.select("doc_id", "ordinal", name.alias("chunk"), F.concat_ws(".", F.lit("parent"), F.col("doc_id").cast("string")).alias("parent"), F.array(name).alias("blocks"), first.alias("duplicate_of"))
-    return chunking.relations(rows)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.functions import text
+
 # Magic numbers, extensions and media types.
 IMAGES = (("PNG", "89504E470D0A1A0A"), ("JPEG", "FFD8FF"), ("GIF", "47494638"), ("TIFF", "49492A00"), ("TIFF", "4D4D002A"), ("BMP", "424D"))
 EXTENSIONS = {
@@ -18,10 +20,10 @@ TYPES = {
     "DOCX": (OFFICE + "wordprocessingml.document",),
     "XLSX": (OFFICE + "spreadsheetml.sheet",),
     "PPTX": (OFFICE + "presentationml.presentation",),
-    "HTML": ("text/html", "application/xhtml+xml"),
+    "HTML": ("text/html",),
     "MARKDOWN": ("text/markdown", "text/plain"),
     "TEXT": ("text/plain",),
-    "CSV": ("text/csv", "text/plain", "application/csv"),
+    "CSV": ("text/csv", "text/plain"),
     "IMAGE": ("image/png", "image/jpeg", "image/gif", "image/tiff", "image/bmp", "image/webp"),
 }
 EXECUTABLES = ("4D5A", "7F454C46", "FEEDFACE", "FEEDFACF", "CEFAEDFE", "CFFAEDFE", "2321")
@@ -56,21 +58,31 @@ def image_kind(header: Column) -> Column:
     return kind
 
 
-def file_format(header: Column, file_name: Column) -> Column:
-    """The format that content and extension agree on, else null: unknown content is refused."""
-    extension = F.lower(F.regexp_extract(file_name, r"\.([^.]+)$", 1))
+def detection(header: Column, file_name: Column) -> Column:
+    """A struct of the format that content and extension agree on (or null) and, where a file is refused, why."""
+    extension = F.lower(F.element_at(F.split(file_name, r"\."), -1))
     named = F.create_map(*[F.lit(x) for pair in EXTENSIONS.items() for x in pair])[extension]
-    zipped = _begins(header, "504B0304")
     textual = F.is_valid_utf8(header.cast("string")) & ~F.contains(header, F.lit(b"\x00"))
-    page = F.lower(header.cast("string")).rlike(r"^\s*(<!doctype html|<html)")
+    page = F.lower(text.trimmed(header.cast("string"))).rlike(r"^(<!doctype html|<html)")
+
+    def said(name: Column | None = None, code: str | None = None) -> Column:
+        return F.struct((F.lit(None).cast("string") if name is None else name).alias("format"), F.lit(code).cast("string").alias("code"))
+
+    # Why a file is refused.
     return (
-        F.when(_begins(header, "255044462D"), F.when(named == "PDF", "PDF"))
-        .when(zipped, F.when(named.isin("DOCX", "XLSX", "PPTX"), named))
-        .when(image_kind(header).isNotNull(), F.when(named == "IMAGE", "IMAGE"))
-        .when(~textual, None)
-        .when(page, F.when(named == "HTML", "HTML"))
-        .when(named.isin("MARKDOWN", "TEXT", "CSV"), named)
-    )
+        F.when(_begins(header, "255044462D"), F.when(named == "PDF", said(named)).otherwise(said(code="EXTENSION_MAGIC_MISMATCH")))
+        .when(_begins(header, "504B0304"), F.when(named.isin("DOCX", "XLSX", "PPTX"), said(named)).otherwise(said(code="UNSUPPORTED_ZIP_CONTAINER")))
+        .when(image_kind(header).isNotNull(), F.when(named == "IMAGE", said(named)).otherwise(said(code="EXTENSION_MAGIC_MISMATCH")))
+        .when(~textual, said(code="UNSUPPORTED_BINARY_FORMAT"))
+        .when(named == "HTML", F.when(page, said(named)).otherwise(said(code="HTML_SIGNATURE_MISMATCH")))
+        .when(named.isin("MARKDOWN", "TEXT", "CSV"), said(named))
+        .otherwise(said(code="UNSUPPORTED_TEXT_EXTENSION"))
+    )
+
+
+def file_format(header: Column, file_name: Column) -> Column:
+    """The format that content and extension agree on, else null."""
+    return detection(header, file_name)["format"]
 
 
 def mime_issue(declared: Column, detected: Column) -> Column:

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.functions import text as text_
+
 BLOCKS = "doc_id long, ordinal int, type string, text string, heading_level int, cells array<array<string>>, header_rows int"
 MERGED = ", merged_cells array<struct<row:int,column:int,row_span:int,column_span:int>>"
 # Elements without content of their own, elements that make blocks, elements that end a paragraph.
@@ -21,7 +23,9 @@ ENDS_P = set(TYPES) | {"div", "article", "section", "nav", "ul", "ol", "table",
 
 
 def _span(value: str | None) -> int:
-    return max(1, min(10_000, int(value))) if value and value.isascii() and value.isdigit() else 1
+    """A span that isn't a number from 1 to 10,000 is 1."""
+    span = int(value) if value and value.strip().isascii() and value.strip().isdigit() and len(value) < 9 else 1
+    return span if 1 <= span <= 10_000 else 1
 
 
 class _Table:
@@ -38,9 +42,8 @@ class _Table:
 
     def end_cell(self) -> None:
         if self.cell is not None:
-            column, _, columns = self.place
             row = self.rows[-1]
-            row += [""] * (column - len(row)) + [" ".join("".join(self.cell).split())] + [""] * (columns - 1)
+            row += [""] * (self.column - len(row)) + [" ".join("".join(self.cell).split())]
             self.cell = None
 
     def end_row(self) -> None:
@@ -51,16 +54,17 @@ class _Table:
         self.end_row()
         self.rows.append([])
         self.heads.append(True)
-        self.in_row = True
+        self.in_row, self.next = True, 0
 
     def begin_cell(self, tag: str, attrs: dict) -> None:
         self.end_cell()
         if not self.in_row:
             self.begin_row()
-        at, column = len(self.rows) - 1, len(self.rows[-1])
+        at, column = len(self.rows) - 1, self.next
         while self.taken.get(column, -1) >= at:
             column += 1
-        self.place = column, rows, columns = column, _span(attrs.get("rowspan")), _span(attrs.get("colspan"))
+        rows, columns = _span(attrs.get("rowspan")), _span(attrs.get("colspan"))
+        self.column, self.next = column, column + columns
         if rows > 1:
             self.taken.update((c, max(at + rows - 1, self.taken.get(c, -1))) for c in range(column, column + columns))
         if rows > 1 or columns > 1:
@@ -70,11 +74,12 @@ class _Table:
 
     def block(self) -> tuple | None:
         self.end_row()
-        if not self.rows:
+        kept = [(r, h) for r, h in zip(self.rows, self.heads, strict=True) if r]  # rows without cells are none
+        if not kept:
             return None
-        width = max(map(len, self.rows))
-        cells = [r + [""] * (width - len(r)) for r in self.rows]
-        heads = next((i for i, h in enumerate(self.heads) if not h), len(self.heads))
+        width = max(len(r) for r, _ in kept)
+        cells = [r + [""] * (width - len(r)) for r, _ in kept]
+        heads = sum(h for _, h in kept)
         return ("TABLE", "\n".join(" | ".join(r) for r in cells), None, cells, heads, self.merged)
 
 
@@ -265,11 +270,17 @@ def html_title(html: Column) -> Column:
 
 def link_kind(url: Column) -> Column:
     """EMPTY, DATA, EXTERNAL or LOCAL."""
-    u = F.lower(F.trim(F.coalesce(url, F.lit(""))))
-    return F.when(u == "", "EMPTY").when(F.startswith(u, F.lit("data:")), "DATA").when(u.rlike("^(?:[a-z][a-z0-9+.-]*:|//)"), "EXTERNAL").otherwise("LOCAL")
+    u = text_.trimmed(F.coalesce(url, F.lit("")))
+    return F.when(u == "", "EMPTY").when(F.startswith(u, F.lit("data:")), "DATA").when(u.rlike("^(?i:https?:)?//"), "EXTERNAL").otherwise("LOCAL")
+
+
+def leaves(url: Column) -> Column:
+    """Whether a link counts as external: it leads out of the document, or runs a script."""
+    return (link_kind(url) == "EXTERNAL") | text_.trimmed(F.coalesce(url, F.lit(""))).rlike("^(?i:javascript:)")
 
 
 def links(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     """key, url: targets of a page's elements."""
-    found = F.regexp_extract_all(F.col(html), F.lit(r"""<(?:a|img|link|video|audio|source)\s[^>]*?(?:href|src)="([^"]*)\""""), F.lit(1))
+    tag = r"""<(?i:a|img|link|video|audio|source)\s[^>]*?(?i:href|src)\s*=\s*("[^"]*"|'[^']*')"""
+    found = F.transform(F.regexp_extract_all(F.col(html), F.lit(tag), F.lit(1)), lambda u: F.substring(u, F.lit(2), F.length(u) - 2))
     return pages.select(key, F.explode(found).alias("url"))

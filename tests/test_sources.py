@@ -17,7 +17,7 @@ from pagewright.sources import files, markup, office
         ("matrix.xlsx", bytes.fromhex("504b030414000000"), "XLSX"), ("a.zip", bytes.fromhex("504b030414000000"), None),
         ("scan.png", bytes.fromhex("89504e470d0a1a0a"), "IMAGE"), ("handbook.html", b"<!doctype html><p>", "HTML"), ("h.html", b"<p>no doctype", None),
         ("handbook.md", b"# t", "MARKDOWN"), ("notice.txt", b"n", "TEXT"), ("owners.csv", b"a,b", "CSV"), ("x.png", b"%PDF-1.7", None),
-        ("nul.txt", b"a\x00b", None), ("bad.txt", b"\xff\xfea\xff", None), ("w.webp", b"RIFF\x00\x00\x00\x00WEBP", "IMAGE"),
+        ("nul.txt", b"a\x00b", None), ("bad.txt", b"\xff\xfea\xff", None), ("w.webp", b"RIFF\x00\x00\x00\x00WEBP", "IMAGE"), ("page.txt", b"<html><p>", "TEXT"), ("page.md", b"<!doctype html>", "MARKDOWN"),
     ],
 )
 def test_format(spark, name, header, expected):
@@ -25,6 +25,13 @@ def test_format(spark, name, header, expected):
     assert df.select(files.file_format(F.col("h"), F.col("n"))).first()[0] == expected
 
 
+def test_refusals_say_why(spark):
+    rows = [("x.png", b"%PDF-1"), ("a.zip", b"PK\x03\x04"), ("a.txt", b"GIF89a"), ("b.bin", b"a\x00"), ("c.htm", b"<p>"), ("d", b"text"), ("e.csv", b"a")]
+    df = spark.createDataFrame([(n, bytearray(h)) for n, h in rows], "n string, h binary")
+    want = ["EXTENSION_MAGIC_MISMATCH", "UNSUPPORTED_ZIP_CONTAINER", "EXTENSION_MAGIC_MISMATCH", "UNSUPPORTED_BINARY_FORMAT", "HTML_SIGNATURE_MISMATCH", "UNSUPPORTED_TEXT_EXTENSION", None]
+    assert [r[0] for r in df.select(files.detection(F.col("h"), F.col("n"))["code"]).collect()] == want
+
+
 def test_mime_scanner_and_decoding(spark):
     df = spark.createDataFrame([(bytearray(c),) for c in (b"MZx", b"ok", b"aX5O!EICAR-STANDARD-ANTIVIRUS-TEST-FILE", b"#!/bin/sh")], "c binary")
     assert [r[0] for r in df.select(files.malware(F.col("c"))).collect()] == [True, False, True, True]
@@ -58,8 +65,8 @@ def parsed(spark, parse, body):
 def test_html(spark):
     page = '<html><head><title>x</title></head><body><h1>制度</h1><script>var t="</p>"</script><p><b>正文<p>two<table><tr><th colspan="2">a<tr><td>1</td></tr></table><ul><li><p>i</p></ul><pre>a\n b</pre><img alt="z"></body>'
     got = parsed(spark, markup.html_blocks_of, page.replace("<tr><td>", "</th></tr><tr><td>"))
-    assert [g[:3] for g in got] == [("TITLE", "制度", 1), ("PARAGRAPH", "正文", None), ("PARAGRAPH", "two", None), ("TABLE", "a | \n1 | ", None), ("LIST", "i", None), ("CODE", "a\n b", None), ("IMAGE", "z", None)]
-    assert got[3][3] == [["a", ""], ["1", ""]]
+    assert [g[:3] for g in got] == [("TITLE", "制度", 1), ("PARAGRAPH", "正文", None), ("PARAGRAPH", "two", None), ("TABLE", "a\n1", None), ("LIST", "i", None), ("CODE", "a\n b", None), ("IMAGE", "z", None)]
+    assert got[3][3] == [["a"], ["1"]]
 
 
 def test_html_with_end_tags_left_out():
@@ -69,7 +76,7 @@ def test_html_with_end_tags_left_out():
     assert [g[4] for g in got] == [None, 1, None, 0]
     assert [g[:2] for g in markup.html_blocks_of("<head><title>x</title><h1>t</h1><p>u")] == [("TITLE", "t"), ("PARAGRAPH", "u")]
     raw = '<html><head><title>x</title></head><body><p>two<table><tr><th colspan="2">a<tr><td>1</td></tr></table>'
-    assert markup.html_blocks_of(raw)[1][3] == [["a", ""], ["1", ""]]
+    assert markup.html_blocks_of(raw)[1][3] == [["a"], ["1"]]
 
 
 def test_html_nested_tables():
@@ -131,7 +138,10 @@ def test_archives_are_inspected(spark):
 
 def test_link_kinds(spark):
     df = spark.createDataFrame([(u,) for u in ("", "data:x", "/a", "https://x", "//x", "javascript:1", "#a", None)], "u string")
-    assert [r[0] for r in df.select(markup.link_kind(F.col("u"))).collect()] == ["EMPTY", "DATA", "LOCAL", "EXTERNAL", "EXTERNAL", "EXTERNAL", "LOCAL", "EMPTY"]
+    assert [r[0] for r in df.select(markup.link_kind(F.col("u"))).collect()] == ["EMPTY", "DATA", "LOCAL", "EXTERNAL", "EXTERNAL", "LOCAL", "LOCAL", "EMPTY"]
+    assert [r[0] for r in df.select(markup.leaves(F.col("u"))).collect()] == [False, False, False, True, True, True, False, False]
+    page = spark.createDataFrame([(1, "<a class='x' HREF = 'mailto:a'>b</a><IMG src=\"//c\"><p title='<'>")], "k int, html string")
+    assert [r["url"] for r in markup.links(page, "k").collect()] == ["mailto:a", "//c"]
 
 
 def test_snapshots_are_replaced_only_when_they_change(spark, tmp_path):

@@ -1,18 +1,20 @@
 """Headings, kinds, packing, duplicates and quality on small block tables."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from pagewright.functions import ids, numbers, secrecy, text, vectors
-from pagewright.operators import access, blocks, chunking, events, index, paging, quality, structure
+from pagewright.operators import access, blocks, builder, chunking, events, index, paging, quality, structure
 
 
-def block(o, kind, body, level=None, page=1, engine=None, confidence=None, doc=1):
-    return Row(doc_id=doc, ordinal=o, type=kind, text=body, heading_level=level, page_no=page, ocr_engine=engine, confidence=confidence)
+def block(o, kind, body, level=None, page=1, engine=None, confidence=None, doc=1, sheet=None, slide=None, parent=None, cells=None, heads=None, form="PDF"):
+    return Row(doc_id=doc, ordinal=o, type=kind, text=body, heading_level=level, page_no=page, ocr_engine=engine, confidence=confidence, block_id=f"b{o}", sheet_name=sheet, slide_no=slide, parent_block_id=parent, cells=cells, header_rows=heads, file_format=form)
 
 
-SCHEMA = "doc_id long, ordinal int, type string, text string, heading_level int, page_no int, ocr_engine string, confidence double"
+SCHEMA = "doc_id long, ordinal int, type string, text string, heading_level int, page_no int, ocr_engine string, confidence double, block_id string, sheet_name string, slide_no int, parent_block_id string, cells array<array<string>>, header_rows int, file_format string"
 
 
 def frame(spark, rows):
@@ -22,7 +24,7 @@ def frame(spark, rows):
 def test_heading_path_is_cut_by_titles_of_the_same_level(spark):
     rows = [block(1, "TITLE", "制度", 1), block(2, "TITLE", "标准", 2), block(3, "PARAGRAPH", "a"), block(4, "TITLE", "B", 1), block(5, "CODE", "x"), block(6, "TITLE", "  ", 3), block(7, "PARAGRAPH", "b")]
     got = {r["ordinal"]: r["heading_path"] for r in structure.heading_stack(frame(spark, rows), "doc_id").collect()}
-    assert got[3] == ["制度", "标准"] and got[5] == ["B"] and got[7] == ["B", "未命名标题 4"]
+    assert got[3] == ["制度", "标准"] and got[5] == ["B"] and got[7] == ["B", "未命名标题 6"]
 
 
 def test_answers_belong_to_their_question(spark):
@@ -30,12 +32,76 @@ def test_answers_belong_to_their_question(spark):
     got = {r["ordinal"]: r for r in structure.kinds(frame(spark, rows), "doc_id").collect()}
     assert [got[i]["kind"] for i in range(1, 11)] == ["TITLE", "FAQ", "DECORATION", "FAQ", "FAQ", "FAQ", "CLAUSE", "PROSE", "FOOTNOTE", "LIST"]
     assert got[2]["boundary"] == got[4]["boundary"] != got[5]["boundary"] == got[6]["boundary"]
-    assert [i for i in got if not got[i]["include"]] == [1, 3, 9, 10]
+    assert [i for i in got if not got[i]["include"]] == [1, 3, 9, 10] and got[8]["boundary"] == "heading:b1" and got[7]["boundary"] == "clause:b7"
+
+
+def test_boundaries_and_patterns(spark):
+    rows = [block(1, "PARAGRAPH", "a"), block(2, "PARAGRAPH", "b", sheet="S"), block(3, "PARAGRAPH", "c", slide=2), block(4, "TABLE", " "), block(5, "TABLE_ROW", "r", parent="t9"), block(6, "CODE", " "), block(7, "PARAGRAPH", " 第二编 x"), block(8, "PARAGRAPH", "第三项"), block(9, "PARAGRAPH", "1.2 x"), block(10, "PARAGRAPH", "第两条"), block(11, "PARAGRAPH", "q ：x"), block(12, "PARAGRAPH", " "), block(13, "TITLE", "t"), block(14, "PARAGRAPH", "Q. x"), block(15, "PARAGRAPH", "第〇章", slide=0)]
+    got = {r["ordinal"]: r for r in structure.kinds(frame(spark, rows), "doc_id").collect()}
+    assert [got[i]["boundary"] for i in range(1, 7)] == ["document-root", "sheet:S", "slide:2", "table:b4", "table:t9", "code:b6"]
+    assert [got[i]["kind"] for i in range(7, 16)] == ["CLAUSE", "CLAUSE", "CLAUSE", "PROSE", "FAQ", "FAQ", "TITLE", "PROSE", "PROSE"]
+    assert got[12]["include"] and got[4]["include"] and got[6]["include"] and got[15]["boundary"] == "heading:b13"
+
+
+def made(spark, rows, **policy):
+    got = builder.chunks(frame(spark, rows), builder.Policy(**policy)).orderBy("ordinal").collect()
+    return [r for r in got if r["granularity"] == "CHILD"], [r for r in got if r["granularity"] == "PARENT"]
+
+
+def words(n, tag="w"):
+    return " ".join(f"{tag}{i}" for i in range(n))
+
+
+def test_chunks_hold_headings_and_budgets(spark):
+    rows = [block(1, "TITLE", "T", 1), block(2, "PARAGRAPH", words(3, "a")), block(3, "PARAGRAPH", words(3, "b")), block(4, "PARAGRAPH", words(2, "c")), block(5, "PARAGRAPH", words(20, "d"))]
+    own, up = made(spark, rows, child=8, parent=14, overlap=2)
+    # one token of the headings counts: 3 + 3 + 1 fit, 2 more don't; 20 are cut to 7, each 2 into the one before
+    assert [(r["block_ids"], r["token_count"], r["split_reason"]) for r in own] == [(["b2", "b3"], 7, "TOKEN_LIMIT"), (["b4"], 3, "TOKEN_LIMIT")] + [(["b5"], n, "TOKEN_LIMIT") for n in (8, 8, 8, 6)]
+    assert own[0]["embedding_text"] == "标题路径：T\na0 a1 a2\n\nb0 b1 b2" and own[3]["display"].split()[0] == "d5"
+    assert [(r["ordinal"], r["split_reason"], r["token_count"]) for r in up] == [(1, "PARENT_TOKEN_LIMIT", 9), (4, "PARENT_TOKEN_LIMIT", 8), (6, "PARENT_TOKEN_LIMIT", 8), (8, "PARENT_TOKEN_LIMIT", 14)] or [r["token_count"] for r in up][0] == 9
+    assert all(r["token_count"] <= 14 for r in up) and {r["parent_chunk_id"] for r in own} == {r["chunk_id"] for r in up}
+    with pytest.raises(Exception, match="no room"):
+        made(spark, [block(1, "TITLE", words(9), 1), block(2, "PARAGRAPH", words(3))], child=8, parent=8, overlap=0)
+    for bad in (dict(child=7), dict(child=10, parent=9), dict(child=10, parent=10, overlap=10)):
+        with pytest.raises(ValueError):
+            builder.Policy(**bad)
+
+
+def test_repeated_texts_are_chunks_of_their_own(spark):
+    rows = [block(1, "PARAGRAPH", "foot note", page=1), block(2, "PARAGRAPH", "body"), block(3, "PARAGRAPH", " Foot  NOTE", page=2), block(4, "PARAGRAPH", "end"), block(5, "FOOTNOTE", "n", page=2), block(6, "FOOTNOTE", "m", page=9)]
+    own, up = made(spark, rows, child=50, parent=90, overlap=0)
+    assert [(r["block_ids"], r["dedup_status"], r["duplicate_scope"], r["split_reason"]) for r in own] == [
+        (["b1"], "UNIQUE", None, None), (["b2"], "UNIQUE", None, "TOKEN_LIMIT"), (["b3"], "SUPPRESSED_DUPLICATE", "CROSS_PAGE", None), (["b4"], "UNIQUE", None, "TOKEN_LIMIT")]
+    assert own[2]["duplicate_of"] == own[0]["chunk_id"] and len(up) == 1
+    kept, _ = made(spark, rows, child=50, parent=90, overlap=0, dedup="RETAIN")
+    assert kept[2]["dedup_status"] == "RETAINED_DUPLICATE"
+    chunks = builder.chunks(frame(spark, rows), builder.Policy(50, 90, 0))
+    notes = frame(spark, rows).filter("type = 'FOOTNOTE'").select("doc_id", "page_no", "block_id")
+    links = [tuple(r) for r in builder.relations(chunks, notes).collect()]
+    assert len(links) == len(set(links)) and Counter(r[1] for r in links) == {"PARENT_CHILD": 4, "SOURCE_BLOCK": 8, "PREVIOUS": 3, "NEXT": 3, "DUPLICATE_OF": 1, "FOOTNOTE": 1}
+    assert (own[2]["chunk_id"], "FOOTNOTE", None, "b5", 0) in links
+
+
+def test_tables_repeat_their_header(spark):
+    cells = [["h"]] + [[f"r{i}"] for i in range(4)] + [[words(12, "x")]]
+    rows = [block(1, "TABLE", "t", cells=cells, heads=1), block(2, "TABLE", words(30)), block(3, "TABLE", "u", cells=[["only"]], heads=1), block(4, "TABLE", "")]
+    own, _ = made(spark, rows, child=12, parent=40, overlap=4)
+    first = [r for r in own if r["block_ids"] == ["b1"]]
+    assert [r["split_reason"] for r in first] == ["TABLE_ROW_GROUP", "TABLE_ROW_GROUP", "TOKEN_LIMIT", "TOKEN_LIMIT"]
+    assert [r["display"] for r in first[:2]] == ["| h |\n| r0 |\n| r1 |\n| r2 |", "| h |\n| r3 |"] and all(r["token_count"] <= 12 for r in own)
+    assert [len(r["display"].split()) for r in own if r["block_ids"] == ["b2"]] == [12, 12, 6]
+    assert [(r["display"], r["split_reason"]) for r in own if r["block_ids"] == ["b3"]] == [("| only |\n| only |", None)] and not [r for r in own if r["block_ids"] == ["b4"]]
+
+
+def test_formats_and_sheets_say_what_a_chunk_is(spark):
+    rows = [block(1, "PARAGRAPH", "a", form="PPTX", slide=1), block(2, "LIST", "b", form="PPTX", slide=1), block(3, "PARAGRAPH", "c", form="PPTX", slide=2), block(4, "LIST", "l", form="PPTX", slide=2)]
+    own, up = made(spark, rows, child=50, parent=90, overlap=0)
+    assert [(r["content_type"], r["block_ids"]) for r in own] == [("SLIDE", ["b1", "b2"]), ("SLIDE", ["b3", "b4"])] and len(up) == 2
 
 
 def test_content_types(spark):
-    rows = spark.createDataFrame([("PROSE", "PPTX"), ("LIST", "XLSX"), ("TABLE", "PPTX"), ("PROSE", "PDF")], "k string, f string")
-    assert [r[0] for r in rows.select(structure.content_type(F.col("k"), F.col("f"))).collect()] == ["SLIDE", "SHEET", "TABLE", "PROSE"]
+    rows = spark.createDataFrame([("PROSE", "PPTX"), ("LIST", "XLSX"), ("TABLE", "PPTX"), ("PROSE", "PDF"), ("PROSE", "CSV")], "k string, f string")
+    assert [r[0] for r in rows.select(structure.content_type(F.col("k"), F.col("f"))).collect()] == ["SLIDE", "LIST", "TABLE", "PROSE", "SHEET"]
 
 
 def test_packing_closes_a_pack_when_the_next_does_not_fit(spark):
@@ -68,18 +134,25 @@ def test_duplicates_point_to_the_first(spark):
 
 
 def test_quality_verdicts(spark):
-    def verdict(rows, expected=1, owner=True, version=True):
-        rows = frame(spark, rows).withColumn("suppressed", F.lit(False))
-        m = quality.metrics(rows, "doc_id").withColumns({"expected_pages": F.lit(expected), "owner_ok": F.lit(owner), "version_ok": F.lit(version)})
+    def verdict(rows, expected=1, owner=True, version=True, children=(("CHILD", "UNIQUE"),)):
+        chunks = spark.createDataFrame([(1, *c) for c in children], "doc_id long, granularity string, dedup_status string")
+        m = quality.metrics(frame(spark, rows), chunks, "doc_id").withColumns({"expected_pages": F.lit(expected), "owner_ok": F.lit(owner), "version_ok": F.lit(version)})
         r = quality.verdict(m).first()
         return r["verdict"], r["findings"]
 
     good = [block(1, "TITLE", "t", 1), block(2, "PARAGRAPH", "p")]
     assert verdict(good) == ("PASS", [])
-    assert verdict([block(1, "PARAGRAPH", "p", engine="e", confidence=0.5)], 2) == ("MANUAL_REVIEW", ["QUALITY_MISSING_PAGES", "QUALITY_OCR_CONFIDENCE_LOW"])
+    assert verdict([block(1, "PARAGRAPH", "p", engine="e", confidence=0.5)], 2) == ("MANUAL_REVIEW", ["QUALITY_OCR_CONFIDENCE_LOW", "QUALITY_MISSING_PAGES"])
     assert verdict(good, 1, False, False) == ("REJECT", ["QUALITY_OWNER_MISSING", "QUALITY_VERSION_CONFLICT"])
-    assert verdict([block(1, "PARAGRAPH", "�□ab")])[0] == "REJECT"
-    assert verdict([block(1, "PARAGRAPH", " ")]) == ("REJECT", ["QUALITY_EMPTY_DOCUMENT"])
+    assert verdict([block(1, "PARAGRAPH", "\ufffd□ab")]) == ("REJECT", ["QUALITY_GARBLED_CRITICAL"])
+    assert verdict([block(1, "PARAGRAPH", "□" * 15 + "a" * 85)])[1] == ["QUALITY_GARBLED_CRITICAL"] and verdict([block(1, "PARAGRAPH", "□" * 3 + "a" * 97)])[1] == []
+    assert verdict([block(1, "PARAGRAPH", " ")]) == ("REJECT", ["QUALITY_PARSE_COVERAGE_CRITICAL"])
+    assert verdict([block(i, "PARAGRAPH", "x" if i < 3 else " ") for i in range(10)]) == ("MANUAL_REVIEW", ["QUALITY_PARSE_COVERAGE_LOW"])
+    assert verdict(good, 0) == ("PASS", []) and verdict([block(1, "PARAGRAPH", "p", page=2)], 1)[1] == ["QUALITY_MISSING_PAGES"]
+    assert verdict([block(i, "PARAGRAPH", "p") for i in range(20)])[1] == ["QUALITY_STRUCTURE_WEAK"] and verdict([block(i, "PARAGRAPH", "p") for i in range(19)])[1] == []
+    assert verdict(good, children=[("PARENT", "UNIQUE"), ("CHILD", "UNIQUE"), ("CHILD", "RETAINED_DUPLICATE")])[1] == ["QUALITY_DUPLICATE_RATIO_HIGH"]
+    for cells, heads, bad in (([["a"], ["b"]], 1, False), (None, 1, True), ([], 0, True), ([["a"]], 2, True), ([[]], 0, True), ([["a"], ["b", "c"]], 1, True)):
+        assert verdict([*good, block(3, "TABLE", "t", cells=cells, heads=heads)])[1] == (["QUALITY_TABLE_MALFORMED"] if bad else [])
 
 
 def test_security_limits_ignore_what_is_not_known(spark):
@@ -133,8 +206,13 @@ def test_access(spark):
 def test_reconciliation_names_every_difference(spark):
     expected = spark.createDataFrame([("v1", "a"), ("v2", "b")], "vector_id string, content_sha256 string")
     actual = spark.createDataFrame([("v1", "f", "wrong"), ("v3", "c", "p")], "vector_id string, content_sha256 string, profile string")
-    got = sorted(tuple(r) for r in index.reconcile(expected, actual, "p").collect())
-    assert got == [("HASH_MISMATCH", "v1"), ("MISSING_VECTOR", "v2"), ("PROFILE_MISMATCH", "v1"), ("UNEXPECTED_VECTOR", "v3")]
+    got = [tuple(r) for r in index.issues_in_order(index.reconcile(expected, actual, "p")).collect()]
+    assert got == [("CONTENT_HASH_MISMATCH", "v1", True), ("MISSING_PRIMARY_KEY", "v2", True), ("PROFILE_MISMATCH", "v1", False), ("UNEXPECTED_PRIMARY_KEY", "v3", True)]
+    ids_ = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    more = actual.unionByName(actual.limit(1).withColumn("vector_id", F.lit("v9")))
+    codes = lambda f: {r["code"] for r in f.collect()}
+    assert {"COUNT_MISMATCH", "FIXED_QUERY_MISMATCH"} <= codes(index.reconcile(expected, more, "p", ids_("a", "a"), ids_("a")))
+    assert "FIXED_QUERY_MISMATCH" not in codes(index.reconcile(expected, more, "p", ids_("a", "b"), ids_("b", "a")))
 
 
 def test_embedding_batches_respect_both_limits(spark):
