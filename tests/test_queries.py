@@ -3,7 +3,7 @@
 import pytest
 
 from helpers import SF, same_rows
-from pagewright.plans import flows, knowledge, tables, texts  # noqa: F401
+from pagewright.plans import flows, knowledge, publication, tables, texts  # noqa: F401
 from pagewright.plans.registry import QUERIES, SQL
 
 
