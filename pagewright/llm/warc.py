@@ -56,7 +56,12 @@ class Config:
 
 def payload_digest(payload: bytes) -> str:
     """Bare base32 of the SHA-1."""
-    return base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    return base32(hashlib.sha1(payload).hexdigest())
+
+
+def base32(digits: str) -> str:
+    """Hex digits in base32."""
+    return base64.b32encode(bytes.fromhex(digits)).decode()
 
 
 def record_id(row: str) -> str:
@@ -68,9 +73,10 @@ def _safe(url: str | None) -> str:
     return "".join(c if " " < c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url or "") or "about:blank"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, row: str, other: str, date: str) -> bytes:
-    """One WARC record; a revisit has the response's HTTP header and no payload."""
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
+def record(page_id: int | None, url: str | None, payload: bytes | None, size: int, sha1: str, refers_to: int | None, row: str, other: str, date: str) -> bytes:
+    """One WARC record; a revisit, which has no payload here, has the response's HTTP header alone."""
+    revisit = payload is None
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
     block = http if revisit else http + payload
     head = [
         "WARC/1.1",
@@ -78,7 +84,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
         f"WARC-Record-ID: {record_id(row)}",
         f"WARC-Date: {date}",
         f"WARC-Target-URI: {_safe(url)}",
-        f"WARC-Payload-Digest: sha1:{payload_digest(payload)}",
+        f"WARC-Payload-Digest: sha1:{base32(sha1)}",
         "Content-Type: application/http; msgtype=response",
         f"X-Page-Id: {'' if page_id is None else page_id}",
     ]
@@ -149,15 +155,21 @@ def _filesystem(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def planned(pages: DataFrame, config: Config = Config()) -> DataFrame:
-    """page_id, url, payload, refers_to, revisit, row (32 hex digits), other (those of the response) for every row."""
+    """page_id, url, payload (null for a revisit), size, sha1, refers_to, row (32 hex digits), other (those of the response).
+
+    Which page is the response is decided on narrow rows; the payloads are then dealt out by their rows' places, so that a
+    payload that many pages share doesn't gather in one task.
+    """
     place = F.left(F.sha1(F.concat_ws(":", "at.file", "at.row")), F.lit(32))
     html = F.coalesce(F.col("doc.html").cast("string"), F.lit("")).cast("binary")
     rows = placed(from_files(pages)).select(F.col("doc.page_id").cast("long").alias("page_id"), F.col("doc.url").cast("string").alias("url"), html.alias("payload"), place.alias("row"))
-    rows = rows.withColumn("key", F.sha2("payload", 256))
-    most = rows.groupBy("key").agg(F.max(F.struct("page_id", "row")).alias("most")).select("key", F.col("most.page_id").alias("response"), F.col("most.row").alias("other"))
-    revisit = (F.coalesce(F.col("page_id"), F.col("response") - 1) < F.col("response")) & (F.octet_length("payload") >= config.revisit_least)
-    joined = rows.join(most, "key").withColumn("revisit", F.coalesce(revisit, F.lit(False)))
-    return joined.select("page_id", "url", "payload", F.when(F.col("revisit"), F.col("response")).alias("refers_to"), "revisit", "row", "other")
+    narrow = rows.select("page_id", "row", F.sha2("payload", 256).alias("key"), F.octet_length("payload").alias("size"), F.sha1("payload").alias("sha1"))
+    narrow = write_shared(narrow, "warc-rows")
+    most = narrow.groupBy("key").agg(F.max(F.struct("page_id", "row")).alias("most")).select("key", F.col("most.page_id").alias("response"), F.col("most.row").alias("other"))
+    revisit = F.coalesce((F.coalesce(F.col("page_id"), F.col("response") - 1) < F.col("response")) & (F.col("size") >= config.revisit_least), F.lit(False))
+    said = narrow.join(most, "key").select("row", "size", "sha1", revisit.alias("revisit"), "response", "other")
+    joined = rows.join(said, "row")
+    return joined.select("page_id", "url", F.when(~F.col("revisit"), F.col("payload")).alias("payload"), "size", "sha1", F.when(F.col("revisit"), F.col("response")).alias("refers_to"), "row", "other")
 
 
 def write(pages: DataFrame, folder: str | None = None, config: Config = Config()) -> DataFrame:

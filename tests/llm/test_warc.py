@@ -56,7 +56,8 @@ def test_names_of_records(spark):
 
 
 def test_archive_layout():
-    records = [warc.record(i, f"http://h/{i}", (b"<p>word %d </p>" % i) * 40, None, False, f"{i:032x}", "", "1970-01-01T00:00:00Z") for i in range(200)]
+    bodies = [(b"<p>word %d </p>" % i) * 40 for i in range(200)]
+    records = [warc.record(i, f"http://h/{i}", b, len(b), hashlib.sha1(b).hexdigest(), None, f"{i:032x}", "", "1970-01-01T00:00:00Z") for i, b in enumerate(bodies)]
     parts = list(warc.archive(records, warc.Config()))
     assert len(parts) == 201 and parts[0][:4] == bytes.fromhex("5d2a4d18")
     whole = b"".join(parts)
