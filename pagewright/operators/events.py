@@ -143,7 +143,8 @@ def progress(steps: DataFrame, weights: dict[str, int], *by: str) -> DataFrame:
     """
     table = steps.sparkSession.createDataFrame(list(weights.items()), "step string, weight int")
     done = F.when(F.col("status") == "SUCCEEDED", 100.0).otherwise(F.coalesce("percent", stage_percent(F.col("processed"), F.col("total")), F.lit(0.0)))
-    whole = F.round(F.least(F.lit(100.0), F.sum(F.col("weight") * done / 100)), 2)
+    total = F.sum(F.col("weight") * done.cast("decimal(12,6)"))  # exact, so that halves are rounded alike in any order
+    whole = F.round(F.least(F.lit(100).cast("decimal(5,2)"), total / 100), 2).cast("double")
     return steps.join(F.broadcast(table), "step").groupBy(*by).agg(whole.alias("overall"))
 
 

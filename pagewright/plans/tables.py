@@ -317,7 +317,7 @@ def state_transitions(spark, sf_dir):
 @query("""WITH w AS (SELECT * FROM (VALUES ('SECURITY_SCAN', 8), ('PARSE', 20), ('OCR', 12), ('NORMALIZE', 10), ('CHUNK', 15), ('QUALITY_GATE', 10), ('EMBED', 12), ('INDEX', 8), ('VERIFY', 3), ('PUBLISH', 2)) AS t(step, weight)),
     n AS (SELECT *, (['SECURITY_SCAN', 'PARSE', 'OCR', 'NORMALIZE', 'CHUNK', 'QUALITY_GATE', 'EMBED', 'INDEX', 'VERIFY', 'PUBLISH'])[((l_linenumber + l_orderkey) % 10 + 1)::INT] AS step FROM lineitem),
     s AS (SELECT l_orderkey, weight, CASE WHEN l_returnflag = 'R' THEN 100.0 WHEN l_quantity % 2 = 1 THEN l_quantity * 2 WHEN l_linenumber % 3 = 0 THEN 0 ELSE round(least(100, 100.0 * l_quantity / 37), 2) END AS percent FROM n JOIN w USING (step))
-    SELECT l_orderkey, round(least(100.0, sum(weight * percent / 100.0)), 2) AS overall FROM s GROUP BY 1""")
+    SELECT l_orderkey, round(least(100.0, sum(weight * percent::DECIMAL(12, 6))::DECIMAL(24, 6) * 0.01::DECIMAL(3, 2)), 2)::DOUBLE AS overall FROM s GROUP BY 1""")
 def weighted_progress(spark, sf_dir):
     quantity = F.col("l_quantity").cast("double")
     names = F.element_at(F.array(*[F.lit(s) for s in numbers.STEP_WEIGHTS]), ((F.col("l_linenumber") + F.col("l_orderkey")) % 10 + 1).cast("int"))

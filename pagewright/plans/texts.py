@@ -241,7 +241,7 @@ _NAMES = "['page.html', 'page.txt', 'page.PDF', 'a.b.csv', 'page', 'page.htm', '
 def file_formats(spark, sf_dir):
     key = F.col("page_id")
     name = F.element_at(F.array(*[F.lit(n) for n in ("page.html", "page.txt", "page.PDF", "a.b.csv", "page", "page.htm", "notes.md", "x.docx")]), (key % 8 + 1).cast("int"))
-    body = F.when(key % 7 == 1, F.lit(b"%PDF-1.7")).when(key % 7 == 2, F.lit(b"PK\x03\x04")).when(key % 7 == 3, F.lit(b"GIF89a")).otherwise(F.substring(F.col("html").cast("binary"), 1, 8192))
+    body = F.when(key % 7 == 1, F.lit(b"%PDF-1.7")).when(key % 7 == 2, F.lit(b"PK\x03\x04")).when(key % 7 == 3, F.lit(b"GIF89a")).otherwise(F.left("html", F.lit(2000)).cast("binary"))
     return table(spark, sf_dir, "pages").select("page_id", files.detection(body, name).alias("d")).select("page_id", "d.format", "d.code")
 
 
