@@ -36,3 +36,11 @@ def canary(salt: Column | str, key: Column, percent: int) -> Column:
     if not 1 <= percent <= 99:
         raise ValueError("percent must be 1 to 99")
     return F.when(bucket(salt, key) < percent, "candidate").otherwise("stable")
+
+
+def snapshot_key(version: Column, revision: Column, parser_profile: Column) -> Column:
+    """Where a version's blocks are kept; null where nothing of the profile's name can stand in a path."""
+    name = F.regexp_replace(F.regexp_replace(F.lower(parser_profile), "[^a-z0-9._-]+", "-"), "^-+|-+$", "")
+    name = F.left(name, F.lit(100))
+    path = F.concat(F.lit("derived/"), version.cast("string"), F.lit("/content-r"), revision.cast("string"), F.lit("/parser-"), name, F.lit("/blocks.json"))
+    return F.when(name != "", path)

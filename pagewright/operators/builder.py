@@ -8,15 +8,15 @@ total and no document; children and parents are then aggregations. The tokenizer
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import ids, text
 from pagewright.operators import structure
+from pagewright.operators.chunking import packed
 from pagewright.shared import write_shared
 
 
@@ -42,35 +42,6 @@ class Tokenizer:
     split: Callable[[Column, Column, Column], Column] = text.word_windows
 
 
-def packed(rows: DataFrame, keys: list[str], order: list[str], unit: list[str], head: str, size: str, alone: str, most: int) -> DataFrame:
-    """Add pack, from 1 in each group of ``keys``: the running number of packs under ``most`` tokens.
-
-    A pack ends where ``unit`` changes, before and after a row that stays ``alone``, and where its rows' sizes and the next
-    one's head and size would be more than ``most``. Rows are sorted within tasks and streamed, a batch at a time.
-    """
-    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
-    at = [ordered.columns.index(c) for c in (*keys, *unit)]
-    head_, size_, alone_ = (ordered.columns.index(c) for c in (head, size, alone))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group = part = None
-        number = total = 0
-        lonely = False
-        for b in batches:
-            names = list(zip(*(b.column(c).to_pylist() for c in at), strict=True))
-            out = []
-            for name, h, s, single in zip(names, b.column(head_).to_pylist(), b.column(size_).to_pylist(), b.column(alone_).to_pylist(), strict=True):
-                if name[: len(keys)] != group:
-                    group, number, part = name[: len(keys)], 0, None
-                if name != part or single or lonely or h + total + s > most:
-                    number, total = number + 1, 0
-                part, total, lonely = name, total + s, single
-                out.append(number)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int32())], [*b.schema.names, "pack"])
-
-    return ordered.mapInArrow(run, ordered.withColumn("pack", F.lit(0)).schema)
-
-
 def _path_tokens(path: Column, tokenizer: Tokenizer) -> Column:
     return F.when(F.size(path) > 0, tokenizer.count(text.embedding_text(path, F.lit("")))).otherwise(0).cast("long")
 

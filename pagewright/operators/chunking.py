@@ -1,15 +1,17 @@
 """Blocks to chunks: packing under a token budget, splitting, links and duplicates.
 
-Packing is a fold over a document's blocks in order. It runs in the JVM as an
-``aggregate`` over the blocks' token counts, so a task holds one document's
-counts at a time. Groups that grow with the data, such as sources, are packed
-by ``pack_blocks``, where a task holds a block of rows.
+Packing is a fold over a document's blocks in order: sorted rows stream through
+a task, which keeps a running total. Groups that grow with the data, such as
+sources, are packed by ``pack_blocks``, where a task holds a block of rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,31 +24,41 @@ def _no_overlap(child: int, parent: int, overlap: int) -> None:
         raise ValueError("child >= 8, parent >= child and 0 <= overlap < child are needed")
 
 
-def packed_numbers(sizes: Column, most: Column | int, items: int | None = None) -> Column:
-    """The pack (from 1) of each item of an array of sizes, first fit in order: a pack is closed when the next item would not fit."""
-    most = F.lit(most) if isinstance(most, int) else most
-    start = F.struct(F.lit(0).alias("pack"), F.lit(0).cast("long").alias("size"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc: Column, size: Column) -> Column:
-        full = (acc["pack"] == 0) | (acc["size"] + size > most)
-        if items is not None:
-            full = full | (acc["n"] >= items)
-        pack = F.when(full, acc["pack"] + 1).otherwise(acc["pack"])
-        return F.struct(
-            pack.alias("pack"),
-            F.when(full, size.cast("long")).otherwise(acc["size"] + size).alias("size"),
-            F.when(full, 1).otherwise(acc["n"] + 1).alias("n"),
-            F.concat(acc["out"], F.array(pack)).alias("out"),
-        )
-
-    return F.aggregate(sizes, start, step)["out"]
+def packed(rows: DataFrame, keys: list[str], order: list[str], unit: list[str], head: str, size: str, alone: str, most: int, items: int | None = None) -> DataFrame:
+    """Add pack, from 1 in each group of ``keys``: the running number of packs under ``most`` tokens.
 
-
-def pack(rows: DataFrame, by: list[str], size: str, most: int, items: int | None = None, order: str = "ordinal") -> DataFrame:
-    """by, pack, first, n, size: rows of a group packed in order under a budget of tokens (and of items)."""
-    whole = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s")))).alias("x"))
-    numbered = whole.select(*by, F.explode(F.arrays_zip(F.col("x.o").alias("o"), F.col("x.s").alias("s"), packed_numbers(F.col("x.s"), most, items).alias("pack"))).alias("r"))
-    return numbered.groupBy(*by, F.col("r.pack").alias("pack")).agg(F.min("r.o").alias("first"), F.count(F.lit(1)).alias("n"), F.sum("r.s").alias("size"))
+    A pack ends where ``unit`` changes, before and after a row that stays ``alone``, and where its rows' sizes and the next
+    one's head and size would be more than ``most``, or its rows more than ``items``. Rows are sorted within tasks and
+    streamed, a batch at a time; what a task keeps is one running total.
+    """
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
+    at = [ordered.columns.index(c) for c in (*keys, *unit)]
+    head_, size_, alone_ = (ordered.columns.index(c) for c in (head, size, alone))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = part = None
+        number = total = held = 0
+        lonely = False
+        for b in batches:
+            names = list(zip(*(b.column(c).to_pylist() for c in at), strict=True))
+            out = []
+            for name, h, s, single in zip(names, b.column(head_).to_pylist(), b.column(size_).to_pylist(), b.column(alone_).to_pylist(), strict=True):
+                if name[: len(keys)] != group:
+                    group, number, part = name[: len(keys)], 0, None
+                if name != part or single or lonely or h + total + s > most or held == items:
+                    number, total, held = number + 1, 0, 0
+                part, total, lonely, held = name, total + s, single, held + 1
+                out.append(number)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int32())], [*b.schema.names, "pack"])
+
+    return ordered.mapInArrow(run, ordered.withColumn("pack", F.lit(0)).schema)
+
+
+def pack(rows: DataFrame, by: list[str], size: str, most: int, items: int | None = None, order: str = "ordinal", head: Column | None = None) -> DataFrame:
+    """by, pack, first, n, size: rows of a group packed in order under a budget of tokens (and of items); ``head`` comes with every pack."""
+    flat = rows.select(*by, F.col(order).alias("o"), F.col(size).cast("long").alias("s"), (F.lit(0) if head is None else head).cast("long").alias("h"), F.lit(False).alias("alone"))
+    numbered = packed(flat, by, ["o", "s"], [], "h", "s", "alone", most, items)
+    return numbered.groupBy(*by, "pack").agg(F.min("o").alias("first"), F.count(F.lit(1)).alias("n"), (F.first("h") + F.sum("s")).alias("size"))
 
 
 def _ends(sizes: np.ndarray, most: int, items: int) -> np.ndarray:
@@ -163,6 +175,4 @@ def table_groups(tables: DataFrame, most: int) -> DataFrame:
     rows = tables.withColumn("tokens", text.token_count(text.table_row(F.col("cells"))))
     heads = rows.groupBy("table_id").agg(F.sum(F.when(F.col("is_header"), F.col("tokens")).otherwise(0)).alias("head"), F.bool_and("is_header").alias("only"))
     data = rows.join(heads, "table_id").filter(~F.col("is_header") | F.col("only"))
-    whole = data.groupBy("table_id").agg(F.first(F.when(F.col("only"), 0).otherwise(F.col("head"))).alias("head"), F.sort_array(F.collect_list(F.struct(F.col("ordinal").alias("o"), F.col("tokens").alias("s")))).alias("x"))
-    numbered = whole.select("table_id", "head", F.explode(F.arrays_zip(F.col("x.o").alias("o"), F.col("x.s").alias("s"), packed_numbers(F.col("x.s"), F.lit(most) - F.col("head")).alias("pack"))).alias("r"))
-    return numbered.groupBy("table_id", F.col("r.pack").alias("pack")).agg(F.min("r.o").alias("first"), F.count(F.lit(1)).alias("n"), (F.first("head") + F.sum("r.s")).alias("size"))
+    return pack(data, ["table_id"], "tokens", most, head=F.when(F.col("only"), 0).otherwise(F.col("head")))

@@ -7,23 +7,58 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagewright.functions.numbers import stage_percent
-from pyspark.sql import types as T
 
-# Allowed transitions.
-RUN_STATES = {
-    "QUEUED": ("RUNNING", "CANCELLED", "EXPIRED", "FAILED"),
-    "RUNNING": ("COMPLETED", "FAILED", "CANCELLED", "EXPIRED"),
+
+# The allowed transitions of each machine.
+DOCUMENT_STATES = {
+    "UPLOADING": ("QUEUED", "CANCELLED", "REJECTED"),
+    "QUEUED": ("PROCESSING", "CANCELLED", "REJECTED"),
+    "PROCESSING": ("WAITING", "SUCCEEDED", "FAILED", "CANCELLED", "REJECTED"),
+    "WAITING": ("PROCESSING", "FAILED", "CANCELLED", "REJECTED"),
+    "SUCCEEDED": ("QUEUED",),
+    "FAILED": ("QUEUED",),
+    "CANCELLED": ("QUEUED",),
+    "REJECTED": ("QUEUED",),
+}
+JOB_STATES = {
+    "QUEUED": ("RUNNING", "CANCELLED", "REJECTED"),
+    "RUNNING": ("WAITING", "SUCCEEDED", "FAILED", "CANCELLED", "REJECTED"),
+    "WAITING": ("QUEUED", "RUNNING", "FAILED", "CANCELLED", "REJECTED"),
+    "SUCCEEDED": (),
+    "FAILED": ("QUEUED",),
+    "CANCELLED": (),
+    "REJECTED": (),
 }
 MANIFEST_STATES = {
-    "BUILDING": ("VERIFYING", "FAILED"),
-    "VERIFYING": ("READY", "FAILED"),
-    "READY": ("CANARY", "ACTIVE", "FAILED"),
-    "CANARY": ("ACTIVE", "FAILED"),
-    "ACTIVE": ("SUPERSEDED",),
-    "SUPERSEDED": ("ACTIVE",),
+    "BUILDING": ("VERIFIED", "FAILED"),
+    "VERIFIED": ("ACTIVE", "FAILED"),
+    "ACTIVE": ("SUPERSEDED", "REVOKED"),
+    "SUPERSEDED": ("ACTIVE", "REVOKED"),
+    "REVOKED": (),
+    "FAILED": (),
+}
+RUN_STATES = {
+    "ACCEPTED": ("RUNNING", "CANCELLING", "FAILED", "EXPIRED"),
+    "RUNNING": ("CANCELLING", "COMPLETED", "FAILED", "EXPIRED"),
+    "CANCELLING": ("CANCELLED", "FAILED", "EXPIRED"),
+    "COMPLETED": (),
+    "FAILED": (),
+    "CANCELLED": (),
+    "EXPIRED": (),
 }
+RUN_STEP_STATES = {
+    "QUEUED": ("RUNNING", "CANCELLED", "SKIPPED"),
+    "RUNNING": ("SUCCEEDED", "FAILED", "CANCELLED"),
+    "SUCCEEDED": (),
+    "FAILED": (),
+    "CANCELLED": (),
+    "SKIPPED": (),
+}
+# machine: its table, and whether staying in a state is a repeat that is allowed
+MACHINES = {"DOCUMENT": (DOCUMENT_STATES, True), "JOB": (JOB_STATES, True), "MANIFEST": (MANIFEST_STATES, True), "RUN": (RUN_STATES, False), "RUN_STEP": (RUN_STEP_STATES, False)}
 
 
 def sequenced(events: DataFrame, by: list[str], order: list[str]) -> DataFrame:
@@ -101,10 +136,16 @@ def expire_leases(jobs: DataFrame, as_of: Column, max_attempts: int) -> DataFram
     return jobs.withColumns({"new_status": status, "new_attempt": attempt})
 
 
-def expire_deadlines(runs: DataFrame, as_of: Column) -> DataFrame:
-    """Runs that haven't ended by their deadline are expired."""
-    over = F.col("status").isin("QUEUED", "RUNNING") & (F.col("deadline_at") <= as_of)
-    return runs.withColumn("new_status", F.when(over, "EXPIRED").otherwise(F.col("status")))
+def expire_deadlines(runs: DataFrame, steps: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(runs, steps, events): runs that haven't ended by their deadline are expired and their open steps cancelled, with an event each."""
+    over = ~F.col("status").isin(terminal("RUN")) & (F.col("deadline_at") <= as_of)
+    code = F.lit("RUN_DEADLINE_EXCEEDED")
+    marked = runs.withColumns({"new_status": F.when(over, "EXPIRED").otherwise(F.col("status")), "failure_code": F.when(over, code)})
+    gone = runs.filter(over).select("run")
+    late = steps.join(gone.withColumn("late", F.lit(True)), "run", "left")
+    closed = F.col("late") & F.col("status").isin("QUEUED", "RUNNING")
+    late = late.withColumns({"new_status": F.when(closed, "CANCELLED").otherwise(F.col("status")), "error_code": F.when(closed, code)}).drop("late")
+    return marked, late, gone.withColumn("event_type", F.lit("run.expired"))
 
 
 def redact_expired(rows: DataFrame, as_of: Column) -> DataFrame:
@@ -113,11 +154,16 @@ def redact_expired(rows: DataFrame, as_of: Column) -> DataFrame:
     return rows.withColumns({"content_sha256": F.sha2("text", 256), "state": F.when(gone, "REDACTED").otherwise("PRESENT"), "text": F.when(gone, None).otherwise(F.col("text"))})
 
 
-def illegal_transitions(steps: DataFrame, allowed: dict[str, tuple[str, ...]]) -> DataFrame:
-    """Rows with from_state and to_state that the machine doesn't know; staying isn't a transition."""
-    pairs = [(a, b) for a, to in allowed.items() for b in to]
-    table = steps.sparkSession.createDataFrame(pairs, "from_state string, to_state string")
-    return steps.filter(F.col("from_state") != F.col("to_state")).join(F.broadcast(table), ["from_state", "to_state"], "left_anti")
+def illegal_transitions(steps: DataFrame) -> DataFrame:
+    """Rows (machine, from_state, to_state) that their machine doesn't allow."""
+    pairs = [(m, a, b) for m, (table, stay) in MACHINES.items() for a, to in table.items() for b in (*to, *((a,) if stay else ()))]
+    allowed = steps.sparkSession.createDataFrame(pairs, "machine string, from_state string, to_state string")
+    return steps.join(F.broadcast(allowed), ["machine", "from_state", "to_state"], "left_anti")
+
+
+def terminal(machine: str) -> list[str]:
+    """The states of a machine that nothing leaves."""
+    return [s for s, to in MACHINES[machine][0].items() if not to]
 
 
 def replays(requests: DataFrame, by: list[str], order: str) -> DataFrame:
@@ -169,3 +215,16 @@ def outbox_results(claimed: DataFrame, as_of: Column, max_attempts: int) -> Data
     state = F.when(F.col("ok"), "PUBLISHED").when(F.col("attempts") + 1 >= max_attempts, "DEAD").otherwise("PENDING")
     later = as_of + F.make_dt_interval(secs=backoff_seconds(F.col("attempts")))
     return claimed.withColumn("state", state).withColumn("available_at", F.when(F.col("state") == "PENDING", later).otherwise(F.col("available_at")))
+
+
+def retained(rows: DataFrame, by: list[str], order: str, n: int, at: str, as_of: Column, seconds: int) -> DataFrame:
+    """What a stream with a length limit and a time to live still holds: each key's newest rows, if one came within that time."""
+    newest = keep_newest(rows, by, [F.desc(order)], n)
+    alive = rows.groupBy(*by).agg(F.max(at).alias("__last")).filter(F.col("__last") + F.make_dt_interval(secs=F.lit(seconds)) > as_of)
+    return newest.join(alive.select(*by), by, "left_semi")
+
+
+def publish_results(claimed: DataFrame, *by: str) -> DataFrame:
+    """by, claimed, published, failed, lag: how many events were published and the seconds from their time to it, at least 0, summed."""
+    lag = F.greatest(F.lit(0.0), F.col("published_at").cast("double") - F.col("occurred_at").cast("double"))
+    return claimed.groupBy(*by).agg(F.count(F.lit(1)).alias("claimed"), F.count_if("ok").alias("published"), F.count_if(~F.col("ok")).alias("failed"), F.round(F.sum(F.when(F.col("ok"), lag)), 3).alias("lag"))

@@ -89,10 +89,13 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, scope: str | None = None)
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def valid_embeddings(rows: DataFrame, dimensions: int, model: str, slack: float = 0.02) -> DataFrame:
-    """Add issue: what is wrong with an embedder's output, or null."""
-    bad = F.when(F.col("model") != model, "MODEL_MISMATCH").when(F.size("v") != dimensions, "DIMENSION_MISMATCH")
-    return rows.withColumn("issue", bad.when(F.abs(vectors.norm(F.col("v")) - 1) > slack, "NORM_OUT_OF_RANGE"))
+def valid_embeddings(rows: DataFrame, dimensions: int, model: str, revision: str, sparse: bool, normal: bool = True, slack: float = 0.02) -> DataFrame:
+    """Add issue: what is wrong with an embedder's output (model, revision, v, sparse), or null."""
+    norm = vectors.norm(F.col("v"))
+    off = norm.isNull() | F.isnan(norm) | (norm == float("inf")) | (F.abs(norm - 1) > slack)
+    bad = F.when(~(F.col("model").eqNullSafe(F.lit(model)) & F.col("revision").eqNullSafe(F.lit(revision))), "response.model")
+    bad = bad.when(F.coalesce(F.size("v"), F.lit(-1)) != dimensions, "response.denseDimension").when(F.lit(sparse) & F.col("sparse").isNull(), "response.sparse")
+    return rows.withColumn("issue", bad.when(F.lit(normal) & off, "response.normalization"))
 
 
 def reuse(wanted: DataFrame, facts: DataFrame) -> DataFrame:

@@ -26,3 +26,14 @@ def replace(native: DataFrame, recognised: DataFrame, page_targets: DataFrame) -
     """The parser's blocks of pages that weren't recognised as a whole, and the recognised blocks."""
     kept = native.join(page_targets.filter("target = 'PAGE'").select("doc_id", "page_no").distinct(), ["doc_id", "page_no"], "left_anti")
     return kept.withColumn("origin", F.lit("NATIVE")).unionByName(recognised.withColumn("origin", F.lit("OCR")))
+
+
+def in_order(found: DataFrame) -> DataFrame:
+    """Targets by page or slide (unknown last), sheet, top edge, left edge and id: add place, from 1, per document."""
+    order = [F.coalesce("page_no", "slide_no").asc_nulls_last(), F.coalesce("sheet_name", F.lit("")), F.col("y1").asc_nulls_last(), F.col("x1").asc_nulls_last(), "target_id"]
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)))
+
+
+def recognised_pages(blocks: DataFrame, *by: str) -> DataFrame:
+    """How many pages recognition has read, per run."""
+    return blocks.filter("ocr_engine IS NOT NULL").groupBy(*by).agg(F.count_distinct("page_no").alias("ocr_pages"))

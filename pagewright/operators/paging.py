@@ -44,3 +44,28 @@ def latest(rows: DataFrame, by: list[str], order: str, *columns: str) -> DataFra
 def containing(column: str, pattern: str) -> Column:
     """Case-insensitive containment; the pattern's % and _ keep their meaning."""
     return F.col(column).ilike(f"%{pattern}%")
+
+
+def matching(rows: DataFrame, **wanted) -> DataFrame:
+    """Rows that have the wanted values; a value that is None asks for nothing."""
+    for column, value in wanted.items():
+        if value is not None:
+            rows = rows.filter(F.col(column) == value)
+    return rows
+
+
+def recent(rows: DataFrame, by: list[str], order: str, n: int) -> DataFrame:
+    """Each key's newest ``n`` rows, numbered (place) from the oldest of them."""
+    w = Window.partitionBy(*by)
+    kept = rows.withColumn("__n", F.row_number().over(w.orderBy(F.desc(order)))).filter(F.col("__n") <= n).drop("__n")
+    return kept.withColumn("place", F.row_number().over(w.orderBy(order)))
+
+
+# How texts of some columns must look.
+CHECKS = {"sha256": "^[0-9a-f]{64}$", "event_type": "^[a-z][a-z0-9_.-]{1,99}$", "code": "^[a-z][a-z0-9]*(-[a-z0-9]+)*$", "collection": "^[A-Za-z_][A-Za-z0-9_]{0,254}$"}
+
+
+def unfit(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Add unfit: the columns whose value doesn't look as the check named for it asks; nulls pass."""
+    tests = [F.when(~F.col(c).rlike(CHECKS[check]), F.lit(c)) for c, check in columns.items()]
+    return rows.withColumn("unfit", F.array_compact(F.array(*tests)))

@@ -30,7 +30,7 @@ HARD = ("QUALITY_OWNER_MISSING", "QUALITY_VERSION_CONFLICT", "QUALITY_PARSE_COVE
 
 def malformed(cells: Column, header_rows: Column) -> Column:
     """A table without rows, with more header rows than rows, without columns, or with rows of different widths."""
-    width = F.size(cells[0])
+    width = F.coalesce(F.size(F.get(cells, F.lit(0))), F.lit(0))
     ragged = F.exists(cells, lambda r: F.size(r) != width)
     return cells.isNull() | (F.size(cells) == 0) | (F.coalesce(header_rows, F.lit(0)) > F.size(cells)) | (width == 0) | F.coalesce(ragged, F.lit(True))
 

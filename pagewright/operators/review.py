@@ -39,11 +39,30 @@ def summary_fits(summary: Column, most: int = 16_384) -> Column:
     return F.octet_length(F.to_json(summary)) <= most
 
 
-def compatible_profiles(old: DataFrame, new: DataFrame, fields: list[str]) -> DataFrame:
-    """profile and the fields in which a new profile differs from the old one of its name."""
-    a, b = old.alias("a"), new.alias("b")
-    differs = F.array_compact(F.array(*[F.when(~F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}")), F.lit(f)) for f in fields]))
-    return a.join(b, F.col("a.profile") == F.col("b.profile")).select(F.col("a.profile").alias("profile"), differs.alias("differs"))
+# What of a profile an embedder must agree with, and what it must be able to do.
+PROFILE_FIELDS = ("modelId", "revision", "protocolVersion", "tokenizerRevision", "denseDimension", "normalizeDense", "sparseFormatVersion")
+CAPABILITIES = ("query", "document", "dense")
+
+
+def profile_mismatches(profiles: DataFrame, providers: DataFrame) -> DataFrame:
+    """profile, mismatches: the fields in which a profile and its provider differ, and the capabilities that are lacking.
+
+    Both have profile, the fields and maxInputTokens; providers also have capabilities. Input limits may be larger than asked.
+    """
+    a, b = profiles.alias("a"), providers.alias("b")
+    has = F.col("b.capabilities")
+    tests = [F.when(~F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}")), F.lit(f)) for f in PROFILE_FIELDS]
+    tests.append(F.when(F.col("a.maxInputTokens") > F.col("b.maxInputTokens"), "maxInputTokens"))
+    tests += [F.when(~F.array_contains(has, c), F.lit(f"capability:{c}")) for c in CAPABILITIES]
+    tests.append(F.when((F.coalesce("a.sparseFormatVersion", F.lit("")) != "") & ~F.array_contains(has, "sparse"), "capability:sparse"))
+    return a.join(b, F.col("a.profile") == F.col("b.profile")).select(F.col("a.profile").alias("profile"), F.array_compact(F.array(*tests)).alias("mismatches"))
+
+
+def reviewed(verdict: Column, current: Column, action: Column) -> Column:
+    """struct(decision, issue) of a reviewer's action: only open reports that didn't pass are decided, and a rejected one can't be approved."""
+    issue = F.when(~current.isin("PENDING", "NOT_REQUIRED"), "ALREADY_DECIDED").when(verdict == "PASS", "NOT_NEEDED").when((verdict == "REJECT") & (action == "APPROVE"), "REJECTED_NOT_APPROVABLE")
+    new = F.when(action == "APPROVE", "APPROVED").when(action == "REJECT", "REJECTED").otherwise("REPROCESS_REQUESTED")
+    return F.struct(F.when(issue.isNull(), new).otherwise(current).alias("decision"), issue.alias("issue"))
 
 
 def slide_number(name: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagewright.functions import ids, numbers, secrecy, text
-from pagewright.operators import access, chunking, events, index, paging
+from pagewright.operators import access, chunking, events, index, ocr, paging, review
 from pagewright.plans.registry import query
 from pagewright.plans.texts import sql_pack, sql_words
 from pagewright.shared import new_path, table, write_shared
@@ -59,9 +59,15 @@ def recall_at_k(spark, sf_dir):
     return index.recall(hits, rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("case_id"), F.col("label").alias("expected")), 0.9)
 
 
-@query("SELECT vec_id, CASE WHEN len(embedding) <> 64 THEN 'DIMENSION_MISMATCH' WHEN abs(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) - 1) > 0.02 THEN 'NORM_OUT_OF_RANGE' END AS issue FROM embeddings")
+@query("""WITH e AS (SELECT vec_id, CASE WHEN vec_id % 17 = 0 THEN embedding[1:60] WHEN vec_id % 13 = 0 THEN list_transform(embedding, lambda x: x * 1.5) ELSE embedding END::DOUBLE[] AS v, CASE WHEN vec_id % 11 = 0 THEN 'n' ELSE 'm' END AS model, vec_id % 19 = 0 AS bare FROM embeddings)
+    SELECT vec_id, CASE WHEN model <> 'm' THEN 'response.model' WHEN len(v) <> 64 THEN 'response.denseDimension' WHEN bare THEN 'response.sparse' WHEN abs(sqrt(list_inner_product(v, v)) - 1) > 0.02 THEN 'response.normalization' END AS issue FROM e""")
 def embedding_issues(spark, sf_dir):
-    return index.valid_embeddings(_vectors(spark, sf_dir).withColumn("model", F.lit("m")), 64, "m").select("vec_id", "issue")
+    k, v = F.col("vec_id"), F.col("v")
+    rows = _vectors(spark, sf_dir).withColumns({
+        "v": F.when(k % 17 == 0, F.slice("v", 1, 60)).when(k % 13 == 0, F.transform(v, lambda x: x * 1.5)).otherwise(v),
+        "model": F.when(k % 11 == 0, "n").otherwise("m"), "revision": F.lit("1"), "sparse": F.when(k % 19 != 0, F.lit("{}")),
+    })
+    return index.valid_embeddings(rows, 64, "m", "1", True).select("vec_id", "issue")
 
 
 @query("""WITH e AS (SELECT vec_id, CASE WHEN vec_id % 19 > 0 THEN sha256(vec_id::VARCHAR) END AS want FROM embeddings),
@@ -291,9 +297,27 @@ def lease_expiry(spark, sf_dir):
     return events.expire_leases(_jobs(spark, sf_dir, "lease_expires_at"), _as_of(), 3).select("o_orderkey", "new_status", "new_attempt")
 
 
-@query(f"WITH {_JOBS} SELECT o_orderkey, CASE WHEN status IN ('QUEUED', 'RUNNING') AND until <= TIMESTAMP '{AS_OF}' THEN 'EXPIRED' ELSE status END AS new_status FROM j")
+# Orders stand for runs and their lines for steps.
+_RUNS = "r AS (SELECT o_orderkey AS run, CASE o_orderstatus WHEN 'F' THEN 'RUNNING' WHEN 'O' THEN 'CANCELLING' ELSE 'COMPLETED' END AS status, o_orderdate + INTERVAL 30 DAY AS deadline_at FROM orders)"
+
+
+def _expired(spark, sf_dir):
+    status = F.when(F.col("o_orderstatus") == "F", "RUNNING").when(F.col("o_orderstatus") == "O", "CANCELLING").otherwise("COMPLETED")
+    runs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run"), status.alias("status"), (F.col("o_orderdate") + F.expr("INTERVAL 30 DAYS")).alias("deadline_at"))
+    state = F.when(F.col("l_returnflag") == "A", "QUEUED").when(F.col("l_returnflag") == "R", "RUNNING").otherwise("SUCCEEDED")
+    steps = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run"), "l_linenumber", state.alias("status"))
+    return events.expire_deadlines(runs, steps, _as_of())
+
+
+@query(f"WITH {_RUNS} SELECT run, CASE WHEN late THEN 'EXPIRED' ELSE status END AS new_status, CASE WHEN late THEN 'RUN_DEADLINE_EXCEEDED' END AS failure_code FROM (SELECT *, status IN ('RUNNING', 'CANCELLING') AND deadline_at <= TIMESTAMP '{AS_OF}' AS late FROM r)")
 def deadline_expiry(spark, sf_dir):
-    return events.expire_deadlines(_jobs(spark, sf_dir, "deadline_at"), _as_of()).select("o_orderkey", "new_status")
+    return _expired(spark, sf_dir)[0].select("run", "new_status", "failure_code")
+
+
+@query(f"""WITH {_RUNS}, s AS (SELECT l_orderkey AS run, l_linenumber, CASE l_returnflag WHEN 'A' THEN 'QUEUED' WHEN 'R' THEN 'RUNNING' ELSE 'SUCCEEDED' END AS status FROM lineitem)
+    SELECT s.run, s.l_linenumber, CASE WHEN s.status IN ('QUEUED', 'RUNNING') AND r.status IN ('RUNNING', 'CANCELLING') AND r.deadline_at <= TIMESTAMP '{AS_OF}' THEN 'CANCELLED' ELSE s.status END AS new_status FROM s LEFT JOIN r ON r.run = s.run""")
+def expired_steps(spark, sf_dir):
+    return _expired(spark, sf_dir)[1].select("run", "l_linenumber", "new_status")
 
 
 @query(f"SELECT o_orderkey, sha256(o_orderpriority) AS content_sha256, CASE WHEN o_orderdate <= TIMESTAMP '{AS_OF}' THEN 'REDACTED' ELSE 'PRESENT' END AS state, CASE WHEN o_orderdate > TIMESTAMP '{AS_OF}' THEN o_orderpriority END AS text FROM orders")
@@ -302,15 +326,100 @@ def retention_redact(spark, sf_dir):
     return events.redact_expired(rows, _as_of()).drop("expires_at")
 
 
-_S = "CASE event_type WHEN 'signup' THEN 'QUEUED' WHEN 'error' THEN 'FAILED' WHEN 'purchase' THEN 'COMPLETED' ELSE 'RUNNING' END"
+# Events try a machine's states one after the other; SQL's list of what is allowed is on its own.
+_STATES = {m: list(t) for m, (t, _) in events.MACHINES.items()}
+_ALLOWED = """a AS (SELECT machine, split_part(x, '>', 1) AS from_state, unnest(string_split(split_part(x, '>', 2), ' ')) AS to_state FROM (SELECT machine, unnest(string_split(moves, ', ')) AS x FROM (VALUES
+    ('DOCUMENT', 'UPLOADING>QUEUED CANCELLED REJECTED, QUEUED>PROCESSING CANCELLED REJECTED, PROCESSING>WAITING SUCCEEDED FAILED CANCELLED REJECTED, WAITING>PROCESSING FAILED CANCELLED REJECTED, SUCCEEDED>QUEUED, FAILED>QUEUED, CANCELLED>QUEUED, REJECTED>QUEUED'),
+    ('JOB', 'QUEUED>RUNNING CANCELLED REJECTED, RUNNING>WAITING SUCCEEDED FAILED CANCELLED REJECTED, WAITING>QUEUED RUNNING FAILED CANCELLED REJECTED, FAILED>QUEUED'),
+    ('MANIFEST', 'BUILDING>VERIFIED FAILED, VERIFIED>ACTIVE FAILED, ACTIVE>SUPERSEDED REVOKED, SUPERSEDED>ACTIVE REVOKED'),
+    ('RUN', 'ACCEPTED>RUNNING CANCELLING FAILED EXPIRED, RUNNING>CANCELLING COMPLETED FAILED EXPIRED, CANCELLING>CANCELLED FAILED EXPIRED'), ('RUN_STEP', 'QUEUED>RUNNING CANCELLED SKIPPED, RUNNING>SUCCEEDED FAILED CANCELLED')) t(machine, moves)))"""
+_STATE_LISTS = "l AS (SELECT * FROM (VALUES " + ", ".join(f"('{m}', {s})" for m, s in _STATES.items()) + ") t(machine, states))"
 
 
-@query(f"""WITH s AS (SELECT user_id, event_id, {_S} AS to_state, lag({_S}) OVER (PARTITION BY user_id ORDER BY event_id) AS from_state FROM events)
-    SELECT user_id, event_id, from_state, to_state FROM s WHERE from_state <> to_state AND NOT (from_state = 'QUEUED' AND to_state IN ('RUNNING', 'FAILED') OR from_state = 'RUNNING' AND to_state IN ('COMPLETED', 'FAILED'))""")
+@query(f"""WITH {_ALLOWED}, {_STATE_LISTS}, s AS (SELECT event_id, machine, states[event_id % len(states) + 1] AS from_state, states[event_id // len(states) % len(states) + 1] AS to_state FROM events, l)
+    SELECT event_id, machine, from_state, to_state FROM s WHERE (from_state <> to_state OR machine IN ('RUN', 'RUN_STEP')) AND NOT EXISTS (SELECT 1 FROM a WHERE a.machine = s.machine AND a.from_state = s.from_state AND a.to_state = s.to_state)""")
 def state_transitions(spark, sf_dir):
-    state = F.when(F.col("event_type") == "signup", "QUEUED").when(F.col("event_type") == "error", "FAILED").when(F.col("event_type") == "purchase", "COMPLETED").otherwise("RUNNING")
-    rows = chunking.neighbours(_events(spark, sf_dir).select("user_id", "event_id", state.alias("to_state")), ["user_id"], "event_id", "to_state")
-    return events.illegal_transitions(rows.withColumnRenamed("previous", "from_state").drop("next"), events.RUN_STATES)
+    machines = F.array(*[F.struct(F.lit(m).alias("machine"), F.array(*[F.lit(x) for x in s]).alias("s")) for m, s in _STATES.items()])
+    rows = _events(spark, sf_dir).select("event_id", F.explode(machines).alias("m")).select("event_id", "m.machine", "m.s")
+    n = F.size("s")
+    at = lambda i: F.element_at("s", (i % n + 1).cast("int"))
+    return events.illegal_transitions(rows.select("event_id", "machine", at(F.col("event_id")).alias("from_state"), at(F.floor(F.col("event_id") / n)).alias("to_state")))
+
+
+@query("""WITH r AS (SELECT event_id, (['PASS', 'MANUAL_REVIEW', 'REJECT'])[event_id % 3 + 1] AS verdict, (['PENDING', 'NOT_REQUIRED', 'APPROVED', 'REJECTED'])[event_id // 3 % 4 + 1] AS current, (['APPROVE', 'REJECT', 'REPROCESS'])[event_id // 12 % 3 + 1] AS action FROM events),
+    i AS (SELECT *, CASE WHEN current IN ('APPROVED', 'REJECTED') THEN 'ALREADY_DECIDED' WHEN verdict = 'PASS' THEN 'NOT_NEEDED' WHEN verdict = 'REJECT' AND action = 'APPROVE' THEN 'REJECTED_NOT_APPROVABLE' END AS issue FROM r)
+    SELECT event_id, issue, CASE WHEN issue IS NOT NULL THEN current WHEN action = 'APPROVE' THEN 'APPROVED' WHEN action = 'REJECT' THEN 'REJECTED' ELSE 'REPROCESS_REQUESTED' END AS decision FROM i""")
+def review_actions(spark, sf_dir):
+    k = F.col("event_id")
+    pick = lambda names, i: F.element_at(F.array(*[F.lit(x) for x in names]), (i % len(names) + 1).cast("int"))
+    rows = _events(spark, sf_dir).select("event_id", pick(("PASS", "MANUAL_REVIEW", "REJECT"), k).alias("v"), pick(("PENDING", "NOT_REQUIRED", "APPROVED", "REJECTED"), F.floor(k / 3)).alias("c"), pick(("APPROVE", "REJECT", "REPROCESS"), F.floor(k / 12)).alias("a"))
+    return rows.select("event_id", review.reviewed(F.col("v"), F.col("c"), F.col("a")).alias("r")).select("event_id", "r.issue", "r.decision")
+
+
+@query("""WITH s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n, max(ts) OVER (PARTITION BY user_id) AS last, (SELECT max(ts) FROM events) AS now FROM events) SELECT user_id, event_id FROM s WHERE n <= 4 AND last + INTERVAL 5 DAY > now""")
+def retained_events(spark, sf_dir):
+    rows = _events(spark, sf_dir).select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    now = F.lit(rows.agg(F.max("ts")).first()[0])
+    return events.retained(rows, ["user_id"], "event_id", 4, "ts", now, 5 * 86400).select("user_id", "event_id")
+
+
+@query("""SELECT event_type, count(*) AS claimed, count(*) FILTER (event_id % 6 <> 0) AS published, count(*) FILTER (event_id % 6 = 0) AS failed, round(sum(CASE WHEN event_id % 6 <> 0 THEN greatest(0.0, event_id % 9 - 2) END), 3)::DOUBLE AS lag FROM events GROUP BY 1""")
+def publish_results(spark, sf_dir):
+    at = F.col("ts").cast("timestamp")
+    rows = _events(spark, sf_dir).select("event_type", (F.col("event_id") % 6 != 0).alias("ok"), at.alias("occurred_at"), (at + F.make_dt_interval(secs=F.col("event_id") % 9 - 2)).alias("published_at"))
+    return events.publish_results(rows, "event_type")
+
+
+@query("""WITH n AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS place FROM n WHERE n <= 4""")
+def recent_turns(spark, sf_dir):
+    return paging.recent(table(spark, sf_dir, "conversations").select("conv_id", "turn"), ["conv_id"], "turn", 4)
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_size = 7")
+def optional_filters(spark, sf_dir):
+    return paging.matching(table(spark, sf_dir, "part"), p_size=7, p_type=None).select("p_partkey", "p_name")
+
+
+@query(r"""WITH c AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN upper(sha256(p_name)) WHEN p_partkey % 3 = 1 THEN sha256(p_name) END AS digest, lower(replace(p_type, ' ', CASE WHEN p_partkey % 2 = 0 THEN '-' ELSE '.' END)) AS kind, CASE WHEN p_partkey % 5 = 0 THEN '9x' ELSE '_x' END AS collection FROM part)
+    SELECT p_partkey, concat_ws(',', CASE WHEN NOT regexp_full_match(digest, '[a-f0-9]{64}') THEN 'digest' END, CASE WHEN NOT regexp_full_match(kind, '[a-z][a-z0-9]*(-[a-z0-9]+)*') THEN 'kind' END, CASE WHEN NOT regexp_full_match(collection, '[A-Za-z_][A-Za-z0-9_]{0,254}') THEN 'collection' END) AS unfit FROM c""")
+def pattern_checks(spark, sf_dir):
+    k = F.col("p_partkey")
+    digest = F.when(k % 3 == 0, F.upper(F.sha2("p_name", 256))).when(k % 3 == 1, F.sha2("p_name", 256))
+    kind = F.lower(F.replace(F.col("p_type"), F.lit(" "), F.when(k % 2 == 0, "-").otherwise(".")))
+    rows = table(spark, sf_dir, "part").select("p_partkey", digest.alias("digest"), kind.alias("kind"), F.when(k % 5 == 0, "9x").otherwise("_x").alias("collection"))
+    return paging.unfit(rows, {"digest": "sha256", "kind": "code", "collection": "collection"}).select("p_partkey", F.array_join("unfit", ",").alias("unfit"))
+
+
+@query("""WITH s AS (SELECT p_partkey, rtrim(ltrim(regexp_replace(lower(CASE WHEN p_partkey % 9 = 0 THEN ' %%' ELSE p_name || ' #' || p_type || '!' END), '[^a-z0-9._-]+', '-', 'g'), '-'), '-')[1:100] AS name FROM part)
+    SELECT p_partkey, CASE WHEN name <> '' THEN 'derived/' || p_partkey || '/content-r2/parser-' || name || '/blocks.json' END AS key FROM s""")
+def snapshot_keys(spark, sf_dir):
+    name = F.when(F.col("p_partkey") % 9 == 0, " %%").otherwise(F.concat("p_name", F.lit(" #"), "p_type", F.lit("!")))
+    return table(spark, sf_dir, "part").select("p_partkey", ids.snapshot_key(F.col("p_partkey"), F.lit(2), name).alias("key"))
+
+
+@query("""WITH b AS (SELECT l_orderkey AS doc_id, l_partkey || '.' || l_linenumber || '.' || l_suppkey AS target_id, CASE WHEN l_linenumber % 3 > 0 THEN l_linenumber END AS page_no, CASE WHEN l_linenumber % 2 = 0 THEN l_linenumber END AS slide_no, CASE WHEN l_suppkey % 2 = 0 THEN 'S' || l_suppkey % 3 END AS sheet_name, l_quantity AS y1, l_discount AS x1 FROM lineitem)
+    SELECT doc_id, target_id, row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(page_no, slide_no) NULLS LAST, coalesce(sheet_name, ''), y1, x1, target_id)::INT AS place FROM b""")
+def ocr_order(spark, sf_dir):
+    n = F.col("l_linenumber")
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), F.concat_ws(".", F.col("l_partkey").cast("string"), n.cast("string"), F.col("l_suppkey").cast("string")).alias("target_id"), F.when(n % 3 > 0, n).alias("page_no"), F.when(n % 2 == 0, n).alias("slide_no"),
+        F.when(F.col("l_suppkey") % 2 == 0, F.concat(F.lit("S"), (F.col("l_suppkey") % 3).cast("string"))).alias("sheet_name"), F.col("l_quantity").alias("y1"), F.col("l_discount").alias("x1"),
+    )
+    return ocr.in_order(rows).select("doc_id", "target_id", "place")
+
+
+@query("""WITH p AS (SELECT c_custkey AS profile, 'm' || c_custkey % 5 AS m, CASE WHEN c_custkey % 2 = 0 THEN 'v1' END AS sparse, 100 + c_custkey % 7 AS most FROM customer)
+    SELECT profile, concat_ws(',', CASE WHEN m <> 'm1' THEN 'modelId' END, CASE WHEN sparse IS DISTINCT FROM CASE WHEN profile % 4 = 0 THEN 'v1' END THEN 'sparseFormatVersion' END, CASE WHEN most > 103 THEN 'maxInputTokens' END,
+        CASE WHEN profile % 3 = 0 THEN 'capability:document' END, CASE WHEN sparse IS NOT NULL AND profile % 3 <> 1 THEN 'capability:sparse' END) AS mismatches FROM p""")
+def profile_mismatches(spark, sf_dir):
+    k = F.col("c_custkey")
+    same = {f: F.lit("x") for f in review.PROFILE_FIELDS}
+    wanted = same | {"profile": k, "modelId": F.concat(F.lit("m"), (k % 5).cast("string")), "sparseFormatVersion": F.when(k % 2 == 0, "v1"), "maxInputTokens": 100 + k % 7}
+    able = F.when(k % 3 == 0, F.array(F.lit("query"), F.lit("dense"))).when(k % 3 == 1, F.array(F.lit("query"), F.lit("document"), F.lit("dense"), F.lit("sparse"))).otherwise(F.array(F.lit("query"), F.lit("document"), F.lit("dense")))
+    given = same | {"profile": k, "modelId": F.lit("m1"), "sparseFormatVersion": F.when(k % 4 == 0, "v1"), "maxInputTokens": F.lit(103), "capabilities": able}
+    rows = table(spark, sf_dir, "customer")
+    found = review.profile_mismatches(*(rows.select(*[c.alias(n) for n, c in side.items()]) for side in (wanted, given)))
+    return found.select("profile", F.array_join("mismatches", ",").alias("mismatches"))
 
 
 # Lines of orders stand for the ten steps of jobs: those returned have succeeded, those of even quantity know their units only.

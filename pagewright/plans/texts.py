@@ -8,7 +8,7 @@ from pagewright.functions import text
 from pagewright.operators import blocks, chunking, ocr, quality, structure
 from pagewright.plans.registry import query
 from pagewright.shared import table
-from pagewright.sources import files, markup
+from pagewright.sources import files, intake, markup
 
 
 def sql_norm(x: str) -> str:
@@ -267,3 +267,26 @@ def table_row_groups(spark, sf_dir):
     rows = rows.select(F.col("l_orderkey").alias("table_id"), F.col("l_linenumber").alias("ordinal"), F.array("l_returnflag", "l_linestatus", F.col("l_suppkey").cast("string")).alias("cells"), "first", "l_linenumber")
     rows = rows.select("table_id", "ordinal", "cells", (F.col("l_linenumber") == F.col("first")).alias("is_header"))
     return chunking.table_groups(rows, 21)
+
+
+# Pages as files: some are told to be other than they are, infected, or of another format.
+_FILES = r"""f AS (SELECT page_id, CASE page_id % 11 WHEN 5 THEN 'a.md' WHEN 6 THEN 'a.txt' WHEN 7 THEN 'a.csv' WHEN 8 THEN 'a.pdf' ELSE 'a.html' END AS name, CASE WHEN page_id % 13 = 0 THEN 'image/png' WHEN page_id % 7 = 0 THEN '' WHEN page_id % 11 BETWEEN 5 AND 8 THEN 'text/plain' ELSE 'text/html; charset=utf-8' END AS mime,
+        CASE WHEN page_id % 17 = 0 THEN 'MZ' || html WHEN page_id % 19 = 0 THEN html || '<iframe src="x"></iframe>' WHEN page_id % 23 = 0 THEN regexp_replace(html, 'href="https?:', 'href="', 'g') ELSE html END AS body, page_id % 29 = 0 AS changed FROM pages),
+    d AS (SELECT *, CASE WHEN name = 'a.html' THEN CASE WHEN NOT regexp_matches(lower(body), '^\s*(<!doctype html|<html)') THEN 'HTML_SIGNATURE_MISMATCH' END WHEN name = 'a.pdf' THEN 'UNSUPPORTED_TEXT_EXTENSION' END AS refused,
+        CASE name WHEN 'a.html' THEN 'HTML' WHEN 'a.md' THEN 'MARKDOWN' WHEN 'a.txt' THEN 'TEXT' WHEN 'a.csv' THEN 'CSV' END AS fmt FROM f),
+    e AS (SELECT *, CASE WHEN changed THEN 'OBJECT_SIZE_CHANGED' WHEN refused IS NOT NULL THEN refused WHEN mime = 'image/png' THEN 'MIME_MAGIC_MISMATCH' END AS failed,
+        CASE WHEN fmt = 'HTML' THEN len(list_filter(regexp_extract_all(body, '<(?i:a|img|link|video|audio|source)\s[^>]*?(?i:href|src)\s*=\s*("[^"]*"|''[^'']*'')', 1), lambda u: regexp_matches(trim(u[2:-2]), '^(?i:(https?:)?//|javascript:)'))) ELSE 0 END AS links FROM d)"""
+
+
+@query(f"""WITH {_FILES} SELECT page_id AS doc_id, CASE WHEN refused IS NULL THEN fmt END AS format, CASE WHEN failed IS NOT NULL THEN 'FAILED' WHEN body LIKE 'MZ%' THEN 'REJECTED' WHEN fmt = 'HTML' AND page_id % 19 = 0 AND page_id % 17 <> 0 OR links > 0 THEN 'MANUAL_REVIEW' ELSE 'COMPLETED' END AS outcome,
+    CASE WHEN failed IS NOT NULL THEN failed WHEN body LIKE 'MZ%' THEN 'MALWARE_DETECTED' WHEN fmt = 'HTML' AND page_id % 19 = 0 AND page_id % 17 <> 0 THEN 'EMBEDDED_OBJECT_FOUND' WHEN links > 0 THEN 'EXTERNAL_LINK_FOUND' END AS code, mime = '' AND refused IS NULL AS generic FROM e""")
+def document_intake(spark, sf_dir):
+    """Files from their bytes to their outcome; those that are completed have been parsed to blocks."""
+    k = F.col("page_id")
+    name = F.when(k % 11 == 5, "a.md").when(k % 11 == 6, "a.txt").when(k % 11 == 7, "a.csv").when(k % 11 == 8, "a.pdf").otherwise("a.html")
+    mime = F.when(k % 13 == 0, "image/png").when(k % 7 == 0, "").when((k % 11).between(5, 8), "text/plain").otherwise("text/html; charset=utf-8")
+    body = F.when(k % 17 == 0, F.concat(F.lit("MZ"), "html")).when(k % 19 == 0, F.concat("html", F.lit('<iframe src="x"></iframe>'))).when(k % 23 == 0, F.regexp_replace("html", 'href="https?:', 'href="')).otherwise(F.col("html"))
+    rows = table(spark, sf_dir, "pages").select(k.alias("doc_id"), name.alias("file_name"), mime.alias("declared_mime"), body.cast("binary").alias("content"))
+    size = F.octet_length("content") + F.when(F.col("doc_id") % 29 == 0, 1).otherwise(0)
+    outcomes, _ = intake.process(rows.withColumns({"declared_size": size.cast("long"), "declared_sha256": F.lit(None).cast("string")}))
+    return outcomes.select("doc_id", "format", "outcome", "code", (F.size("warnings") > 0).alias("generic"))

@@ -27,6 +27,7 @@ TYPES = {
     "IMAGE": ("image/png", "image/jpeg", "image/gif", "image/tiff", "image/bmp", "image/webp"),
 }
 EXECUTABLES = ("4D5A", "7F454C46", "FEEDFACE", "FEEDFACF", "CEFAEDFE", "CFFAEDFE", "2321")
+HEADER = 8192
 EICAR = "EICAR-STANDARD-ANTIVIRUS-TEST-FILE"
 
 
@@ -38,7 +39,7 @@ def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 def observed(files: DataFrame) -> DataFrame:
     """Add file_name, sha256, size_bytes and the first 8 KiB."""
     name = F.element_at(F.split("path", "/"), -1)
-    return files.withColumns({"file_name": name, "sha256": F.sha2("content", 256), "size_bytes": F.octet_length("content").cast("long"), "header": F.substring("content", 1, 8192)})
+    return files.withColumns({"file_name": name, "sha256": F.sha2("content", 256), "size_bytes": F.octet_length("content").cast("long"), "header": F.substring("content", 1, HEADER)})
 
 
 def integrity(files: DataFrame) -> DataFrame:
@@ -62,7 +63,9 @@ def detection(header: Column, file_name: Column) -> Column:
     """A struct of the format that content and extension agree on (or null) and, where a file is refused, why."""
     extension = F.lower(F.element_at(F.split(file_name, r"\."), -1))
     named = F.create_map(*[F.lit(x) for pair in EXTENSIONS.items() for x in pair])[extension]
-    textual = F.is_valid_utf8(header.cast("string")) & ~F.contains(header, F.lit(b"\x00"))
+    # a header of full length may end inside a character
+    whole = [F.is_valid_utf8(F.substring(header, F.lit(1), F.length(header) - n).cast("string")) for n in range(4)]
+    textual = (whole[0] | (F.length(header) == HEADER) & (whole[1] | whole[2] | whole[3])) & ~F.contains(header, F.lit(b"\x00"))
     page = F.lower(text.trimmed(header.cast("string"))).rlike(r"^(<!doctype html|<html)")
 
     def said(name: Column | None = None, code: str | None = None) -> Column:

@@ -252,6 +252,12 @@ def csv_blocks_of(text: str) -> list[tuple]:
     return [("TABLE", "\n".join(" | ".join(r) for r in rows), None, rows, 1)] if rows else []
 
 
+def text_blocks_of(text: str) -> list[tuple]:
+    """Paragraphs, parted by blank lines."""
+    parts = (" ".join(p.split()) for p in re.split(r"\n[ \t]*(?:\n[ \t]*)+", (text or "").replace("\r\n", "\n").replace("\r", "\n")))
+    return [("PARAGRAPH", p, None, None, None) for p in parts if p]
+
+
 def blocks(rows: DataFrame, parse: Callable[[str], list[tuple]]) -> DataFrame:
     """``rows`` has doc_id and text; one row per block, numbered from 1; only HTML has merged cells."""
 
@@ -268,6 +274,9 @@ def html_title(html: Column) -> Column:
     return F.regexp_extract(html, r"(?s)<title>(.*?)</title>", 1)
 
 
+LINK = r"""<(?i:a|img|link|video|audio|source)\s[^>]*?(?i:href|src)\s*=\s*("[^"]*"|'[^']*')"""
+
+
 def link_kind(url: Column) -> Column:
     """EMPTY, DATA, EXTERNAL or LOCAL."""
     u = text_.trimmed(F.coalesce(url, F.lit("")))
@@ -281,6 +290,5 @@ def leaves(url: Column) -> Column:
 
 def links(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     """key, url: targets of a page's elements."""
-    tag = r"""<(?i:a|img|link|video|audio|source)\s[^>]*?(?i:href|src)\s*=\s*("[^"]*"|'[^']*')"""
-    found = F.transform(F.regexp_extract_all(F.col(html), F.lit(tag), F.lit(1)), lambda u: F.substring(u, F.lit(2), F.length(u) - 2))
+    found = F.transform(F.regexp_extract_all(F.col(html), F.lit(LINK), F.lit(1)), lambda u: F.substring(u, F.lit(2), F.length(u) - 2))
     return pages.select(key, F.explode(found).alias("url"))
