@@ -141,11 +141,12 @@ def chunks(blocks: DataFrame, policy: Policy = Policy(), tokenizer: Tokenizer =
     doc_id, ordinal, granularity, content_type, display, embedding_text, token_count, heading_path, block_ids, places,
     positions, chunk_id, parent_chunk_id, content_sha256, dedup_status, duplicate_of, split_reason, section.
     """
-    made = write_shared(children(blocks, policy, tokenizer), "chunk-children")
+    made = children(blocks, policy, tokenizer)
     made = structure.islands(made, F.col("section"), ["doc_id"], ["pack"])
     made = made.withColumns({"head": _path_tokens(F.col("heading_path"), tokenizer), "tokens": tokenizer.count(F.col("display")).cast("long"), "alone": F.lit(False), "of": F.count(F.lit(1)).over(Window.partitionBy("doc_id", "island"))})
     made = made.withColumnRenamed("pack", "child")
     dealt = packed(made, ["doc_id"], ["child"], ["island"], "head", "tokens", "alone", policy.parent).withColumnRenamed("pack", "parent")
+    dealt = write_shared(dealt.select("doc_id", "child", "parent", "section", "content_type", "heading_path", "display", "split_reason", "places", "of"), "chunk-children")
     revision_ = F.lit(revision)
 
     def finished(rows: DataFrame, granularity: str) -> DataFrame:
@@ -163,6 +164,7 @@ def chunks(blocks: DataFrame, policy: Policy = Policy(), tokenizer: Tokenizer =
         F.when(F.size("x") != F.col("x")[0]["of"], "PARENT_TOKEN_LIMIT").alias("split_reason"),
     )
     up = finished(up, "PARENT").withColumn("chunk_id", ids.chunk_id(F.col("doc_id"), revision_, F.col("granularity"), F.col("block_ids"), F.col("parent"), F.col("embedding_text")))
+    up = write_shared(up, "chunk-parents")
     own = own.join(up.select("doc_id", "parent", F.col("chunk_id").alias("parent_chunk_id")), ["doc_id", "parent"])
     same = Window.partitionBy("doc_id", F.sha2(text.canonical(F.col("display")), 256)).orderBy("ordinal")
     head = F.first(F.struct("ordinal", "chunk_id", "places")).over(same)
