@@ -53,7 +53,8 @@ def items(blocks: DataFrame, policy: Policy, tokenizer: Tokenizer = Tokenizer())
     file_format, cells (array<array<string>>, null for all but tables) and header_rows. Texts that come more than once in a
     document stay alone, so that each is a chunk that can be recognised as a repeat.
     """
-    rows = structure.kinds(structure.heading_stack(blocks, "doc_id"), "doc_id").filter("include")
+    blank = (F.col("kind") == "CODE") & (text.trimmed(F.coalesce("text", F.lit(""))) == "")  # would be a chunk without a token
+    rows = structure.kinds(structure.heading_stack(blocks, "doc_id"), "doc_id").filter(F.col("include") & ~blank)
     rows = rows.withColumn("mix", structure.compatible_kind(F.col("kind"), F.col("file_format")))
     rows = structure.islands(rows, F.struct("boundary", "mix"), ["doc_id"], ["ordinal"])
     group = Window.partitionBy("doc_id", "island")
