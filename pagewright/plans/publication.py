@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagewright.operators import publication
+from pagewright.functions import vectors
+from pagewright.operators import lifecycle, ocr, publication
 from pagewright.plans.registry import query
 from pagewright.shared import table
 
@@ -226,3 +227,106 @@ def claimed_jobs(spark, sf_dir):
 def owned_messages(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("conversation"), "turn", F.sha2("text", 256).alias("sha256"))
     return publication.owned(rows, rows.select("conversation").distinct().withColumn("owner", F.concat(F.lit("u"), (F.col("conversation") % 7).cast("string"))), "u3")
+
+
+# ---- lifecycles -------------------------------------------------------------------------------
+
+_COMMAND = "(['start', 'complete', 'cancel', 'fail', 'cancelled', 'expire'])[event_id % 7 % 6 + 1]"
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT user_id AS run, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, {_COMMAND} AS command FROM events),
+    m AS (SELECT * FROM (VALUES ('ACCEPTED', 'RUNNING'), ('ACCEPTED', 'CANCELLING'), ('ACCEPTED', 'FAILED'), ('ACCEPTED', 'EXPIRED'), ('RUNNING', 'CANCELLING'), ('RUNNING', 'COMPLETED'), ('RUNNING', 'FAILED'), ('RUNNING', 'EXPIRED'),
+        ('CANCELLING', 'CANCELLED'), ('CANCELLING', 'FAILED'), ('CANCELLING', 'EXPIRED')) t(a, b)),
+    t AS (SELECT *, CASE command WHEN 'start' THEN 'RUNNING' WHEN 'complete' THEN 'COMPLETED' WHEN 'fail' THEN 'FAILED' WHEN 'cancel' THEN 'CANCELLING' WHEN 'cancelled' THEN 'CANCELLED' ELSE 'EXPIRED' END AS target FROM c),
+    r AS (SELECT run, 0::BIGINT AS k, 0::BIGINT AS event_id, 'ACCEPTED' AS state, false AS applied FROM t WHERE k = 1 UNION ALL
+        SELECT t.run, t.k, t.event_id, CASE WHEN (r.state, t.target) IN (SELECT (a, b) FROM m) THEN t.target ELSE r.state END, (r.state, t.target) IN (SELECT (a, b) FROM m) FROM r JOIN t ON t.run = r.run AND t.k = r.k + 1)
+    SELECT run, event_id, state, applied FROM r WHERE k > 0""")
+def run_lifecycle(spark, sf_dir):
+    k = F.col("event_id")
+    command = F.element_at(F.array(*[F.lit(c) for c in ("start", "complete", "cancel", "fail", "cancelled", "expire")]), (k % 7 % 6 + 1).cast("int"))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), "event_id", command.alias("command"))
+    return lifecycle.run_states(rows, "run", "event_id").drop("command")
+
+
+_VERSIONS = "v AS (SELECT 'v' || doc_id AS version_id, 1 + doc_id % 3 AS revision, (['PROCESSING', 'SUCCEEDED', 'FAILED', 'WAITING', 'REJECTED', 'CANCELLED'])[doc_id % 6 + 1] AS status, doc_id % 5 = 0 AS asked FROM documents)"
+
+
+@query(f"WITH {_VERSIONS} SELECT version_id, revision + CASE WHEN again THEN 1 ELSE 0 END AS revision, CASE WHEN again THEN 'QUEUED' ELSE status END AS status FROM (SELECT *, asked AND status NOT IN ('PROCESSING', 'WAITING') AS again FROM v)")
+def reprocessed_versions(spark, sf_dir):
+    k = F.col("doc_id")
+    status = F.element_at(F.array(*[F.lit(s) for s in ("PROCESSING", "SUCCEEDED", "FAILED", "WAITING", "REJECTED", "CANCELLED")]), (k % 6 + 1).cast("int"))
+    rows = table(spark, sf_dir, "documents").select(F.concat(F.lit("v"), k.cast("string")).alias("version_id"), (1 + k % 3).alias("revision"), status.alias("status"), (k % 5 == 0).alias("asked"))
+    return lifecycle.reprocess(rows.drop("asked"), rows.filter("asked"))[0]
+
+
+_GRANTS = """g AS (SELECT s_nationkey AS space, 'USER' AS subject_type, 's' || s_suppkey AS subject_id, [(['READ', 'WRITE', 'REVIEW', 'ADMIN'])[s_suppkey % 4 + 1]] AS permissions, s_suppkey FROM supplier),
+    ch AS (SELECT space, subject_type, subject_id, CASE WHEN permissions = ['ADMIN'] OR s_suppkey % 2 = 0 THEN [] ELSE ['READ', 'WRITE'] END AS permissions FROM g WHERE s_suppkey % 3 = 0 AND space % 4 > 0),
+    nw AS (SELECT space, subject_type, subject_id, permissions FROM g WHERE (space, subject_id) NOT IN (SELECT (space, subject_id) FROM ch) UNION ALL SELECT * FROM ch WHERE len(permissions) > 0),
+    ok AS (SELECT DISTINCT space FROM ch WHERE space IN (SELECT space FROM nw WHERE list_contains(permissions, 'ADMIN')))"""
+
+
+def _granted(spark, sf_dir):
+    k = F.col("s_suppkey")
+    kinds = F.array(*[F.lit(p) for p in ("READ", "WRITE", "REVIEW", "ADMIN")])
+    grants = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("space"), F.lit("USER").alias("subject_type"), F.concat(F.lit("s"), k.cast("string")).alias("subject_id"), F.array(F.element_at(kinds, (k % 4 + 1).cast("int"))).alias("permissions"), "s_suppkey")
+    less = F.when(F.array_contains("permissions", "ADMIN") | (k % 2 == 0), F.array().cast("array<string>")).otherwise(F.array(F.lit("READ"), F.lit("WRITE")))
+    changes = grants.filter((k % 3 == 0) & (F.col("space") % 4 > 0)).withColumn("permissions", less).drop("s_suppkey")
+    spaces = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("space"), (1 + F.col("n_nationkey") % 3).alias("policy_version"))
+    return lifecycle.apply_grants(spaces, grants.drop("s_suppkey"), changes)
+
+
+@query(f"WITH {_GRANTS} SELECT space, subject_type, subject_id, array_to_string(permissions, ',') AS permissions FROM nw WHERE space IN (SELECT space FROM ok) UNION ALL SELECT space, subject_type, subject_id, array_to_string(permissions, ',') FROM g WHERE space NOT IN (SELECT space FROM ok)")
+def granted_permissions(spark, sf_dir):
+    return _granted(spark, sf_dir)[1].withColumn("permissions", F.array_join("permissions", ","))
+
+
+@query(f"WITH {_GRANTS} SELECT n_nationkey AS space, 1 + n_nationkey % 3 + CASE WHEN n_nationkey IN (SELECT space FROM ok) THEN 1 ELSE 0 END AS policy_version FROM nation")
+def policy_versions(spark, sf_dir):
+    return _granted(spark, sf_dir)[0]
+
+
+_INDEXED = f"""{MANIFESTS}, input AS (SELECT m.manifest, c.chunk_id, 'h' || left(c.content_sha256, 2) AS content_sha256 FROM mem m JOIN docs d ON d.document_id = m.document_id JOIN chunks c ON c.version_id = m.version_id AND c.revision = m.revision WHERE c.granularity = 'CHILD' AND c.eligible),
+    old AS (SELECT DISTINCT content_sha256 FROM (SELECT 'h' || left(content_sha256, 2) AS content_sha256 FROM chunks) WHERE content_sha256 < 'h8')"""
+
+
+@query(f"""WITH {_INDEXED} SELECT (SELECT count(*) FROM old) AS known, (SELECT count(DISTINCT content_sha256) FROM input WHERE content_sha256 NOT IN (SELECT content_sha256 FROM old)) AS embedded, (SELECT count(*) FROM input) AS records, 0::BIGINT AS issues,
+    (SELECT sum(('0x' || left(sha256(manifest || ':' || chunk_id || ':{PROFILE}'), 10))::BIGINT) FROM input)::BIGINT AS digest""")
+def index_build(spark, sf_dir):
+    """Chunks to verified vectors: what was known, made, written and wrong, and a digest of the vectors' ids."""
+    docs = _docs(spark, sf_dir)
+    content = F.concat(F.lit("h"), F.left("content_sha256", F.lit(2)))
+    chunks = _chunks(spark, sf_dir).withColumns({"content_sha256": content, "embedding_text": content})
+    facts = chunks.filter("content_sha256 < 'h8'").select(F.lit(PROFILE).alias("profile"), "content_sha256").distinct().withColumn("vector", vectors.hashed(F.col("content_sha256"), 16))
+    known, records, issues = lifecycle.indexed(_members(_manifests(spark, sf_dir), docs), docs, chunks, facts, PROFILE, lambda t: vectors.hashed(t, 16))
+    zero = F.lit(0).cast("long")
+    number = F.conv(F.left("vector_id", F.lit(10)), 16, 10).cast("long")
+    names = ("known", "embedded", "records", "issues", "digest")
+
+    def counted(rows, **what):
+        return rows.select(*[what.get(n, zero).alias(n) for n in names])
+
+    one = F.lit(1).cast("long")
+    parts = counted(facts, known=one, embedded=-one).unionByName(counted(known, embedded=one)).unionByName(counted(records, records=one, digest=number)).unionByName(counted(issues, issues=one))
+    return parts.agg(*[F.coalesce(F.sum(n), zero).alias(n) for n in names])
+
+
+@query("SELECT (SELECT count(*) FROM orders WHERE o_orderstatus = 'O') + (SELECT count(*) FROM events WHERE event_id % 6 = 0) AS waiting, EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'F') AS any_running")
+def backlog(spark, sf_dir):
+    return lifecycle.backlog(_jobs(spark, sf_dir), table(spark, sf_dir, "events").select((F.col("event_id") % 6 != 0).alias("published")))
+
+
+@query("""SELECT event_id, '{"a":"' || (event_id % 3) || '"' || CASE WHEN event_id % 2 = 0 THEN ',"b":"new"' ELSE ',"b":"old"' END || CASE WHEN event_id % 4 = 0 THEN ',"c":"x"' ELSE '' END || '}' AS merged FROM events""")
+def merged_metrics(spark, sf_dir):
+    k = F.col("event_id")
+    old = F.concat(F.lit('{"b":"old","a":"'), (k % 3).cast("string"), F.lit('"}'))
+    new = F.when(k % 4 == 0, F.lit('{"c":"x","b":"new"}')).when(k % 2 == 0, F.lit('{"b":"new"}'))
+    return table(spark, sf_dir, "events").select("event_id", lifecycle.merged(old, new).alias("merged"))
+
+
+@query(f"""WITH {STATE} SELECT job_id, count(DISTINCT l_linenumber) FILTER (status = 'SUCCEEDED') AS ocr_pages, coalesce(sum(page_count), 0)::BIGINT AS pages, coalesce(sum(page_count) FILTER (eligible), 0)::BIGINT AS eligible_pages FROM runs GROUP BY 1""")
+def run_page_sums(spark, sf_dir):
+    """Distinct recognised pages and sums of pages per job; where nothing is summed it is 0."""
+    rows = _runs(spark, sf_dir)
+    pages = ocr.recognised_pages(rows.select("job_id", F.col("l_linenumber").alias("page_no"), F.when(F.col("status") == "SUCCEEDED", "engine").alias("ocr_engine")), "job_id")
+    sums = rows.groupBy("job_id").agg(F.coalesce(F.sum("page_count"), F.lit(0)).alias("pages"), F.coalesce(F.sum(F.when(F.col("eligible"), F.col("page_count"))), F.lit(0)).alias("eligible_pages"))
+    return sums.join(pages, "job_id", "left").select("job_id", F.coalesce("ocr_pages", F.lit(0)).alias("ocr_pages"), "pages", "eligible_pages")
