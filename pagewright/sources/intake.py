@@ -62,11 +62,10 @@ def blocks(rows: DataFrame) -> DataFrame:
     """Blocks of files (doc_id, format, content) by the parser of their format, in their order."""
     text = rows.filter(F.col("format").isin(*TEXTS)).select("doc_id", "format", files.decoded(F.col("content")).alias("text"))
     parts = [markup.blocks(text.filter(F.col("format") == name), parse) for name, parse in TEXTS.items()]
-    parts.append(office.blocks(rows.filter(F.col("format").isin(*office.PARSERS))).withColumn("merged_cells", F.lit(None).cast(parts[0].schema["merged_cells"].dataType)))
-    image = rows.filter("format = 'IMAGE'").select("doc_id", F.lit(1).alias("ordinal"), F.lit("IMAGE").alias("type"), F.lit("").alias("text"))
-    for column in parts[0].schema[4:]:
-        image = image.withColumn(column.name, F.lit(None).cast(column.dataType))
-    return reduce(DataFrame.unionByName, [*parts, image])
+    box = F.struct(*[F.lit(v).alias(n) for n, v in (("x1", 0.0), ("y1", 0.0), ("x2", 1.0), ("y2", 1.0))])
+    image = rows.filter("format = 'IMAGE'").select("doc_id", F.lit(1).alias("ordinal"), F.lit("IMAGE").alias("type"), F.lit("").alias("text"), box.alias("bbox"))
+    archives = office.blocks(rows.filter(F.col("format").isin(*office.PARSERS)))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [archives, *parts, image])
 
 
 def process(rows: DataFrame, intake: Intake = Intake()) -> tuple[DataFrame, DataFrame]:

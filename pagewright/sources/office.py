@@ -6,12 +6,15 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from pagewright.sources.markup import BLOCKS
+from pagewright.sources.markup import BLOCKS, MERGED
+
+PLACES = ", sheet_name string, slide_no int, bbox struct<x1:double,y1:double,x2:double,y2:double>, formulas array<struct<cell:string,formula:string,result:string>>"
 
 INSPECTION = "path string, issue string, encrypted boolean, has_macros boolean, embedded_object_count int, external_link_count int, archive_depth int, compressed_size_bytes long, uncompressed_size_bytes long"
 MOST_ENTRIES, MOST_ENTRY = 20_000, 32 << 20
@@ -70,40 +73,112 @@ def _text(e: ElementTree.Element) -> str:
     return "".join(x.text or "" for x in e.iter() if _local(x.tag) == "t")
 
 
-def _table(e: ElementTree.Element, row: str, cell: str) -> list[list[str]]:
-    rows = [[" ".join(_text(c).split()) for c in r if _local(c.tag) == cell] for r in e if _local(r.tag) == row]
-    width = max(map(len, rows), default=0)
-    return [r + [""] * (width - len(r)) for r in rows]
+def _attr(e: ElementTree.Element, name: str) -> str | None:
+    return next((v for k, v in e.attrib.items() if _local(k) == name), None)
+
+
+def _find(e: ElementTree.Element, *names: str) -> Iterator[ElementTree.Element]:
+    return (x for x in e.iter() if _local(x.tag) in names)
+
+
+def _block(kind: str, text: str, level: int | None = None, cells: list | None = None, heads: int | None = None, merged: list | None = None, sheet: str | None = None, slide: int | None = None, bbox: tuple | None = None, formulas: list | None = None) -> tuple:
+    return kind, text, level, cells, heads, merged, sheet, slide, bbox, formulas
+
+
+def _as_table(cells: list[list[str]], heads: int = 1, **more) -> tuple:
+    return _block("TABLE", "\n".join(" | ".join(r) for r in cells), None, cells, heads, **more)
+
 
+def _grid(rows: list[list[tuple[str, int, bool]]]) -> tuple[list[list[str]], list[tuple[int, int, int, int]]]:
+    """Cells and merges of rows of (text, columns, whether the cell goes on from the one above)."""
+    cells: list[list[str]] = []
+    merged: dict[tuple[int, int], list[int]] = {}
+    open_: dict[int, tuple[int, int]] = {}  # column to the merge that may go on there
+    for r, row in enumerate(rows):
+        line: list[str] = []
+        for body, columns, goes_on in row:
+            at = len(line)
+            line += ["" if goes_on else body] + [""] * (columns - 1)
+            if goes_on and at in open_:
+                merged[open_[at]][0] += 1
+            else:
+                open_[at] = (r, at)
+                merged[(r, at)] = [1, columns]
+        cells.append(line)
+    width = max(map(len, cells), default=0)
+    return [c + [""] * (width - len(c)) for c in cells], [(r, c, *s) for (r, c), s in merged.items() if s != [1, 1]]
 
-def _as_table(cells: list[list[str]]) -> tuple:
-    return ("TABLE", "\n".join(" | ".join(r) for r in cells), None, cells, 1)
+
+def _word_table(e: ElementTree.Element) -> tuple:
+    rows = []
+    for tr in (x for x in e if _local(x.tag) == "tr"):
+        row = []
+        for tc in (x for x in tr if _local(x.tag) == "tc"):
+            span = next((_attr(x, "val") for x in _find(tc, "gridSpan")), "1")
+            below = next((_attr(x, "val") != "restart" for x in _find(tc, "vMerge")), False)
+            row.append((" ".join(_text(tc).split()), int(span), below))
+        rows.append(row)
+    cells, merged = _grid(rows)
+    return _as_table(cells, merged=merged)
 
 
 def docx_blocks(z: zipfile.ZipFile) -> Iterator[tuple]:
-    body = next(e for e in _part(z, CORE["DOCX"]).iter() if _local(e.tag) == "body")
+    """Titles by style, list items, paragraphs, tables with merges, and images: those in the text, then what media is left."""
+    body = next(_find(_part(z, CORE["DOCX"]), "body"))
+    pictures = 0
     for e in body:
         if _local(e.tag) == "p":
-            style = next((v for s in e.iter() if _local(s.tag) == "pStyle" for k, v in s.attrib.items() if _local(k) == "val"), "")
+            style = next((_attr(s, "val") or "" for s in _find(e, "pStyle")), "")
             level = re.match(r"(?:Heading|heading )(\d)", style)
             text = " ".join(_text(e).split())
             if text:
-                yield ("TITLE", text, int(level[1]), None, None) if level else ("PARAGRAPH", text, None, None, None)
+                yield _block("TITLE", text, int(level[1])) if level else _block("LIST" if next(_find(e, "numPr"), None) is not None else "PARAGRAPH", text)
+            for picture in _find(e, "drawing", "pict"):
+                pictures += 1
+                yield _block("IMAGE", next((_attr(x, "descr") or "" for x in _find(picture, "docPr")), ""))
         elif _local(e.tag) == "tbl":
-            yield _as_table(_table(e, "tr", "tc"))
+            yield _word_table(e)
+    for _ in [n for n in z.namelist() if n.startswith("word/media/")][pictures:]:
+        yield _block("IMAGE", "")
+
+
+def _size(z: zipfile.ZipFile) -> tuple[int, int]:
+    """A slide's width and height."""
+    for e in _find(_part(z, CORE["PPTX"]), "sldSz"):
+        width, height = int(e.get("cx") or 0), int(e.get("cy") or 0)
+        if width > 0 and height > 0:
+            return width, height
+    return 12_192_000, 6_858_000
+
+
+def _box(shape: ElementTree.Element, width: int, height: int) -> tuple[float, float, float, float] | None:
+    """x1, y1, x2, y2 of a shape, from 0 to 1."""
+    off, ext = next(_find(shape, "off"), None), next(_find(shape, "ext"), None)
+    if off is None or ext is None or not (ext.get("cx") and ext.get("cy")):
+        return None
+    x, y, w, h = int(off.get("x") or 0), int(off.get("y") or 0), int(ext.get("cx")), int(ext.get("cy"))
+    return tuple(min(1.0, max(0.0, v)) for v in (x / width, y / height, (x + w) / width, (y + h) / height))
 
 
 def pptx_blocks(z: zipfile.ZipFile) -> Iterator[tuple]:
+    """Slides in the order of their numbers: texts, tables and pictures with their places."""
     slides = sorted((int(m[1]), n) for n in z.namelist() if (m := re.fullmatch(r"ppt/slides/slide(\d+)\.xml", n)))
-    for _, name in slides:
-        for e in _part(z, name).iter():
-            if _local(e.tag) == "sp":
-                title = any(_local(x.tag) == "ph" and x.get("type") in ("title", "ctrTitle") for x in e.iter())
-                text = " ".join(_text(e).split())
-                if text:
-                    yield ("TITLE", text, 1, None, None) if title else ("PARAGRAPH", text, None, None, None)
-            elif _local(e.tag) == "tbl":
-                yield _as_table(_table(e, "tr", "tc"))
+    width, height = _size(z)
+    for number, name in slides:
+        for e in _find(_part(z, name), "sp", "graphicFrame", "pic"):
+            place = {"slide": number, "bbox": _box(e, width, height)}
+            grid = next(_find(e, "tbl"), None)
+            if grid is not None:
+                rows = [[(" ".join(_text(c).split()), 1, False) for c in r if _local(c.tag) == "tc"] for r in grid if _local(r.tag) == "tr"]
+                if rows:
+                    yield _as_table(_grid(rows)[0], **place)
+            elif _local(e.tag) == "pic":
+                yield _block("IMAGE", next((x.get("descr") or x.get("name") or "" for x in _find(e, "cNvPr")), ""), **place)
+            else:
+                text = "\n".join(x.text or "" for x in _find(e, "t"))
+                title = any((x.get("type") or "").lower() in ("title", "ctrtitle") for x in _find(e, "ph"))
+                if text.strip():
+                    yield _block("TITLE", text, 1, **place) if title else _block("PARAGRAPH", text, **place)
 
 
 def column_number(letters: str) -> int:
@@ -114,24 +189,68 @@ def column_number(letters: str) -> int:
     return n
 
 
+# The numbers of built-in date and time formats.
+DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
+
+
+def _date_styles(z: zipfile.ZipFile) -> set[int]:
+    """The cell styles that show dates or times."""
+    if "xl/styles.xml" not in z.namelist():
+        return set()
+    root = _part(z, "xl/styles.xml")
+    own = {int(e.get("numFmtId")) for e in _find(root, "numFmt") if re.search("[ymdhs]", re.sub(r'"[^"]*"|\[[^]]*\]|\\\\.', "", (e.get("formatCode") or "").lower()))}
+    xfs = next(_find(root, "cellXfs"), ())
+    return {i for i, x in enumerate(xfs) if int(x.get("numFmtId") or 0) in DATE_FORMATS | own}
+
+
+def _value(c: ElementTree.Element, shared: list[str], dates: set[int]) -> tuple[str, tuple[str, str, str | None] | None]:
+    """A cell's text, and its formula with what it came to."""
+    kind, raw = c.get("t"), next((x.text or "" for x in c if _local(x.tag) == "v"), None)
+    if kind == "s" and raw:
+        value = shared[int(raw)]
+    elif kind == "inlineStr":
+        value = _text(c)
+    elif kind == "b":
+        value = "true" if raw == "1" else "false"
+    elif raw and kind in (None, "n") and int(c.get("s") or 0) in dates:
+        moment = datetime(1899, 12, 30) + timedelta(days=float(raw))
+        value = moment.isoformat(timespec="milliseconds") + "Z"
+    else:
+        value = raw or ""
+    formula = next((x.text or "" for x in c if _local(x.tag) == "f"), None)
+    if formula is None:
+        return value, None
+    return (value if raw is not None else f"={formula}"), (c.get("r") or "", formula, raw)
+
+
 def xlsx_blocks(z: zipfile.ZipFile) -> Iterator[tuple]:
+    """Each sheet's name as a title, then its cells: rows without cells are left out, merged cells have their text once."""
     shared = [_text(e) for e in _part(z, "xl/sharedStrings.xml")] if "xl/sharedStrings.xml" in z.namelist() else []
-    names = [e.get("name") or "" for e in _part(z, CORE["XLSX"]).iter() if _local(e.tag) == "sheet"]
+    dates = _date_styles(z)
+    names = [e.get("name") or "" for e in _find(_part(z, CORE["XLSX"]), "sheet")]
     sheets = sorted((int(m[1]), n) for n in z.namelist() if (m := re.fullmatch(r"xl/worksheets/sheet(\d+)\.xml", n)))
     for k, (_, part) in enumerate(sheets):
-        rows: list[list[str]] = []
-        for row in (e for e in _part(z, part).iter() if _local(e.tag) == "row"):
+        root = _part(z, part)
+        name = names[k] if k < len(names) else f"sheet {k + 1}"
+        ranges = [(column_number(m[1]), int(m[2]), column_number(m[3]), int(m[4])) for e in _find(root, "mergeCell") if (m := re.fullmatch(r"([A-Z]+)(\d+):([A-Z]+)(\d+)", e.get("ref") or ""))]
+        rows, formulas, place = [], [], {}
+        for row in _find(root, "row"):
+            number = int(row.get("r") or len(rows) + 1)
             cells: list[str] = []
             for c in row:
                 at = column_number(re.match(r"[A-Z]+", c.get("r") or "A")[0])
-                value = next((x.text or "" for x in c if _local(x.tag) == "v"), "")
-                value = shared[int(value)] if c.get("t") == "s" and value else _text(c) if c.get("t") == "inlineStr" else value
-                cells += [""] * (at - 1 - len(cells)) + [value]
-            rows.append(cells)
+                value, formula = _value(c, shared, dates)
+                inside = any(a <= at <= b and i <= number <= j and (at, number) != (a, i) for a, i, b, j in ranges)
+                cells += [""] * (at - 1 - len(cells)) + ["" if inside else value]
+                formulas += [formula] if formula else []
+            if cells:
+                place[number] = len(rows)
+                rows.append(cells)
         width = max(map(len, rows), default=0)
-        yield ("TITLE", names[k] if k < len(names) else f"sheet {k + 1}", 1, None, None)
+        yield _block("TITLE", name, 1, sheet=name)
         if width:
-            yield _as_table([r + [""] * (width - len(r)) for r in rows])
+            merged = [(place[i], a - 1, j - i + 1, b - a + 1) for a, i, b, j in ranges if i in place]
+            yield _as_table([r + [""] * (width - len(r)) for r in rows], sheet=name, merged=merged, formulas=formulas)
 
 
 PARSERS = {"DOCX": docx_blocks, "XLSX": xlsx_blocks, "PPTX": pptx_blocks}
@@ -147,7 +266,7 @@ def blocks(files: DataFrame) -> DataFrame:
                 if inspect(content)[0] is None and kind in PARSERS:
                     with zipfile.ZipFile(io.BytesIO(content)) as z:
                         found += [(d, k, *b) for k, b in enumerate(PARSERS[kind](z), 1)]
-            out = pd.DataFrame(found, columns=["doc_id", "ordinal", "type", "text", "heading_level", "cells", "header_rows"])
-            yield out.astype({"heading_level": "Int32", "header_rows": "Int32"})
+            out = pd.DataFrame(found, columns=["doc_id", "ordinal", "type", "text", "heading_level", "cells", "header_rows", "merged_cells", "sheet_name", "slide_no", "bbox", "formulas"])
+            yield out.astype({"heading_level": "Int32", "header_rows": "Int32", "slide_no": "Int32"})
 
-    return files.select("doc_id", "format", "content").mapInPandas(run, BLOCKS)
+    return files.select("doc_id", "format", "content").mapInPandas(run, BLOCKS + MERGED + PLACES)

@@ -145,6 +145,25 @@ def test_office_archives(spark):
     assert office.column_number("A") == 1 and office.column_number("AA") == 27
 
 
+def test_office_details(spark):
+    word = {"word/document.xml": f'<w:document {W}><w:body><w:p><w:pPr><w:numPr/></w:pPr><w:r><w:t>item</w:t></w:r></w:p><w:p><w:r><w:drawing><w:docPr descr="cat"/></w:drawing></w:r></w:p>'
+            '<w:tbl><w:tr><w:tc><w:tcPr><w:gridSpan w:val="2"/></w:tcPr><w:p><w:r><w:t>wide</w:t></w:r></w:p></w:tc><w:tc><w:tcPr><w:vMerge w:val="restart"/></w:tcPr><w:p><w:r><w:t>tall</w:t></w:r></w:p></w:tc></w:tr>'
+            '<w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>b</w:t></w:r></w:p></w:tc><w:tc><w:tcPr><w:vMerge/></w:tcPr></w:tc></w:tr></w:tbl></w:body></w:document>', "word/media/1.png": "x", "word/media/2.png": "y"}
+    sheet = {"xl/workbook.xml": '<workbook><sheets><sheet name="S"/></sheets></workbook>', "xl/styles.xml": '<styleSheet><numFmts><numFmt numFmtId="164" formatCode="yyyy-mm"/><numFmt numFmtId="165" formatCode="0.0 &quot;days&quot;"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/><xf numFmtId="165"/></cellXfs></styleSheet>',
+             "xl/worksheets/sheet1.xml": '<worksheet><sheetData><row r="2"><c r="A2" t="b"><v>1</v></c><c r="B2" s="1"><v>1.5</v></c><c r="C2" s="2"><v>36526</v></c><c r="D2" s="3"><v>7</v></c></row><row r="3"/><row r="5"><c r="A5"><f>A1+1</f><v>2</v></c><c r="B5"><f>NOW()</f></c><c r="C5" t="e"><v>#N/A</v></c><c r="D5"><v>9</v></c></row></sheetData><mergeCells><mergeCell ref="C5:D5"/></mergeCells></worksheet>'}
+    slide = {"ppt/presentation.xml": '<p><sldSz cx="1000" cy="500"/></p>', "ppt/slides/slide3.xml": '<s><sp><xfrm><off x="100" y="50"/><ext cx="500" cy="600"/></xfrm><t>a</t><t>b</t></sp><pic><cNvPr name="n" descr="dog"/></pic><graphicFrame><tbl><tr><tc><t>1</t></tc><tc/></tr></tbl></graphicFrame></s>'}
+    rows = [(1, "DOCX", bytearray(archive(word))), (2, "XLSX", bytearray(archive(sheet))), (3, "PPTX", bytearray(archive(slide)))]
+    got = {1: [], 2: [], 3: []}
+    for r in office.blocks(spark.createDataFrame(rows, "doc_id long, format string, content binary")).orderBy("doc_id", "ordinal").collect():
+        got[r["doc_id"]].append(r)
+    assert [(r["type"], r["text"]) for r in got[1]] == [("LIST", "item"), ("IMAGE", "cat"), ("TABLE", "wide |  | tall\na | b | "), ("IMAGE", "")]
+    assert {tuple(m) for m in got[1][2]["merged_cells"]} == {(0, 0, 1, 2), (0, 2, 2, 1)}
+    table = got[2][1]
+    assert table["cells"] == [["true", "1899-12-31T12:00:00.000Z", "2000-01-01T00:00:00.000Z", "7"], ["2", "=NOW()", "#N/A", ""]] and table["sheet_name"] == "S"
+    assert [tuple(m) for m in table["merged_cells"]] == [(1, 2, 1, 2)] and [tuple(f) for f in table["formulas"]] == [("A5", "A1+1", "2"), ("B5", "NOW()", None)]
+    assert [(r["type"], r["text"], r["slide_no"]) for r in got[3]] == [("PARAGRAPH", "a\nb", 3), ("IMAGE", "dog", 3), ("TABLE", "1 | ", 3)] and tuple(got[3][0]["bbox"]) == (0.1, 0.1, 0.6, 1.0)
+
+
 def test_archives_are_inspected(spark):
     bad = {"a": archive(DOCX | {"../x": "y"}), "b": archive(DOCX | {"word/vbaProject.bin": "m", "word/embeddings/o.bin": "e", "word/_rels/d.rels": '<r TargetMode="External"/>'}), "c": b"", "d": archive({"x": "y"})}
     df = spark.createDataFrame([(k, bytearray(v)) for k, v in bad.items()], "path string, content binary")
