@@ -60,9 +60,9 @@ def chunk_metrics(chunks: DataFrame, *by: str) -> DataFrame:
     return chunks.groupBy(*by).agg(F.count_if(child).alias("children"), F.count_if(child & (status != "UNIQUE")).alias("repeated"), F.count_if(child & (status == "SUPPRESSED_DUPLICATE")).alias("suppressed"))
 
 
-def metrics(blocks: DataFrame, chunks: DataFrame, *by: str) -> DataFrame:
-    """Both, and the share of children that repeat another; a document without chunks has none."""
-    both = block_metrics(blocks, *by).join(chunk_metrics(chunks, *by), list(by), "left").na.fill(0, ["children", "repeated", "suppressed"])
+def metrics(blocks: DataFrame, chunks: DataFrame, *by: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Both, and the share of children that repeat another; a document without chunks has none. ``carry``: columns of the blocks that depend on the document."""
+    both = block_metrics(blocks, *by, *carry).join(chunk_metrics(chunks, *by), list(by), "left").na.fill(0, ["children", "repeated", "suppressed"])
     return both.withColumn("duplicate_ratio", ratio(F.col("repeated"), F.col("children")))
 
 

@@ -192,13 +192,12 @@ def _judged(rows, chunks):
     cells = F.when(F.col("type") == "TABLE", F.when(o % 7 == 0, None).when(o % 3 == 0, F.array(one, two)).otherwise(F.array(one, one)))
     german = F.col("lang") == "de"
     rows = rows.withColumns({"cells": cells, "header_rows": F.when(o % 5 == 0, 3).otherwise(1), "ocr_engine": F.when(german, "engine"), "confidence": F.when(german, (o % 10) / 10.0), "text": body})
-    return quality.metrics(rows, chunks, "doc_id", "lang").withColumns({"expected_pages": (k % 3 + 1).cast("int"), "owner_ok": k % 50 != 0, "version_ok": k % 47 != 0})
+    return quality.metrics(rows, chunks, "doc_id", carry=("lang",)).withColumns({"expected_pages": (k % 3 + 1).cast("int"), "owner_ok": k % 50 != 0, "version_ok": k % 47 != 0})
 
 
 def _measured(spark, sf_dir):
     rows = _rich(spark, sf_dir)
-    langs = rows.select("doc_id", "lang").distinct()
-    return _judged(rows, builder.chunks(rows, POLICY).join(langs, "doc_id"))
+    return _judged(rows, builder.chunks(rows, POLICY))
 
 
 @query(f"WITH RECURSIVE {CHUNKS}, {_JUDGED} SELECT doc_id, blocks, filled, ocr_confidence, garbled, chars, headings, tables, malformed_tables, observed_pages, children, suppressed, non_empty_ratio, garbled_ratio, duplicate_ratio FROM q")
@@ -217,8 +216,7 @@ def knowledge_chunks(spark, sf_dir):
     """The whole flow: blocks to chunks, chunks and blocks to a verdict, verdict and review to what may be indexed."""
     rows = _rich(spark, sf_dir)
     made = write_shared(builder.chunks(rows, POLICY).select("doc_id", "granularity", "content_type", "dedup_status", "token_count"), "chunks")
-    langs = rows.select("doc_id", "lang").distinct()
-    judged = quality.verdict(_judged(rows, made.join(langs, "doc_id"))).select("doc_id", "lang", "verdict")
+    judged = quality.verdict(_judged(rows, made)).select("doc_id", "lang", "verdict")
     own = made.filter("granularity = 'CHILD'").join(judged, "doc_id")
     may = review.eligible(F.col("granularity"), F.col("dedup_status"), F.col("verdict"), F.when(F.col("doc_id") % 3 == 0, "APPROVED"))
     return own.groupBy("lang", "verdict", "content_type").agg(F.count(F.lit(1)).alias("chunks"), F.count_if(may).alias("eligible"), F.sum("token_count").alias("tokens"))
