@@ -24,9 +24,22 @@ def lines_with(docs: DataFrame, *more: str) -> DataFrame:
     return paragraphs(docs, r"\r?\n", *more)
 
 
+# What a block may know of its place and its table; a parser fills in what it has.
+POSITIONS = {
+    "heading_level": "int", "page_no": "int", "sheet_name": "string", "slide_no": "int", "bbox": "struct<x1:double,y1:double,x2:double,y2:double>", "parent_block_id": "string",
+    "cells": "array<array<string>>", "header_rows": "int", "merged_cells": "array<struct<row:int,column:int,row_span:int,column_span:int>>", "ocr_engine": "string", "confidence": "double",
+}
+
+
+def completed(blocks: DataFrame) -> DataFrame:
+    """Blocks with every positional column; those they don't have are null."""
+    return blocks.withColumns({c: F.lit(None).cast(t) for c, t in POSITIONS.items() if c not in blocks.columns})
+
+
 def identified(blocks: DataFrame, version: Column, revision: int = 1) -> DataFrame:
-    """Blocks with the hash of their content and their id."""
-    hashed = blocks.withColumn("content_sha256", ids.sha(F.lit("PARAGRAPH"), F.col("text")))
+    """Blocks with the hash of their content and their id; a block without a type is a paragraph."""
+    kind = F.col("type") if "type" in blocks.columns else F.lit("PARAGRAPH")
+    hashed = blocks.withColumn("content_sha256", ids.sha(kind, F.col("text")))
     return hashed.withColumn("block_id", ids.block_id(version, F.lit(revision), F.col("ordinal"), F.col("content_sha256")))
 
 

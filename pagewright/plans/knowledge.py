@@ -9,6 +9,7 @@ from pagewright.operators import blocks, builder, quality, review, structure
 from pagewright.plans.registry import query
 from pagewright.plans.texts import LINES, sql_canon, sql_words
 from pagewright.shared import table, write_shared
+from pagewright.sources import intake
 
 POLICY = builder.Policy(child=32, parent=96, overlap=4)
 
@@ -63,8 +64,7 @@ _PATH = ", ".join(f"CASE WHEN {f'o{k} > greatest(' + ', '.join(f'coalesce(o{j},
 _JOINS = " ".join(f"LEFT JOIN titles t{k} ON t{k}.doc_id = s.doc_id AND t{k}.ordinal = s.o{k}" for k in range(1, 7))
 
 # kinds, boundaries and paths of the blocks
-KINDS = rf"""{RICH},
-    s AS (SELECT *, {_trim("text")} AS body, {_SLOTS}, max(CASE WHEN type = 'TITLE' THEN ordinal END) OVER w AS titled,
+_KINDS = rf"""s AS (SELECT *, {_trim("text")} AS body, {_SLOTS}, max(CASE WHEN type = 'TITLE' THEN ordinal END) OVER w AS titled,
             max(CASE WHEN plain AND NOT clause AND question THEN ordinal END) OVER w AS asked, max(CASE WHEN type IN ('TITLE', 'TABLE', 'TABLE_ROW', 'CODE') OR (plain AND clause) THEN ordinal END) OVER w AS ended
           FROM (SELECT *, type IN ('PARAGRAPH', 'LIST') AS plain, regexp_matches({_trim("text")}, '^(第[一二三四五六七八九十百千0-9]+[编章节条款项]|[0-9]+(\.[0-9]+)+[.、\s])') AS clause,
                        regexp_matches({_trim("text")}, '^(Q|q|问|问题)\s*[:：]') AS question FROM b0) WINDOW w AS (PARTITION BY doc_id ORDER BY ordinal)),
@@ -77,6 +77,7 @@ KINDS = rf"""{RICH},
                 ELSE CASE WHEN kind <> 'TITLE' AND sheet_name <> '' THEN 'sheet:' || sheet_name WHEN kind <> 'TITLE' AND slide_no <> 0 THEN 'slide:' || slide_no
                      WHEN titled IS NULL THEN 'document-root' ELSE 'heading:b' || doc_id || '.' || titled END END AS boundary,
             kind IN ('TABLE', 'CODE', 'CLAUSE', 'FAQ') OR (kind IN ('LIST', 'PROSE') AND body <> '') AS include FROM k0)"""
+KINDS = f"{RICH}, {_KINDS}"
 
 
 @query(f"WITH {KINDS} SELECT doc_id, ordinal::INT AS ordinal, kind, boundary, include, array_to_string(path, ' > ') AS path FROM k")
@@ -100,8 +101,7 @@ _TYPE = "CASE WHEN kind IN ('TABLE', 'CODE', 'CLAUSE', 'FAQ', 'LIST') THEN kind
 _MIX = "CASE WHEN kind IN ('TABLE', 'CODE', 'CLAUSE', 'FAQ') THEN kind WHEN file_format = 'PPTX' THEN 'SLIDE' WHEN file_format IN ('XLSX', 'CSV') THEN 'SHEET' ELSE kind END"
 _HEAD = f"CASE WHEN len({{0}}) > 0 THEN len({sql_words(chr(39) + '标题路径：' + chr(39) + ' || array_to_string({0}, ' + chr(39) + ' > ' + chr(39) + ')')}) ELSE 0 END"
 
-CHUNKS = f"""{KINDS},
-    i0 AS (SELECT *, {_TYPE} AS ctype, {sql_canon("text")} AS canon, coalesce(lag(boundary || '|' || ({_MIX})) OVER w <> boundary || '|' || ({_MIX}), true) AS new FROM k WHERE include WINDOW w AS (PARTITION BY doc_id ORDER BY ordinal)),
+_CHUNKS = f"""i0 AS (SELECT *, {_TYPE} AS ctype, {sql_canon("text")} AS canon, coalesce(lag(boundary || '|' || ({_MIX})) OVER w <> boundary || '|' || ({_MIX}), true) AS new FROM k WHERE include WINDOW w AS (PARTITION BY doc_id ORDER BY ordinal)),
     i1 AS (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY ordinal) AS island, count(*) OVER (PARTITION BY doc_id, canon) AS same FROM i0),
     i2 AS (SELECT *, kind <> 'TABLE' AND canon <> '' AND same > 1 AS lone, count(*) OVER (PARTITION BY doc_id, island) AS members, first_value(path) OVER w AS gpath, first_value(ctype) OVER w AS gtype,
                   {sql_words("text")} AS w, {_HEAD.format("path")} AS own_head FROM i1 WINDOW w AS (PARTITION BY doc_id, island ORDER BY ordinal)),
@@ -133,6 +133,7 @@ CHUNKS = f"""{KINDS},
     marked AS (SELECT m.*, CASE WHEN f.fo <> f.ordinal THEN 'SUPPRESSED_DUPLICATE' ELSE 'UNIQUE' END AS dedup_status, CASE WHEN f.fo <> f.ordinal THEN f.fid END AS duplicate_of,
                    CASE WHEN f.fo <> f.ordinal THEN CASE WHEN list_has_any(f.pages, f.fpages) THEN 'SAME_PAGE' ELSE 'CROSS_PAGE' END END AS duplicate_scope, up.chunk_id AS parent_chunk_id
                FROM made m LEFT JOIN firsts f ON f.chunk_id = m.chunk_id AND f.doc_id = m.doc_id LEFT JOIN made up ON m.granularity = 'CHILD' AND up.granularity = 'PARENT' AND up.doc_id = m.doc_id AND up.parent = m.parent)"""
+CHUNKS = f"{KINDS}, {_CHUNKS}"
 
 
 @query(f"""WITH RECURSIVE {CHUNKS} SELECT doc_id, ordinal, granularity, ctype AS content_type, section, array_to_string(path, ' > ') AS path, len({sql_words("embedded")})::BIGINT AS token_count, sha256(embedded) AS content_sha256,
@@ -220,3 +221,19 @@ def knowledge_chunks(spark, sf_dir):
     own = made.filter("granularity = 'CHILD'").join(judged, "doc_id")
     may = review.eligible(F.col("granularity"), F.col("dedup_status"), F.col("verdict"), F.when(F.col("doc_id") % 3 == 0, "APPROVED"))
     return own.groupBy("lang", "verdict", "content_type").agg(F.count(F.lit(1)).alias("chunks"), F.count_if(may).alias("eligible"), F.sum("token_count").alias("tokens"))
+
+
+# Documents as text files: paragraphs are parted by blank lines.
+_TEXTS = rf"""b0 AS (SELECT doc_id, NULL AS lang, i AS ordinal, 'b' || doc_id || '.' || i AS block_id, 'PARAGRAPH' AS type, parts[i] AS text, NULL::INT AS heading_level, NULL::INT AS page_no, NULL::VARCHAR AS sheet_name, NULL::INT AS slide_no, NULL::VARCHAR AS parent_block_id, 'TEXT' AS file_format
+    FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n[ \t]*(\n[ \t]*)+'), lambda x: trim(regexp_replace(x, '{_SPACE}+', ' ', 'g'))), lambda x: x <> '') AS parts FROM documents)))"""
+
+
+@query(f"""WITH RECURSIVE {_TEXTS}, {_KINDS}, {_CHUNKS} SELECT doc_id, ordinal, granularity, ctype AS content_type, len({sql_words("embedded")})::BIGINT AS token_count, sha256(embedded) AS content_sha256, chunk_id, parent_chunk_id, reason AS split_reason, dedup_status FROM marked""")
+def file_chunks(spark, sf_dir):
+    """Files to chunks in one flow: integrity, detection, scanner, gate, parser, structure, packing, duplicates."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit("d.txt").alias("file_name"), F.lit("text/plain").alias("declared_mime"), F.col("text").cast("binary").alias("content"))
+    rows = docs.withColumns({"declared_size": F.octet_length("content").cast("long"), "declared_sha256": F.sha2("content", 256)})
+    _, found = intake.process(rows)
+    short = F.concat(F.lit("b"), F.col("doc_id").cast("string"), F.lit("."), F.col("ordinal").cast("string"))  # the names that SQL gives
+    made = builder.chunks(found.withColumn("block_id", short), POLICY)
+    return made.select("doc_id", "ordinal", "granularity", "content_type", "token_count", "content_sha256", "chunk_id", "parent_chunk_id", "split_reason", "dedup_status")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.operators import quality
+from pagewright.operators.blocks import completed, identified
 from pagewright.shared import write_shared
 from pagewright.sources import files, markup, office
 
@@ -69,7 +70,7 @@ def blocks(rows: DataFrame) -> DataFrame:
 
 
 def process(rows: DataFrame, intake: Intake = Intake()) -> tuple[DataFrame, DataFrame]:
-    """(outcomes, blocks): what became of each file, and the blocks of those that were completed.
+    """(outcomes, blocks): what became of each file, and the blocks of those that were completed, as the chunk builder takes them.
 
     outcomes: doc_id, format, outcome (COMPLETED, MANUAL_REVIEW, REJECTED or FAILED), code, warnings, n_blocks.
     """
@@ -78,7 +79,9 @@ def process(rows: DataFrame, intake: Intake = Intake()) -> tuple[DataFrame, Data
     looked = quality.security_gate(inspection(held), intake.limits)
     archive = F.when(F.col("issue").isNotNull(), "FAILED").when(F.col("verdict") == "CLEAN", "COMPLETED").otherwise(F.col("verdict"))
     judged = write_shared(looked.select("doc_id", archive.alias("gate"), F.coalesce("issue", F.get("findings", F.lit(0))).alias("gate_code")), "intake-judged")
-    done = write_shared(blocks(held.join(judged.filter("gate = 'COMPLETED'").select("doc_id"), "doc_id", "left_semi")), "intake-blocks")
+    parsed = blocks(held.join(judged.filter("gate = 'COMPLETED'").select("doc_id"), "doc_id", "left_semi"))
+    named = identified(completed(parsed), F.col("doc_id")).join(seen.select("doc_id", F.col("format").alias("file_format")), "doc_id")
+    done = write_shared(named, "intake-blocks")
     counts = done.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     outcomes = seen.drop("content").join(judged, "doc_id", "left").join(counts, "doc_id", "left")
     said: Column = F.coalesce("outcome", "gate")
