@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import ids, vectors
 from pagewright.operators.chunking import pack_blocks
-from pagewright.shared import write_shared
+from pagewright.shared import new_path, write_shared
 
 MOST_QUERIES = 4096
 
@@ -80,11 +80,12 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, scope: str | None = None)
     n = max(1, -(-asked.count() // MOST_QUERIES))
     block = F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int")
     placed = write_shared(asked.withColumn("block", block), "asked")
-    out = None
-    for b in range(n):  # a block is one broadcast and one pass over the rows
-        part = placed.filter(F.col("block") == b).orderBy("query_id").toArrow()
-        best = held.mapInArrow(_best_rows(spark.sparkContext.broadcast(part), k), "query_id long, vec_id long, score double")
-        out = best if out is None else out.unionByName(best)
+    path, schema = new_path(spark, "nearest"), "query_id long, vec_id long, score double"
+    for b in range(n):  # a block is one broadcast and one pass over the rows; what a pass has found is written
+        sent = spark.sparkContext.broadcast(placed.filter(F.col("block") == b).orderBy("query_id").toArrow())
+        held.mapInArrow(_best_rows(sent, k), schema).write.parquet(f"{path}/block={b}")
+        sent.unpersist()
+    out = spark.read.schema(schema).parquet(*[f"{path}/block={b}" for b in range(n)])
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -1,5 +1,7 @@
 """Headings, kinds, packing, duplicates and quality on small block tables."""
 
+import math
+import random
 from collections import Counter
 
 import pytest
@@ -215,6 +217,31 @@ def test_reconciliation_names_every_difference(spark):
     assert "FIXED_QUERY_MISMATCH" not in codes(index.reconcile(expected, more, "p", ids_("a", "b"), ids_("b", "a")))
 
 
+def test_exact_search_in_blocks(spark, monkeypatch):
+    """Passes over several blocks of queries, vectors of another length, zero and equal ones, scopes and ties."""
+    rng = random.Random(1)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)], i % 3) for i in range(300)] + [(300, [0.0] * 4, 0), (301, [1.0] * 3, 0), (302, [2.0] * 4, 1), (303, [4.0] * 4, 1), (304, None, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>, label int")
+    asked = df.filter("vec_id % 7 = 0 OR vec_id > 299").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "label")
+
+    def cos(a, b):
+        if a is None or b is None or len(a) != len(b) or not any(a) or not any(b):
+            return -1.0
+        return sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+
+    monkeypatch.setattr(index, "MOST_QUERIES", 16)
+    for scope in (None, "label"):
+        want = {}
+        for i, v, s in rows:
+            if i % 7 == 0 or i > 299:
+                scored = sorted((-round(cos(v, w), 9), j) for j, w, u in rows if scope is None or u == s)[:4]
+                want[i] = scored
+        got = {}
+        for r in index.top_k(asked, df, 4, scope).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append((-round(r["score"], 9), r["vec_id"]))
+        assert got == want
+
+
 def test_embedding_batches_respect_both_limits(spark):
     rows = spark.createDataFrame([("p", 1, 6), ("p", 2, 5), ("p", 3, 4)], "p string, ordinal int, tokens long")
     assert sorted((r["first"], r["n"]) for r in index.batches(rows, ["p"], 10, 2).collect()) == [(1, 1), (2, 2)]
