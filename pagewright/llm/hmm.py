@@ -218,16 +218,15 @@ def _active(lengths: np.ndarray, longest: int) -> np.ndarray:
 
 def log_likelihood(seqs: list[np.ndarray], model: Model, cells: int = 400_000) -> np.ndarray:
     """Natural logarithm of each sequence's probability, by the scaled forward recursion."""
-    out = np.zeros(len(seqs))
+    out, ones = np.zeros(len(seqs)), np.ones(len(model.start))
     for take, lengths, grid in _padded(seqs, cells):
         n = _active(lengths, len(grid))
         logs = np.zeros(len(take))
-        a = model.emit[grid[0]] * model.start
         for t in range(len(grid)):
-            if t:
-                a = (a[: n[t]] @ model.move) * model.emit[grid[t, : n[t]]]
-            s = a.sum(axis=1)
-            a /= s[:, None]
+            e = model.emit.take(grid[t, : n[t]], axis=0)
+            a = e * model.start if not t else (a[: n[t]] @ model.move) * e
+            s = a @ ones
+            a *= (1 / s)[:, None]
             logs[: n[t]] += np.log(s)
         out[take] = logs
     return out
