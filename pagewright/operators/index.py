@@ -144,6 +144,25 @@ def reconcile(expected: DataFrame, actual: DataFrame, profile: str, asked: DataF
     return found
 
 
+def repair_plan(issues: DataFrame, *by: str) -> DataFrame:
+    """by, action: REPAIR where every issue can be mended by writing or deleting vectors, else MANUAL.
+
+    A fixed query that misses what it should find is no issue of its own while vectors are missing.
+    """
+    code = F.col("code")
+    missing = F.count_if(code == "MISSING_PRIMARY_KEY") > 0
+    unsafe = F.count_if(~F.col("repairable") & (code != "FIXED_QUERY_MISMATCH")) > 0
+    probes = F.count_if(code == "FIXED_QUERY_MISMATCH") > 0
+    return issues.groupBy(*by).agg(F.when(unsafe | (probes & ~missing), "MANUAL").otherwise("REPAIR").alias("action"))
+
+
+def repaired(actual: DataFrame, expected: DataFrame, issues: DataFrame) -> DataFrame:
+    """The index's records after a repair: unexpected ones go, missing and changed ones come from ``expected`` (of the same columns)."""
+    gone = issues.filter(F.col("code").isin("UNEXPECTED_PRIMARY_KEY", "CONTENT_HASH_MISMATCH")).select("vector_id").distinct()
+    wanted = issues.filter(F.col("code").isin("MISSING_PRIMARY_KEY", "CONTENT_HASH_MISMATCH")).select("vector_id").distinct()
+    return actual.join(gone, "vector_id", "left_anti").unionByName(expected.join(wanted, "vector_id", "left_semi").select(*actual.columns))
+
+
 def issues_in_order(issues: DataFrame) -> DataFrame:
     """Issues by code and vector as one text."""
     return issues.orderBy(F.concat_ws(":", "code", F.coalesce(F.col("vector_id").cast("string"), F.lit(""))))

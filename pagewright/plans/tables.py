@@ -89,6 +89,26 @@ def reconcile(spark, sf_dir):
     return index.reconcile(expected, actual.unionByName(more), "p", probes(40), probes(41))
 
 
+@query("""WITH i AS (SELECT vec_id % 40 AS manifest, (['MISSING_PRIMARY_KEY', 'UNEXPECTED_PRIMARY_KEY', 'CONTENT_HASH_MISMATCH', 'PROFILE_MISMATCH', 'FIXED_QUERY_MISMATCH', 'COUNT_MISMATCH'])[(vec_id * 7 // 40) % 6 + 1] AS code FROM embeddings WHERE (vec_id // 40) % 4 = vec_id % 3)
+    SELECT manifest, CASE WHEN bool_or(code = 'PROFILE_MISMATCH') OR (bool_or(code = 'FIXED_QUERY_MISMATCH') AND NOT bool_or(code = 'MISSING_PRIMARY_KEY')) THEN 'MANUAL' ELSE 'REPAIR' END AS action FROM i GROUP BY 1""")
+def repair_plan(spark, sf_dir):
+    k = F.col("vec_id")
+    codes = F.array(*[F.lit(c) for c in ("MISSING_PRIMARY_KEY", "UNEXPECTED_PRIMARY_KEY", "CONTENT_HASH_MISMATCH", "PROFILE_MISMATCH", "FIXED_QUERY_MISMATCH", "COUNT_MISMATCH")])
+    rows = table(spark, sf_dir, "embeddings").filter(F.floor(k / 40) % 4 == k % 3).select((k % 40).alias("manifest"), F.element_at(codes, (F.floor(k * 7 / 40) % 6 + 1).cast("int")).alias("code"))
+    return index.repair_plan(rows.withColumn("repairable", ~F.col("code").isin("PROFILE_MISMATCH", "FIXED_QUERY_MISMATCH")), "manifest")
+
+
+@query("""WITH e AS (SELECT vec_id AS vector_id, sha256(vec_id::VARCHAR) AS content_sha256 FROM embeddings) SELECT vector_id, content_sha256, 'p' AS profile FROM e""")
+def repaired_index(spark, sf_dir):
+    """An index with missing, changed and unexpected records is what it should be after its repair."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id")
+    k = F.col("vec_id")
+    expected = rows.select(k.alias("vector_id"), F.sha2(k.cast("string"), 256).alias("content_sha256"), F.lit("p").alias("profile"))
+    actual = expected.filter("vector_id % 7 <> 0").withColumn("content_sha256", F.when(F.col("vector_id") % 11 == 0, F.sha2(F.lit("x"), 256)).otherwise(F.col("content_sha256")))
+    actual = actual.unionByName(expected.filter("vector_id % 13 = 0").withColumn("vector_id", F.col("vector_id") + 1000000))
+    return index.repaired(actual, expected, index.reconcile(expected, actual, "p"))
+
+
 @query("""WITH w AS (SELECT lang, sha256(text) AS h FROM documents), f AS (SELECT DISTINCT sha256(text) AS h FROM documents WHERE doc_id % 3 = 0)
     SELECT lang, count(*) AS chunks, count(*) FILTER (f.h IS NOT NULL) AS reused, count(DISTINCT w.h) FILTER (f.h IS NULL) AS embedded FROM w LEFT JOIN f USING (h) GROUP BY lang""")
 def embedding_reuse(spark, sf_dir):
