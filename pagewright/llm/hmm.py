@@ -38,6 +38,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import log10
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -126,10 +127,12 @@ def rare_class(token: Column, n: int) -> Column:
     return (F.crc32(F.concat(F.substring(token, 1, 2), F.lit(b"-"), F.substring(token, -3, 3))) % n).cast("int")
 
 
-def _rare_class(token: bytes, n: int) -> int:
-    from zlib import crc32
+def _ends(token: bytes) -> bytes:
+    return token[:2] + b"-" + token[-3:]
+
 
-    return crc32(token[:2] + b"-" + token[-3:]) % n
+def _rare_class(token: bytes, n: int) -> int:
+    return crc32(_ends(token)) % n
 
 
 def lexicon(counts: DataFrame, config: Config) -> Lexicon:
@@ -166,11 +169,12 @@ def _encode(lex: Lexicon, config: Config):
                 classes = list(map(hot.get, words))
                 others = [(i, words[i]) for i, k in enumerate(classes) if k is None] if None in classes else []
                 for i, w in others:
-                    k = cache.get(w)
+                    ends = _ends(w)
+                    k = cache.get(ends)
                     if k is None:
                         if len(cache) > 200_000:
                             cache.clear()
-                        k = cache[w] = first + _rare_class(w, n)
+                        k = cache[ends] = first + crc32(ends) % n
                     classes[i] = k
                 found = np.array(classes, kind)
                 size.append(len(words))
