@@ -59,34 +59,37 @@ def items(blocks: DataFrame, policy: Policy, tokenizer: Tokenizer = Tokenizer())
     rows = structure.islands(rows, F.struct("boundary", "mix"), ["doc_id"], ["ordinal"])
     group = Window.partitionBy("doc_id", "island")
     first = group.orderBy("ordinal")
-    rows = rows.withColumn("canonical", text.canonical(F.col("text")))
+    # counted once, below the windows, so that none of the uses above counts again
+    rows = rows.withColumns({"canonical": text.canonical(F.col("text")), "n_tokens": tokenizer.count(F.coalesce("text", F.lit(""))).cast("long"), "own_head": _path_tokens(F.col("heading_path"), tokenizer)})
     same = F.count(F.lit(1)).over(Window.partitionBy("doc_id", "canonical"))
     table = F.col("kind") == "TABLE"
     rows = rows.withColumns({
         "alone": ~table & (F.col("canonical") != "") & (same > 1),
         "members": F.count(F.lit(1)).over(group),
         "group_path": F.first("heading_path").over(first),
+        "group_head": F.first("own_head").over(first),
         "group_type": F.first(structure.content_type(F.col("kind"), F.col("file_format"))).over(first),
     })
-    path = F.when(F.col("alone") | table, F.col("heading_path")).otherwise(F.col("group_path"))
+    by_itself = F.col("alone") | table
+    path = F.when(by_itself, F.col("heading_path")).otherwise(F.col("group_path"))
     own = F.when(F.col("alone"), structure.content_type(F.col("kind"), F.col("file_format"))).otherwise(F.col("group_type"))
-    rows = rows.withColumns({"path": path, "content_type": own, "head": _path_tokens(path, tokenizer), "own_head": _path_tokens(F.col("heading_path"), tokenizer)})
+    rows = rows.withColumns({"path": path, "content_type": own, "head": F.when(by_itself, F.col("own_head")).otherwise(F.col("group_head"))})
     most, body = F.lit(policy.child), F.coalesce("text", F.lit(""))
     # the cut texts have their own block's headings, which must leave room for a token at least
     room = F.when(F.col("own_head") < most, most - F.col("own_head")).otherwise(F.raise_error(F.lit("the headings leave no room under the budget")).cast("long"))
     none = F.lit(None).cast("string")
 
-    def item(body: Column, head: Column, alone: Column, reason: Column, header: Column = none, rows_: Column | None = None, path: Column | None = None) -> Column:
+    def item(body: Column, head: Column, alone: Column, reason: Column, header: Column = none, rows_: Column | None = None, path: Column | None = None, tokens: Column | None = None) -> Column:
         return F.struct(
-            body.alias("body"), tokenizer.count(body).cast("long").alias("tokens"), head.cast("long").alias("head"), alone.alias("alone"), reason.alias("reason"),
+            body.alias("body"), (tokenizer.count(body).cast("long") if tokens is None else tokens).alias("tokens"), head.cast("long").alias("head"), alone.alias("alone"), reason.alias("reason"),
             header.alias("header"), (F.col("members") if rows_ is None else rows_).cast("long").alias("of"), (F.col("path") if path is None else path).alias("path"),
         )
 
     def cut(body: Column, size: Column, overlap: Column, rows_: Column | None = None) -> Column:
         return F.transform(tokenizer.split(body, size, overlap), lambda p: item(p, F.col("own_head"), F.lit(True), F.lit("TOKEN_LIMIT"), none, rows_, F.col("heading_path")))
 
-    whole = F.array(item(body, F.col("head"), F.col("alone"), none, none, F.when(F.col("alone"), 1).otherwise(F.col("members"))))
-    over = F.col("head") + tokenizer.count(body) > most
+    whole = F.array(item(body, F.col("head"), F.col("alone"), none, none, F.when(F.col("alone"), 1).otherwise(F.col("members")), tokens=F.col("n_tokens")))
+    over = F.col("head") + F.col("n_tokens") > most
     texts = F.when(over, cut(body, room, F.least(F.lit(policy.overlap), room - 1))).otherwise(whole)
     # tables: a row is an item, the header's text comes with each pack
     heads = F.slice("cells", 1, F.coalesce("header_rows", F.lit(0)))
