@@ -9,12 +9,15 @@ from pagewright.shared import write_shared
 
 
 def from_files(docs: DataFrame) -> DataFrame:
-    """``docs`` as it is if it is a plain scan of files, else a copy of it in the shared folder.
+    """``docs`` as it is if it is a plain scan of Parquet files, else a copy of it in the shared folder.
 
-    Only in a plain scan do a file and a row number surely name one row.
+    Only in a plain scan do a file and a row number surely name one row, and of all formats only Parquet numbers its rows.
     """
-    plan = docs._jdf.queryExecution().analyzed().getClass().getSimpleName()
-    return docs if plan == "LogicalRelation" else write_shared(docs, "input")
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() == "LogicalRelation" and plan.relation().getClass().getSimpleName() == "HadoopFsRelation":
+        if plan.relation().fileFormat().getClass().getSimpleName() == "ParquetFileFormat":
+            return docs
+    return write_shared(docs, "input")
 
 
 def placed(docs: DataFrame) -> DataFrame:

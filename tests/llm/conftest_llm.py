@@ -5,14 +5,14 @@ import pytest
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, `size` int, `key` string, `row` int, `_metadata` int, __file string, __row int, __copies int, __copy int, at int, doc string"
 
 
-def documents(spark, rows, folder=None):
-    """A documents table with extra columns whose names clash with ones the operators use; read from files if a folder is given."""
+def documents(spark, rows, folder=None, kind="parquet"):
+    """A documents table with extra columns whose names clash with ones the operators use; read from files of some kind if a folder is given."""
     full = [(d, t, "en", s, None, 1, "k", 2, 3, "f", 4, 5, 6, 7, "d") for d, t, s in rows]
     df = spark.createDataFrame(full, SCHEMA)
     if folder is None:
         return df
-    df.write.parquet(str(folder))
-    return spark.read.schema(df.schema).parquet(str(folder))
+    df.write.format(kind).save(str(folder))
+    return spark.read.schema(df.schema).format(kind).load(str(folder))
 
 
 @pytest.fixture
