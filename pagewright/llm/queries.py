@@ -93,9 +93,10 @@ def _op6_sql() -> str:
     parts = []
     for place, r in enumerate(rules):
         rx = r.regex.replace("'", "''")
+        before = f"length(regexp_extract(hits[i], '{rx}', 1))" if r.lead else "0"
         parts.append(f"""
         SELECT doc_id, '{r.kind}' AS kind, {place} AS place, i,
-               length(gaps[i]) AS gap, length(hits[i]) AS len, length(tested[i]) AS tested
+               length(gaps[i]) + {before} AS gap, length(hits[i]) - {before} AS len, length(tested[i]) - {before} AS tested
         FROM (SELECT doc_id, gaps, hits, tested, unnest(range(1, len(hits) + 1)) AS i
               FROM (SELECT doc_id, string_split_regex(text, '{rx}') AS gaps, regexp_extract_all(text, '{rx}') AS hits,
                            regexp_extract_all(text, '{rx}', {r.group}) AS tested

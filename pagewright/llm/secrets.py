@@ -13,8 +13,9 @@ Defined cases: a null text counts as empty; rows with a null or a repeated
 doc_id are kept, one result row for each, as rows are told apart by where
 they lie; spans are code points, end
 exclusive; matches are leftmost and non-overlapping within a rule, and a match
-that fails its rule's length test is dropped together with its characters;
-an empty table gives an empty result; extra columns are ignored.
+that fails its rule's length test is dropped together with its characters; a
+web token (``jwt``) has parts of any length and begins at the start of the
+text or after a character that no token holds; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,12 +36,16 @@ from pagewright.shared import write_shared
 
 @dataclass(frozen=True)
 class Rule:
-    """``regex`` is the same for Java and RE2; ``group`` (0: the whole match) must be ``least`` characters long."""
+    """``regex`` is the same for Java and RE2; ``group`` (0: the whole match) must be ``least`` characters long.
+
+    ``lead``: group 1 is what stands before the match and isn't a part of it (the two dialects share no look-behind).
+    """
 
     kind: str
     regex: str
     group: int
     least: int
+    lead: bool = False
 
 
 def either_case(word: str) -> str:
@@ -60,7 +65,8 @@ MORE = (
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
     Rule("github", r"gh[opsur]_[A-Za-z0-9]+", 0, 40),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 0, 20),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{1,1000}\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),  # a header of any length would be tried from each of its own starts
+    # begins only where no token character stands before it, so that a run of any length has one start and is read once
+    Rule("jwt", r"(^|[^A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40, True),
 )
 
 
@@ -172,13 +178,15 @@ def _spans(text: Column, rule: Rule) -> Column:
     whole = F.regexp_extract_all(text, regex, F.lit(0))
     tested = whole if rule.group == 0 else F.regexp_extract_all(text, regex, F.lit(rule.group))
     gaps = F.transform(F.split(text, rule.regex if rule.kind != "hex" else f"[0-9a-f]{{{rule.least},}}", -1), lambda g: F.char_length(g))
-    pieces = F.arrays_zip(gaps.alias("gap"), F.transform(whole, lambda m: F.char_length(m)).alias("length"), F.transform(tested, lambda m: F.char_length(m)).alias("tested"))
+    before = F.regexp_extract_all(text, regex, F.lit(1)) if rule.lead else F.transform(whole, lambda m: F.lit(""))
+    lengths = {"length": whole, "tested": tested, "lead": before}
+    pieces = F.arrays_zip(gaps.alias("gap"), *[F.transform(v, lambda m: F.char_length(m)).alias(k) for k, v in lengths.items()])
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,kind:string,tested:int>>").alias("spans"))
 
     def step(acc: Column, p: Column) -> Column:
-        begin = acc["at"] + p["gap"]
-        end = begin + p["length"]
-        span = F.struct(begin.alias("start"), end.alias("end"), F.lit(rule.kind).alias("kind"), p["tested"].alias("tested"))
+        begin = acc["at"] + p["gap"] + p["lead"]
+        end = acc["at"] + p["gap"] + p["length"]
+        span = F.struct(begin.alias("start"), end.alias("end"), F.lit(rule.kind).alias("kind"), (p["tested"] - p["lead"]).alias("tested"))
         return F.struct(F.coalesce(end, acc["at"]).alias("at"), F.when(p["length"].isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], F.array(span))).alias("spans"))
 
     # some pieces at a time, so that the growing arrays stay small: the time is in proportion to the matches
