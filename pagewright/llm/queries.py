@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import ann, chat, exact_dedup, hmm, jaccard, mixing, pieces, secrets, toxicity, warc
+from pagewright.llm import ann, chat, divergence, exact_dedup, hmm, jaccard, merkle, mixing, pieces, secrets, token_counts, toxicity, warc
 from pagewright.shared import table, write_shared
 
 
@@ -62,6 +62,20 @@ def op7_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str, path: str = f"{TOKENIZERS}/word_bpe_49k.json") -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), path)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.tampered_proofs(table(spark, sf_dir, "documents"))
+    found = found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), merkle.folded(F.col("shown"), F.col("proof")).alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_warc": op2_warc,
@@ -73,6 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_multi_index": op8_multi_index,
     "op9_toxicity": op9_toxicity,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_token_counts": op11_token_counts,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_divergence_audit": op13_divergence_audit,
 }
 
 _NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')"
@@ -182,3 +199,72 @@ SQL["op5_mixing"] = f"""
     SELECT doc_id, size, source_size, target,
            (size * (epochs + CASE WHEN size > 0 AND (after <= rest OR after - size < rest AND abs(after - rest) < abs(after - size - rest)) THEN 1 ELSE 0 END))::BIGINT AS taken FROM s
 """
+
+
+# CRC-32 of a short text of ASCII characters, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT)),
+    lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+
+def _op12_sql(depth: int = 8, above: int = 3) -> str:
+    """Trees of up to 8 ** depth leaves, 8 ** above of them: each level from the one below, then every leaf's run on each level."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+    def field(x: str) -> str:
+        return f"CASE WHEN ({x}) IS NULL THEN '-' ELSE octet_length(encode(({x})::VARCHAR)) || ':' || ({x}) END"
+
+    def hashed(body: str) -> str:
+        return f"sha256({' || '.join(field(x) for x in ('doc_id', 'source', 'lang', 'n_chars', body))})"
+
+    def levels(name: str, first: str, n: int) -> list[str]:
+        made = [f"{name}0 AS ({first})"]
+        for k in range(n):
+            made.append(f"{name}{k + 1} AS (SELECT tree, i // 8 AS i, (n + 7) // 8 AS n, CASE WHEN n = 1 THEN min(d) ELSE sha256(string_agg(d, '' ORDER BY i)) END AS d FROM {name}{k} GROUP BY tree, i // 8, n)")
+        for k in range(n):
+            run = "OVER (PARTITION BY tree, i // 8 ORDER BY i ROWS BETWEEN"
+            made.append(
+                f"{name}s{k} AS (SELECT tree, i, n, coalesce(string_agg(d, '') {run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lo, coalesce(string_agg(d, '') {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS hi FROM {name}{k})"
+            )
+        return made
+
+    steps, at = [], "SELECT tree, i, gi, doc_id, leaf, subroot, root, '' AS proof, shown AS folded FROM whole"
+    for name, place, tree, n in (("l", "i", "f.tree", depth), ("g", "gi", "''", above)):
+        for k in range(n):
+            fold = "CASE WHEN s.n = 1 THEN f.folded ELSE sha256(s.lo || f.folded || s.hi) END AS folded"
+            at = f"SELECT f.tree, f.i, f.gi, f.doc_id, f.leaf, f.subroot, f.root, f.proof || s.lo || s.hi AS proof, {fold} FROM ({at}) f JOIN {name}s{k} s ON s.tree = {tree} AND s.i = f.{place} // {8**k}"
+            steps.append(f"{name}f{k} AS ({at})")
+            at = f"SELECT * FROM {name}f{k}"
+    return f"""
+        WITH named AS (SELECT *, CASE WHEN lang IS NULL THEN '' ELSE '=' || lang END AS tree, {hashed("text")} AS leaf,
+                              CASE WHEN {_CRC.format("doc_id::VARCHAR")} % 3 = 0 THEN {hashed(f"translate(text, '{upper}', '{upper.lower()}')")} END AS changed FROM documents),
+        base AS (SELECT tree, doc_id, leaf, coalesce(changed, leaf) AS shown, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM named),
+        {", ".join(levels("l", "SELECT tree, i, n, leaf AS d FROM base", depth))},
+        ranked AS (SELECT tree AS own, d, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n FROM l{depth}),
+        {", ".join(levels("g", "SELECT '' AS tree, i, n, d FROM ranked", above))},
+        whole AS (SELECT b.tree, b.i, r.i AS gi, b.doc_id, b.leaf, b.shown, r.d AS subroot, g.d AS root FROM base b JOIN ranked r ON r.own = b.tree, g{above} g),
+        {", ".join(steps)}
+        SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified FROM ({at})
+    """
+
+
+SQL["op12_merkle_manifest"] = _op12_sql()
+
+# Every kept term of every group, zeros too.
+SQL["op13_divergence_audit"] = r"""
+    WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                      regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+    e AS (SELECT row, lang, source, unnest(terms) AS term FROM d),
+    k AS (SELECT lang, term, count(*) AS total FROM e GROUP BY lang, term HAVING count(DISTINCT row) >= 10),
+    v AS (SELECT lang, count(*) AS v, sum(total)::BIGINT AS n FROM k GROUP BY lang),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    c AS (SELECT lang, source, term, count(*) AS n FROM e SEMI JOIN k USING (lang, term) GROUP BY lang, source, term),
+    s AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0)::BIGINT AS n FROM g LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY g.lang, g.source),
+    p AS (SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (s.n + 2 * v.v) AS p,
+                 1 + (1000000000::HUGEINT * (k.total + 2)) // (v.n + 2 * v.v) AS q
+          FROM s JOIN v ON v.lang = s.lang JOIN k ON k.lang = s.lang LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+    sums AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    pairs AS (SELECT a.lang, a.source, b.source AS item FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source),
+    both_ AS (SELECT r.lang, r.source, 'pair' AS part, r.item, coalesce(s.value, 0)::BIGINT AS value FROM pairs r LEFT JOIN sums s ON s.lang = r.lang AND s.source = r.source AND s.item = r.item
+              UNION ALL SELECT lang, source, 'term', term, (((p - q) * (p - q)) // (p + q))::BIGINT FROM p WHERE n > 0 AND p > q)
+    SELECT lang, source, part, item, value, rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM both_) WHERE part = 'pair' OR rank <= 10
+"""
