@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pagewright.functions import text
 from pagewright.operators import blocks, builder, quality, review, structure
 from pagewright.plans.registry import query
-from pagewright.plans.texts import LINES, sql_canon, sql_words
+from pagewright.plans.texts import LINES, sql_canon, sql_norm, sql_words
 from pagewright.shared import table, write_shared
 from pagewright.sources import intake
 
@@ -225,7 +225,7 @@ def knowledge_chunks(spark, sf_dir):
 
 # Documents as text files: paragraphs are parted by blank lines.
 _TEXTS = rf"""b0 AS (SELECT doc_id, NULL AS lang, i AS ordinal, 'b' || doc_id || '.' || i AS block_id, 'PARAGRAPH' AS type, parts[i] AS text, NULL::INT AS heading_level, NULL::INT AS page_no, NULL::VARCHAR AS sheet_name, NULL::INT AS slide_no, NULL::VARCHAR AS parent_block_id, 'TEXT' AS file_format
-    FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n[ \t]*(\n[ \t]*)+'), lambda x: trim(regexp_replace(x, '{_SPACE}+', ' ', 'g'))), lambda x: x <> '') AS parts FROM documents)))"""
+    FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '(\r?\n){{2,}}'), lambda x: {sql_norm("x")}), lambda x: x <> '') AS parts FROM documents)))"""
 
 
 @query(f"""WITH RECURSIVE {_TEXTS}, {_KINDS}, {_CHUNKS} SELECT doc_id, ordinal, granularity, ctype AS content_type, len({sql_words("embedded")})::BIGINT AS token_count, sha256(embedded) AS content_sha256, chunk_id, parent_chunk_id, reason AS split_reason, dedup_status FROM marked""")
@@ -233,7 +233,7 @@ def file_chunks(spark, sf_dir):
     """Files to chunks in one flow: integrity, detection, scanner, gate, parser, structure, packing, duplicates."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.lit("d.txt").alias("file_name"), F.lit("text/plain").alias("declared_mime"), F.col("text").cast("binary").alias("content"))
     rows = docs.withColumns({"declared_size": F.octet_length("content").cast("long"), "declared_sha256": F.sha2("content", 256)})
-    _, found = intake.process(rows)
+    found = intake.process(rows).blocks
     short = F.concat(F.lit("b"), F.col("doc_id").cast("string"), F.lit("."), F.col("ordinal").cast("string"))  # the names that SQL gives
     made = builder.chunks(found.withColumn("block_id", short), POLICY)
     return made.select("doc_id", "ordinal", "granularity", "content_type", "token_count", "content_sha256", "chunk_id", "parent_chunk_id", "split_reason", "dedup_status")

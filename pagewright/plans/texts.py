@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagewright.functions import text
 from pagewright.operators import blocks, chunking, ocr, quality, structure
 from pagewright.plans.registry import query
 from pagewright.shared import table
-from pagewright.sources import files, intake, markup
+from pagewright.sources import files, intake, markup, pdf
 
 
 def sql_norm(x: str) -> str:
@@ -288,5 +289,58 @@ def document_intake(spark, sf_dir):
     body = F.when(k % 17 == 0, F.concat(F.lit("MZ"), "html")).when(k % 19 == 0, F.concat("html", F.lit('<iframe src="x"></iframe>'))).when(k % 23 == 0, F.regexp_replace("html", 'href="https?:', 'href="')).otherwise(F.col("html"))
     rows = table(spark, sf_dir, "pages").select(k.alias("doc_id"), name.alias("file_name"), mime.alias("declared_mime"), body.cast("binary").alias("content"))
     size = F.octet_length("content") + F.when(F.col("doc_id") % 29 == 0, 1).otherwise(0)
-    outcomes, _ = intake.process(rows.withColumns({"declared_size": size.cast("long"), "declared_sha256": F.lit(None).cast("string")}))
+    outcomes = intake.process(rows.withColumns({"declared_size": size.cast("long"), "declared_sha256": F.lit(None).cast("string")})).outcomes
     return outcomes.select("doc_id", "format", "outcome", "code", (F.size("warnings") > 0).alias("generic"))
+
+
+# Lines as PDF files, made of expressions: 30 lines a page, UTF-16 codes with a map to Unicode, no cross-references.
+_PER_PAGE = 30
+
+
+def _as_pdf(lines: Column) -> Column:
+    """A file of some lines (an array); its font maps codes to the characters of the same number."""
+
+    def stream(body: Column) -> Column:
+        return F.concat(F.lit("<</Length "), F.octet_length(body).cast("string"), F.lit(">>\nstream\n"), body, F.lit("\nendstream"))
+
+    def obj(n: Column, body: Column) -> Column:
+        return F.concat(n.cast("string"), F.lit(" 0 obj\n"), body, F.lit("\nendobj\n"))
+
+    font = "<</Type/Font/Subtype/Type0/Encoding/Identity-H/ToUnicode 4 0 R/DescendantFonts[<</DW 1>>]>>"
+    unicode = "1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfrange <0000> <FFFF> <0000> endbfrange"
+    pages = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(lines) / _PER_PAGE).cast("int") - 1))
+    kids = F.array_join(F.transform(pages, lambda p: F.concat((p * 2 + 10).cast("string"), F.lit(" 0 R"))), " ")
+
+    def page(p: Column) -> Column:
+        shown = F.array_join(F.transform(F.slice(lines, p * _PER_PAGE + 1, _PER_PAGE), lambda x: F.concat(F.lit("<"), F.hex(F.encode(x, "UTF-16BE")), F.lit("> Tj T*"))), "\n")
+        body = F.concat(F.lit("BT /F 10 Tf 14 TL 50 800 Td\n"), shown, F.lit("\nET"))
+        head = F.concat(F.lit("<</Type/Page/Parent 2 0 R/Contents "), (p * 2 + 11).cast("string"), F.lit(" 0 R>>"))
+        return F.concat(obj(p * 2 + 10, head), obj(p * 2 + 11, stream(body)))
+
+    tree = F.concat(F.lit("<</Type/Pages/Kids["), kids, F.lit("]/Resources<</Font<</F 3 0 R>>>>>>"))
+    whole = F.concat(F.lit("%PDF-1.4\n"), obj(F.lit(1), F.lit("<</Type/Catalog/Pages 2 0 R>>")), obj(F.lit(2), tree), obj(F.lit(3), F.lit(font)), obj(F.lit(4), stream(F.lit(unicode))), F.array_join(F.transform(pages, page), ""))
+    return whole.cast("binary")
+
+
+@query(f"""WITH {LINES}, n AS (SELECT *, (ordinal - 1) // {_PER_PAGE} + 1 AS page_no, row_number() OVER (PARTITION BY doc_id, (ordinal - 1) // {_PER_PAGE} ORDER BY ordinal) - 1 AS k,
+        count(*) OVER (PARTITION BY doc_id, (ordinal - 1) // {_PER_PAGE}) AS n FROM lines)
+    SELECT doc_id, ordinal, page_no, text, k * (1 / n::DOUBLE) AS y1, least(1, (k + 1) * (1 / n::DOUBLE)) AS y2 FROM n WHERE doc_id % 5 <> 3""")
+def pdf_blocks(spark, sf_dir):
+    """Documents as PDF files and back to lines with their pages and bands; a fifth of the files is cut off and has no blocks."""
+    lines = F.filter(F.transform(F.split("text", r"\r?\n"), text.normalize_block_text), lambda x: x != "")
+    made = _docs(spark, sf_dir).select("doc_id", _as_pdf(lines).alias("content"))
+    content = F.when(F.col("doc_id") % 5 == 3, F.substring("content", 1, 100)).otherwise(F.col("content"))
+    return pdf.blocks(pdf.pages(made.withColumn("content", content))).select("doc_id", "ordinal", "page_no", "text", F.col("bbox.y1").alias("y1"), F.col("bbox.y2").alias("y2"))
+
+
+@query(f"""WITH {LINES}, p AS (SELECT doc_id, (ordinal - 1) // {_PER_PAGE} + 1 AS page_no, sum(length(text))::INT AS n FROM lines GROUP BY 1, 2)
+    SELECT d.doc_id, p.page_no, coalesce(p.n, 0) AS text_characters, least(1, coalesce(p.n, 0) / 2000::DOUBLE) AS text_coverage, CASE WHEN d.doc_id % 5 = 3 THEN 'PDF_CONTENT_INVALID' END AS code
+    FROM documents d LEFT JOIN p ON p.doc_id = d.doc_id AND d.doc_id % 5 <> 3""")
+def pdf_coverage(spark, sf_dir):
+    """What each page of the same files has of text, and which files are broken."""
+    lines = F.filter(F.transform(F.split("text", r"\r?\n"), text.normalize_block_text), lambda x: x != "")
+    made = _docs(spark, sf_dir).select("doc_id", _as_pdf(lines).alias("content"))
+    content = F.when(F.col("doc_id") % 5 == 3, F.substring("content", 1, 100)).otherwise(F.col("content"))
+    read = pdf.pages(made.withColumn("content", content))
+    broken = read.filter("code IS NOT NULL").select("doc_id", F.lit(None).cast("int").alias("page_no"), F.lit(0).alias("text_characters"), F.lit(0.0).alias("text_coverage"), "code")
+    return pdf.coverage(read).select("doc_id", "page_no", "text_characters", "text_coverage", F.lit(None).cast("string").alias("code")).unionByName(broken)

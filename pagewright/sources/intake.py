@@ -1,19 +1,24 @@
-"""Files to blocks: integrity, detection, scanner, inspection and security gate, then the parser of each format."""
+"""Files to blocks: integrity, detection, scanner, inspection and security gate, the parser of each format, and recognition.
+
+A file that its parser can't read is a row with a code, whatever is wrong with it; the other files of the batch aren't touched.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.operators import quality
-from pagewright.operators.blocks import completed, identified
+from pagewright.operators import ocr, quality
+from pagewright.operators.blocks import completed, identified, paragraphs
 from pagewright.shared import write_shared
-from pagewright.sources import files, markup, office
+from pagewright.sources import files, markup, office, pdf
 
-TEXTS = {"HTML": markup.html_blocks_of, "MARKDOWN": markup.markdown_blocks_of, "CSV": markup.csv_blocks_of, "TEXT": markup.text_blocks_of}
+TEXTS = {"HTML": markup.html_blocks_of, "MARKDOWN": markup.markdown_blocks_of, "CSV": markup.csv_blocks_of}
 EMBEDS = r"<(?i:object|embed|iframe)[\s/>]"
 CELLS = r"<(?i:td|th)[\s/>]"
 
@@ -24,6 +29,15 @@ class Intake:
 
     most_bytes: int = 256 << 20
     limits: quality.Limits = quality.Limits()
+    least_coverage: float = 0.02  # pages whose text covers less are to be recognised
+
+
+class Processed(NamedTuple):
+    """What became of the files of a batch."""
+
+    outcomes: DataFrame  # doc_id, format, outcome (COMPLETED, MANUAL_REVIEW, REJECTED or FAILED), code, warnings, n_blocks
+    blocks: DataFrame  # of completed files, as the chunk builder takes them
+    targets: DataFrame  # doc_id, page_no, target, origin: what is to be recognised
 
 
 def checked(rows: DataFrame, intake: Intake = Intake()) -> DataFrame:
@@ -43,46 +57,68 @@ def checked(rows: DataFrame, intake: Intake = Intake()) -> DataFrame:
     return rows.select("doc_id", "file_name", "content", "sha256", F.col("found.format").alias("format"), F.when(F.col("found.format").isNotNull() & (mime == "DECLARED_MIME_GENERIC"), F.array(mime)).otherwise(F.array().cast("array<string>")).alias("warnings"), code.alias("code"), outcome.alias("outcome"))
 
 
-def inspection(rows: DataFrame) -> DataFrame:
-    """What the security gate asks of files (doc_id, format, content): counts of objects, links and cells, and what archives hold."""
+def inspection(rows: DataFrame, pages: DataFrame) -> DataFrame:
+    """What the security gate asks of files (doc_id, format, content): counts of objects, links, pages and cells, and what archives hold; ``issue`` says why a file can't be read."""
     none = lambda t: F.lit(None).cast(t)
     page = F.when(F.col("format") == "HTML", files.decoded(F.col("content")))
     urls = F.regexp_extract_all(page, F.lit(markup.LINK), F.lit(1))
     leaving = F.size(F.filter(urls, lambda u: markup.leaves(F.substring(u, F.lit(2), F.length(u) - 2))))
-    plain = rows.filter(~F.col("format").isin(*office.PARSERS)).select(
+    plain = rows.filter(~F.col("format").isin(*office.PARSERS, "PDF")).select(
         "doc_id", none("string").alias("issue"), F.lit(False).alias("encrypted"), F.lit(False).alias("has_macros"), F.coalesce(F.regexp_count(page, F.lit(EMBEDS)), F.lit(0)).alias("embedded_object_count"),
         F.coalesce(leaving, F.lit(0)).alias("external_link_count"), none("int").alias("archive_depth"), none("long").alias("compressed_size_bytes"), none("long").alias("uncompressed_size_bytes"),
-        F.regexp_count(page, F.lit(CELLS)).cast("long").alias("table_cell_count"), (files.image_size(F.col("content"))["width"] * files.image_size(F.col("content"))["height"]).alias("total_pixels"),
+        F.regexp_count(page, F.lit(CELLS)).cast("long").alias("table_cell_count"), (files.image_size(F.col("content"))["width"] * files.image_size(F.col("content"))["height"]).alias("total_pixels"), none("int").alias("page_count"),
     )
-    packed = office.inspected(rows.filter(F.col("format").isin(*office.PARSERS)).select(F.col("doc_id").cast("string").alias("path"), "content"))
-    packed = packed.select(F.col("path").cast(rows.schema["doc_id"].dataType).alias("doc_id"), *[c for c in packed.columns if c != "path"], none("long").alias("table_cell_count"), none("long").alias("total_pixels"))
-    return plain.unionByName(packed).withColumns({"page_count": none("int"), "malware": F.lit(False)})
+    packed = office.inspected(rows.filter(F.col("format").isin(*office.PARSERS)).select(F.col("doc_id").cast("string").alias("path"), "format", "content"))
+    packed = packed.select(F.col("path").cast(rows.schema["doc_id"].dataType).alias("doc_id"), *[c for c in packed.columns if c != "path"])
+    refused = pages.filter("code IS NOT NULL").select("doc_id", F.col("code").alias("issue"), F.lit(0).alias("embedded_object_count"))
+    paged = pdf.inspection(rows.filter("format = 'PDF'"), pages).unionByName(refused, allowMissingColumns=True).withColumns({"encrypted": F.lit(False), "has_macros": F.lit(False)})
+    return plain.unionByName(packed, allowMissingColumns=True).unionByName(paged, allowMissingColumns=True).withColumn("malware", F.lit(False))
 
 
-def blocks(rows: DataFrame) -> DataFrame:
-    """Blocks of files (doc_id, format, content) by the parser of their format, in their order."""
-    text = rows.filter(F.col("format").isin(*TEXTS)).select("doc_id", "format", files.decoded(F.col("content")).alias("text"))
+def blocks(rows: DataFrame, pages: DataFrame) -> DataFrame:
+    """Blocks of files (doc_id, format, content) by the parser of their format, in their order; a row with a code instead of a type for those that can't be read."""
+    text = rows.filter(F.col("format").isin(*TEXTS, "TEXT")).select("doc_id", "format", files.decoded(F.col("content")).alias("text"))
     parts = [markup.blocks(text.filter(F.col("format") == name), parse) for name, parse in TEXTS.items()]
+    parts.append(paragraphs(text.filter("format = 'TEXT'")).withColumn("type", F.lit("PARAGRAPH")))
     box = F.struct(*[F.lit(v).alias(n) for n, v in (("x1", 0.0), ("y1", 0.0), ("x2", 1.0), ("y2", 1.0))])
-    image = rows.filter("format = 'IMAGE'").select("doc_id", F.lit(1).alias("ordinal"), F.lit("IMAGE").alias("type"), F.lit("").alias("text"), box.alias("bbox"))
-    archives = office.blocks(rows.filter(F.col("format").isin(*office.PARSERS)))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [archives, *parts, image])
+    image = rows.filter("format = 'IMAGE'").select("doc_id", F.lit(1).alias("ordinal"), F.lit("IMAGE").alias("type"), F.lit("").alias("text"), F.lit(1).alias("page_no"), box.alias("bbox"))
+    archives = office.parsed(rows.filter(F.col("format").isin(*office.PARSERS)))
+    paged = pdf.blocks(pages.join(rows.select("doc_id"), "doc_id", "left_semi"))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [archives, *parts, image, paged])
 
 
-def process(rows: DataFrame, intake: Intake = Intake()) -> tuple[DataFrame, DataFrame]:
-    """(outcomes, blocks): what became of each file, and the blocks of those that were completed, as the chunk builder takes them.
+def process(rows: DataFrame, intake: Intake = Intake(), recognise: Callable[[DataFrame], DataFrame] | None = None) -> Processed:
+    """Every file from its bytes to its outcome.
 
-    outcomes: doc_id, format, outcome (COMPLETED, MANUAL_REVIEW, REJECTED or FAILED), code, warnings, n_blocks.
+    ``recognise`` gets the targets of a batch (doc_id, page_no, target) and returns blocks (doc_id, page_no, text, ocr_engine,
+    confidence); those of a whole page replace the parser's. Without it targets are only listed, and their files say so.
     """
     seen = write_shared(checked(rows, intake), "intake-checked")
     held = seen.filter("outcome IS NULL").select("doc_id", "format", "content")
-    looked = quality.security_gate(inspection(held), intake.limits)
+    pages = write_shared(pdf.pages(held.filter("format = 'PDF'"), intake.limits.max_pages), "intake-pages")
+    looked = quality.security_gate(inspection(held, pages), intake.limits)
     archive = F.when(F.col("issue").isNotNull(), "FAILED").when(F.col("verdict") == "CLEAN", "COMPLETED").otherwise(F.col("verdict"))
     judged = write_shared(looked.select("doc_id", archive.alias("gate"), F.coalesce("issue", F.get("findings", F.lit(0))).alias("gate_code")), "intake-judged")
-    parsed = blocks(held.join(judged.filter("gate = 'COMPLETED'").select("doc_id"), "doc_id", "left_semi"))
-    named = identified(completed(parsed), F.col("doc_id")).join(seen.select("doc_id", F.col("format").alias("file_format")), "doc_id")
+    good = held.join(judged.filter("gate = 'COMPLETED'").select("doc_id"), "doc_id", "left_semi")
+    parsed = completed(blocks(good, pages))
+    read = pages.join(good.filter("format = 'PDF'").select("doc_id"), "doc_id", "left_semi")
+    whole = good.filter("format = 'IMAGE'").select("doc_id", F.lit(1).alias("page_no"), F.lit("WHOLE_IMAGE").alias("target"))
+    targets = write_shared(ocr.targets(whole.unionByName(pdf.targets(read).select("doc_id", "page_no", "target")), pdf.coverage(read), intake.least_coverage), "intake-targets")
+    if recognise is not None:
+        found = recognise(targets.select("doc_id", "page_no", "target")).withColumns({"type": F.lit("PARAGRAPH"), "ordinal": F.lit(None).cast("int")})
+        found = found.select([F.col(c) if c in found.columns else F.lit(None).cast(t).alias(c) for c, t in parsed.dtypes])
+        both = ocr.replace(parsed, found, targets).drop("origin")
+        # files that were recognised are numbered anew, by page and then as they came
+        order = Window.partitionBy("doc_id").orderBy(F.col("page_no").asc_nulls_last(), F.col("ordinal").asc_nulls_last(), "text")
+        again = both.join(found.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("ordinal", F.row_number().over(order))
+        parsed = both.join(found.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(again)
+    named = identified(parsed, F.col("doc_id")).join(seen.select("doc_id", F.col("format").alias("file_format")), "doc_id")
     done = write_shared(named, "intake-blocks")
-    counts = done.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    outcomes = seen.drop("content").join(judged, "doc_id", "left").join(counts, "doc_id", "left")
-    said: Column = F.coalesce("outcome", "gate")
-    return outcomes.select("doc_id", "format", said.alias("outcome"), F.coalesce("code", "gate_code").alias("code"), "warnings", F.coalesce("n", F.lit(0)).alias("n_blocks")), done
+    broken = done.filter("code IS NOT NULL").select("doc_id", F.col("code").alias("broken"))
+    counts = done.filter("code IS NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    waiting = targets.select("doc_id").distinct().withColumn("waiting", F.lit(recognise is None))
+    outcomes = seen.drop("content").join(judged, "doc_id", "left").join(broken, "doc_id", "left").join(counts, "doc_id", "left").join(waiting, "doc_id", "left")
+    said: Column = F.coalesce("outcome", F.when(F.col("broken").isNotNull(), "FAILED"), "gate")
+    warned = F.when(F.col("waiting"), F.array_append("warnings", "RECOGNITION_REQUIRED")).otherwise(F.col("warnings"))
+    outcomes = outcomes.select("doc_id", "format", said.alias("outcome"), F.coalesce("code", "broken", "gate_code").alias("code"), warned.alias("warnings"), F.coalesce("n", F.lit(0)).alias("n_blocks"))
+    return Processed(outcomes, done.filter("code IS NULL").drop("code"), targets)

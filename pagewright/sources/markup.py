@@ -252,12 +252,6 @@ def csv_blocks_of(text: str) -> list[tuple]:
     return [("TABLE", "\n".join(" | ".join(r) for r in rows), None, rows, 1)] if rows else []
 
 
-def text_blocks_of(text: str) -> list[tuple]:
-    """Paragraphs, parted by blank lines."""
-    parts = (" ".join(p.split()) for p in re.split(r"\n[ \t]*(?:\n[ \t]*)+", (text or "").replace("\r\n", "\n").replace("\r", "\n")))
-    return [("PARAGRAPH", p, None, None, None) for p in parts if p]
-
-
 def blocks(rows: DataFrame, parse: Callable[[str], list[tuple]]) -> DataFrame:
     """``rows`` has doc_id and text; one row per block, numbered from 1; only HTML has merged cells."""
 

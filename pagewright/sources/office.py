@@ -3,60 +3,107 @@
 from __future__ import annotations
 
 import io
+import posixpath
 import re
 import zipfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from pagewright.sources.markup import BLOCKS, MERGED
 
 PLACES = ", sheet_name string, slide_no int, bbox struct<x1:double,y1:double,x2:double,y2:double>, formulas array<struct<cell:string,formula:string,result:string>>"
 
 INSPECTION = "path string, issue string, encrypted boolean, has_macros boolean, embedded_object_count int, external_link_count int, archive_depth int, compressed_size_bytes long, uncompressed_size_bytes long"
-MOST_ENTRIES, MOST_ENTRY = 20_000, 32 << 20
 CORE = {"DOCX": "word/document.xml", "XLSX": "xl/workbook.xml", "PPTX": "ppt/presentation.xml"}
-
-
-def inspect(content: bytes) -> tuple:
-    """issue, encrypted, macros, embedded objects, external links, depth, packed and unpacked bytes."""
+READ = re.compile(r".*\.(?:xml|rels)|(?:word|xl|ppt)/media/.*", re.S)  # what parsers may read
+
+
+@dataclass(frozen=True)
+class Limits:
+    """The default limits of an archive."""
+
+    entries: int = 20_000
+    entry_bytes: int = 32 << 20
+    read_bytes: int = 256 << 20
+    ratio: float = 100.0
+    depth: int = 3
+
+
+def _issue(infos: list[zipfile.ZipInfo], expected: str | None, limits: Limits) -> str | None:
+    """Why an archive isn't read, by its directory alone: the first entry that breaks a rule tells."""
+    seen: set[str] = set()
+    packed = raw = read = 0
+    # The codes of the rules.
+    for n, i in enumerate(infos, 1):
+        name = i.filename
+        if "\0" in name or "\\" in name or name.startswith("/") or re.match("[A-Za-z]:", name) or ".." in name.split("/"):
+            return "OOXML_UNSAFE_ENTRY_PATH"
+        if name in seen:
+            return "OOXML_DUPLICATE_ENTRY"
+        seen.add(name)
+        if n > limits.entries:
+            return "ARCHIVE_ENTRY_LIMIT_EXCEEDED"
+        if i.flag_bits & 1:
+            return "OOXML_ENCRYPTED_UNSUPPORTED"
+        packed, raw = packed + i.compress_size, raw + i.file_size
+        if i.file_size > limits.ratio * i.compress_size or raw > limits.ratio * packed:
+            return "COMPRESSION_RATIO_EXCEEDED"
+        if READ.fullmatch(name):
+            read += i.file_size
+            if i.file_size > limits.entry_bytes:
+                return "OOXML_ENTRY_TOO_LARGE"
+            if read > limits.read_bytes:
+                return "OOXML_MATERIALIZED_SIZE_EXCEEDED"
+    kinds = [kind for kind, core in CORE.items() if core in seen]
+    if len(kinds) != 1:
+        return "OOXML_FORMAT_AMBIGUOUS"
+    if expected is not None and kinds != [expected]:
+        return "OOXML_INTERNAL_FORMAT_MISMATCH"
+    return None
+
+
+def inspect(content: bytes, expected: str | None = None, limits: Limits = Limits()) -> tuple:
+    """issue, encrypted, macros, embedded objects, external links, depth, packed and unpacked bytes.
+
+    ``expected`` is the format that the file was detected as; nothing is unpacked unless the directory keeps all limits.
+    """
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as z:
             infos = z.infolist()
-            names = [i.filename for i in infos]
-            issue = None
-            if len(infos) > MOST_ENTRIES:
-                issue = "TOO_MANY_ENTRIES"
-            elif len(set(names)) != len(names):
-                issue = "DUPLICATE_ENTRY"
-            elif any(n.startswith("/") or ".." in n.split("/") or "\\" in n for n in names):
-                issue = "UNSAFE_PATH"
-            elif sum(n in CORE.values() for n in names) != 1:
-                issue = "CORE_PART_MISSING"
+            names = [i.filename.lower() for i in infos]
+            depth = 2 if any(re.search(r"\.(zip|docx|xlsx|pptx)$", n) for n in names) else 1
+            issue = _issue(infos, expected, limits) or ("ARCHIVE_DEPTH_EXCEEDED" if depth > limits.depth else None)
             external = 0
-            for i in infos:
-                if i.filename.endswith(".rels") and i.file_size <= MOST_ENTRY and not i.flag_bits & 1:
-                    external += len(re.findall(rb'TargetMode="External"', z.read(i)))
-            nested = any(re.search(r"\.(zip|docx|xlsx|pptx)$", n, re.I) for n in names)
+            if issue is None:
+                for i in infos:
+                    if i.filename.endswith(".rels"):
+                        try:
+                            external += sum((e.get("TargetMode") or "").lower() == "external" for e in ElementTree.fromstring(z.read(i)).iter())
+                        except ElementTree.ParseError:
+                            issue = "OOXML_RELATIONSHIP_XML_INVALID"
             return (
-                issue, any(i.flag_bits & 1 for i in infos), any(n.lower().endswith("vbaproject.bin") for n in names), sum("/embeddings/" in n for n in names),
-                external, 2 if nested else 1, sum(i.compress_size for i in infos), sum(i.file_size for i in infos),
+                issue, any(i.flag_bits & 1 for i in infos), any(n.endswith("/vbaproject.bin") or "/macrosheets/" in n or "/activex/" in n for n in names),
+                sum("/embeddings/" in n or "/activex/" in n for n in names), external, depth, sum(i.compress_size for i in infos), sum(i.file_size for i in infos),
             )
-    except (zipfile.BadZipFile, ValueError, OSError):
-        return ("ARCHIVE_INVALID", False, False, 0, 0, 0, 0, 0)
+    except Exception:  # whatever a broken file does to the reader is this file's failure, not the job's
+        return ("OOXML_ZIP_INVALID", False, False, 0, 0, 0, 0, 0)
 
 
 def inspected(files: DataFrame) -> DataFrame:
-    """``files`` has path and content."""
+    """``files`` has path and content, and may have format, what they were detected as."""
+    kind = F.col("format") if "format" in files.columns else F.lit(None)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame([(p, *inspect(c)) for p, c in zip(f["path"], f["content"], strict=True)], columns=[c.split()[0] for c in INSPECTION.split(", ")])
+            yield pd.DataFrame([(p, *inspect(c, k)) for p, k, c in zip(f["path"], f["format"], f["content"], strict=True)], columns=[c.split()[0] for c in INSPECTION.split(", ")])
 
-    return files.select("path", "content").mapInPandas(run, INSPECTION)
+    return files.select("path", kind.cast("string").alias("format"), "content").mapInPandas(run, INSPECTION)
 
 
 def _local(tag: str) -> str:
@@ -64,8 +111,6 @@ def _local(tag: str) -> str:
 
 
 def _part(z: zipfile.ZipFile, name: str) -> ElementTree.Element:
-    if z.getinfo(name).file_size > MOST_ENTRY:
-        raise ValueError(f"{name} is too large")
     return ElementTree.fromstring(z.read(name))
 
 
@@ -223,15 +268,25 @@ def _value(c: ElementTree.Element, shared: list[str], dates: set[int]) -> tuple[
     return (value if raw is not None else f"={formula}"), (c.get("r") or "", formula, raw)
 
 
+def _sheets(z: zipfile.ZipFile) -> list[tuple[str, str]]:
+    """Name and part of each sheet, in the workbook's order, by its relationships; a workbook without them has its parts in the order of their numbers."""
+    listed = [(e.get("name") or "", _attr(e, "id")) for e in _find(_part(z, CORE["XLSX"]), "sheet")]
+    rels = "xl/_rels/workbook.xml.rels"
+    if rels in z.namelist():
+        targets = {e.get("Id"): e.get("Target") or "" for e in _find(_part(z, rels), "Relationship")}
+        named = [(name, targets[own]) for name, own in listed if own in targets]
+        parts = [(name, t.lstrip("/") if t.startswith("/") else posixpath.normpath(f"xl/{t}")) for name, t in named]
+        return [(name, part) for name, part in parts if part.startswith("xl/worksheets/")]
+    numbers = sorted((int(m[1]), n) for n in z.namelist() if (m := re.fullmatch(r"xl/worksheets/sheet(\d+)\.xml", n)))
+    return [(listed[k][0] if k < len(listed) else f"sheet {k + 1}", n) for k, (_, n) in enumerate(numbers)]
+
+
 def xlsx_blocks(z: zipfile.ZipFile) -> Iterator[tuple]:
     """Each sheet's name as a title, then its cells: rows without cells are left out, merged cells have their text once."""
     shared = [_text(e) for e in _part(z, "xl/sharedStrings.xml")] if "xl/sharedStrings.xml" in z.namelist() else []
     dates = _date_styles(z)
-    names = [e.get("name") or "" for e in _find(_part(z, CORE["XLSX"]), "sheet")]
-    sheets = sorted((int(m[1]), n) for n in z.namelist() if (m := re.fullmatch(r"xl/worksheets/sheet(\d+)\.xml", n)))
-    for k, (_, part) in enumerate(sheets):
+    for name, part in _sheets(z):
         root = _part(z, part)
-        name = names[k] if k < len(names) else f"sheet {k + 1}"
         ranges = [(column_number(m[1]), int(m[2]), column_number(m[3]), int(m[4])) for e in _find(root, "mergeCell") if (m := re.fullmatch(r"([A-Z]+)(\d+):([A-Z]+)(\d+)", e.get("ref") or ""))]
         rows, formulas, place = [], [], {}
         for row in _find(root, "row"):
@@ -256,17 +311,28 @@ def xlsx_blocks(z: zipfile.ZipFile) -> Iterator[tuple]:
 PARSERS = {"DOCX": docx_blocks, "XLSX": xlsx_blocks, "PPTX": pptx_blocks}
 
 
-def blocks(files: DataFrame) -> DataFrame:
-    """``files`` has doc_id, format and content; archives that don't open have no blocks."""
+def parsed(files: DataFrame) -> DataFrame:
+    """``files`` has doc_id, format and content; the blocks of each, or one row with the code of its failure, so that a broken file ends nothing but itself."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             found = []
             for d, kind, content in zip(f["doc_id"], f["format"], f["content"], strict=True):
-                if inspect(content)[0] is None and kind in PARSERS:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        found += [(d, k, *b) for k, b in enumerate(PARSERS[kind](z), 1)]
-            out = pd.DataFrame(found, columns=["doc_id", "ordinal", "type", "text", "heading_level", "cells", "header_rows", "merged_cells", "sheet_name", "slide_no", "bbox", "formulas"])
+                code = inspect(content, kind)[0] if kind in PARSERS else "PARSER_FORMAT_UNSUPPORTED"
+                if code is None:
+                    try:
+                        with zipfile.ZipFile(io.BytesIO(content)) as z:
+                            found += [(d, k, *b, None) for k, b in enumerate(list(PARSERS[kind](z)), 1)]
+                        continue
+                    except Exception:
+                        code = f"{kind}_CONTENT_INVALID"
+                found.append((d, 0, None, None, None, None, None, None, None, None, None, None, code))
+            out = pd.DataFrame(found, columns=["doc_id", "ordinal", "type", "text", "heading_level", "cells", "header_rows", "merged_cells", "sheet_name", "slide_no", "bbox", "formulas", "code"])
             yield out.astype({"heading_level": "Int32", "header_rows": "Int32", "slide_no": "Int32"})
 
-    return files.select("doc_id", "format", "content").mapInPandas(run, BLOCKS + MERGED + PLACES)
+    return files.select("doc_id", "format", "content").mapInPandas(run, BLOCKS + MERGED + PLACES + ", code string")
+
+
+def blocks(files: DataFrame) -> DataFrame:
+    """``files`` has doc_id, format and content; archives that don't open have no blocks."""
+    return parsed(files).filter("code IS NULL").drop("code")

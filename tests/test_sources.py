@@ -40,11 +40,11 @@ def test_files_become_outcomes_and_blocks(spark):
     rows = [("page.html", "text/html", b"<!doctype html><h1>t</h1><p>p"), ("out.html", "text/html", b"<html><a href='//x'>y</a>"), ("obj.html", "text/html", b"<html><embed src=x>"), ("n.md", "", b"# t\n\np"), ("n.txt", "text/plain", b"a\n\nb\nc"),
             ("n.csv", "text/csv", b"a,b\n1,2"), ("x.txt", "text/plain", b"MZ"), ("y.txt", "image/png", b"y"), ("d.docx", files.OFFICE + "wordprocessingml.document", archive(DOCX)), ("bad.docx", "", b"PK\x03\x04zz"), ("long.txt", "", long_text), ("p.png", "image/png", bytes.fromhex("89504e470d0a1a0a") + b"\x00\x00\x00\rIHDR" + struct.pack(">II", 30000, 30000)), ("e.txt", "", b"")]
     df = spark.createDataFrame([(i, n, m, bytearray(c), None, None) for i, (n, m, c) in enumerate(rows)], "doc_id long, file_name string, declared_mime string, content binary, declared_size long, declared_sha256 string")
-    outcomes, blocks = intake.process(df)
+    outcomes, blocks, _ = intake.process(df)
     got = {rows[r["doc_id"]][0]: (r["outcome"], r["code"], r["n_blocks"]) for r in outcomes.collect()}
     assert got == {
         "page.html": ("COMPLETED", None, 2), "out.html": ("MANUAL_REVIEW", "EXTERNAL_LINK_FOUND", 0), "obj.html": ("MANUAL_REVIEW", "EMBEDDED_OBJECT_FOUND", 0), "n.md": ("COMPLETED", None, 2), "n.txt": ("COMPLETED", None, 2), "n.csv": ("COMPLETED", None, 1),
-        "x.txt": ("REJECTED", "MALWARE_DETECTED", 0), "y.txt": ("FAILED", "MIME_MAGIC_MISMATCH", 0), "d.docx": ("COMPLETED", None, got["d.docx"][2]), "bad.docx": ("FAILED", "ARCHIVE_INVALID", 0), "long.txt": ("COMPLETED", None, 1), "p.png": ("REJECTED", "PIXEL_LIMIT_EXCEEDED", 0), "e.txt": ("COMPLETED", None, 0)}
+        "x.txt": ("REJECTED", "MALWARE_DETECTED", 0), "y.txt": ("FAILED", "MIME_MAGIC_MISMATCH", 0), "d.docx": ("COMPLETED", None, got["d.docx"][2]), "bad.docx": ("FAILED", "OOXML_ZIP_INVALID", 0), "long.txt": ("COMPLETED", None, 1), "p.png": ("REJECTED", "PIXEL_LIMIT_EXCEEDED", 0), "e.txt": ("COMPLETED", None, 0)}
     assert got["d.docx"][2] > 0 and blocks.count() == sum(n for *_, n in got.values())
     assert {r["doc_id"]: list(r["warnings"]) for r in outcomes.collect()}[3] == ["DECLARED_MIME_GENERIC"]
 
@@ -165,10 +165,10 @@ def test_office_details(spark):
 
 
 def test_archives_are_inspected(spark):
-    bad = {"a": archive(DOCX | {"../x": "y"}), "b": archive(DOCX | {"word/vbaProject.bin": "m", "word/embeddings/o.bin": "e", "word/_rels/d.rels": '<r TargetMode="External"/>'}), "c": b"", "d": archive({"x": "y"})}
+    bad = {"a": archive(DOCX | {"../x": "y"}), "b": archive(DOCX | {"word/vbaProject.bin": "m", "word/embeddings/o.bin": "e", "word/_rels/d.rels": '<r><x TargetMode="External"/></r>'}), "c": b"", "d": archive({"x": "y"})}
     df = spark.createDataFrame([(k, bytearray(v)) for k, v in bad.items()], "path string, content binary")
     got = {r["path"]: r for r in office.inspected(df).collect()}
-    assert [got[k]["issue"] for k in "abcd"] == ["UNSAFE_PATH", None, "ARCHIVE_INVALID", "CORE_PART_MISSING"]
+    assert [got[k]["issue"] for k in "abcd"] == ["OOXML_UNSAFE_ENTRY_PATH", None, "OOXML_ZIP_INVALID", "OOXML_FORMAT_AMBIGUOUS"]
     assert (got["b"]["has_macros"], got["b"]["embedded_object_count"], got["b"]["external_link_count"]) == (True, 1, 1)
 
 
