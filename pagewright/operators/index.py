@@ -201,17 +201,19 @@ def next_version(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg((F.coalesce(F.max("version"), F.lit(0)) + 1).alias("next_version"))
 
 
-def routes(spaces: DataFrame, heads: DataFrame, manifests: DataFrame, user: Column, salt: str, percent: int) -> DataFrame:
-    """space, manifest, route of a user's run: the active head's manifest, or a space's newest candidate for the canary's share.
+def routes(spaces: DataFrame, heads: DataFrame, manifests: DataFrame, canaries: DataFrame, user: Column) -> DataFrame:
+    """The spaces' columns, manifest and route of each run: the active head's manifest, or the candidate for the canary's share.
 
-    Spaces without a candidate always take the stable one.
+    ``spaces``: space and policy_version; ``heads``: space, manifest; ``canaries``: space, stable, candidate, percent (1 to 99)
+    and salt, a row for each space that tries a candidate. A canary holds only as long as its stable manifest is the head and its
+    candidate is verified.
     """
-    active = manifests.filter("status = 'ACTIVE'").select(F.col("manifest").alias("head"))
-    stable = spaces.join(heads, "space").join(active, "head")
-    candidate = manifests.filter("status = 'CANARY'").groupBy("space").agg(F.max_by("manifest", "version").alias("candidate"))
-    both = stable.join(candidate, "space", "left")
-    chosen = F.when(F.col("candidate").isNotNull() & (ids.canary(salt, user, percent) == "candidate"), F.col("candidate"))
-    return both.select("space", F.coalesce(chosen, "head").alias("manifest"), F.when(chosen.isNotNull(), "CANARY").otherwise("STABLE").alias("route"))
+    stable = spaces.join(heads.select("space", F.col("manifest").alias("head")), "space")
+    stable = stable.join(manifests.filter("status = 'ACTIVE'").select(F.col("manifest").alias("head")), "head")
+    tried = canaries.join(manifests.filter("status = 'VERIFIED'").select(F.col("manifest").alias("candidate")), "candidate")
+    both = stable.join(tried.select("space", F.col("stable").alias("head"), "candidate", "percent", "salt"), ["space", "head"], "left")
+    chosen = F.when(ids.bucket(F.col("salt"), user) < F.col("percent"), F.col("candidate"))
+    return both.select(*spaces.columns, F.coalesce(chosen, "head").alias("manifest"), F.when(chosen.isNotNull(), "CANARY").otherwise("STABLE").alias("route"))
 
 
 def publish(heads: DataFrame, space_to_manifest: DataFrame) -> DataFrame:

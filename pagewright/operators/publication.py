@@ -6,7 +6,9 @@ changed rows come back, and the caller writes them with the head last, so that a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -38,39 +40,98 @@ def build_manifests(targets: DataFrame, manifests: DataFrame, heads: DataFrame,
     return made.join(expected, "manifest").select("manifest", "space", "version", F.lit("BUILDING").alias("status"), F.lit(profile).alias("profile"), "expected"), listed, refused
 
 
-def publish(manifests: DataFrame, heads: DataFrame, runs: DataFrame, now: Column, retention_days: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(manifests, heads, tasks) after the publication of every verified run; ``runs`` has run, space, manifest, status.
+class Published(NamedTuple):
+    manifests: DataFrame
+    heads: DataFrame
+    runs: DataFrame
+    tasks: DataFrame  # the new ones
+    events: DataFrame  # event_type, key, space, manifest, version, previous
+
+
+def _said(rows: DataFrame, key: Column, *kinds: str) -> DataFrame:
+    """An event of each kind for each row (space, manifest, version, previous)."""
+    return rows.select(F.explode(F.array(*[F.lit(k) for k in kinds])).alias("event_type"), key.alias("key"), "space", "manifest", "version", "previous")
+
 
-    A space has one verified run at a time. The head's manifest is superseded, the run's becomes active, and tasks are due: the
-    superseded one is cleaned up after its retention, the new one reconciled in ten minutes.
+def publish(manifests: DataFrame, heads: DataFrame, runs: DataFrame, now: Column, retention_days: int, tasks: DataFrame | None = None) -> Published:
+    """State after the publication of every verified run; ``runs`` has run, space, manifest, status, ``tasks`` task_type and manifest.
+
+    The runs of a space are published in the order of their manifests' versions: each supersedes the one before it, and the last
+    is what readers see. A superseded manifest is cleaned up after its retention, a published one reconciled in ten minutes; a
+    task that is there already isn't made again.
     """
-    ready = runs.filter("status = 'VERIFIED'").join(manifests.filter("status = 'VERIFIED'").select("manifest", "version"), "manifest").select("space", F.col("manifest").alias("new"), F.col("version").alias("new_version"))
-    moved = ready.join(heads.select("space", F.col("manifest").alias("old"), "optimistic_version"), "space", "left")
-    status = F.when(F.col("manifest") == F.col("new"), "ACTIVE").when((F.col("manifest") == F.col("old")) & (F.col("status") == "ACTIVE"), "SUPERSEDED").otherwise(F.col("status"))
-    after = manifests.join(moved.select("space", "new", "old"), "space", "left").withColumn("status", status).drop("new", "old")
+    at = Window.partitionBy("space").orderBy("version", "run")
+    ready = runs.filter("status = 'VERIFIED'").join(manifests.filter("status = 'VERIFIED'").select("manifest", "version"), "manifest").select("run", "space", "manifest", "version")
+    ready = ready.join(heads.select("space", F.col("manifest").alias("head"), "optimistic_version"), "space", "left")
+    ready = ready.withColumns({"previous": F.coalesce(F.lag("manifest").over(at), "head"), "last": F.lead("manifest").over(at).isNull()})
+    becomes = ready.select("manifest", F.when(F.col("last"), "ACTIVE").otherwise("SUPERSEDED").alias("becomes"))
+    old = ready.filter("head IS NOT NULL").select(F.col("head").alias("manifest"), F.lit("SUPERSEDED").alias("becomes")).distinct()
+    after = manifests.join(becomes.unionByName(old), "manifest", "left")
+    moves = F.col("becomes").isNotNull() & F.col("status").isin("VERIFIED", "ACTIVE")
+    after = after.select(*[F.when(moves, F.col("becomes")).otherwise(F.col("status")).alias("status") if c == "status" else F.col(c) for c in manifests.columns])
+    moved = ready.groupBy("space").agg(F.max_by(F.struct("manifest", "version"), "last").alias("to"), F.count(F.lit(1)).alias("n"), F.first("optimistic_version").alias("before"))
     pointers = heads.join(moved.select("space"), "space", "left_anti").select("space", "manifest", "version", "optimistic_version")
-    pointers = pointers.unionByName(moved.select("space", F.col("new").alias("manifest"), F.col("new_version").alias("version"), (F.coalesce("optimistic_version", F.lit(0)) + 1).alias("optimistic_version")))
-    cleanup = moved.filter("old IS NOT NULL").select(F.lit("CLEANUP_MANIFEST").alias("task_type"), F.col("old").alias("manifest"), (now + F.expr(f"INTERVAL {retention_days} DAYS")).alias("available_at"))
-    again = moved.select(F.lit("RECONCILE_MANIFEST").alias("task_type"), F.col("new").alias("manifest"), (now + F.expr("INTERVAL 10 MINUTES")).alias("available_at"))
-    return after, pointers, cleanup.unionByName(again)
+    pointers = pointers.unionByName(moved.select("space", "to.manifest", "to.version", (F.coalesce("before", F.lit(0)) + F.col("n")).alias("optimistic_version")))
+    cleanup = ready.filter("previous IS NOT NULL").select(F.lit("CLEANUP_MANIFEST").alias("task_type"), F.col("previous").alias("manifest"), (now + F.expr(f"INTERVAL {retention_days} DAYS")).alias("available_at"))
+    due = cleanup.unionByName(ready.select(F.lit("RECONCILE_MANIFEST").alias("task_type"), "manifest", (now + F.expr("INTERVAL 10 MINUTES")).alias("available_at")))
+    if tasks is not None:
+        due = due.join(tasks.select("task_type", "manifest"), ["task_type", "manifest"], "left_anti")
+    done = updated(runs, ready.select("run", F.lit("PUBLISHED").alias("status")), "run", "status")
+    # What is said of a publication.
+    said = _said(ready, F.col("run"), "ingestion.m05_published", "index.manifest.published", "index.document.membership.changed", "cache.invalidate.space")
+    return Published(after, pointers, done, due, said)
+
+
+class Failed(NamedTuple):
+    manifests: DataFrame
+    runs: DataFrame
+    jobs: DataFrame
+    events: DataFrame  # event_type, key, code
 
 
-def failed(manifests: DataFrame, runs: DataFrame, failures: DataFrame) -> DataFrame:
-    """Manifests after the failure of some runs (run): those that were being built are closed; heads stay as they are."""
-    broken = runs.filter("status <> 'PUBLISHED'").join(failures.select("run"), "run", "left_semi").select("manifest", F.lit(True).alias("broken")).distinct()
+def failed(manifests: DataFrame, runs: DataFrame, jobs: DataFrame, failures: DataFrame) -> Failed:
+    """State after the failure of some runs (run, code): what was being built is closed, its job waits without a lease; heads stay as they are.
+
+    ``runs`` has run, job_id, manifest, status; ``jobs``: job_id, status, lease_owner. A run that is published stays published.
+    """
+    broken = runs.filter("status <> 'PUBLISHED'").join(failures.groupBy("run").agg(F.min("code").alias("code")), "run", "left_semi").select("run", "job_id", "manifest")
+    closed = broken.select("manifest", F.lit(True).alias("broken")).distinct()
     status = F.when(F.col("broken") & F.col("status").isin("BUILDING", "VERIFIED"), "FAILED").otherwise(F.col("status"))
-    return manifests.join(broken, "manifest", "left").withColumn("status", status).drop("broken")
+    after = manifests.join(closed, "manifest", "left").withColumn("status", status).drop("broken")
+    waiting = broken.select("job_id", F.lit("WAITING").alias("status"), F.lit(None).cast("string").alias("lease_owner")).distinct()
+    said = broken.join(failures.groupBy("run").agg(F.min("code").alias("code")), "run").select(F.lit("ingestion.m05_failed").alias("event_type"), F.col("run").alias("key"), "code")
+    return Failed(after, updated(runs, broken.select("run", F.lit("FAILED").alias("status")), "run", "status"), updated(jobs, waiting, "job_id", "status", "lease_owner"), said)
+
 
+class RolledBack(NamedTuple):
+    manifests: DataFrame
+    heads: DataFrame
+    events: DataFrame  # event_type, key, space, manifest, version, previous
+    refused: DataFrame  # request, space, version
 
-def rollback(manifests: DataFrame, heads: DataFrame, tasks: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(heads, refused) after requests (space, version): a manifest can come back as long as its vectors haven't been cleaned up."""
+
+def rollback(manifests: DataFrame, heads: DataFrame, tasks: DataFrame, requests: DataFrame) -> RolledBack:
+    """State after requests (request, space, version), those of a space in the order of their names.
+
+    A manifest can come back as long as its vectors haven't been cleaned up. It becomes active, the one before it superseded, and
+    the head's version is counted up; a request for what is the head already changes nothing but is answered like any other.
+    """
     gone = tasks.filter("task_type = 'CLEANUP_MANIFEST' AND status = 'SUCCEEDED'").select("manifest")
-    whole = manifests.filter(F.col("status").isin("SUPERSEDED", "VERIFIED", "ACTIVE")).join(gone, "manifest", "left_anti").select("space", "version", F.col("manifest").alias("to"))
-    asked = requests.join(whole, ["space", "version"], "left")
-    refused = asked.filter("to IS NULL").select("space", "version")
-    moved = heads.join(asked.filter("to IS NOT NULL").select("space", "to", F.col("version").alias("to_version")), "space", "left")
-    new = F.col("to").isNotNull() & (F.col("to") != F.col("manifest"))
-    return moved.select("space", F.when(new, F.col("to")).otherwise(F.col("manifest")).alias("manifest"), F.when(new, F.col("to_version")).otherwise(F.col("version")).alias("version"), (F.col("optimistic_version") + new.cast("int")).alias("optimistic_version")), refused
+    whole = manifests.filter(F.col("status").isin("SUPERSEDED", "VERIFIED", "ACTIVE")).join(gone, "manifest", "left_anti").select("space", "version", "manifest")
+    asked = requests.select("request", "space", "version").join(whole, ["space", "version"], "left")
+    refused = asked.filter("manifest IS NULL").select("request", "space", "version")
+    at = Window.partitionBy("space").orderBy("request")
+    good = asked.filter("manifest IS NOT NULL").join(heads.select("space", F.col("manifest").alias("head"), "optimistic_version"), "space", "left")
+    good = good.withColumns({"previous": F.when(F.col("head").isNotNull(), F.coalesce(F.lag("manifest").over(at), "head")), "last": F.lead("request").over(at).isNull()})
+    switches = F.col("head").isNotNull() & (F.col("manifest") != F.col("previous"))
+    moved = good.filter("head IS NOT NULL").groupBy("space").agg(F.max_by(F.struct("manifest", "version"), "last").alias("to"), F.count_if(switches).alias("n")).filter("n > 0")
+    # what was active on the way is superseded, what is the last is active
+    touched = good.filter(switches).select("space", F.explode(F.array("manifest", "previous")).alias("manifest")).distinct().join(moved.select("space", F.col("to.manifest").alias("now")), "space")
+    becomes = touched.select("manifest", F.when(F.col("manifest") == F.col("now"), "ACTIVE").otherwise("SUPERSEDED").alias("status"))
+    pointers = heads.join(moved, "space", "left").select("space", F.coalesce("to.manifest", "manifest").alias("manifest"), F.coalesce("to.version", "version").alias("version"), (F.col("optimistic_version") + F.coalesce("n", F.lit(0))).alias("optimistic_version"))
+    # What is said of a rollback.
+    said = _said(good, F.concat_ws(":", "manifest", F.col("request").cast("string")), "index.manifest.rolled_back", "cache.invalidate.space")
+    return RolledBack(updated(manifests, becomes, "manifest", "status"), pointers, said, refused)
 
 
 # ---- what workers read ------------------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagewright.functions import vectors
-from pagewright.operators import lifecycle, ocr, publication
+from pagewright.operators import index, lifecycle, ocr, publication
 from pagewright.plans.registry import query
 from pagewright.shared import table
 
@@ -165,39 +165,97 @@ PUBLISHED = f"""{MANIFESTS}, rdy AS (SELECT m.space, m.manifest AS new, m.versio
 def _published(spark, sf_dir):
     manifests = _manifests(spark, sf_dir)
     runs = manifests.filter("status = 'VERIFIED'").select(F.concat(F.lit("r"), "manifest").alias("run"), "space", "manifest", F.when(F.col("space") % 4 != 3, "VERIFIED").otherwise("BUILDING").alias("status"))
-    return publication.publish(manifests, _heads(manifests), runs, _now(), 7)
+    tasks = manifests.filter("space % 5 = 2").select(F.lit("CLEANUP_MANIFEST").alias("task_type"), "manifest")
+    return publication.publish(manifests, _heads(manifests), runs, _now(), 7, tasks)
 
 
 @query(f"""WITH {PUBLISHED} SELECT m.manifest, m.space, m.version, m.profile, CASE WHEN m.manifest IN (SELECT new FROM rdy) THEN 'ACTIVE' WHEN m.manifest IN (SELECT old FROM rdy) AND m.status = 'ACTIVE' THEN 'SUPERSEDED' ELSE m.status END AS status FROM man m""")
 def published_manifests(spark, sf_dir):
-    return _published(spark, sf_dir)[0]
+    return _published(spark, sf_dir).manifests
 
 
 @query(f"""WITH {PUBLISHED} SELECT space, manifest, version, optimistic_version FROM heads WHERE space NOT IN (SELECT space FROM rdy) UNION ALL SELECT space, new, new_version, coalesce(optimistic_version, 0) + 1 FROM rdy""")
 def published_heads(spark, sf_dir):
-    return _published(spark, sf_dir)[1]
+    return _published(spark, sf_dir).heads
 
 
-@query(f"""WITH {PUBLISHED} SELECT 'CLEANUP_MANIFEST' AS task_type, old AS manifest, '1995-06-24 00:00:00' AS available_at FROM rdy WHERE old IS NOT NULL UNION ALL SELECT 'RECONCILE_MANIFEST', new, '1995-06-17 00:10:00' FROM rdy""")
+@query(f"""WITH {PUBLISHED} SELECT 'CLEANUP_MANIFEST' AS task_type, old AS manifest, '1995-06-24 00:00:00' AS available_at FROM rdy WHERE old IS NOT NULL AND space % 5 <> 2 UNION ALL SELECT 'RECONCILE_MANIFEST', new, '1995-06-17 00:10:00' FROM rdy""")
 def maintenance_tasks(spark, sf_dir):
-    return _published(spark, sf_dir)[2].withColumn("available_at", F.date_format("available_at", "yyyy-MM-dd HH:mm:ss"))
+    """The tasks that a publication makes; where the old manifest's cleanup is planned already there is no second one."""
+    return _published(spark, sf_dir).tasks.withColumn("available_at", F.date_format("available_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query(f"""WITH {PUBLISHED} SELECT unnest(['ingestion.m05_published', 'index.manifest.published', 'index.document.membership.changed', 'cache.invalidate.space']) AS event_type, 'r' || new AS key, space, new AS manifest, new_version AS version, old AS previous FROM rdy""")
+def publication_events(spark, sf_dir):
+    return _published(spark, sf_dir).events
+
+
+# Runs of some spaces fail while they are built; each has the job of its manifest.
+_FAILED = f"""{MANIFESTS}, mr AS (SELECT 'r' || manifest AS run, 'j' || manifest AS job_id, manifest, CASE WHEN status = 'VERIFIED' THEN 'VERIFIED' ELSE 'PUBLISHED' END AS status, space % 6 = 0 AS fails FROM man),
+    bad AS (SELECT * FROM mr WHERE fails AND status <> 'PUBLISHED')"""
+
+
+def _failures(spark, sf_dir):
+    manifests = _manifests(spark, sf_dir)
+    name = lambda c: F.concat(F.lit(c), "manifest")
+    runs = manifests.select(name("r").alias("run"), name("j").alias("job_id"), "manifest", F.when(F.col("status") == "VERIFIED", "VERIFIED").otherwise("PUBLISHED").alias("status"))
+    jobs = manifests.select(name("j").alias("job_id"), F.lit("RUNNING").alias("status"), F.lit("w1").alias("lease_owner"))
+    return publication.failed(manifests, runs, jobs, manifests.filter("space % 6 = 0").select(name("r").alias("run"), F.lit("VECTOR_WRITE_FAILED").alias("code")))
 
 
 @query(f"""WITH {MANIFESTS} SELECT manifest, space, version, profile, CASE WHEN status IN ('BUILDING', 'VERIFIED') AND space % 6 = 0 THEN 'FAILED' ELSE status END AS status FROM man""")
 def failed_manifests(spark, sf_dir):
-    manifests = _manifests(spark, sf_dir)
-    runs = manifests.select(F.concat(F.lit("r"), "manifest").alias("run"), "manifest", F.when(F.col("status") == "VERIFIED", "VERIFIED").otherwise("PUBLISHED").alias("status"))
-    return publication.failed(manifests, runs, manifests.filter("space % 6 = 0").select(F.concat(F.lit("r"), "manifest").alias("run")))
+    return _failures(spark, sf_dir).manifests
 
 
-@query(f"""WITH {MANIFESTS}, gone AS (SELECT manifest FROM man WHERE space % 4 = 1 AND version = 1), asked AS (SELECT n_nationkey AS space, 1 + n_nationkey % 3 AS version FROM nation),
-    ok AS (SELECT a.space, m.manifest, m.version FROM asked a JOIN man m ON m.space = a.space AND m.version = a.version WHERE m.status IN ('SUPERSEDED', 'VERIFIED', 'ACTIVE') AND NOT EXISTS (SELECT 1 FROM gone WHERE gone.manifest = m.manifest))
-    SELECT h.space, coalesce(ok.manifest, h.manifest) AS manifest, coalesce(ok.version, h.version) AS version, h.optimistic_version + CASE WHEN ok.manifest <> h.manifest THEN 1 ELSE 0 END AS optimistic_version FROM heads h LEFT JOIN ok ON ok.space = h.space""")
-def rolled_back_heads(spark, sf_dir):
+@query(f"""WITH {_FAILED} SELECT mr.run, CASE WHEN b.run IS NULL THEN mr.status ELSE 'FAILED' END AS run_status, CASE WHEN b.run IS NULL THEN 'RUNNING' ELSE 'WAITING' END AS job_status, CASE WHEN b.run IS NULL THEN 'w1' END AS lease_owner,
+    CASE WHEN b.run IS NOT NULL THEN 'VECTOR_WRITE_FAILED' END AS code FROM mr LEFT JOIN bad b ON b.run = mr.run""")
+def failed_runs(spark, sf_dir):
+    """Runs after their failure with their jobs and what is said of them."""
+    got = _failures(spark, sf_dir)
+    jobs = got.jobs.select("job_id", F.col("status").alias("job_status"), "lease_owner")
+    return got.runs.join(jobs, "job_id").join(got.events.select(F.col("key").alias("run"), "code"), "run", "left").select("run", F.col("status").alias("run_status"), "job_status", "lease_owner", "code")
+
+
+# Every space asks twice for another version; some of them are gone.
+_ROLLED = f"""{MANIFESTS}, gone AS (SELECT manifest FROM man WHERE space % 4 = 1 AND version = 1), asked AS (SELECT k AS request, n_nationkey AS space, 1 + (n_nationkey + k * (n_nationkey % 3)) % 3 AS version FROM nation, (SELECT unnest([1, 2]) AS k)),
+    ok AS (SELECT a.request, a.space, m.manifest, m.version FROM asked a JOIN man m ON m.space = a.space AND m.version = a.version WHERE m.status IN ('SUPERSEDED', 'VERIFIED', 'ACTIVE') AND NOT EXISTS (SELECT 1 FROM gone WHERE gone.manifest = m.manifest)),
+    one AS (SELECT h.space, h.manifest AS m0, h.version AS v0, coalesce(o.manifest, h.manifest) AS m1, coalesce(o.version, h.version) AS v1, h.optimistic_version AS o0 FROM heads h LEFT JOIN ok o ON o.space = h.space AND o.request = 1),
+    two AS (SELECT one.*, coalesce(o.manifest, m1) AS m2, coalesce(o.version, v1) AS v2 FROM one LEFT JOIN ok o ON o.space = one.space AND o.request = 2)"""
+
+
+def _rolled_back(spark, sf_dir):
     manifests = _manifests(spark, sf_dir)
     tasks = manifests.select(F.lit("CLEANUP_MANIFEST").alias("task_type"), "manifest", F.when((F.col("space") % 4 == 1) & (F.col("version") == 1), "SUCCEEDED").otherwise("PENDING").alias("status"))
-    asked = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("space"), (1 + F.col("n_nationkey") % 3).cast("int").alias("version"))
-    return publication.rollback(manifests, _heads(manifests), tasks, asked)[0]
+    n, k = F.col("n_nationkey"), F.col("request")
+    asked = table(spark, sf_dir, "nation").select("n_nationkey", F.explode(F.array(F.lit(1), F.lit(2))).alias("request"))
+    asked = asked.select("request", n.cast("long").alias("space"), (1 + (n + k * (n % 3)) % 3).cast("int").alias("version"))
+    return publication.rollback(manifests, _heads(manifests), tasks, asked)
+
+
+@query(f"""WITH {_ROLLED} SELECT space, m2 AS manifest, v2 AS version, o0 + (m1 <> m0)::INT + (m2 <> m1)::INT AS optimistic_version FROM two""")
+def rolled_back_heads(spark, sf_dir):
+    return _rolled_back(spark, sf_dir).heads
+
+
+@query(f"""WITH {_ROLLED} SELECT m.manifest, m.space, m.version, m.profile, CASE WHEN (m1 <> m0 OR m2 <> m1) AND m.manifest = m2 THEN 'ACTIVE' WHEN (m1 <> m0 AND m.manifest IN (m0, m1) OR m2 <> m1 AND m.manifest IN (m1, m2)) THEN 'SUPERSEDED' ELSE m.status END AS status
+    FROM man m LEFT JOIN two ON two.space = m.space""")
+def rolled_back_manifests(spark, sf_dir):
+    return _rolled_back(spark, sf_dir).manifests
+
+
+@query(f"""WITH {_ROLLED}, e AS (SELECT ok.*, CASE WHEN ok.request = 1 THEN m0 ELSE CASE WHEN EXISTS (SELECT 1 FROM ok p WHERE p.space = ok.space AND p.request = 1) THEN m1 ELSE m0 END END AS previous FROM ok LEFT JOIN two ON two.space = ok.space)
+    SELECT unnest(['index.manifest.rolled_back', 'cache.invalidate.space']) AS event_type, manifest || ':' || request AS key, space, manifest, version, previous FROM e""")
+def rollback_events(spark, sf_dir):
+    return _rolled_back(spark, sf_dir).events
+
+
+@query(f"""WITH {_ROLLED} SELECT space, m2 AS manifest, 'STABLE' AS route FROM two""")
+def routes_after_rollback(spark, sf_dir):
+    """What readers of each space are sent to afterwards: no space may vanish."""
+    got = _rolled_back(spark, sf_dir)
+    none = got.heads.select("space", F.col("manifest").alias("stable"), F.col("manifest").alias("candidate"), F.lit(1).alias("percent"), F.lit("s").alias("salt")).limit(0)
+    return index.routes(got.heads.select("space"), got.heads, got.manifests, none, F.lit("u"))
 
 
 @query(f"""WITH {MANIFESTS} SELECT DISTINCT m.manifest, 'k' || (p.p_partkey % 50) AS object_key, sha256(p.p_type) AS sha256 FROM mem m JOIN part p ON 'v' || (p.p_partkey % 100) = m.version_id""")

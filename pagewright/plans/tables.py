@@ -147,26 +147,33 @@ def manifest_version(spark, sf_dir):
     return index.next_version(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("space"), F.col("o_orderkey").alias("version")), "space")
 
 
-_BUCKET = "('0x' || left(sha256('11111111-1111-4111-8111-111111111111:' || {0}), 8))::BIGINT % 100"
+_BUCKET = "('0x' || left(sha256('5f0c1f86-3f0e-4c59-9a5e-0d2a7f4b6c31:' || {0}), 8))::BIGINT % 100"
 
 
 @query(f"SELECT c_custkey, ({_BUCKET.format('c_custkey')})::INT AS bucket, CASE WHEN {_BUCKET.format('c_custkey')} < 20 THEN 'candidate' ELSE 'stable' END AS route FROM customer")
 def canary_route(spark, sf_dir):
-    salt = "11111111-1111-4111-8111-111111111111"
+    salt = "5f0c1f86-3f0e-4c59-9a5e-0d2a7f4b6c31"
     return table(spark, sf_dir, "customer").select("c_custkey", ids.bucket(salt, F.col("c_custkey")).alias("bucket"), ids.canary(salt, F.col("c_custkey"), 20).alias("route"))
 
 
-@query("""WITH m AS (SELECT o_orderkey AS manifest, o_custkey % 25 AS space, CASE o_orderstatus WHEN 'F' THEN 'ACTIVE' WHEN 'O' THEN 'SUPERSEDED' ELSE 'CANARY' END AS status FROM orders),
-    h AS (SELECT space, max(manifest) AS head FROM m WHERE status = 'ACTIVE' GROUP BY 1), c AS (SELECT space, max(manifest) AS candidate FROM m WHERE status = 'CANARY' AND space % 3 > 0 GROUP BY 1),
-    u AS (SELECT n_nationkey AS space, ('0x' || left(sha256('salt:employee-' || n_nationkey), 8))::BIGINT % 100 < 50 AS early FROM nation)
-    SELECT h.space, CASE WHEN early THEN coalesce(candidate, head) ELSE head END AS manifest, CASE WHEN candidate IS NULL OR NOT early THEN 'STABLE' ELSE 'CANARY' END AS route FROM u JOIN h ON h.space = u.space LEFT JOIN c ON c.space = h.space""")
+@query("""WITH m AS (SELECT o_orderkey AS manifest, o_custkey % 25 AS space, CASE o_orderstatus WHEN 'F' THEN 'ACTIVE' WHEN 'O' THEN 'SUPERSEDED' ELSE 'VERIFIED' END AS status FROM orders),
+    h AS (SELECT space, max(manifest) AS head FROM m WHERE status = 'ACTIVE' GROUP BY 1),
+    c AS (SELECT m.space, CASE WHEN m.space % 5 = 1 THEN head - 1 ELSE head END AS stable, max(manifest) AS candidate, 10 + m.space * 3 AS percent, 'salt' || m.space AS salt FROM m JOIN h ON h.space = m.space WHERE (status = 'VERIFIED' OR m.space % 7 = 2) AND m.space % 3 > 0 GROUP BY ALL),
+    u AS (SELECT n_nationkey AS space, 1 + n_nationkey % 4 AS policy_version, 'employee-' || c_custkey AS usr FROM nation JOIN customer ON c_nationkey = n_nationkey),
+    r AS (SELECT u.*, h.head, CASE WHEN c.stable = h.head AND m.status = 'VERIFIED' AND ('0x' || left(sha256(c.salt || ':' || usr), 8))::BIGINT % 100 < c.percent THEN c.candidate END AS chosen
+        FROM u JOIN h ON h.space = u.space LEFT JOIN c ON c.space = u.space LEFT JOIN m ON m.manifest = c.candidate)
+    SELECT space, policy_version, usr AS user, coalesce(chosen, head) AS manifest, CASE WHEN chosen IS NULL THEN 'STABLE' ELSE 'CANARY' END AS route FROM r""")
 def publication_routes(spark, sf_dir):
-    status = F.when(F.col("o_orderstatus") == "F", "ACTIVE").when(F.col("o_orderstatus") == "O", "SUPERSEDED").otherwise("CANARY")
-    m = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("manifest"), (F.col("o_custkey") % 25).alias("space"), F.col("o_orderkey").alias("version"), status.alias("status"))
-    m = m.filter((F.col("status") != "CANARY") | (F.col("space") % 3 > 0))
-    heads = m.filter("status = 'ACTIVE'").groupBy("space").agg(F.max("manifest").alias("head"))
-    spaces = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("space"), F.concat(F.lit("employee-"), F.col("n_nationkey").cast("string")).alias("user"))
-    return index.routes(spaces, heads, m, F.col("user"), "salt", 50)
+    """Every customer's route in the space of their nation; some canaries stand on a head that has moved on, some on a candidate that isn't verified."""
+    status = F.when(F.col("o_orderstatus") == "F", "ACTIVE").when(F.col("o_orderstatus") == "O", "SUPERSEDED").otherwise("VERIFIED")
+    m = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("manifest"), (F.col("o_custkey") % 25).alias("space"), status.alias("status"))
+    heads = m.filter("status = 'ACTIVE'").groupBy("space").agg(F.max("manifest").alias("manifest"))
+    k = F.col("space")
+    tried = m.filter(((F.col("status") == "VERIFIED") | (k % 7 == 2)) & (k % 3 > 0)).groupBy("space").agg(F.max("manifest").alias("candidate")).join(heads, "space")
+    tried = tried.select("space", F.when(k % 5 == 1, F.col("manifest") - 1).otherwise(F.col("manifest")).alias("stable"), "candidate", (10 + k * 3).alias("percent"), F.concat(F.lit("salt"), k.cast("string")).alias("salt"))
+    users = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("space"), F.concat(F.lit("employee-"), F.col("c_custkey").cast("string")).alias("user"))
+    spaces = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("space"), (1 + F.col("n_nationkey") % 4).alias("policy_version"))
+    return index.routes(users.join(spaces, "space"), heads, m, tried, F.col("user")).select("space", "policy_version", "user", "manifest", "route")
 
 
 # ---- access ---------------------------------------------------------------------------------

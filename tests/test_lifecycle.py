@@ -44,18 +44,78 @@ def heads(spark):
     return spark.createDataFrame([(1, "m2", 2, 7)], "space long, manifest string, version int, optimistic_version int")
 
 
-def test_publication_and_rollback_move_heads(spark):
+def test_publication_moves_everything_at_once(spark):
     runs = spark.createDataFrame([("r3", 1, "m3", "VERIFIED"), ("rn", 2, "n1", "VERIFIED"), ("r9", 1, "m1", "FAILED")], "run string, space long, manifest string, status string")
-    after, pointers, tasks = publication.publish(manifests(spark), heads(spark), runs, F.lit("2020-01-01 00:00:00").cast("timestamp"), 7)
-    assert {r["manifest"]: r["status"] for r in after.collect()} == {"m1": "SUPERSEDED", "m2": "SUPERSEDED", "m3": "ACTIVE", "n1": "ACTIVE"}
-    assert {tuple(r) for r in pointers.collect()} == {(1, "m3", 3, 8), (2, "n1", 1, 1)}
-    assert {(r["task_type"], r["manifest"]) for r in tasks.collect()} == {("CLEANUP_MANIFEST", "m2"), ("RECONCILE_MANIFEST", "m3"), ("RECONCILE_MANIFEST", "n1")}
+    now = F.lit("2020-01-01 00:00:00").cast("timestamp")
+    got = publication.publish(manifests(spark), heads(spark), runs, now, 7)
+    assert {r["manifest"]: r["status"] for r in got.manifests.collect()} == {"m1": "SUPERSEDED", "m2": "SUPERSEDED", "m3": "ACTIVE", "n1": "ACTIVE"}
+    assert {tuple(r) for r in got.heads.collect()} == {(1, "m3", 3, 8), (2, "n1", 1, 1)}
+    assert {(r["task_type"], r["manifest"]) for r in got.tasks.collect()} == {("CLEANUP_MANIFEST", "m2"), ("RECONCILE_MANIFEST", "m3"), ("RECONCILE_MANIFEST", "n1")}
+    assert {r["run"]: r["status"] for r in got.runs.collect()} == {"r3": "PUBLISHED", "rn": "PUBLISHED", "r9": "FAILED"}
+    assert got.events.filter("manifest = 'm3' AND previous = 'm2'").count() == 4 and got.events.filter("manifest = 'n1' AND previous IS NULL").count() == 4
+    again = publication.publish(got.manifests, got.heads, got.runs, now, 7, got.tasks)  # nothing is left to publish
+    assert again.events.isEmpty() and again.tasks.isEmpty() and sorted(again.heads.collect()) == sorted(got.heads.collect())
+
+
+def test_two_runs_of_a_space_are_published_in_order(spark):
+    more = manifests(spark).unionByName(spark.createDataFrame([("m4", 1, 4, "VERIFIED", "p")], manifests(spark).schema))
+    runs = spark.createDataFrame([("r4", 1, "m4", "VERIFIED"), ("r3", 1, "m3", "VERIFIED")], "run string, space long, manifest string, status string")
+    there = spark.createDataFrame([("CLEANUP_MANIFEST", "m2")], "task_type string, manifest string")
+    got = publication.publish(more, heads(spark), runs, F.current_timestamp(), 7, there)
+    assert {r["manifest"]: r["status"] for r in got.manifests.collect()} == {"m1": "SUPERSEDED", "m2": "SUPERSEDED", "m3": "SUPERSEDED", "m4": "ACTIVE", "n1": "VERIFIED"}
+    assert [tuple(r) for r in got.heads.collect()] == [(1, "m4", 4, 9)]
+    assert {(r["task_type"], r["manifest"]) for r in got.tasks.collect()} == {("CLEANUP_MANIFEST", "m3"), ("RECONCILE_MANIFEST", "m3"), ("RECONCILE_MANIFEST", "m4")}
+    assert {(r["manifest"], r["previous"]) for r in got.events.collect()} == {("m3", "m2"), ("m4", "m3")}
+
+
+def test_failures_close_what_was_being_built(spark):
+    runs = spark.createDataFrame([("r3", "j3", "m3", "VERIFIED"), ("r2", "j2", "m2", "PUBLISHED"), ("rn", "jn", "n1", "BUILDING")], "run string, job_id string, manifest string, status string")
+    jobs = spark.createDataFrame([("j3", "RUNNING", "w"), ("j2", "SUCCEEDED", None), ("jn", "RUNNING", "w")], "job_id string, status string, lease_owner string")
+    got = publication.failed(manifests(spark), runs, jobs, spark.createDataFrame([("r3", "X"), ("r2", "X")], "run string, code string"))
+    assert {r["manifest"]: r["status"] for r in got.manifests.collect()} == {"m1": "SUPERSEDED", "m2": "ACTIVE", "m3": "FAILED", "n1": "VERIFIED"}
+    assert {r["run"]: r["status"] for r in got.runs.collect()} == {"r3": "FAILED", "r2": "PUBLISHED", "rn": "BUILDING"}
+    assert {tuple(r) for r in got.jobs.collect()} == {("j3", "WAITING", None), ("j2", "SUCCEEDED", None), ("jn", "RUNNING", "w")}
+    assert [tuple(r) for r in got.events.collect()] == [("ingestion.m05_failed", "r3", "X")]
+
+
+def test_rollback_keeps_readers_where_they_can_read(spark):
+    from pagewright.operators import index
+
     done = spark.createDataFrame([("CLEANUP_MANIFEST", "m1", "SUCCEEDED")], "task_type string, manifest string, status string")
-    ask = spark.createDataFrame([(1, 1)], "space long, version int")
-    back, refused = publication.rollback(manifests(spark), heads(spark), done, ask)
-    assert [tuple(r) for r in back.collect()] == [(1, "m2", 2, 7)] and [tuple(r) for r in refused.collect()] == [(1, 1)]
-    back, refused = publication.rollback(manifests(spark), heads(spark), done.limit(0), ask)
-    assert [tuple(r) for r in back.collect()] == [(1, "m1", 1, 8)] and refused.isEmpty()
+    none = spark.createDataFrame([], "space long, stable string, candidate string, percent int, salt string")
+
+    def ask(*rows):
+        return spark.createDataFrame(rows, "request string, space long, version int")
+
+    def seen(got):
+        return [(r["space"], r["manifest"]) for r in index.routes(got.heads.select("space"), got.heads, got.manifests, none, F.lit("u")).collect()]
+
+    got = publication.rollback(manifests(spark), heads(spark), done, ask(("a", 1, 1), ("b", 9, 1)))
+    assert [tuple(r) for r in got.heads.collect()] == [(1, "m2", 2, 7)] and {r["request"] for r in got.refused.collect()} == {"a", "b"} and got.events.isEmpty() and seen(got) == [(1, "m2")]
+    got = publication.rollback(manifests(spark), heads(spark), done.limit(0), ask(("a", 1, 1)))
+    assert [tuple(r) for r in got.heads.collect()] == [(1, "m1", 1, 8)] and got.refused.isEmpty() and seen(got) == [(1, "m1")]
+    assert {r["manifest"]: r["status"] for r in got.manifests.collect()} == {"m1": "ACTIVE", "m2": "SUPERSEDED", "m3": "VERIFIED", "n1": "VERIFIED"}
+    assert {tuple(r) for r in got.events.collect()} == {(e, "m1:a", 1, "m1", 1, "m2") for e in ("index.manifest.rolled_back", "cache.invalidate.space")}
+    # two requests of one space leave one head; one for the head itself is only answered; a space without a head stays without
+    got = publication.rollback(manifests(spark), heads(spark), done.limit(0), ask(("a", 1, 1), ("b", 1, 3), ("c", 1, 3), ("d", 2, 1)))
+    assert [tuple(r) for r in got.heads.collect()] == [(1, "m3", 3, 9)] and seen(got) == [(1, "m3")]
+    assert {r["manifest"]: r["status"] for r in got.manifests.collect()} == {"m1": "SUPERSEDED", "m2": "SUPERSEDED", "m3": "ACTIVE", "n1": "VERIFIED"}
+    assert {(r["key"], r["previous"]) for r in got.events.collect()} == {("m1:a", "m2"), ("m3:b", "m1"), ("m3:c", "m3"), ("n1:d", None)}
+
+
+def test_canaries_hold_for_their_head_and_a_verified_candidate(spark):
+    from pagewright.operators import index
+
+    users = spark.createDataFrame([(1, 5, f"employee-{i}") for i in range(100)], "space long, policy_version int, user string")
+
+    def routed(stable, candidate):
+        tried = spark.createDataFrame([(1, stable, candidate, 20, "salt")], "space long, stable string, candidate string, percent int, salt string")
+        rows = index.routes(users, heads(spark), manifests(spark), tried, F.col("user")).collect()
+        assert len(rows) == 100 and {r["policy_version"] for r in rows} == {5}
+        return {(r["manifest"], r["route"]) for r in rows}
+
+    assert routed("m2", "m3") == {("m2", "STABLE"), ("m3", "CANARY")}
+    assert routed("m1", "m3") == routed("m2", "m1") == {("m2", "STABLE")}
 
 
 def test_new_manifests_take_members_over(spark):
