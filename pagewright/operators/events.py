@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,23 +69,24 @@ def sequenced(events: DataFrame, by: list[str], order: list[str]) -> DataFrame:
 def ordered_append(events: DataFrame, by: str, sequence: str = "sequence", arrival: str = "arrival") -> DataFrame:
     """Add outcome: APPENDED, DUPLICATE (at or before the last) or GAP, with each key's events in the order of arrival.
 
-    A key begins with 1; after a gap nothing is appended until the missing event comes. Rows stream through their
-    task in order, and all it keeps is the last number of the key at hand.
+    A key begins with whatever number comes first; after a gap nothing is appended until the missing event comes. Rows stream
+    through their task in order, and all it keeps is the last number of the key at hand; all other columns pass as they are.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, last = None, 0
-        for frame in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last, begun = None, None, False
+        for b in batches:
             outcome = []
-            for k, s in zip(frame[by], frame[sequence], strict=True):
-                if k != key:
-                    key, last = k, 0
-                outcome.append("DUPLICATE" if s <= last else "APPENDED" if s == last + 1 else "GAP")
-                last += s == last + 1
-            yield frame.assign(outcome=outcome)
+            for k, s in zip(b.column(by).to_pylist(), b.column(sequence).to_pylist(), strict=True):
+                if k != key or not begun:
+                    key, last, begun = k, None, True
+                follows = s is not None and (last is None or s == last + 1)
+                outcome.append("APPENDED" if follows else "GAP" if s is None or s > last else "DUPLICATE")
+                last = s if follows else last
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(outcome, pa.string())], [*b.schema.names, "outcome"])
 
     ordered = events.repartition(by).sortWithinPartitions(by, arrival)
-    return ordered.mapInPandas(run, T.StructType([*events.schema.fields, T.StructField("outcome", T.StringType())]))
+    return ordered.mapInArrow(run, T.StructType([*events.schema.fields, T.StructField("outcome", T.StringType())]))
 
 
 def gaps(events: DataFrame, by: list[str], sequence: str) -> DataFrame:

@@ -115,15 +115,27 @@ def batches(items: DataFrame, by: list[str], max_tokens: int, max_items: int) ->
     return pack_blocks(items, by, "tokens", max_tokens, max_items)
 
 
+def in_manifests(rows: DataFrame) -> DataFrame:
+    """Rows whose vectors are told apart by manifest: vector_id under the name ``key``."""
+    return rows.withColumnRenamed("vector_id", "key")
+
+
 def reconcile(expected: DataFrame, actual: DataFrame, profile: str, asked: DataFrame | None = None, returned: DataFrame | None = None) -> DataFrame:
     """code, vector_id, repairable: how a written index differs from what it should hold, by code and vector.
 
     ``asked`` and ``returned`` have the ids (id) that fixed queries should and do find, with repeats.
     """
+    one = lambda f: None if f is None else f.withColumn("manifest", F.lit(0))
+    got = reconcile_manifests(one(in_manifests(expected)), one(in_manifests(actual)), profile, one(asked), one(returned))
+    return got.drop("manifest")
+
+
+def reconcile_manifests(expected: DataFrame, actual: DataFrame, profile: str, asked: DataFrame | None = None, returned: DataFrame | None = None) -> DataFrame:
+    """manifest, code, vector_id, repairable for many manifests at once; all four tables have manifest, the first two key."""
     # The issues' codes.
-    e = expected.select("vector_id", F.col("content_sha256").alias("want"), F.lit(True).alias("e"))
-    a = actual.select("vector_id", F.col("content_sha256").alias("have"), F.col("profile").alias("p"), F.lit(True).alias("a"))
-    both = e.join(a, "vector_id", "full")
+    e = expected.select("manifest", "key", F.col("content_sha256").alias("want"), F.lit(True).alias("e"))
+    a = actual.select("manifest", "key", F.col("content_sha256").alias("have"), F.col("profile").alias("p"), F.lit(True).alias("a"))
+    both = e.join(a, ["manifest", "key"], "full")
     met = F.col("e") & F.col("a")
     codes = F.array_compact(
         F.array(
@@ -133,14 +145,14 @@ def reconcile(expected: DataFrame, actual: DataFrame, profile: str, asked: DataF
             F.when(met & ~F.col("p").eqNullSafe(F.lit(profile)), F.struct(F.lit("PROFILE_MISMATCH").alias("code"), F.lit(False).alias("repairable"))),
         )
     )
-    found = both.select(F.explode(codes).alias("i"), "vector_id").select("i.code", "vector_id", "i.repairable")
+    found = both.select("manifest", F.explode(codes).alias("i"), F.col("key").alias("vector_id")).select("manifest", "i.code", "vector_id", "i.repairable")
     none = F.lit(None).cast(found.schema["vector_id"].dataType)
-    uneven = both.agg((F.count("e") != F.count("a")).alias("differ")).filter("differ").select(F.lit("COUNT_MISMATCH").alias("code"), none.alias("vector_id"), F.lit(True).alias("repairable"))
+    uneven = both.groupBy("manifest").agg((F.count("e") != F.count("a")).alias("differ")).filter("differ").select("manifest", F.lit("COUNT_MISMATCH").alias("code"), none.alias("vector_id"), F.lit(True).alias("repairable"))
     found = found.unionByName(uneven)
     if asked is not None and returned is not None:
-        sides = asked.select("id", F.lit(1).alias("n")).unionByName(returned.select("id", F.lit(-1).alias("n")))
-        missed = sides.groupBy("id").agg(F.sum("n").alias("n")).agg(F.count_if(F.col("n") != 0).alias("n")).filter("n > 0")
-        found = found.unionByName(missed.select(F.lit("FIXED_QUERY_MISMATCH").alias("code"), none.alias("vector_id"), F.lit(False).alias("repairable")))
+        sides = asked.select("manifest", "id", F.lit(1).alias("n")).unionByName(returned.select("manifest", "id", F.lit(-1).alias("n")))
+        missed = sides.groupBy("manifest", "id").agg(F.sum("n").alias("n")).filter("n <> 0").select("manifest").distinct()
+        found = found.unionByName(missed.select("manifest", F.lit("FIXED_QUERY_MISMATCH").alias("code"), none.alias("vector_id"), F.lit(False).alias("repairable")))
     return found
 
 

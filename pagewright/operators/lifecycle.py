@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,25 +21,26 @@ COMMANDS = {"start": "RUNNING", "complete": "COMPLETED", "fail": "FAILED", "canc
 def run_states(commands: DataFrame, run: str = "run", order: str = "sequence") -> DataFrame:
     """Add state (after the command) and applied: each run's commands in order, from ACCEPTED on.
 
-    A command that the machine doesn't allow changes nothing. Sorted rows stream through their task, which keeps one run's state.
+    A command that the machine doesn't allow changes nothing. Sorted rows stream through their task, which keeps one run's state;
+    all other columns pass as they are.
     """
     allowed = events.RUN_STATES
 
-    def step(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state = None, "ACCEPTED"
-        for frame in frames:
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, begun = None, "ACCEPTED", False
+        for b in batches:
             states, applied = [], []
-            for k, c in zip(frame[run], frame["command"], strict=True):
-                if k != key:
-                    key, state = k, "ACCEPTED"
+            for k, c in zip(b.column(run).to_pylist(), b.column("command").to_pylist(), strict=True):
+                if k != key or not begun:
+                    key, state, begun = k, "ACCEPTED", True
                 to = COMMANDS.get(c)
                 ok = to in allowed[state]
                 state = to if ok else state
                 states.append(state), applied.append(ok)
-            yield frame.assign(state=states, applied=applied)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(states, pa.string()), pa.array(applied, pa.bool_())], [*b.schema.names, "state", "applied"])
 
     schema = T.StructType([*commands.schema.fields, T.StructField("state", T.StringType()), T.StructField("applied", T.BooleanType())])
-    return commands.repartition(run).sortWithinPartitions(run, order).mapInPandas(step, schema)
+    return commands.repartition(run).sortWithinPartitions(run, order).mapInArrow(step, schema)
 
 
 def reprocess(versions: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -69,20 +71,35 @@ def apply_grants(spaces: DataFrame, grants: DataFrame, changes: DataFrame) -> tu
     return after, kept, said
 
 
-def indexed(members: DataFrame, documents: DataFrame, chunks: DataFrame, facts: DataFrame, profile: str, embed: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(facts, records, issues) of manifests' members: vectors are reused by content or made once each, written, and compared with what should be there.
+class Indexed(NamedTuple):
+    facts: DataFrame  # profile, content_sha256, vector: those that were known and the new ones
+    expected: DataFrame  # manifest, vector_id, content_sha256: what the index should hold
+    records: DataFrame  # what is to be written
 
-    ``chunks`` also has embedding_text; ``facts``: profile, content_sha256, vector. Nothing is published here: issues must be empty first.
+
+def indexed(members: DataFrame, documents: DataFrame, chunks: DataFrame, facts: DataFrame, profile: str, embed: Callable[[Column], Column]) -> Indexed:
+    """The vectors of manifests' members: reused by content or made once each.
+
+    ``chunks`` also has embedding_text; ``facts``: profile, content_sha256, vector. Nothing is published here: once the records
+    are written, ``verified`` on what is read back must find no issue.
     """
     wanted = write_shared(publication.build_input(members, documents, chunks).withColumn("profile", F.lit(profile)), "index-input")
     fresh = index.new_facts(wanted.withColumnRenamed("embedding_text", "text"), facts.select("profile", "content_sha256"))
     known = write_shared(facts.filter(F.col("profile") == profile).unionByName(fresh.select("profile", "content_sha256", embed(F.col("text")).alias("vector"))), "index-facts")
     named = wanted.withColumn("vector_id", ids.vector_id(F.col("manifest"), F.col("chunk_id"), F.col("profile")))
-    records = write_shared(named.join(known, ["profile", "content_sha256"]).select("manifest", "vector_id", "chunk_id", "content_sha256", "profile", "vector"), "index-records")
-    probes = index.probe_ids(records.select("manifest", "vector_id"), ["manifest"], "vector_id").select(F.col("vector_id").alias("id"))
-    found = records.select(F.col("vector_id").alias("id")).join(probes, "id", "left_semi")
-    issues = index.reconcile(named.select("vector_id", "content_sha256"), records.select("vector_id", "content_sha256", "profile"), profile, probes, found)
-    return known, records, issues
+    records = named.join(known, ["profile", "content_sha256"]).select("manifest", "vector_id", "chunk_id", "content_sha256", "profile", "vector")
+    return Indexed(known, named.select("manifest", "vector_id", "content_sha256"), records)
+
+
+def verified(expected: DataFrame, stored: DataFrame, profile: str) -> DataFrame:
+    """manifest, code, vector_id, repairable: how the stored records (manifest, vector_id, content_sha256, profile) differ from what is expected.
+
+    Vectors are compared by their keys in both directions; of each manifest the first, middle and last are also looked up.
+    """
+    wanted, there = index.in_manifests(expected), index.in_manifests(stored)
+    probes = index.probe_ids(wanted, ["manifest"], "key").select("manifest", F.col("key").alias("id"))
+    found = there.join(probes.select(F.col("id").alias("key")), "key", "left_semi").select("manifest", F.col("key").alias("id"))
+    return index.reconcile_manifests(wanted, there, profile, probes, found)
 
 
 def backlog(jobs: DataFrame, outbox: DataFrame) -> DataFrame:
@@ -93,7 +110,12 @@ def backlog(jobs: DataFrame, outbox: DataFrame) -> DataFrame:
 
 
 def merged(old: Column, new: Column) -> Column:
-    """A JSON object with another's fields put over its own, as text with sorted names; null counts as empty."""
-    read = lambda c: F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    """A JSON object with another's fields put over its own, as text with sorted names; values of any kind stay what they are.
+
+    Null, and anything that isn't an object, counts as empty.
+    """
+    read = lambda c: F.coalesce(F.from_json(c, "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>"))
     kept = F.map_filter(read(old), lambda k, _: ~F.map_contains_key(read(new), k))
-    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.map_concat(kept, read(new))))))
+    both = F.map_concat(kept, read(new))
+    names = F.array_sort(F.map_keys(both))
+    return F.to_json(F.map_from_arrays(names, F.transform(names, lambda k: both[k])))

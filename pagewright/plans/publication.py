@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pagewright.functions import vectors
 from pagewright.operators import index, lifecycle, ocr, publication
 from pagewright.plans.registry import query
-from pagewright.shared import table
+from pagewright.shared import new_path, table
+from pagewright.sources import snapshots
 
 NOW = "1995-06-17 00:00:00"
 PROFILE = "p1"
@@ -355,7 +356,11 @@ def index_build(spark, sf_dir):
     content = F.concat(F.lit("h"), F.left("content_sha256", F.lit(2)))
     chunks = _chunks(spark, sf_dir).withColumns({"content_sha256": content, "embedding_text": content})
     facts = chunks.filter("content_sha256 < 'h8'").select(F.lit(PROFILE).alias("profile"), "content_sha256").distinct().withColumn("vector", vectors.hashed(F.col("content_sha256"), 16))
-    known, records, issues = lifecycle.indexed(_members(_manifests(spark, sf_dir), docs), docs, chunks, facts, PROFILE, lambda t: vectors.hashed(t, 16))
+    known, expected, records = lifecycle.indexed(_members(_manifests(spark, sf_dir), docs), docs, chunks, facts, PROFILE, lambda t: vectors.hashed(t, 16))
+    path = new_path(spark, "vectors")
+    snapshots.put_vectors(records.withColumnRenamed("manifest", "manifest_id"), path)
+    records = spark.read.parquet(path).withColumn("manifest", F.col("manifest_id").cast("string"))  # what was written, and nothing else, is verified
+    issues = lifecycle.verified(expected, records, PROFILE)
     zero = F.lit(0).cast("long")
     number = F.conv(F.left("vector_id", F.lit(10)), 16, 10).cast("long")
     names = ("known", "embedded", "records", "issues", "digest")
@@ -368,16 +373,40 @@ def index_build(spark, sf_dir):
     return parts.agg(*[F.coalesce(F.sum(n), zero).alias(n) for n in names])
 
 
+_VECTOR = f"sha256(manifest || ':' || chunk_id || ':{PROFILE}')"
+
+
+@query(f"""WITH {_INDEXED}, e AS (SELECT manifest, {_VECTOR} AS id FROM input), p AS (SELECT manifest, id, row_number() OVER (PARTITION BY manifest ORDER BY id) AS i, count(*) OVER (PARTITION BY manifest) AS n FROM e),
+    c AS (SELECT manifest, count(*) FILTER (id[1] = '0') AS lost, count(*) FILTER (id[1] = '2') AS extra FROM e GROUP BY 1),
+    found AS (SELECT manifest, 'MISSING_PRIMARY_KEY' AS code, id AS vector_id FROM e WHERE id[1] = '0' UNION ALL SELECT manifest, 'UNEXPECTED_PRIMARY_KEY', 'x' || id FROM e WHERE id[1] = '2' UNION ALL SELECT manifest, 'CONTENT_HASH_MISMATCH', id FROM e WHERE id[1] = '1'
+        UNION ALL SELECT manifest, 'PROFILE_MISMATCH', id FROM e WHERE id[1] = '3' UNION ALL SELECT manifest, 'COUNT_MISMATCH', NULL FROM c WHERE lost <> extra
+        UNION ALL SELECT DISTINCT manifest, 'FIXED_QUERY_MISMATCH', NULL FROM p WHERE id[1] = '0' AND (n <= 3 OR i IN (1, n // 2 + 1, n)))
+    SELECT *, code IN ('MISSING_PRIMARY_KEY', 'UNEXPECTED_PRIMARY_KEY', 'CONTENT_HASH_MISMATCH', 'COUNT_MISMATCH') AS repairable FROM found""")
+def index_verified(spark, sf_dir):
+    """What verification says of a written table that has lost, changed, foreign and additional records."""
+    docs = _docs(spark, sf_dir)
+    chunks = _chunks(spark, sf_dir).withColumn("content_sha256", F.concat(F.lit("h"), F.left("content_sha256", F.lit(2))))
+    chunks = chunks.withColumn("embedding_text", F.col("content_sha256"))
+    facts = chunks.limit(0).select(F.lit(PROFILE).alias("profile"), "content_sha256", F.array(F.lit(0.0)).alias("vector"))
+    _, expected, records = lifecycle.indexed(_members(_manifests(spark, sf_dir), docs), docs, chunks, facts, PROFILE, lambda t: vectors.hashed(t, 4))
+    first = F.left("vector_id", F.lit(1))
+    kept = records.filter(first != "0").withColumns({"content_sha256": F.when(first == "1", "other").otherwise(F.col("content_sha256")), "profile": F.when(first == "3", "other").otherwise(F.col("profile"))})
+    more = records.filter(first == "2").withColumn("vector_id", F.concat(F.lit("x"), "vector_id"))
+    path = new_path(spark, "vectors")
+    snapshots.put_vectors(kept.unionByName(more).withColumnRenamed("manifest", "manifest_id"), path)
+    return lifecycle.verified(expected, spark.read.parquet(path).withColumn("manifest", F.col("manifest_id").cast("string")), PROFILE)
+
+
 @query("SELECT (SELECT count(*) FROM orders WHERE o_orderstatus = 'O') + (SELECT count(*) FROM events WHERE event_id % 6 = 0) AS waiting, EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'F') AS any_running")
 def backlog(spark, sf_dir):
     return lifecycle.backlog(_jobs(spark, sf_dir), table(spark, sf_dir, "events").select((F.col("event_id") % 6 != 0).alias("published")))
 
 
-@query("""SELECT event_id, '{"a":"' || (event_id % 3) || '"' || CASE WHEN event_id % 2 = 0 THEN ',"b":"new"' ELSE ',"b":"old"' END || CASE WHEN event_id % 4 = 0 THEN ',"c":"x"' ELSE '' END || '}' AS merged FROM events""")
+@query("""SELECT event_id, '{"a":' || (event_id % 3) || CASE WHEN event_id % 2 = 0 THEN ',"b":{"new":[1,2.5,null]}' ELSE ',"b":"old"' END || CASE WHEN event_id % 4 = 0 THEN ',"c":true' ELSE '' END || '}' AS merged FROM events""")
 def merged_metrics(spark, sf_dir):
     k = F.col("event_id")
-    old = F.concat(F.lit('{"b":"old","a":"'), (k % 3).cast("string"), F.lit('"}'))
-    new = F.when(k % 4 == 0, F.lit('{"c":"x","b":"new"}')).when(k % 2 == 0, F.lit('{"b":"new"}'))
+    old = F.concat(F.lit('{"b":"old","a":'), (k % 3).cast("string"), F.lit("}"))
+    new = F.when(k % 4 == 0, F.lit('{"c": true, "b": {"new": [1, 2.5, null]}}')).when(k % 2 == 0, F.lit('{"b":{"new":[1,2.5,null]}}'))
     return table(spark, sf_dir, "events").select("event_id", lifecycle.merged(old, new).alias("merged"))
 
 

@@ -279,7 +279,7 @@ def sequence_gaps(spark, sf_dir):
 
 @query("""WITH RECURSIVE s AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS sequence FROM events),
     a AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id + CASE WHEN event_id % 50 = 0 THEN 40 ELSE 0 END, event_id) AS arrival FROM s),
-    r AS (SELECT user_id, event_id, sequence, arrival, CASE WHEN sequence = 1 THEN 1 ELSE 0 END AS last, CASE WHEN sequence = 1 THEN 'APPENDED' ELSE 'GAP' END AS outcome FROM a WHERE arrival = 1
+    r AS (SELECT user_id, event_id, sequence, arrival, sequence AS last, 'APPENDED' AS outcome FROM a WHERE arrival = 1
           UNION ALL SELECT a.user_id, a.event_id, a.sequence, a.arrival, CASE WHEN a.sequence = r.last + 1 THEN a.sequence ELSE r.last END,
                  CASE WHEN a.sequence <= r.last THEN 'DUPLICATE' WHEN a.sequence = r.last + 1 THEN 'APPENDED' ELSE 'GAP' END FROM r JOIN a ON a.user_id = r.user_id AND a.arrival = r.arrival + 1)
     SELECT user_id, event_id, sequence, arrival, outcome FROM r""")

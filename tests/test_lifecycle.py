@@ -134,11 +134,22 @@ def test_an_index_is_built_once_per_content(spark):
     docs = spark.createDataFrame([(1, 1)], "document_id long, space long")
     chunks = spark.createDataFrame([(f"c{i}", "v", 1, i, "CHILD", True, "abb"[i], "abb"[i]) for i in range(3)] + [("p", "v", 1, 9, "PARENT", True, "z", "z")], "chunk_id string, version_id string, revision int, ordinal int, granularity string, eligible boolean, content_sha256 string, embedding_text string")
     facts = spark.createDataFrame([("p", "a", [1.0]), ("q", "b", [2.0])], "profile string, content_sha256 string, vector array<double>")
-    known, records, issues = lifecycle.indexed(members, docs, chunks, facts, "p", lambda t: F.array(F.lit(9.0)))
+    known, expected, records = lifecycle.indexed(members, docs, chunks, facts, "p", lambda t: F.array(F.lit(9.0)))
+    issues = lifecycle.verified(expected, records, "p")
+    assert {r["code"] for r in lifecycle.verified(expected, records.limit(2), "p").collect()} == {"MISSING_PRIMARY_KEY", "COUNT_MISMATCH", "FIXED_QUERY_MISMATCH"}
+    assert {(r["manifest"], r["code"]) for r in lifecycle.verified(expected, records.withColumn("manifest", F.lit("other")), "p").collect()} > {("m", "MISSING_PRIMARY_KEY"), ("other", "UNEXPECTED_PRIMARY_KEY")}
     assert {(r["content_sha256"], r["vector"][0]) for r in known.collect()} == {("a", 1.0), ("b", 9.0)}
     assert sorted((r["chunk_id"], r["vector"][0]) for r in records.collect()) == [("c0", 1.0), ("c1", 9.0), ("c2", 9.0)] and issues.isEmpty()
 
 
 def test_json_is_merged_by_name(spark):
-    df = spark.createDataFrame([('{"b":"1","a":"2"}', '{"b":"3"}'), (None, '{"x":"1"}'), ('{"x":"1"}', None)], "o string, n string")
-    assert [r[0] for r in df.select(lifecycle.merged(F.col("o"), F.col("n"))).collect()] == ['{"a":"2","b":"3"}', '{"x":"1"}', '{"x":"1"}']
+    cases = [('{"b":"1","a":"2"}', '{"b":"3"}'), (None, '{"x":"1"}'), ('{"x":"1"}', None), ('{"a":1,"b":{"x":[1,2]},"n":null}', '{"c":true,"a":2.5,"big":9007199254740993}'), ("[1]", '{"a":"é\\""}'), (None, None)]
+    df = spark.createDataFrame(cases, "o string, n string")
+    got = [r[0] for r in df.select(lifecycle.merged(F.col("o"), F.col("n"))).collect()]
+    assert got == ['{"a":"2","b":"3"}', '{"x":"1"}', '{"x":"1"}', '{"a":2.5,"b":{"x":[1,2]},"big":9007199254740993,"c":true,"n":null}', '{"a":"é\\""}', "{}"]
+
+
+def test_other_columns_pass_as_they_are(spark):
+    rows = [(None, i, "start", 2**53 + 1 if i else None) for i in range(2)] + [(1, 0, "start", 2**53 + 1)]
+    got = lifecycle.run_states(spark.createDataFrame(rows, "run int, sequence int, command string, big long")).collect()
+    assert sorted((r["run"], r["applied"], r["big"]) for r in got if r["run"]) == [(1, True, 2**53 + 1)] and {(r["applied"], r["big"]) for r in got if r["run"] is None} == {(True, None), (False, 2**53 + 1)}

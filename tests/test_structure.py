@@ -261,6 +261,10 @@ def test_ordered_append_waits_for_what_is_missing(spark):
     rows = spark.createDataFrame([("k", s, a) for a, s in enumerate([1, 3, 1, 2, 3, 4])], "key string, sequence long, arrival int")
     got = [r["outcome"] for r in events.ordered_append(rows, "key").orderBy("arrival").collect()]
     assert got == ["APPENDED", "GAP", "DUPLICATE", "APPENDED", "APPENDED", "APPENDED"]
+    # the first event of a key may have any number; a null key is a key; other columns aren't changed on the way
+    rows = spark.createDataFrame([(None, 7, 0, 2**53 + 1), (None, 8, 1, None), (None, None, 2, 1), (None, 6, 3, 1), ("k", 58, 0, None), ("k", 60, 1, None)], "key string, sequence long, arrival int, big long")
+    got = events.ordered_append(rows, "key").orderBy("key", "arrival").collect()
+    assert [r["outcome"] for r in got] == ["APPENDED", "APPENDED", "GAP", "DUPLICATE", "APPENDED", "GAP"] and [r["big"] for r in got[:2]] == [2**53 + 1, None]
 
 
 def test_reading_order_and_footnotes(spark):
