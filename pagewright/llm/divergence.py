@@ -52,48 +52,55 @@ def terms(text: bytes) -> list[bytes]:
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, source, term, n, docs) of a task's rows, in parts of about ``HELD``; the empty term stands for the group itself."""
+    """(lang, source, term, n, docs) of a task's rows, in parts of about ``HELD``."""
     n: dict[tuple[str, str], Counter] = defaultdict(Counter)
     docs: dict[tuple[str, str], Counter] = defaultdict(Counter)
+    held = 0
 
     def sent() -> Iterator[pa.RecordBatch]:
         for (lang, source), found in n.items():
-            found[b""] = 0
-            seen = docs[lang, source]
-            names = list(found)
-            texts = pa.array([t.decode() for t in names], pa.string())
+            names, counts = list(found), list(found.values())
+            in_docs = list(map(docs[lang, source].__getitem__, names))
+            texts = pa.array(names, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(names), pa.string()), pa.array([source] * len(names), pa.string()), texts, pa.array([found[t] for t in names], pa.int64()), pa.array([seen[t] for t in names], pa.int64())],
+                [pa.repeat(pa.scalar(lang, pa.string()), len(names)), pa.repeat(pa.scalar(source, pa.string()), len(names)), texts, pa.array(counts, pa.int64()), pa.array(in_docs, pa.int64())],
                 ["lang", "source", "term", "n", "docs"],
             )
         n.clear()
         docs.clear()
 
     for b in batches:
-        held = 0
         for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            found = terms(text)
+            found, own = terms(text), docs[lang, source]
+            before = len(own)
             n[lang, source].update(found)
-            before = len(docs[lang, source])
-            docs[lang, source].update(set(found))
-            held += len(docs[lang, source]) - before
+            own.update(set(found))
+            held += len(own) - before
             if held > HELD:
                 yield from sent()
                 held = 0
-        yield from sent()
+    yield from sent()
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """(lang, source, text) of documents; null is empty."""
+    return docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences and documents; a row with the empty term for every group."""
-    whole = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("lang", "source", "text")]
-    rows = docs.select(whole[0].alias("lang"), whole[1].alias("source"), whole[2].cast("binary").alias("text"))
+    """(lang, source, term, n, docs): occurrences and documents, dealt out by language and term.
+
+    The tasks' sums are shuffled once; what follows by language and term finds its rows together. A term has at most a row
+    for each source and part of a task.
+    """
+    rows = _named(docs).withColumn("text", F.col("text").cast("binary"))
     sums = rows.mapInArrow(_sums, "lang string, source string, term string, n long, docs long")
-    return sums.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return sums.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def frequent(counts: DataFrame, least: int) -> DataFrame:
     """(lang, term, total, cells) of terms in at least ``least`` documents of a language; cells are (source, n) by source."""
-    by_term = counts.filter("term <> ''").groupBy("lang", "term")
+    by_term = counts.groupBy("lang", "term")
     found = by_term.agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.array_sort(F.collect_list(F.struct("source", "n"))).alias("cells"))
     return found.filter(F.col("docs") >= least).drop("docs")
 
@@ -176,12 +183,11 @@ def with_zeros(both: DataFrame, kept: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def audit(docs: DataFrame, least: int = 10, top: int = 10) -> DataFrame:
     """(lang, source, part, item, value, rank): each source against the others of its language, and its terms against the language."""
-    counts = write_shared(counted(docs), "divergence-counts")
-    kept = write_shared(frequent(counts, least), "divergence-terms")
+    kept = write_shared(frequent(counted(docs), least), "divergence-terms")
     cells = kept.select("lang", "term", "total", F.explode("cells").alias("c")).select("lang", "term", "total", "c.source", "c.n")
     sizes = cells.groupBy("lang", "source").agg(F.sum("n").alias("n"))
     langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("total").alias("lang_n"))
-    groups = counts.filter("term = ''").select("lang", "source").join(sizes, ["lang", "source"], "left").join(langs, "lang", "left")
+    groups = _named(docs).select("lang", "source").distinct().join(sizes, ["lang", "source"], "left").join(langs, "lang", "left")
     groups = write_shared(groups.na.fill(0, ["n", "v", "lang_n"]), "divergence-groups")
 
     # pairs of sources: the result has each of them twice
