@@ -1,14 +1,14 @@
 """Token counts by rank-synchronous array merging.
 
 A text is cut into pre-tokens as the tokenizer's file says (special strings,
-normalisation, a pattern). The distinct pre-tokens that a task hasn't met yet
-are held as ragged numpy arrays: one array of symbols, one of the ranks of
+normalisation, a pattern). The distinct pre-tokens of words that a task hasn't
+met yet are held as ragged numpy arrays: one array of symbols, one of the ranks of
 neighbouring symbols, and each sequence's length. In a round every sequence
 finds its lowest rank by a segmented minimum, and all its pairs of that rank
 are merged at once, in all sequences together; a sequence whose pairs have no
 rank leaves, and the symbols that it is left with are its tokens. Only ranks
-next to a merge are looked up again. A text's count is the sum over its
-pre-tokens.
+next to a merge are looked up again. A text's count is the sum over its words,
+a word's the sum over its pre-tokens.
 
 Merging all pairs of one rank at once is what one merge after the other gives,
 if a symbol is made by one pair only and by a later merge than its parts: then
@@ -37,6 +37,8 @@ from __future__ import annotations
 
 import json
 import re
+import re._constants as sre
+import re._parser as parser
 import sys
 import unicodedata
 import zlib
@@ -48,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KNOWN = 400_000  # words whose counts a worker keeps
+KNOWN = 1_000_000  # words whose counts a worker keeps
 LONG = 64  # characters of a word that is counted, but not kept
 CHUNK = 4_000_000  # bytes of text whose words are merged together
 NONE = np.int32(np.iinfo(np.int32).max)  # no rank
@@ -70,6 +72,8 @@ NEW_MARKS = (
     "\U00011a99\U00011d42\U00011d44-\U00011d45\U00011d97\U00011f41-\U00011f42\U00016ff0-\U00016ff1\U0001e08f\U0001e130-\U0001e136\U0001e2ae"
     "\U0001e2ec-\U0001e2ef\U0001e4ec-\U0001e4ef"
 )
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+SEPARATORS = "\x1c\x1d\x1e\x1f"  # which Python takes for white space, and the library doesn't
 SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # Fixed value: the pattern that byte-level files mean when they name none.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -112,6 +116,29 @@ def translated(pattern: str, spelled: Callable[[str], str] = _class) -> str:
     return "".join(out)
 
 
+def _may_match(parsed: list, char: int) -> bool:
+    """Whether some part of a parsed pattern may match a character; what looks around or isn't known may."""
+    for op, arg in parsed:
+        if op is sre.LITERAL:
+            hit = arg == char
+        elif op is sre.NOT_LITERAL:
+            hit = arg != char
+        elif op is sre.IN:
+            inside = any(o is sre.CATEGORY or o is sre.LITERAL and x == char or o is sre.RANGE and x[0] <= char <= x[1] for o, x in arg if o is not sre.NEGATE)
+            hit = inside != (arg[0][0] is sre.NEGATE)
+        elif op is sre.BRANCH:
+            hit = any(_may_match(list(x), char) for x in arg[1])
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT):
+            hit = _may_match(list(arg[2]), char)
+        elif op is sre.SUBPATTERN:
+            hit = _may_match(list(arg[3]), char)
+        else:
+            hit = True
+        if hit:
+            return True
+    return False
+
+
 @dataclass
 class Tokenizer:
     """What a tokenizer's file says, as arrays and patterns."""
@@ -171,12 +198,24 @@ class Tokenizer:
         )
 
 
+def _latin(text: str) -> bool:
+    """Whether all characters are below U+0100; stops at the first that isn't."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Counter:
     """Counts tokens with one tokenizer; keeps the counts of words it has met."""
 
     def __init__(self, tokenizer: Tokenizer) -> None:
         self.t = tokenizer
         self.known: dict[str, int] = {}
+        parsed = list(parser.parse(translated(tokenizer.pattern)))
+        # where no pre-token holds white space, what stands between white space has a count of its own
+        self.apart = not any(_may_match(parsed, ord(c)) for c in SPACE)
         self.cut = re.compile(translated(tokenizer.pattern)).findall
         self.cut_ascii = re.compile(translated(tokenizer.pattern, ASCII.__getitem__)).findall  # the same for texts of ASCII alone
         self.special = re.compile("|".join(re.escape(s) for s in sorted(tokenizer.specials, key=len, reverse=True)) or r"(?!)").split
@@ -186,21 +225,26 @@ class Counter:
     # ---- from texts to pre-tokens
 
     def _normal(self, text: str) -> str:
-        if self.t.nfc and not text.isascii():
-            text = "".join([unicodedata.normalize("NFC", p) for p in self.marks.split(text)])
+        if text.isascii():
+            return text.lower() if self.t.lower else text
+        new = not _latin(text)  # may have characters that are newer than some table
+        if self.t.nfc:
+            text = "".join([unicodedata.normalize("NFC", p) for p in self.marks.split(text)]) if new else unicodedata.normalize("NFC", text)
         if self.t.lower:
-            if self.lower(text):
+            if new and self.lower(text):
                 text = text.translate(NEW_LOWER)
             text = text.replace("Σ", "σ").lower()  # each character by itself, without a form for ends of words
         return text
 
     def words(self, text: str) -> tuple[list[str], int]:
-        """The pre-tokens of a text and the number of special strings in it."""
-        cut = self.cut_ascii if text.isascii() else self.cut
+        """The words of a text, whose counts add up, and the number of special strings in it: what stands between white space, or else its pre-tokens."""
         parts = self.special(text)
-        if len(parts) == 1:
-            return cut(self._normal(text)), 0
-        return [w for p in parts for w in cut(self._normal(p))], len(parts) - 1
+        if self.apart and not any(c in text for c in SEPARATORS):
+            return [w for p in parts for w in self._normal(p).split()], len(parts) - 1
+        return [w for p in parts for w in self.pre_tokens(self._normal(p))], len(parts) - 1
+
+    def pre_tokens(self, text: str) -> list[str]:
+        return (self.cut_ascii if text.isascii() else self.cut)(text)
 
     # ---- merging
 
@@ -270,7 +314,10 @@ class Counter:
             known.clear()
         new = list({w for words, _ in cut for w in words if w not in known})
         if new:
-            known.update(zip(new, self.survivors([w.encode() for w in new]).tolist(), strict=True))
+            parts = [self.pre_tokens(w) for w in new]
+            distinct = list({p for ps in parts for p in ps})
+            left = dict(zip(distinct, self.survivors([p.encode() for p in distinct]).tolist(), strict=True)) if distinct else {}
+            known.update((w, sum([left[p] for p in ps])) for w, ps in zip(new, parts, strict=True))
         get = known.__getitem__
         out = np.array([sum(map(get, words)) + n for words, n in cut], np.int64)
         for w in new:
