@@ -2,19 +2,19 @@
 
 The plan for a table of documents: blocks are dealt out by document; windows give every block its headings, kind and group;
 what is too large alone is cut; one Arrow pass over the sorted rows numbers the packs in linear time, holding one running
-total and no document; children and parents are then aggregations. The tokenizer is a pair of expressions, ``count`` and
-``split``; packing adds counts up, so ``count`` must be additive over joined texts.
+total and no document; children and parents are then aggregations. The tokenizer is a parameter: by default words, whose counts
+add up; ``tokens.RankTokenizer`` counts by byte-level BPE, whose counts don't.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.functions import ids, text
+from pagewright.functions import ids
+from pagewright.functions import text as text_
 from pagewright.operators import structure
 from pagewright.operators.chunking import packed
 from pagewright.shared import write_shared
@@ -34,85 +34,87 @@ class Policy:
             raise ValueError("child >= 8, parent >= child and 0 <= overlap < child are needed")
 
 
-@dataclass(frozen=True)
 class Tokenizer:
-    """``count`` tokens of a text; ``split`` a text into windows of a size with an overlap. By default tokens are words."""
+    """Words, whose counts add up over joined texts. A tokenizer counts texts, cuts what is too large, and numbers packs."""
+
+    def count(self, text: Column) -> Column:
+        return text_.token_count(text)
+
+    def parts(self, line: Column, own: Column, body: Column, header: Column, most: int, overlap: Column, force: Column) -> Column:
+        """An array of (body, cut): the body whole if it fits under its heading line with its table's header, else windows of both that fit under ``own``."""
+        single = F.concat_ws("\n", F.when(header != "", header), body)
+        head = self.count(own)
+        room = F.when(head < most, most - head).otherwise(F.raise_error(F.lit("the headings leave no room under the budget")).cast("long"))
+        cut = F.transform(text_.word_windows(single, room, F.least(overlap, room - 1)), lambda p: F.struct(p.alias("body"), F.lit(True).alias("cut")))
+        fits = ~force & (self.count(line) + F.coalesce(self.count(header), F.lit(0)) + self.count(body) <= most)
+        return F.when(fits, F.array(F.struct(body.alias("body"), F.lit(False).alias("cut")))).otherwise(cut)
+
+    def pack(self, rows: DataFrame, keys: list[str], order: list[str], unit: list[str], most: int) -> DataFrame:
+        """Add pack, from 1 in each group: ``rows`` has line, header (null for texts), body and alone; see ``chunking.packed``."""
+        counted = rows.withColumns({"head_": self.count(F.col("line")) + F.coalesce(self.count(F.col("header")), F.lit(0)), "tokens_": self.count(F.col("body"))})
+        return packed(counted, keys, order, unit, "head_", "tokens_", "alone", most).drop("head_", "tokens_")
 
-    count: Callable[[Column], Column] = text.token_count
-    split: Callable[[Column, Column, Column], Column] = text.word_windows
 
+WORDS = Tokenizer()
 
-def _path_tokens(path: Column, tokenizer: Tokenizer) -> Column:
-    return F.when(F.size(path) > 0, tokenizer.count(text.embedding_text(path, F.lit("")))).otherwise(0).cast("long")
 
+def _line(path: Column) -> Column:
+    """The heading line of a path; empty without one."""
+    return text_.embedding_text(path, F.lit(""))
 
-def items(blocks: DataFrame, policy: Policy, tokenizer: Tokenizer = Tokenizer()) -> DataFrame:
+
+def items(blocks: DataFrame, policy: Policy, tokenizer: Tokenizer = WORDS) -> DataFrame:
     """What is packed: whole blocks, rows of tables, and the windows of what is too large alone.
 
     ``blocks`` has doc_id, ordinal, block_id, type, text, heading_level, page_no, sheet_name, slide_no, parent_block_id,
     file_format, cells (array<array<string>>, null for all but tables) and header_rows. Texts that come more than once in a
     document stay alone, so that each is a chunk that can be recognised as a repeat.
     """
-    blank = (F.col("kind") == "CODE") & (text.trimmed(F.coalesce("text", F.lit(""))) == "")  # would be a chunk without a token
+    blank = (F.col("kind") == "CODE") & (text_.trimmed(F.coalesce("text", F.lit(""))) == "")  # would be a chunk without a token
     rows = structure.kinds(structure.heading_stack(blocks, "doc_id"), "doc_id").filter(F.col("include") & ~blank)
     rows = rows.withColumn("mix", structure.compatible_kind(F.col("kind"), F.col("file_format")))
     rows = structure.islands(rows, F.struct("boundary", "mix"), ["doc_id"], ["ordinal"])
     group = Window.partitionBy("doc_id", "island")
     first = group.orderBy("ordinal")
-    # counted once, below the windows, so that none of the uses above counts again
-    rows = rows.withColumns({"canonical": text.canonical(F.col("text")), "n_tokens": tokenizer.count(F.coalesce("text", F.lit(""))).cast("long"), "own_head": _path_tokens(F.col("heading_path"), tokenizer)})
     same = F.count(F.lit(1)).over(Window.partitionBy("doc_id", "canonical"))
-    table = F.col("kind") == "TABLE"
-    rows = rows.withColumns({
-        "alone": ~table & (F.col("canonical") != "") & (same > 1),
-        "members": F.count(F.lit(1)).over(group),
-        "group_path": F.first("heading_path").over(first),
-        "group_head": F.first("own_head").over(first),
-        "group_type": F.first(structure.content_type(F.col("kind"), F.col("file_format"))).over(first),
+    table, own = F.col("kind") == "TABLE", structure.content_type(F.col("kind"), F.col("file_format"))
+    rows = rows.withColumn("canonical", text_.canonical(F.col("text"), compose=True)).withColumns({
+        "alone": ~table & (F.col("canonical") != "") & (same > 1), "members": F.count(F.lit(1)).over(group),
+        "group_path": F.first("heading_path").over(first), "group_type": F.first(own).over(first),
     })
     by_itself = F.col("alone") | table
-    path = F.when(by_itself, F.col("heading_path")).otherwise(F.col("group_path"))
-    own = F.when(F.col("alone"), structure.content_type(F.col("kind"), F.col("file_format"))).otherwise(F.col("group_type"))
-    rows = rows.withColumns({"path": path, "content_type": own, "head": F.when(by_itself, F.col("own_head")).otherwise(F.col("group_head"))})
-    most, body = F.lit(policy.child), F.coalesce("text", F.lit(""))
-    # the cut texts have their own block's headings, which must leave room for a token at least
-    room = F.when(F.col("own_head") < most, most - F.col("own_head")).otherwise(F.raise_error(F.lit("the headings leave no room under the budget")).cast("long"))
-    none = F.lit(None).cast("string")
-
-    def item(body: Column, head: Column, alone: Column, reason: Column, header: Column = none, rows_: Column | None = None, path: Column | None = None, tokens: Column | None = None) -> Column:
-        return F.struct(
-            body.alias("body"), (tokenizer.count(body).cast("long") if tokens is None else tokens).alias("tokens"), head.cast("long").alias("head"), alone.alias("alone"), reason.alias("reason"),
-            header.alias("header"), (F.col("members") if rows_ is None else rows_).cast("long").alias("of"), (F.col("path") if path is None else path).alias("path"),
-        )
-
-    def cut(body: Column, size: Column, overlap: Column, rows_: Column | None = None) -> Column:
-        return F.transform(tokenizer.split(body, size, overlap), lambda p: item(p, F.col("own_head"), F.lit(True), F.lit("TOKEN_LIMIT"), none, rows_, F.col("heading_path")))
-
-    whole = F.array(item(body, F.col("head"), F.col("alone"), none, none, F.when(F.col("alone"), 1).otherwise(F.col("members")), tokens=F.col("n_tokens")))
-    over = F.col("head") + F.col("n_tokens") > most
-    texts = F.when(over, cut(body, room, F.least(F.lit(policy.overlap), room - 1))).otherwise(whole)
-    # tables: a row is an item, the header's text comes with each pack
+    rows = rows.withColumns({
+        "path": F.when(by_itself, F.col("heading_path")).otherwise(F.col("group_path")), "content_type": F.when(F.col("alone"), own).otherwise(F.col("group_type")),
+    })
+    # tables: a row is an item, the header's text comes with each pack; one without cells is cut like a text
+    body, none = F.coalesce("text", F.lit("")), F.lit(None).cast("string")
     heads = F.slice("cells", 1, F.coalesce("header_rows", F.lit(0)))
     data = F.filter("cells", lambda _, i: i >= F.coalesce("header_rows", F.lit(0)))
     data = F.when(F.size(data) > 0, data).otherwise(heads)
-    header = F.array_join(F.transform(heads, text.table_row), "\n")
-    above = F.col("head") + tokenizer.count(header)
-
-    def row(cells: Column) -> Column:
-        line = text.table_row(cells)
-        single = F.concat_ws("\n", F.when(header != "", header), line)
-        fits = above + tokenizer.count(line) <= most
-        return F.when(fits, F.array(item(line, above, F.lit(False), F.lit("TABLE_ROW_GROUP"), header, F.size(data)))).otherwise(cut(single, room, F.lit(0).cast("long"), F.size(data)))
-
-    tables = F.when(F.col("cells").isNull(), cut(body, room, F.lit(0).cast("long"))).otherwise(F.flatten(F.transform(data, row)))
-    rows = rows.withColumn("parts", F.when(table, tables).otherwise(texts))
-    rows = rows.select("doc_id", "ordinal", "block_id", "page_no", "sheet_name", "slide_no", "boundary", "content_type", "island", F.when(table, F.col("ordinal")).otherwise(0).alias("table"), F.posexplode("parts").alias("part", "i"))
-    return rows.select(*[c for c in rows.columns if c != "i"], "i.*")
+    header = F.array_join(F.transform(heads, text_.table_row), "\n")
+
+    def unit(body: Column, header: Column, of: Column, force: Column) -> Column:
+        return F.struct(body.alias("body"), header.alias("header"), of.cast("long").alias("of"), force.alias("force"))
+
+    alone = F.array(unit(body, none, F.when(F.col("alone"), 1).otherwise(F.col("members")), table))
+    units = F.when(table & F.col("cells").isNotNull(), F.transform(data, lambda c: unit(text_.table_row(c), header, F.size(data), F.lit(False)))).otherwise(alone)
+    kept = ("doc_id", "ordinal", "block_id", "page_no", "sheet_name", "slide_no", "boundary", "content_type", "island", "heading_path", "path", "alone")
+    rows = rows.select(*kept, F.when(table, F.col("ordinal")).otherwise(0).alias("table"), F.posexplode(units).alias("row", "u")).select(*kept, "table", "row", "u.*")
+    rows = rows.withColumns({"line": _line(F.col("path")), "own": _line(F.col("heading_path"))})
+    overlap = F.when(F.col("table") > 0, 0).otherwise(policy.overlap).cast("long")
+    rows = rows.withColumn("parts", tokenizer.parts(F.col("line"), F.col("own"), F.col("body"), F.col("header"), policy.child, overlap, F.col("force")))
+    rows = rows.select(*[c for c in rows.columns if c not in ("parts", "body")], F.posexplode("parts").alias("piece", "p")).select("*", "p.body", "p.cut").drop("p")
+    return rows.select(
+        "doc_id", "ordinal", "block_id", "page_no", "sheet_name", "slide_no", "boundary", "content_type", "island", "table", (F.col("row").cast("long") * (1 << 32) + F.col("piece")).alias("part"), "body",
+        F.when(F.col("cut"), F.col("own")).otherwise(F.col("line")).alias("line"), F.when(~F.col("cut"), F.col("header")).alias("header"), (F.col("alone") | F.col("cut")).alias("alone"),
+        # the cut texts have their own block's headings
+        F.when(F.col("cut"), "TOKEN_LIMIT").when(F.col("header").isNotNull(), "TABLE_ROW_GROUP").alias("reason"), "of", F.when(F.col("cut"), F.col("heading_path")).otherwise(F.col("path")).alias("path"),
+    )
 
 
-def children(blocks: DataFrame, policy: Policy, tokenizer: Tokenizer = Tokenizer()) -> DataFrame:
+def children(blocks: DataFrame, policy: Policy, tokenizer: Tokenizer = WORDS) -> DataFrame:
     """doc_id, pack and what a child chunk is made of."""
-    found = packed(items(blocks, policy, tokenizer), ["doc_id"], ["ordinal", "part"], ["island", "table"], "head", "tokens", "alone", policy.child)
+    found = tokenizer.pack(items(blocks, policy, tokenizer), ["doc_id"], ["ordinal", "part"], ["island", "table"], policy.child)
     at = F.struct("ordinal", "part")
     place = F.struct("ordinal", "block_id", "page_no", "sheet_name", "slide_no")
     got = found.groupBy("doc_id", "pack").agg(
@@ -125,7 +127,7 @@ def children(blocks: DataFrame, policy: Policy, tokenizer: Tokenizer = Tokenizer
     # a pack that holds its whole group wasn't split
     reason = F.when(F.col("f.reason") == "TOKEN_LIMIT", "TOKEN_LIMIT").when(F.col("n") == F.col("f.of"), None).when(F.col("f.header").isNotNull(), F.col("f.reason"))
     return got.select(
-        "doc_id", "pack", F.col("f.boundary").alias("section"), F.col("f.content_type").alias("content_type"), F.col("f.path").alias("heading_path"), text.trimmed(body).alias("display"),
+        "doc_id", "pack", F.col("f.boundary").alias("section"), F.col("f.content_type").alias("content_type"), F.col("f.path").alias("heading_path"), text_.trimmed(body).alias("display"),
         reason.otherwise(F.lit("TOKEN_LIMIT")).alias("split_reason"), "places", F.col("n").alias("n_items"),
     )
 
@@ -139,7 +141,7 @@ def positions(places: Column) -> dict[str, Column]:
     }
 
 
-def chunks(blocks: DataFrame, policy: Policy = Policy(), tokenizer: Tokenizer = Tokenizer(), revision: int = 1) -> DataFrame:
+def chunks(blocks: DataFrame, policy: Policy = Policy(), tokenizer: Tokenizer = WORDS, revision: int = 1) -> DataFrame:
     """Parents and children in their order, with ids, hashes, places and duplicates.
 
     doc_id, ordinal, granularity, content_type, display, embedding_text, token_count, heading_path, block_ids, places,
@@ -147,14 +149,14 @@ def chunks(blocks: DataFrame, policy: Policy = Policy(), tokenizer: Tokenizer =
     """
     made = children(blocks, policy, tokenizer)
     made = structure.islands(made, F.col("section"), ["doc_id"], ["pack"])
-    made = made.withColumns({"head": _path_tokens(F.col("heading_path"), tokenizer), "tokens": tokenizer.count(F.col("display")).cast("long"), "alone": F.lit(False), "of": F.count(F.lit(1)).over(Window.partitionBy("doc_id", "island"))})
-    made = made.withColumnRenamed("pack", "child")
-    dealt = packed(made, ["doc_id"], ["child"], ["island"], "head", "tokens", "alone", policy.parent).withColumnRenamed("pack", "parent")
+    made = made.withColumns({"line": _line(F.col("heading_path")), "header": F.lit(None).cast("string"), "alone": F.lit(False), "of": F.count(F.lit(1)).over(Window.partitionBy("doc_id", "island"))})
+    made = made.withColumnsRenamed({"pack": "child", "display": "body"})
+    dealt = tokenizer.pack(made, ["doc_id"], ["child"], ["island"], policy.parent).withColumnsRenamed({"pack": "parent", "body": "display"})
     dealt = write_shared(dealt.select("doc_id", "child", "parent", "section", "content_type", "heading_path", "display", "split_reason", "places", "of"), "chunk-children")
     revision_ = F.lit(revision)
 
     def finished(rows: DataFrame, granularity: str) -> DataFrame:
-        embedded = text.embedding_text(F.col("heading_path"), F.col("display"))
+        embedded = text_.embedding_text(F.col("heading_path"), F.col("display"))
         rows = rows.withColumns({"granularity": F.lit(granularity), "embedding_text": embedded})
         return rows.withColumns({"token_count": tokenizer.count(F.col("embedding_text")).cast("long"), "content_sha256": F.sha2("embedding_text", 256)})
 
@@ -163,14 +165,15 @@ def chunks(blocks: DataFrame, policy: Policy = Policy(), tokenizer: Tokenizer =
     x = F.struct("child", "display", "places", "heading_path", "content_type", "section", "of", "block_ids")
     up = dealt.withColumn("block_ids", F.transform("places", lambda p: p["block_id"])).groupBy("doc_id", "parent").agg(F.sort_array(F.collect_list(x)).alias("x"))
     up = up.select(
-        "doc_id", "parent", (F.col("x")[0]["child"] + F.col("parent") - 1).alias("ordinal"), text.trimmed(F.array_join("x.display", "\n\n")).alias("display"), F.col("x")[0]["heading_path"].alias("heading_path"),
+        "doc_id", "parent", (F.col("x")[0]["child"] + F.col("parent") - 1).alias("ordinal"), text_.trimmed(F.array_join("x.display", "\n\n")).alias("display"), F.col("x")[0]["heading_path"].alias("heading_path"),
         F.col("x")[0]["content_type"].alias("content_type"), F.col("x")[0]["section"].alias("section"), F.array_distinct(F.flatten("x.places")).alias("places"), F.flatten("x.block_ids").alias("block_ids"),
         F.when(F.size("x") != F.col("x")[0]["of"], "PARENT_TOKEN_LIMIT").alias("split_reason"),
     )
     up = finished(up, "PARENT").withColumn("chunk_id", ids.chunk_id(F.col("doc_id"), revision_, F.col("granularity"), F.col("block_ids"), F.col("parent"), F.col("embedding_text")))
     up = write_shared(up, "chunk-parents")
     own = own.join(up.select("doc_id", "parent", F.col("chunk_id").alias("parent_chunk_id")), ["doc_id", "parent"])
-    same = Window.partitionBy("doc_id", F.sha2(text.canonical(F.col("display")), 256)).orderBy("ordinal")
+    own = own.withColumn("canonical", text_.canonical(F.col("display"), compose=True))
+    same = Window.partitionBy("doc_id", F.sha2("canonical", 256)).orderBy("ordinal")
     head = F.first(F.struct("ordinal", "chunk_id", "places")).over(same)
     own = own.withColumn("head_", head)
     repeat = F.col("head_.ordinal") != F.col("ordinal")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagewright.functions import text
-from pagewright.operators import blocks, builder, quality, review, structure
+from pagewright.operators import blocks, builder, quality, review, structure, tokens
 from pagewright.plans.registry import query
 from pagewright.plans.texts import LINES, sql_canon, sql_norm, sql_words
 from pagewright.shared import table, write_shared
@@ -223,6 +223,24 @@ def knowledge_chunks(spark, sf_dir):
     return own.groupBy("lang", "verdict", "content_type").agg(F.count(F.lit(1)).alias("chunks"), F.count_if(may).alias("eligible"), F.sum("token_count").alias("tokens"))
 
 
+# Vocabularies aren't part of this repository.
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+@query()
+def bpe_chunks(spark, sf_dir, ranks=RANKS):
+    """Chunks under the default budgets of a byte-level BPE; SQL has no such counts, so a test compares with a plain version."""
+    made = builder.chunks(_rich(spark, sf_dir), builder.Policy(), tokens.RankTokenizer(ranks))
+    return made.select("doc_id", "ordinal", "granularity", "content_type", "token_count", "content_sha256", "chunk_id", "parent_chunk_id", "split_reason", "dedup_status")
+
+
+@query()
+def bpe_counts(spark, sf_dir, ranks=RANKS):
+    """Tokens of every document."""
+    counted = tokens.RankTokenizer(ranks).count(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", counted.alias("n_tokens"))
+
+
 # Documents as text files: paragraphs are parted by blank lines.
 _TEXTS = rf"""b0 AS (SELECT doc_id, NULL AS lang, i AS ordinal, 'b' || doc_id || '.' || i AS block_id, 'PARAGRAPH' AS type, parts[i] AS text, NULL::INT AS heading_level, NULL::INT AS page_no, NULL::VARCHAR AS sheet_name, NULL::INT AS slide_no, NULL::VARCHAR AS parent_block_id, 'TEXT' AS file_format
     FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '(\r?\n){{2,}}'), lambda x: {sql_norm("x")}), lambda x: x <> '') AS parts FROM documents)))"""

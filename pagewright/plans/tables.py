@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagewright.functions import ids, numbers, secrecy, text
-from pagewright.operators import access, chunking, events, index, ocr, paging, review
+from pagewright.operators import access, chunking, events, index, ocr, paging, review, sparse
 from pagewright.plans.registry import query
 from pagewright.plans.texts import sql_pack, sql_words
 from pagewright.shared import new_path, table, write_shared
@@ -47,6 +47,15 @@ def manifest_top_k(spark, sf_dir):
     return _rounded(index.top_k(asked, rows, 5, "label"))
 
 
+@query(rf"""WITH t AS (SELECT doc_id, unnest({sql_words("text")}) AS term FROM documents), c AS (SELECT doc_id, term, count(*) AS w FROM t GROUP BY 1, 2),
+    s AS (SELECT q.doc_id AS query_id, c.doc_id AS id, sum(q.w * c.w)::DOUBLE AS score FROM c q JOIN c ON c.term = q.term WHERE q.doc_id % 20 = 0 GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, rank::INT AS rank, id, score FROM r WHERE rank <= 5""")
+def sparse_top_k(spark, sf_dir):
+    """Documents by the words they share, counts times counts; every twentieth is a query."""
+    rows = write_shared(sparse.term_counts(table(spark, sf_dir, "documents"), "doc_id", text.words(F.col("text"))), "term-counts")
+    return sparse.top_k(rows.filter("id % 20 = 0").withColumnRenamed("id", "query_id"), rows, 5)
+
+
 @query(f"""WITH {_E}, s AS (SELECT q.vec_id AS case_id, q.label AS wanted, e.vec_id, e.label, {_COS} AS score FROM e q, e WHERE q.vec_id % 20 = 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, vec_id) AS rank FROM s),
     h AS (SELECT case_id, max((vec_id <> case_id AND label = wanted)::INT) AS hit FROM r WHERE rank <= 5 GROUP BY 1)
