@@ -9,6 +9,7 @@ from pagewright.operators import access, chunking, events, index, ocr, paging, r
 from pagewright.plans.registry import query
 from pagewright.plans.texts import sql_pack, sql_words
 from pagewright.shared import new_path, table, write_shared
+from pagewright.sources import vectors
 from pagewright.streaming import sequences
 
 AS_OF = "1995-06-17 00:00:00"
@@ -47,6 +48,22 @@ def manifest_top_k(spark, sf_dir):
     return _rounded(index.top_k(asked, rows, 5, "label"))
 
 
+@query("""SELECT 'm' || label AS manifest_id, 'v' || vec_id AS vector_id, sha256(label || ':' || vec_id % 2) AS content_sha256, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings WHERE label % 3 = 1 AND (label % 2 = 0 OR vec_id % 2 = 0)""")
+def vector_source(spark, sf_dir):
+    """Vectors through the data source: all manifests are written, the odd ones again with fewer rows, and every third is read by a pushed filter."""
+    vectors.register(spark)
+    path = new_path(spark, "manifest-vectors")
+    rows = _vectors(spark, sf_dir).withColumn("n", F.concat_ws(":", "label", (F.col("vec_id") % 2).cast("string")))
+    none = {c: F.lit(None).cast("string") for c in ("space_id", "document_id", "chunk_id", "embedding_profile_id")}
+    rows = rows.withColumns(none | {"manifest_id": F.concat(F.lit("m"), "label"), "vector_id": F.concat(F.lit("v"), "vec_id"), "ordinal": F.col("vec_id"), "content_sha256": F.sha2("n", 256), "dense_vector": F.col("v"), "sparse_terms": F.lit(None).cast("array<string>"), "sparse_weights": F.lit(None).cast("array<double>")})
+    names = [c.split()[0] for c in vectors.SCHEMA.split(", ")]
+    rows.select(*names).write.format(vectors.FORMAT).mode("append").save(path)
+    rows.filter("label % 2 = 1 AND vec_id % 2 = 0").select(*names).write.format(vectors.FORMAT).mode("append").save(path)
+    wanted = [f"m{r['label']}" for r in rows.filter("label % 3 = 1").select("label").distinct().collect()]  # as many as there are labels
+    read = spark.read.format(vectors.FORMAT).load(path).filter(F.col("manifest_id").isin(wanted))
+    return read.select("manifest_id", "vector_id", "content_sha256", F.round(F.element_at("dense_vector", 1), 6).alias("first"))
+
+
 @query(rf"""WITH t AS (SELECT doc_id, unnest({sql_words("text")}) AS term FROM documents), c AS (SELECT doc_id, term, count(*) AS w FROM t GROUP BY 1, 2),
     s AS (SELECT q.doc_id AS query_id, c.doc_id AS id, sum(q.w * c.w)::DOUBLE AS score FROM c q JOIN c ON c.term = q.term WHERE q.doc_id % 20 = 0 GROUP BY 1, 2),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, rank::INT AS rank, id, score FROM r WHERE rank <= 5""")
