@@ -10,7 +10,7 @@ from pagewright.plans.registry import query
 from pagewright.plans.texts import sql_pack, sql_words
 from pagewright.shared import new_path, table, write_shared
 from pagewright.sources import vectors
-from pagewright.streaming import sequences
+from pagewright.streaming import sequences, stateful
 
 AS_OF = "1995-06-17 00:00:00"
 
@@ -539,3 +539,60 @@ def streaming_windows(spark, sf_dir):
     sequences.run_available(counts, sequences.batch_sink(out), new_path(spark, "stream-log"), "update")
     done = spark.read.parquet(out).groupBy("event_type", "window").agg(F.max_by("n", "batch").alias("n"))
     return done.select("event_type", F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "n")
+
+
+@query("""WITH s AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS sequence FROM events),
+    f AS (SELECT user_id, min(sequence) AS first FROM s WHERE event_id % 13 <> 0 GROUP BY 1), g AS (SELECT s.user_id, min(sequence) AS gap FROM s JOIN f ON f.user_id = s.user_id WHERE event_id % 13 = 0 AND sequence > first GROUP BY 1),
+    l AS (SELECT s.user_id, coalesce(max(CASE WHEN event_id % 13 <> 0 AND sequence < coalesce(gap, 1000000000) THEN sequence END), 0) AS last, max(gap) AS gap FROM s LEFT JOIN g ON g.user_id = s.user_id GROUP BY 1)
+    SELECT s.user_id::VARCHAR AS key, sequence, event_id, CASE WHEN sequence < coalesce(gap, 1000000000) THEN 'APPENDED' ELSE 'GAP' END AS outcome FROM s JOIN l ON l.user_id = s.user_id WHERE event_id % 13 <> 0
+    UNION ALL SELECT s.user_id::VARCHAR, sequence, event_id, CASE WHEN sequence <= last THEN 'DUPLICATE' ELSE 'APPENDED' END FROM s JOIN l ON l.user_id = s.user_id
+    UNION ALL SELECT user_id::VARCHAR, sequence, event_id, 'RETAINED' FROM (SELECT *, max(sequence) OVER (PARTITION BY user_id) - sequence AS back FROM s) WHERE back < 5""")
+def streaming_log(spark, sf_dir):
+    """Events with some missing, then, after a restart, all of them: what became of each, and what the logs hold in the end."""
+    rows = event_sequence(spark, sf_dir).select(F.col("user_id").cast("string").alias("key"), "sequence", "event_id")
+    path, out, log = (new_path(spark, n) for n in ("stream-in", "stream-out", "stream-log"))
+    for part in (rows.filter("event_id % 13 <> 0"), rows):
+        part.write.mode("append").parquet(path)
+        with stateful.state_store(spark):
+            sequences.run_available(stateful.bounded_log(spark.readStream.schema(rows.schema).parquet(path), 5), sequences.batch_sink(out), log)
+    return spark.read.parquet(out).drop("batch").unionByName(stateful.retained(spark, log).withColumn("outcome", F.lit("RETAINED")))
+
+
+_LEASES = """e AS (SELECT 'j' || (user_id % 40) AS key, (['lease', 'renew', 'lease', 'done', 'renew'])[event_id % 5 + 1] AS action, 1000000 + event_id * 7 AS t, CASE WHEN event_id % 5 <> 3 THEN 1000000 + event_id * 7 + 60 + (event_id % 11) * 90 END AS until FROM events),
+    n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t) AS k FROM (SELECT * FROM e UNION ALL SELECT DISTINCT key, 'end', (SELECT max(t) FROM e), NULL FROM e)),
+    r AS (SELECT key, 0::BIGINT AS k, NULL::BIGINT AS until, 1 AS attempt, NULL::BIGINT AS gone, 0 AS tried FROM n WHERE k = 1 UNION ALL
+        SELECT n.key, n.k, CASE WHEN n.action = 'lease' AND (r.until IS NULL OR r.until <= n.t) THEN n.until WHEN n.action = 'renew' AND r.until > n.t THEN n.until WHEN n.action = 'done' OR r.until <= n.t THEN NULL ELSE r.until END,
+            CASE WHEN r.until <= n.t THEN least(r.attempt + 1, 3) ELSE r.attempt END, CASE WHEN r.until <= n.t THEN r.until END, r.attempt FROM r JOIN n ON n.key = r.key AND n.k = r.k + 1)"""
+
+
+def _lease_log(spark, sf_dir):
+    k = F.col("event_id")
+    at = 1_000_000 + k * 7
+    action = F.element_at(F.array(*[F.lit(a) for a in ("lease", "renew", "lease", "done", "renew")]), (k % 5 + 1).cast("int"))
+    until = F.when(k % 5 != 3, at + 60 + (k % 11) * 90)
+    return _events(spark, sf_dir).select(F.concat(F.lit("j"), (F.col("user_id") % 40).cast("string")).alias("key"), action.alias("action"), F.timestamp_seconds(at).alias("at"), F.timestamp_seconds(until).alias("until"))
+
+
+_LEASES_GONE = f"WITH RECURSIVE {_LEASES} SELECT key, gone AS expired_at, tried AS attempt, CASE WHEN tried >= 3 THEN 'WAITING' ELSE 'QUEUED' END AS next_status FROM r WHERE gone IS NOT NULL"
+
+
+@query(_LEASES_GONE)
+def lease_timers(spark, sf_dir):
+    """Leases that run out on a stream, by timers, in two runs of the query."""
+    log = _lease_log(spark, sf_dir)
+    half = log.agg(F.timestamp_seconds(F.floor((F.min(F.unix_seconds("at")) + F.max(F.unix_seconds("at"))) / 2)).alias("h")).first()["h"]
+    path, out, state = (new_path(spark, n) for n in ("stream-in", "stream-out", "stream-log"))
+    for part in (log.filter(F.col("at") < F.lit(half)), log.filter(F.col("at") >= F.lit(half))):
+        part.write.mode("append").parquet(path)
+        with stateful.state_store(spark):
+            sequences.run_available(stateful.expiring_leases(spark.readStream.schema(log.schema).parquet(path), 3), sequences.batch_sink(out), state)
+    return spark.read.parquet(out).select("key", F.unix_seconds("expired_at").alias("expired_at"), "attempt", "next_status")
+
+
+@query(_LEASES_GONE)
+def lease_log_expiry(spark, sf_dir):
+    """The same log as a batch."""
+    log = _lease_log(spark, sf_dir)
+    last = log.agg(F.max("at").alias("last")).first()["last"]
+    found = stateful.expired_leases(log, 3, F.lit(last))
+    return found.select("key", F.unix_seconds("expired_at").alias("expired_at"), "attempt", "next_status")
