@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as text_
+from pagewright.sources import markdown
 
 BLOCKS = "doc_id long, ordinal int, type string, text string, heading_level int, cells array<array<string>>, header_rows int"
 MERGED = ", merged_cells array<struct<row:int,column:int,row_span:int,column_span:int>>"
@@ -202,48 +203,8 @@ def html_blocks_of(html: str) -> list[tuple]:
 
 
 def markdown_blocks_of(text: str) -> list[tuple]:
-    """Titles, fenced code, lists, pipe tables and paragraphs; raw HTML stays text."""
-    out: list[tuple] = []
-    kept: list[str] = []
-
-    def flush() -> None:
-        if kept:
-            out.append(("PARAGRAPH", " ".join(" ".join(kept).split()), None, None, None))
-            kept.clear()
-
-    lines = (text or "").replace("\r\n", "\n").split("\n")
-    i = 0
-    while i < len(lines):
-        line = lines[i]
-        title = re.match(r"(#{1,6})\s+(.*?)\s*#*$", line)
-        fence = re.match(r"\s*(```+|~~~+)", line)
-        item = re.match(r"\s*(?:[-*+]|\d+[.)])\s+(.*)", line)
-        if fence:
-            flush()
-            end = next((j for j in range(i + 1, len(lines)) if lines[j].strip().startswith(fence[1])), len(lines))
-            out.append(("CODE", "\n".join(lines[i + 1 : end]), None, None, None))
-            i = end
-        elif title:
-            flush()
-            out.append(("TITLE", title[2], len(title[1]), None, None))
-        elif item:
-            flush()
-            out.append(("LIST", item[1].strip(), None, None, None))
-        elif line.lstrip().startswith("|") and i + 1 < len(lines) and re.match(r"\s*\|?[\s:|-]+\|[\s:|-]*$", lines[i + 1]):
-            flush()
-            end = i
-            while end < len(lines) and lines[end].lstrip().startswith("|"):
-                end += 1
-            cells = [[c.strip() for c in lines[j].strip().strip("|").split("|")] for j in range(i, end) if j != i + 1]
-            out.append(("TABLE", "\n".join(" | ".join(r) for r in cells), None, cells, 1))
-            i = end - 1
-        elif line.strip():
-            kept.append(line)
-        else:
-            flush()
-        i += 1
-    flush()
-    return out
+    """Blocks of a Markdown text by way of its HTML; raw HTML stays text."""
+    return html_blocks_of(markdown.to_html(text))
 
 
 def csv_blocks_of(text: str) -> list[tuple]:
