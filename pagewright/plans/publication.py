@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagewright.functions import vectors
-from pagewright.operators import index, lifecycle, ocr, publication
+from pagewright.operators import index, lifecycle, ocr, publication, rollout
 from pagewright.plans.registry import query
 from pagewright.shared import new_path, table
 from pagewright.sources import snapshots
@@ -259,6 +259,39 @@ def routes_after_rollback(spark, sf_dir):
     return index.routes(got.heads.select("space"), got.heads, got.manifests, none, F.lit("u"))
 
 
+# Every verified candidate has a request; some were built on another head, some fail, and some canaries are promoted.
+_ROLLOUTS = f"""{MANIFESTS}, c AS (SELECT 'q' || m.space AS request, m.space, m.manifest AS candidate, h.manifest AS head, CASE WHEN m.space % 9 = 0 THEN 'gone' ELSE h.manifest END AS previous, m.space % 2 = 0 AS full_, m.space % 5 <> 0 AS ok FROM man m JOIN heads h ON h.space = m.space WHERE m.status = 'VERIFIED'),
+    d AS (SELECT *, CASE WHEN NOT ok THEN 'FAILED' WHEN full_ OR space % 4 = 3 THEN CASE WHEN previous = head THEN 'PUBLISHED' ELSE 'CONFLICT' END ELSE 'READY' END AS status FROM c)"""
+
+
+def _rolled_out(spark, sf_dir):
+    manifests = _manifests(spark, sf_dir)
+    heads, k = _heads(manifests), F.col("space")
+    asked = manifests.filter("status = 'VERIFIED'").select("space", F.col("manifest").alias("candidate")).join(heads.select("space", F.col("manifest").alias("head")), "space")
+    asked = asked.select(
+        F.concat(F.lit("q"), k.cast("string")).alias("request"), "space", "candidate", F.when(k % 9 == 0, "gone").otherwise(F.col("head")).alias("previous"), F.when(k % 2 == 0, "FULL").otherwise("CANARY").alias("mode"),
+        F.lit(20).alias("percent"), F.lit("EVALUATING").alias("status"), F.lit(None).cast("string").alias("code"),
+    )
+    none = asked.select("space", F.col("previous").alias("stable"), "candidate", "percent", F.lit("").alias("salt")).limit(0)
+    step = rollout.decided(rollout.State(asked, manifests, heads, none), asked.select("request", (k % 5 != 0).alias("ok")), _now())
+    return rollout.promoted(step.state, asked.filter(k % 4 == 3).select("request"), _now())
+
+
+@query(f"""WITH {_ROLLOUTS} SELECT request, space, status, CASE status WHEN 'FAILED' THEN 'OFFLINE_EVALUATION_FAILED' WHEN 'CONFLICT' THEN 'VERSION_CONFLICT' END AS code FROM d""")
+def rollout_requests(spark, sf_dir):
+    return _rolled_out(spark, sf_dir).state.requests.select("request", "space", "status", "code")
+
+
+@query(f"""WITH {_ROLLOUTS} SELECT m.manifest, m.space, CASE WHEN m.manifest = d.candidate THEN CASE d.status WHEN 'PUBLISHED' THEN 'ACTIVE' WHEN 'FAILED' THEN 'FAILED' ELSE m.status END WHEN m.manifest = d.head AND d.status = 'PUBLISHED' THEN 'SUPERSEDED' ELSE m.status END AS status,
+    h.space IS NOT NULL AS is_head FROM man m LEFT JOIN d ON d.space = m.space
+    LEFT JOIN (SELECT hd.space, CASE WHEN d.status = 'PUBLISHED' THEN d.candidate ELSE hd.manifest END AS manifest FROM heads hd LEFT JOIN d ON d.space = hd.space) h ON h.manifest = m.manifest""")
+def rollout_manifests(spark, sf_dir):
+    """Manifests and heads after the decision on all candidates and the promotion of some canaries."""
+    state = _rolled_out(spark, sf_dir).state
+    heads = state.heads.select("manifest", F.lit(True).alias("is_head"))
+    return state.manifests.join(heads, "manifest", "left").select("manifest", "space", "status", F.coalesce("is_head", F.lit(False)).alias("is_head"))
+
+
 @query(f"""WITH {MANIFESTS} SELECT DISTINCT m.manifest, 'k' || (p.p_partkey % 50) AS object_key, sha256(p.p_type) AS sha256 FROM mem m JOIN part p ON 'v' || (p.p_partkey % 100) = m.version_id""")
 def member_files(spark, sf_dir):
     k = F.col("p_partkey")
