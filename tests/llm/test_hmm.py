@@ -121,3 +121,40 @@ def test_rare_classes_agree_and_empty_tables(spark):
     df = spark.createDataFrame([(bytearray(w),) for w in words_], "t binary").select("t", hmm.rare_class(F.col("t"), 64).alias("k"))
     assert all(r["k"] == hmm._rare_class(bytes(r["t"]), 64) for r in df.collect())
     assert hmm.language_model_scores(documents(spark, []), SMALL).count() == 0
+
+
+def test_scores_are_a_plain_forward_pass_of_the_trained_model(spark):
+    """Counts by hand, the trained model's numbers, and the recursion written out token by token."""
+    from pyspark.sql import functions as F
+
+    docs = [(100 + i, ("the cat sat on the mat " if i % 2 else "le chat est sur le tapis ") * 3 + f"odd{i} word{i % 7}", "s") for i in range(40)] + [(1, "unseen the wörd", "s"), (2, None, "s")]
+    frame = documents(spark, docs)
+    got = {r["doc_id"]: r for r in hmm.language_model_scores(frame, SMALL).collect()}
+    rows = frame.select("doc_id", hmm.held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    lex = hmm.lexicon(hmm.token_counts(rows.filter(~F.col("held_out")).select("text")), SMALL)
+    encoded, kind = hmm.encode(rows, lex, SMALL)
+    m = hmm.train(encoded, kind, lex, SMALL)
+    c = Counter()
+    for d, t, _ in docs:
+        if zlib.crc32(str(d).encode()) % 10:
+            c.update(words(t))
+    hot = {t for t, n in c.items() if n >= SMALL.hot_share * sum(c.values())} | {b""}
+    assert set(lex.hot) == hot
+    rare_n, rare_v = Counter(), Counter()
+    for t, n in c.items():
+        if t not in hot:
+            k = zlib.crc32(t[:2] + b"-" + t[-3:]) % SMALL.rare_classes
+            rare_n[k] += n
+            rare_v[k] += 1
+    for d, t, _ in docs:
+        alpha, total = None, 0.0
+        for w in words(t):
+            if w in hot:
+                emit = m.emit[lex.hot[w][0]]
+            else:
+                k = zlib.crc32(w[:2] + b"-" + w[-3:]) % SMALL.rare_classes
+                emit = m.emit[len(lex.hot) + k] * (c[w] + 0.1) / (rare_n[k] + 0.1 * (rare_v[k] + 1))
+            alpha = (m.start if alpha is None else alpha @ m.move) * emit
+            total += math.log10(alpha.sum())
+            alpha = alpha / alpha.sum()
+        assert math.isclose(got[d]["score"], total, rel_tol=1e-6), (d, got[d]["score"], total)

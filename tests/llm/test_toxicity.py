@@ -85,3 +85,45 @@ def test_buckets(spark, n):
 
     df = spark.createDataFrame([(i,) for i in (None, 1, 2, -5)], "d long").select("d", toxicity.bucket(F.col("d"), n).alias("b"))
     assert all(r["b"] == zlib.crc32(("" if r["d"] is None else str(r["d"])).encode()) % n for r in df.collect())
+
+
+def test_fit_is_the_minimum_of_its_loss():
+    """Loss, ridge and penalty written out plainly; no step in any direction makes them smaller."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    n, fit = 6, toxicity.Fit(rounds=4000)
+    x = [sorted(set(rng.integers(0, n, 3).tolist())) for _ in range(60)]
+    y = np.array([float(0 in r) if rng.random() < 0.8 else float(rng.random() < 0.5) for r in x])
+    weight = rng.choice([1.0, 2.5], 60)
+    pairs = [([1, 2], [1, 3]), ([0, 4], [5]), ([2], [2])]
+    w, bias = toxicity._fitted(x, y, weight, pairs, n, fit)
+    fair = fit.fairness * len(x) / len(pairs) * 0.01
+
+    def loss(w, bias):
+        z = np.array([bias + sum(w[c] for c in r) for r in x])
+        own = (weight * (np.logaddexp(0, z) - y * z)).sum() + fit.ridge / 2 * (w**2).sum()
+        return own + fair / 2 * sum((sum(w[c] for c in a) - sum(w[c] for c in b)) ** 2 for a, b in pairs)
+
+    here = loss(w, bias)
+    for k in range(n + 1):
+        for step in (1e-3, -1e-3):
+            moved = w.copy()
+            if k < n:
+                moved[k] += step
+            assert loss(moved, bias + step * (k == n)) > here
+    plain_w, plain_bias = np.zeros(n), 0.0
+    for _ in range(20_000):  # plain gradient steps end at the same place
+        z = np.array([plain_bias + sum(plain_w[c] for c in r) for r in x])
+        err = weight * (1 / (1 + np.exp(-z)) - y)
+        g = fit.ridge * plain_w + np.array([sum(e for e, r in zip(err, x, strict=True) if c in r) for c in range(n)])
+        for a, b in pairs:
+            change = sum(plain_w[c] for c in a) - sum(plain_w[c] for c in b)
+            for c in a:
+                g[c] += fair * change
+            for c in b:
+                g[c] -= fair * change
+        plain_w, plain_bias = plain_w - 0.004 * g, plain_bias - 0.004 * err.sum()
+        if np.abs(g).max() < 1e-9 and abs(err.sum()) < 1e-9:
+            break
+    assert np.allclose(w, plain_w, atol=1e-4) and abs(bias - plain_bias) < 1e-4
