@@ -10,7 +10,7 @@ from pagewright.plans.registry import query
 from pagewright.plans.texts import sql_pack, sql_words
 from pagewright.shared import new_path, table, write_shared
 from pagewright.sources import vectors
-from pagewright.streaming import sequences, stateful
+from pagewright.streaming import relay, sequences, stateful
 
 AS_OF = "1995-06-17 00:00:00"
 
@@ -596,3 +596,26 @@ def lease_log_expiry(spark, sf_dir):
     last = log.agg(F.max("at").alias("last")).first()["last"]
     found = stateful.expired_leases(log, 3, F.lit(last))
     return found.select("key", F.unix_seconds("expired_at").alias("expired_at"), "attempt", "next_status")
+
+
+@query("""WITH e AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'PARSE' WHEN 'assistant' THEN 'PROJECT' END AS stage, role NOT IN ('user', 'assistant') OR (conv_id * 31 + turn) % 11 = 0 AS stuck FROM conversations),
+    f AS (SELECT conv_id, min(turn) AS first FROM e WHERE stuck GROUP BY 1)
+    SELECT e.conv_id || '.' || turn AS event_id, e.conv_id::VARCHAR AS run, turn AS sequence, stage, CASE WHEN first IS NULL OR turn < first THEN 'DELIVERED' WHEN turn = first AND stage IS NOT NULL THEN 'RETRIED' ELSE 'WAITING' END AS state
+    FROM e LEFT JOIN f ON f.conv_id = e.conv_id""")
+def outbox_relay(spark, sf_dir):
+    """Turns of conversations as events: what was delivered, what failed and waits to be tried again, and what is behind it or has no sink."""
+    kind = F.when(F.col("role") == "user", "ingestion.requested.v1").when(F.col("role") == "assistant", "index.built").otherwise("other")
+    name = F.concat_ws(".", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("run"), F.col("turn").cast("long").alias("sequence"), name.alias("event_id"), kind.alias("event_type"), F.sha2("text", 256).alias("payload"))
+    source, path = new_path(spark, "outbox"), new_path(spark, "relay")
+    rows.write.parquet(source)
+    most = rows.groupBy("run").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+
+    def sink(part):
+        return part.select("event_id", ((F.col("run").cast("long") * 31 + F.col("sequence")) % 11 != 0).alias("ok"))
+
+    step = relay.relay(path, {"PARSE": sink, "PROJECT": sink}, rounds=most)
+    sequences.run_available(spark.readStream.schema(rows.schema).parquet(source), step, new_path(spark, "stream-log"))
+    stage = events.stage_of(F.col("event_type"))
+    left = relay.waiting(spark, path, 0).select("event_id", "run", "sequence", F.when(stage.isin("PARSE", "PROJECT"), stage).alias("stage"), F.when(F.col("attempts") > 0, "RETRIED").otherwise("WAITING").alias("state"))
+    return relay.ledger(spark, path).select("event_id", "run", "sequence", "stage", F.lit("DELIVERED").alias("state")).unionByName(left)
