@@ -76,10 +76,11 @@ def items(blocks: DataFrame, policy: Policy, tokenizer: Tokenizer = WORDS) -> Da
     rows = structure.islands(rows, F.struct("boundary", "mix"), ["doc_id"], ["ordinal"])
     group = Window.partitionBy("doc_id", "island")
     first = group.orderBy("ordinal")
-    same = F.count(F.lit(1)).over(Window.partitionBy("doc_id", "canonical"))
+    same = F.count(F.lit(1)).over(Window.partitionBy("doc_id", "canonical"))  # a digest, so that no sort carries texts twice
     table, own = F.col("kind") == "TABLE", structure.content_type(F.col("kind"), F.col("file_format"))
-    rows = rows.withColumn("canonical", text_.canonical(F.col("text"), compose=True)).withColumns({
-        "alone": ~table & (F.col("canonical") != "") & (same > 1), "members": F.count(F.lit(1)).over(group),
+    canonical = text_.canonical(F.col("text"), compose=True)
+    rows = rows.withColumn("canonical", F.when(canonical != "", F.unhex(F.sha2(canonical, 256)))).withColumns({
+        "alone": ~table & F.col("canonical").isNotNull() & (same > 1), "members": F.count(F.lit(1)).over(group),
         "group_path": F.first("heading_path").over(first), "group_type": F.first(own).over(first),
     })
     by_itself = F.col("alone") | table
@@ -172,8 +173,8 @@ def chunks(blocks: DataFrame, policy: Policy = Policy(), tokenizer: Tokenizer =
     up = finished(up, "PARENT").withColumn("chunk_id", ids.chunk_id(F.col("doc_id"), revision_, F.col("granularity"), F.col("block_ids"), F.col("parent"), F.col("embedding_text")))
     up = write_shared(up, "chunk-parents")
     own = own.join(up.select("doc_id", "parent", F.col("chunk_id").alias("parent_chunk_id")), ["doc_id", "parent"])
-    own = own.withColumn("canonical", text_.canonical(F.col("display"), compose=True))
-    same = Window.partitionBy("doc_id", F.sha2("canonical", 256)).orderBy("ordinal")
+    own = own.withColumn("canonical", F.sha2(text_.canonical(F.col("display"), compose=True), 256))
+    same = Window.partitionBy("doc_id", "canonical").orderBy("ordinal")
     head = F.first(F.struct("ordinal", "chunk_id", "places")).over(same)
     own = own.withColumn("head_", head)
     repeat = F.col("head_.ordinal") != F.col("ordinal")

@@ -128,12 +128,9 @@ def pack_blocks(rows: DataFrame, by: list[str], size: str, most: int, items: int
 def token_windows(docs: DataFrame, most: int, overlap: int) -> DataFrame:
     """doc_id, part, n_tokens, text: windows of ``most`` words that overlap; the last ends with the text."""
     _no_overlap(most, most, overlap)
-    stride = most - overlap
-    w = docs.select("doc_id", text.words(F.col("text")).alias("w")).filter(F.size("w") > 0)
-    last = F.when(F.size("w") <= most, 0).otherwise(F.ceil((F.size("w") - most) / stride)).cast("int")
-    parts = w.select("doc_id", "w", F.explode(F.sequence(F.lit(0), last)).alias("part"))
-    cut = F.slice("w", F.col("part") * stride + 1, most)
-    return parts.select("doc_id", "part", F.size(cut).alias("n_tokens"), F.array_join(cut, " ").alias("text"))
+    windows = text.word_windows(F.col("text"), F.lit(most), F.lit(overlap))
+    parts = docs.select("doc_id", F.posexplode(windows).alias("part", "text"))
+    return parts.select("doc_id", "part", text.token_count(F.col("text")).cast("int").alias("n_tokens"), "text")
 
 
 def duplicates(chunks: DataFrame, by: list[str], content: str = "text", order: str = "ordinal") -> DataFrame:
