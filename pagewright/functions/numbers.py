@@ -36,3 +36,8 @@ def stage_percent(done: Column, total: Column) -> Column:
 
 def backoff_seconds(attempts: Column, most: int = 300, highest: int = 8) -> Column:
     return F.least(F.lit(most), F.pow(F.lit(2), F.least(attempts, F.lit(highest)))).cast("int")
+
+
+def task_backoff_seconds(attempts: Column, first: int = 30, most: int = 3_600) -> Column:
+    """Half a minute after the first attempt, twice as long after each further one, an hour at most."""
+    return F.least(F.lit(most), F.lit(first) * F.pow(F.lit(2), F.least(F.greatest(attempts - 1, F.lit(0)), F.lit(30)))).cast("int")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagewright.functions import vectors
-from pagewright.operators import index, lifecycle, ocr, publication, rollout
+from pagewright.operators import index, lifecycle, maintenance, ocr, publication, rollout
 from pagewright.plans.registry import query
-from pagewright.shared import new_path, table
+from pagewright.shared import new_path, table, write_shared
 from pagewright.sources import snapshots
 
 NOW = "1995-06-17 00:00:00"
@@ -430,6 +430,28 @@ def index_verified(spark, sf_dir):
     return lifecycle.verified(expected, spark.read.parquet(path).withColumn("manifest", F.col("manifest_id").cast("string")), PROFILE)
 
 
+@query(f"""WITH {_INDEXED}, e AS (SELECT i.manifest, m.space, i.id FROM (SELECT manifest, {_VECTOR} AS id FROM input) i JOIN man m ON m.manifest = i.manifest),
+    c AS (SELECT manifest, count(*) FILTER (space % 5 = 0 AND id[1] < '4') AS lost, count(*) FILTER (space % 5 = 1 AND id[1] < '4') AS changed, count(*) FILTER (space % 5 = 2 AND id[1] < '4') AS extra FROM e GROUP BY 1)
+    SELECT 'c-' || manifest AS task, CASE WHEN status = 'ACTIVE' THEN 'RETRY' ELSE 'CLEANED' END AS outcome FROM man WHERE version < 3
+    UNION ALL SELECT 'r-' || m.manifest, CASE WHEN m.space % 7 = 3 OR changed > 0 OR extra > 0 THEN 'MANUAL' WHEN lost > 0 THEN 'REPAIRED' ELSE 'HEALTHY' END FROM man m LEFT JOIN c ON c.manifest = m.manifest WHERE version > 1""")
+def maintenance_outcomes(spark, sf_dir):
+    """Cleaning and comparing all manifests of an index that has lost, changed and additional vectors in some spaces, and broken sources in others."""
+    docs, manifests = _docs(spark, sf_dir), _manifests(spark, sf_dir)
+    chunks = _chunks(spark, sf_dir).withColumn("content_sha256", F.concat(F.lit("h"), F.left("content_sha256", F.lit(2))))
+    chunks = chunks.withColumn("embedding_text", F.col("content_sha256"))
+    facts = chunks.limit(0).select(F.lit(PROFILE).alias("profile"), "content_sha256", F.array(F.lit(0.0)).alias("vector"))
+    records = write_shared(lifecycle.indexed(_members(manifests, docs), docs, chunks, facts, PROFILE, lambda t: vectors.hashed(t, 4)).records, "records")
+    placed, hit, k = records.join(manifests.select("manifest", "space"), "manifest"), F.left("vector_id", F.lit(1)) < "4", F.col("space") % 5
+    held = placed.filter(~(hit & (k == 0))).withColumn("content_sha256", F.when(hit & (k == 1), "other").otherwise(F.col("content_sha256")))
+    held = write_shared(held.unionByName(placed.filter(hit & (k == 2)).withColumn("vector_id", F.concat(F.lit("x"), "vector_id"))).drop("space"), "held")
+
+    def task(letter, kind, which):
+        return manifests.filter(which).select(F.concat(F.lit(f"{letter}-"), "manifest").alias("task"), F.lit(kind).alias("task_type"), "manifest", F.lit("PENDING").alias("status"), F.lit(0).alias("attempts"), _now().alias("available_at"))
+
+    tasks = task("c", "CLEANUP_MANIFEST", "version < 3").unionByName(task("r", "RECONCILE_MANIFEST", "version > 1"))
+    return maintenance.maintained(tasks, manifests, records, held, manifests.filter("space % 7 = 3").select("manifest"), PROFILE, _now()).outcomes
+
+
 @query("SELECT (SELECT count(*) FROM orders WHERE o_orderstatus = 'O') + (SELECT count(*) FROM events WHERE event_id % 6 = 0) AS waiting, EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'F') AS any_running")
 def backlog(spark, sf_dir):
     return lifecycle.backlog(_jobs(spark, sf_dir), table(spark, sf_dir, "events").select((F.col("event_id") % 6 != 0).alias("published")))
