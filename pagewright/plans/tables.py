@@ -525,8 +525,9 @@ def streaming_sequence(spark, sf_dir):
     again = rows.filter("event_id % 10 = 0")
     rows.unionByName(again).write.parquet(path)
     out = new_path(spark, "stream-out")
-    sequences.run_available(sequences.ordered_append(spark.readStream.schema(rows.schema).parquet(path)), sequences.batch_sink(out), new_path(spark, "stream-log"))
-    return spark.read.parquet(out).drop("batch")
+    with stateful.state_store(spark):
+        sequences.run_available(stateful.bounded_log(spark.readStream.schema(rows.schema).parquet(path), 100), sequences.batch_sink(out), new_path(spark, "stream-log"))
+    return spark.read.parquet(out).drop("batch").withColumn("key", F.col("key").cast("long"))
 
 
 @query("""SELECT event_type, date_trunc('hour', ts)::VARCHAR AS hour, count(*) AS n FROM events GROUP BY 1, 2""")

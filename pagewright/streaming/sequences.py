@@ -1,41 +1,11 @@
-"""Ordered event streams with state: gap-checked appends and idempotent sinks."""
+"""Running streams: batches that are there, idempotent sinks, late repeats and windows. Ordered logs are in ``stateful``."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-OUT = "key long, sequence long, event_id long, outcome string"
-
-
-def ordered_append(stream: DataFrame, retention_ms: int | None = None) -> DataFrame:
-    """``stream`` has key, sequence and event_id; each event comes out as APPENDED, DUPLICATE or GAP.
-
-    The state is the last number of each key, dropped after ``retention_ms`` without events if that is given. Within
-    a batch a key's events are taken in the order of their numbers.
-    """
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else 0
-        rows = pd.concat(list(frames)).sort_values(["sequence", "event_id"])
-        outcome = []
-        for s in rows["sequence"]:
-            outcome.append("DUPLICATE" if s <= last else "APPENDED" if s == last + 1 else "GAP")
-            last += s == last + 1
-        state.update((int(last),))
-        if retention_ms:
-            state.setTimeoutDuration(retention_ms)
-        yield pd.DataFrame({"key": key[0], "sequence": rows["sequence"], "event_id": rows["event_id"], "outcome": outcome})
-
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if retention_ms else GroupStateTimeout.NoTimeout
-    return stream.groupBy("key").applyInPandasWithState(step, OUT, "last long", "append", timeout)
 
 
 def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:

@@ -4,20 +4,6 @@ from pagewright.shared import new_path
 from pagewright.streaming import sequences
 
 
-def test_appends_survive_batches(spark):
-    path, out, log = (new_path(spark, n) for n in ("in", "out", "log"))
-    schema = "key long, sequence long, event_id long"
-
-    def run(rows):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
-        sequences.run_available(sequences.ordered_append(spark.readStream.schema(schema).parquet(path)), sequences.batch_sink(out), log)
-
-    run([(1, 1, 1), (1, 2, 2), (2, 2, 9)])
-    run([(1, 2, 3), (1, 3, 4), (2, 1, 10), (1, 5, 5)])
-    got = {r["event_id"]: r["outcome"] for r in spark.read.parquet(out).collect()}
-    assert got == {1: "APPENDED", 2: "APPENDED", 9: "GAP", 3: "DUPLICATE", 4: "APPENDED", 10: "APPENDED", 5: "GAP"}
-
-
 def test_late_repeats_are_dropped(spark):
     path, out, log = (new_path(spark, n) for n in ("in", "out", "log"))
     schema = "k int, ts timestamp"
