@@ -404,11 +404,13 @@ class Font:
     def codes(self, data: bytes) -> Iterator[tuple[str, float, bool]]:
         """(characters, width in thousandths, whether it is a one-byte space) of each code of a string."""
         i = 0
+        known, widths, default, sizes = self.unicode, self.widths, self.default, self.sizes
         while i < len(data):
-            size = (self.sizes.get(data[i]) or 2) if self.wide else 1
+            size = (sizes.get(data[i]) or 2) if self.wide else 1
             code = int.from_bytes(data[i : i + size], "big")
             i += size
-            yield self.chars(code), self.widths.get(code, self.default) or 0.0, size == 1 and code == 32
+            chars = known.get(code)
+            yield self.chars(code) if chars is None else chars, widths.get(code, default) or 0.0, size == 1 and code == 32
 
 
 def _times(a: tuple, b: tuple) -> tuple:
@@ -429,28 +431,41 @@ class Page:
         self.fonts: dict[int, Font] = {}
 
     def show(self, state: dict, data: bytes) -> None:
-        font, size, scale = state["font"], state["size"], state["scale"]
+        """Show a string: its characters follow each other, so it is placed as a whole unless they are set apart."""
+        font, size, scale, apart, word = state["font"], state["size"], state["scale"], state["char"], state["word"]
         if font is None:
             return
+        if abs(apart) > WORD_GAP * abs(size):
+            for chars, width, blank in font.codes(data):
+                self._place(state, chars, (width / 1000 * size + apart + (word if blank else 0.0)) * scale)
+            return
+        shown, widths, n, blanks = [], 0.0, 0, 0
         for chars, width, blank in font.codes(data):
+            shown.append(chars)
+            widths += width
+            n += 1
+            blanks += blank
+        self._place(state, "".join(shown), (widths / 1000 * size + n * apart + blanks * word) * scale)
+
+    def _place(self, state: dict, chars: str, step: float) -> None:
+        """Characters that begin at the text matrix and take a step; what lies between them and the text before says whether they begin a line, a cell or a word."""
+        if chars:
             at = _times(state["tm"], state["ctm"])
-            step = (width / 1000 * size + state["char"] + (state["word"] if blank else 0.0)) * scale
-            if chars:
-                x, y = at[4], at[5]
-                high = abs(size) * max(abs(at[0]), abs(at[1]), 1e-9)
-                if self.end is not None:
-                    gap = x - self.end[0]
-                    if abs(y - self.end[1]) > LINE_GAP or gap < -4 * high:
-                        self.out.append("\n")
-                    elif gap > max(CELL_GAP, 2 * WORD_GAP * high):
-                        self.out.append("\t")
-                    elif gap > WORD_GAP * high and self.out and not self.out[-1][-1:].isspace() and not chars[:1].isspace():
-                        self.out.append(" ")
-                self.out.append(chars)
-            state["tm"] = _times((1.0, 0.0, 0.0, 1.0, step, 0.0), state["tm"])
-            if chars:
-                after = _times(state["tm"], state["ctm"])
-                self.end = (after[4], after[5])
+            x, y = at[4], at[5]
+            high = abs(state["size"]) * max(abs(at[0]), abs(at[1]), 1e-9)
+            if self.end is not None:
+                gap = x - self.end[0]
+                if abs(y - self.end[1]) > LINE_GAP or gap < -4 * high:
+                    self.out.append("\n")
+                elif gap > max(CELL_GAP, 2 * WORD_GAP * high):
+                    self.out.append("\t")
+                elif gap > WORD_GAP * high and self.out and not self.out[-1][-1:].isspace() and not chars[:1].isspace():
+                    self.out.append(" ")
+            self.out.append(chars)
+        state["tm"] = _times((1.0, 0.0, 0.0, 1.0, step, 0.0), state["tm"])
+        if chars:
+            after = _times(state["tm"], state["ctm"])
+            self.end = (after[4], after[5])
 
     def run(self, data: bytes, resources: dict, ctm: tuple = _UNIT, depth: int = 0) -> None:
         get, r, args, saved = self.file.get, Reader(data), [], []
