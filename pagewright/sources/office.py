@@ -196,12 +196,40 @@ def _size(z: zipfile.ZipFile) -> tuple[int, int]:
     return 12_192_000, 6_858_000
 
 
-def _box(shape: ElementTree.Element, width: int, height: int) -> tuple[float, float, float, float] | None:
+Place = tuple[float, float, float, float]  # scale and shift of x, scale and shift of y
+
+
+def _rectangle(e: ElementTree.Element, off: str = "off", ext: str = "ext") -> tuple[int, int, int, int] | None:
+    """x, y, width and height that the first such elements tell."""
+    at, size = next(_find(e, off), None), next(_find(e, ext), None)
+    if at is None or size is None or not (size.get("cx") and size.get("cy")):
+        return None
+    return int(at.get("x") or 0), int(at.get("y") or 0), int(size.get("cx")), int(size.get("cy"))
+
+
+def _shapes(e: ElementTree.Element, place: Place = (1.0, 0.0, 1.0, 0.0)) -> Iterator[tuple[ElementTree.Element, Place]]:
+    """Texts, tables and pictures with what brings their places onto the slide: a group's children have coordinates of their own."""
+    for child in e:
+        kind = _local(child.tag)
+        if kind in ("sp", "graphicFrame", "pic"):
+            yield child, place
+        elif kind == "grpSp":
+            inner, own = place, next((x for x in child if _local(x.tag) == "grpSpPr"), None)
+            outside, inside = (_rectangle(own), _rectangle(own, "chOff", "chExt")) if own is not None else (None, None)
+            if outside and inside:
+                sx, sy = outside[2] / inside[2], outside[3] / inside[3]
+                inner = (place[0] * sx, place[0] * (outside[0] - inside[0] * sx) + place[1], place[2] * sy, place[2] * (outside[1] - inside[1] * sy) + place[3])
+            yield from _shapes(child, inner)
+        else:
+            yield from _shapes(child, place)
+
+
+def _box(shape: ElementTree.Element, place: Place, width: int, height: int) -> tuple[float, float, float, float] | None:
     """x1, y1, x2, y2 of a shape, from 0 to 1."""
-    off, ext = next(_find(shape, "off"), None), next(_find(shape, "ext"), None)
-    if off is None or ext is None or not (ext.get("cx") and ext.get("cy")):
+    found = _rectangle(shape)
+    if found is None:
         return None
-    x, y, w, h = int(off.get("x") or 0), int(off.get("y") or 0), int(ext.get("cx")), int(ext.get("cy"))
+    x, y, w, h = place[0] * found[0] + place[1], place[2] * found[1] + place[3], place[0] * found[2], place[2] * found[3]
     return tuple(min(1.0, max(0.0, v)) for v in (x / width, y / height, (x + w) / width, (y + h) / height))
 
 
@@ -210,8 +238,8 @@ def pptx_blocks(z: zipfile.ZipFile) -> Iterator[tuple]:
     slides = sorted((int(m[1]), n) for n in z.namelist() if (m := re.fullmatch(r"ppt/slides/slide(\d+)\.xml", n)))
     width, height = _size(z)
     for number, name in slides:
-        for e in _find(_part(z, name), "sp", "graphicFrame", "pic"):
-            place = {"slide": number, "bbox": _box(e, width, height)}
+        for e, onto in _shapes(_part(z, name)):
+            place = {"slide": number, "bbox": _box(e, onto, width, height)}
             grid = next(_find(e, "tbl"), None)
             if grid is not None:
                 rows = [[(" ".join(_text(c).split()), 1, False) for c in r if _local(c.tag) == "tc"] for r in grid if _local(r.tag) == "tr"]

@@ -164,6 +164,16 @@ def test_office_details(spark):
     assert [(r["type"], r["text"], r["slide_no"]) for r in got[3]] == [("PARAGRAPH", "a\nb", 3), ("IMAGE", "dog", 3), ("TABLE", "1 | ", 3)] and tuple(got[3][0]["bbox"]) == (0.1, 0.1, 0.6, 1.0)
 
 
+def test_children_of_groups_are_placed_on_the_slide(spark):
+    group = '<grpSp><grpSpPr><xfrm><off x="{0}" y="{1}"/><ext cx="{2}" cy="{3}"/><chOff x="{4}" y="{5}"/><chExt cx="{6}" cy="{7}"/></xfrm></grpSpPr>{8}</grpSp>'
+    shape = '<sp><spPr><xfrm><off x="200" y="200"/><ext cx="200" cy="100"/></xfrm></spPr><t>{0}</t></sp>'
+    inner = group.format(0, 0, 400, 400, 0, 0, 800, 800, shape.format("deep"))
+    slide = {"ppt/presentation.xml": '<p><sldSz cx="1000" cy="1000"/></p>', "ppt/slides/slide1.xml": f"<s>{shape.format('top')}{group.format(100, 300, 200, 200, 0, 0, 400, 400, shape.format('child') + inner)}<grpSp>{shape.format('plain')}</grpSp></s>"}
+    rows = office.blocks(spark.createDataFrame([(1, "PPTX", bytearray(archive(slide)))], "doc_id long, format string, content binary")).orderBy("ordinal").collect()
+    want = {"top": (0.2, 0.2, 0.4, 0.3), "child": (0.2, 0.4, 0.3, 0.45), "deep": (0.15, 0.35, 0.2, 0.375), "plain": (0.2, 0.2, 0.4, 0.3)}
+    assert [r["text"] for r in rows] == list(want) and all(abs(a - b) < 1e-9 for r in rows for a, b in zip(r["bbox"], want[r["text"]], strict=True))
+
+
 def test_archives_are_inspected(spark):
     bad = {"a": archive(DOCX | {"../x": "y"}), "b": archive(DOCX | {"word/vbaProject.bin": "m", "word/embeddings/o.bin": "e", "word/_rels/d.rels": '<r><x TargetMode="External"/></r>'}), "c": b"", "d": archive({"x": "y"})}
     df = spark.createDataFrame([(k, bytearray(v)) for k, v in bad.items()], "path string, content binary")
