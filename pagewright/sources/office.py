@@ -296,15 +296,22 @@ def _value(c: ElementTree.Element, shared: list[str], dates: set[int]) -> tuple[
     return (value if raw is not None else f"={formula}"), (c.get("r") or "", formula, raw)
 
 
+def _relations(z: zipfile.ZipFile, part: str) -> dict[str, str]:
+    """Of a part's relationships the parts that they lead to."""
+    folder, name = posixpath.split(part)
+    rels = f"{folder}/_rels/{name}.rels"
+    if rels not in z.namelist():
+        return {}
+    targets = {e.get("Id") or "": e.get("Target") or "" for e in _find(_part(z, rels), "Relationship") if (e.get("TargetMode") or "").lower() != "external"}
+    return {i: t.lstrip("/") if t.startswith("/") else posixpath.normpath(f"{folder}/{t}") for i, t in targets.items()}
+
+
 def _sheets(z: zipfile.ZipFile) -> list[tuple[str, str]]:
     """Name and part of each sheet, in the workbook's order, by its relationships; a workbook without them has its parts in the order of their numbers."""
     listed = [(e.get("name") or "", _attr(e, "id")) for e in _find(_part(z, CORE["XLSX"]), "sheet")]
-    rels = "xl/_rels/workbook.xml.rels"
-    if rels in z.namelist():
-        targets = {e.get("Id"): e.get("Target") or "" for e in _find(_part(z, rels), "Relationship")}
-        named = [(name, targets[own]) for name, own in listed if own in targets]
-        parts = [(name, t.lstrip("/") if t.startswith("/") else posixpath.normpath(f"xl/{t}")) for name, t in named]
-        return [(name, part) for name, part in parts if part.startswith("xl/worksheets/")]
+    parts = _relations(z, CORE["XLSX"])
+    if parts:
+        return [(name, parts[own]) for name, own in listed if parts.get(own, "").startswith("xl/worksheets/")]
     numbers = sorted((int(m[1]), n) for n in z.namelist() if (m := re.fullmatch(r"xl/worksheets/sheet(\d+)\.xml", n)))
     return [(listed[k][0] if k < len(listed) else f"sheet {k + 1}", n) for k, (_, n) in enumerate(numbers)]
 
@@ -336,6 +343,60 @@ def xlsx_blocks(z: zipfile.ZipFile) -> Iterator[tuple]:
             yield _as_table([r + [""] * (width - len(r)) for r in rows], sheet=name, merged=merged, formulas=formulas)
 
 
+TARGETS = "doc_id long, target_id string, sheet_name string, slide_no int, bbox struct<x1:double,y1:double,x2:double,y2:double>, entry string"
+
+
+def _images(z: zipfile.ZipFile, kind: str) -> Iterator[tuple]:
+    """target, sheet, slide, box and archive entry of the images of a file; an image whose entry isn't told has none."""
+    embedded = lambda e: next((_attr(x, "embed") or "" for x in _find(e, "blip")), "")
+    if kind == "DOCX":
+        for k, entry in enumerate(sorted(n for n in z.namelist() if n.startswith("word/media/")), 1):
+            yield f"docx-image-{k}", None, None, None, entry
+    elif kind == "PPTX":
+        width, height = _size(z)
+        for number, name in sorted((int(m[1]), n) for n in z.namelist() if (m := re.fullmatch(r"ppt/slides/slide(\d+)\.xml", n))):
+            parts = _relations(z, name)
+            pictures = [(e, onto) for e, onto in _shapes(_part(z, name)) if _local(e.tag) == "pic"]
+            for k, (e, onto) in enumerate(pictures, 1):
+                yield f"pptx-slide-{number}-image-{k}", None, number, _box(e, onto, width, height), parts.get(embedded(e))
+    elif kind == "XLSX":
+        for number, (sheet, part) in enumerate(_sheets(z), 1):
+            root = _part(z, part)
+            rows = max((int(r.get("r") or k) for k, r in enumerate(_find(root, "row"), 1)), default=0)
+            columns = max((column_number(re.match(r"[A-Z]+", c.get("r") or "A")[0]) for c in _find(root, "c")), default=0)
+            drawings = [p for p in _relations(z, part).values() if re.fullmatch(r"xl/drawings/[^/]+\.xml", p) and p in z.namelist()]
+            k = 0
+            for drawing in drawings:
+                parts = _relations(z, drawing)
+                for anchor in _find(_part(z, drawing), "twoCellAnchor", "oneCellAnchor"):
+                    if next(_find(anchor, "pic"), None) is None:
+                        continue
+                    k += 1
+                    ends = {_local(x.tag): {_local(v.tag): int(v.text or 0) for v in x if _local(v.tag) in ("col", "row")} for x in anchor if _local(x.tag) in ("from", "to")}
+                    box = None
+                    if len(ends) == 2 and columns and rows:
+                        box = tuple(min(1.0, max(0.0, v)) for v in (ends["from"].get("col", 0) / columns, ends["from"].get("row", 0) / rows, ends["to"].get("col", 0) / columns, ends["to"].get("row", 0) / rows))
+                    yield f"xlsx-{number}-image-{k}", sheet, None, box, parts.get(embedded(anchor))
+
+
+def image_targets(files: DataFrame) -> DataFrame:
+    """What recognition may be asked for in office files (doc_id, format, content): each embedded image with its place; files that don't open have none."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            found = []
+            for d, kind, content in zip(f["doc_id"], f["format"], f["content"], strict=True):
+                if inspect(content, kind)[0] is None:
+                    try:
+                        with zipfile.ZipFile(io.BytesIO(content)) as z:
+                            found += [(d, *t) for t in list(_images(z, kind))]
+                    except Exception:  # the parser says what is wrong with the file
+                        continue
+            yield pd.DataFrame(found, columns=["doc_id", "target_id", "sheet_name", "slide_no", "bbox", "entry"]).astype({"slide_no": "Int32"})
+
+    return files.select("doc_id", "format", "content").mapInPandas(run, TARGETS)
+
+
 PARSERS = {"DOCX": docx_blocks, "XLSX": xlsx_blocks, "PPTX": pptx_blocks}
 
 

@@ -174,6 +174,22 @@ def test_children_of_groups_are_placed_on_the_slide(spark):
     assert [r["text"] for r in rows] == list(want) and all(abs(a - b) < 1e-9 for r in rows for a, b in zip(r["bbox"], want[r["text"]], strict=True))
 
 
+def test_images_are_targets_with_their_places(spark):
+    rel = '<Relationships><Relationship Id="{0}" Target="{1}"/></Relationships>'
+    book = XLSX | {
+        "xl/worksheets/sheet1.xml": '<worksheet><sheetData><row r="1"><c r="A1"><v>1</v></c></row><row r="10"><c r="E10"><v>5</v></c></row></sheetData><drawing id="r1"/></worksheet>',
+        "xl/worksheets/_rels/sheet1.xml.rels": rel.format("r1", "../drawings/drawing1.xml"), "xl/drawings/_rels/drawing1.xml.rels": rel.format("r9", "../media/b.png"), "xl/media/b.png": "x", "xl/media/a.png": "y",
+        "xl/drawings/drawing1.xml": '<wsDr xmlns:r="r"><twoCellAnchor><from><col>1</col><row>2</row></from><to><col>3</col><row>20</row></to><pic><blip r:embed="r9"/></pic></twoCellAnchor><twoCellAnchor><from/><to/><sp/></twoCellAnchor><oneCellAnchor><from><col>0</col><row>0</row></from><pic/></oneCellAnchor></wsDr>',
+    }
+    slide = {"ppt/presentation.xml": '<p><sldSz cx="100" cy="100"/></p>', "ppt/slides/slide1.xml": '<s xmlns:r="r"><pic><blip r:embed="r2"/><xfrm><off x="10" y="20"/><ext cx="30" cy="40"/></xfrm></pic></s>', "ppt/slides/_rels/slide1.xml.rels": rel.format("r2", "../media/p.png"), "ppt/media/p.png": "z"}
+    word = DOCX | {"word/media/2.png": "x", "word/media/1.png": "y"}
+    rows = [(1, "XLSX", bytearray(archive(book))), (2, "PPTX", bytearray(archive(slide))), (3, "DOCX", bytearray(archive(word))), (4, "DOCX", bytearray(b"no zip")), (5, "XLSX", bytearray(archive(book | {"xl/drawings/drawing1.xml": "<a"})))]
+    got = sorted((r["doc_id"], r["target_id"], r["sheet_name"], r["slide_no"], None if r["bbox"] is None else tuple(r["bbox"]), r["entry"]) for r in office.image_targets(spark.createDataFrame(rows, "doc_id long, format string, content binary")).collect())
+    assert got == [
+        (1, "xlsx-1-image-1", "S", None, (0.2, 0.2, 0.6, 1.0), "xl/media/b.png"), (1, "xlsx-1-image-2", "S", None, None, None), (2, "pptx-slide-1-image-1", None, 1, (0.1, 0.2, 0.4, 0.6), "ppt/media/p.png"),
+        (3, "docx-image-1", None, None, None, "word/media/1.png"), (3, "docx-image-2", None, None, None, "word/media/2.png")]
+
+
 def test_archives_are_inspected(spark):
     bad = {"a": archive(DOCX | {"../x": "y"}), "b": archive(DOCX | {"word/vbaProject.bin": "m", "word/embeddings/o.bin": "e", "word/_rels/d.rels": '<r><x TargetMode="External"/></r>'}), "c": b"", "d": archive({"x": "y"})}
     df = spark.createDataFrame([(k, bytearray(v)) for k, v in bad.items()], "path string, content binary")
