@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -10,15 +11,32 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 SPACE = r"[\s\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+BLANKS = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))  # the same, one by one
+# Runs of them, written so that a character below U+1680 is told by one look at a table and one comparison; a single space isn't met, as it stays.
+_ANY = r"[\t\n\x0B\f\r \xA0[\x{1680}-\x{FEFF}&&[\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]]]"
+_RUNS = rf"{_ANY}(?:(?<! ){_ANY}*|{_ANY}+)"
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def normalize_block_text(text: Column) -> Column:
     """LF line ends, runs of blanks as one space, trimmed lines, at most one empty line, trimmed ends."""
-    t = F.regexp_replace(text, "\r\n?", "\n")
-    t = F.regexp_replace(t, "[\t ]+", " ")
-    t = F.regexp_replace(t, " ?\n ?", "\n")
-    t = F.regexp_replace(t, "\n{3,}", "\n\n")
-    return F.regexp_replace(t, f"^{SPACE}+|{SPACE}+$", "")
+
+    def lined(t: Column) -> Column:
+        t = F.regexp_replace(t, " ?\n ?", "\n")
+        return F.regexp_replace(t, "\n{3,}", "\n\n")
+
+    def spaced(t: Column) -> Column:
+        t = F.replace(F.replace(t, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+        t = F.regexp_replace(t, "[\t ]+", " ")
+        return bound(t, lambda x: F.when(x.contains("\n"), lined(x)).otherwise(x))
+
+    # most lines have nothing to replace, and looking for four strings costs far less than the expressions
+    plain = bound(text, lambda x: F.when(x.contains("\t") | x.contains("\r") | x.contains("\n") | x.contains("  "), spaced(x)).otherwise(x))
+    return trimmed(plain)
 
 
 @F.pandas_udf(StringType())
@@ -30,7 +48,7 @@ def nfkc(text: pd.Series) -> pd.Series:
 def canonical(text: Column, compose: bool = False) -> Column:
     """Lower case, white space runs as one space, trimmed; with ``compose`` after NFKC."""
     t = F.lower(nfkc(text) if compose else text)
-    return F.regexp_replace(F.regexp_replace(t, f"{SPACE}+", " "), "^ | $", "")
+    return F.trim(F.regexp_replace(t, _RUNS, " "))
 
 
 def garbled_count(text: Column) -> Column:
@@ -46,7 +64,7 @@ def words(text: Column) -> Column:
 
 def token_count(text: Column) -> Column:
     """Words; the additive stand-in for a tokenizer whose vocabulary isn't at hand."""
-    return F.size(words(text)).cast("long")
+    return F.regexp_count(text, F.lit(r"[^ \t\r\n\f\x0B]+")).cast("long")
 
 
 def word_windows(text: Column, size: Column, overlap: Column) -> Column:
@@ -62,7 +80,8 @@ def word_windows(text: Column, size: Column, overlap: Column) -> Column:
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    """Without white space at its ends; no expression looks at what lies between."""
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def embedding_text(heading_path: Column, body: Column) -> Column:
@@ -74,7 +93,7 @@ def embedding_text(heading_path: Column, body: Column) -> Column:
 
 def short_summary(text: Column, size: int = 500) -> Column:
     """White space runs as one space, trimmed, the first characters."""
-    return F.left(F.regexp_replace(F.regexp_replace(text, f"{SPACE}+", " "), "^ | $", ""), F.lit(size))
+    return F.left(F.trim(F.regexp_replace(text, _RUNS, " ")), F.lit(size))
 
 
 def table_row(cells: Column) -> Column:
