@@ -24,10 +24,12 @@ def test_texts_are_what_the_sql_makes_of_them(spark, duck):
     assert sorted(map(tuple, got.collect())) == said
 
 
-def test_a_file_is_made_once(spark):
-    """Lines aren't cut again for every page."""
+def test_a_file_is_made_and_read_once(spark):
+    """Lines aren't cut again for every page, and pages aren't parsed again for the rows of broken files."""
     made = texts._pdf_files(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert made.count("split(text") == 1
+    ran = texts.pdf_coverage(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert ran.count("MapInPandas") == 1
 
 
 def test_objects_are_found_by_their_word():
