@@ -8,7 +8,7 @@ from pagewright.functions import text
 from pagewright.operators import blocks, builder, quality, review, structure, tokens
 from pagewright.plans.registry import query
 from pagewright.plans.texts import LINES, sql_canon, sql_norm, sql_words
-from pagewright.shared import table, write_shared
+from pagewright.shared import batches_of, table, write_shared
 from pagewright.sources import intake
 
 POLICY = builder.Policy(child=32, parent=96, overlap=4)
@@ -238,7 +238,8 @@ def bpe_chunks(spark, sf_dir, ranks=RANKS):
 def bpe_counts(spark, sf_dir, ranks=RANKS):
     """Tokens of every document."""
     counted = tokens.RankTokenizer(ranks).count(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", counted.alias("n_tokens"))
+    with batches_of(spark, 256):  # whole texts: a batch of the default size would be as large as ten thousand of them
+        return write_shared(table(spark, sf_dir, "documents").select("doc_id", counted.alias("n_tokens")), "token-counts")
 
 
 # Documents as text files: paragraphs are parted by blank lines.
