@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pagewright.operators import ocr, quality
 from pagewright.operators.blocks import completed, identified, paragraphs
-from pagewright.shared import write_shared
+from pagewright.shared import batches_of, write_shared
 from pagewright.sources import files, markup, office, pdf
 
 TEXTS = {"HTML": markup.html_blocks_of, "MARKDOWN": markup.markdown_blocks_of, "CSV": markup.csv_blocks_of}
@@ -29,6 +29,7 @@ class Intake:
 
     most_bytes: int = 256 << 20
     limits: quality.Limits = quality.Limits()
+    batch: int = 256  # files that a task's Python holds at a time
     least_coverage: float = 0.02  # pages whose text covers less are to be recognised
 
 
@@ -91,8 +92,14 @@ def process(rows: DataFrame, intake: Intake = Intake(), recognise: Callable[[Dat
     """Every file from its bytes to its outcome.
 
     ``recognise`` gets the targets of a batch (doc_id, page_no, target) and returns blocks (doc_id, page_no, text, ocr_engine,
-    confidence); those of a whole page replace the parser's. Without it targets are only listed, and their files say so.
+    confidence); those of a whole page replace the parser's. Without it targets are only listed, and their files say so. Whatever
+    runs Python is written here, in batches of ``intake.batch`` files.
     """
+    with batches_of(rows.sparkSession, intake.batch):
+        return _processed(rows, intake, recognise)
+
+
+def _processed(rows: DataFrame, intake: Intake, recognise: Callable[[DataFrame], DataFrame] | None) -> Processed:
     seen = write_shared(checked(rows, intake), "intake-checked")
     held = seen.filter("outcome IS NULL").select("doc_id", "format", "content")
     pages = write_shared(pdf.pages(held.filter("format = 'PDF'"), intake.limits.max_pages), "intake-pages")
