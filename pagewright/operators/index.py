@@ -15,6 +15,7 @@ from pagewright.operators.chunking import pack_blocks
 from pagewright.shared import new_path, write_shared
 
 MOST_QUERIES = 4096
+AT_ONCE = 256  # queries that a task multiplies at a time
 
 
 def _matrices(vectors_: pa.ChunkedArray | pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -38,30 +39,40 @@ def _best_rows(asked: Broadcast, k: int):
         who, scopes = table.column("query_id").to_numpy(), table.column("scope").to_pandas().to_numpy()
         mine = _matrices(table.column("q"))
         queries, ids_, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        floor = np.full(len(who), -2.0)  # what k rows of a query have reached
+
+        def found(part: pa.RecordBatch, theirs: dict, begin: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Places of queries, places of rows and scores: what may be among the best of some queries, from ``begin`` on."""
+            end = min(begin + AT_ONCE, len(who))
+            score = np.full((end - begin, part.num_rows), -1.0)
+            for width, (at, x) in theirs.items():
+                if width and width in mine:
+                    asked_, q = mine[width]
+                    here = slice(*np.searchsorted(asked_, [begin, end]))
+                    s = q[here] @ x.T
+                    s[~q[here].any(axis=1)] = -1.0
+                    s[:, ~x.any(axis=1)] = -1.0
+                    score[np.ix_(asked_[here] - begin, at)] = s
+            if part.column(2).null_count < part.num_rows:
+                score[scopes[begin:end, None] != part.column(2).to_pandas().to_numpy()[None, :]] = -2.0
+            bound = np.partition(score, score.shape[1] - k, axis=1)[:, -k] if score.shape[1] > k else np.full(end - begin, -2.0)
+            l, h = np.nonzero((score >= np.maximum(bound, floor[begin:end])[:, None] - 1e-12) & (score > -1.5))
+            return l + begin, h, score[l, h]
+
         for b in batches:
-            for begin in range(0, b.num_rows, 2048):
-                part = b.slice(begin, 2048)
-                found = np.full((len(who), part.num_rows), -1.0)
-                for width, (at, x) in _matrices(part.column(1)).items():
-                    if width and width in mine:
-                        rows_, q = mine[width]
-                        s = q @ x.T
-                        empty = ~x.any(axis=1)
-                        s[~q.any(axis=1)] = -1.0
-                        s[:, empty] = -1.0
-                        found[np.ix_(rows_, at)] = s
-                if part.column(2).null_count < part.num_rows:
-                    found[scopes[:, None] != part.column(2).to_pandas().to_numpy()[None, :]] = -2.0
-                bound = np.partition(found, found.shape[1] - k, axis=1)[:, -k] if found.shape[1] > k else np.full(len(who), -2.0)
-                l, h = np.nonzero((found >= bound[:, None] - 1e-12) & (found > -1.5))
-                new = who[l], part.column(0).to_numpy()[h], found[l, h]
-                queries, ids_, scores = (np.concatenate(pair) for pair in zip((queries, ids_, scores), new, strict=True))
+            for start in range(0, b.num_rows, 2048):
+                part = b.slice(start, 2048)
+                theirs, ids = _matrices(part.column(1)), part.column(0).to_numpy()
+                new = [found(part, theirs, begin) for begin in range(0, len(who), AT_ONCE)]
+                new = [np.concatenate(x) for x in zip(*new, strict=True)] or [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+                queries, ids_, scores = (np.concatenate(pair) for pair in zip((queries, ids_, scores), (new[0], ids[new[1]], new[2]), strict=True))
                 order = np.lexsort((ids_, -scores, queries))
                 queries, ids_, scores = queries[order], ids_[order], scores[order]
-                first = np.flatnonzero(np.concatenate(([True], queries[1:] != queries[:-1]))) if len(queries) else np.zeros(0, np.int64)
-                kept = np.arange(len(queries)) - np.repeat(first, np.diff(np.append(first, len(queries)))) < k
+                place = np.arange(len(queries)) - np.searchsorted(queries, queries, side="left")
+                floor[queries[place == k - 1]] = scores[place == k - 1]
+                kept = place < k
                 queries, ids_, scores = queries[kept], ids_[kept], scores[kept]
-        yield pa.RecordBatch.from_arrays([pa.array(queries), pa.array(ids_), pa.array(scores)], ["query_id", "vec_id", "score"])
+        yield pa.RecordBatch.from_arrays([pa.array(who[queries]), pa.array(ids_), pa.array(scores)], ["query_id", "vec_id", "score"])
 
     return run
 
@@ -70,8 +81,8 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, scope: str | None = None)
     """query_id, rank, vec_id, score: exact cosine search of a stated set of queries.
 
     ``queries`` has query_id and q, ``rows`` vec_id and v. With ``scope`` a query only sees rows of its own scope. Queries
-    travel in packed blocks of at most ``MOST_QUERIES``, each of which passes over the rows once; a task multiplies a block with
-    a batch of rows as matrices and keeps k rows of each query, so nothing but these is shuffled. Scores are -1 for vectors of
+    travel in packed blocks of at most ``MOST_QUERIES``, each of which passes over the rows once; a task multiplies ``AT_ONCE`` of
+    them with a batch of rows as matrices and keeps k rows of each query, so nothing but these is shuffled. Scores are -1 for vectors of
     another length or without one.
     """
     spark = rows.sparkSession
