@@ -45,7 +45,9 @@ class Tokenizer:
         single = F.concat_ws("\n", F.when(header != "", header), body)
         head = self.count(own)
         room = F.when(head < most, most - head).otherwise(F.raise_error(F.lit("the headings leave no room under the budget")).cast("long"))
-        cut = F.transform(text_.word_windows(single, room, F.least(overlap, room - 1)), lambda p: F.struct(p.alias("body"), F.lit(True).alias("cut")))
+        windows = text_.bound(room, lambda r: text_.word_windows(single, r, F.least(overlap, r - 1)))
+        windows = F.when(single.rlike(r"[^ \t\r\n\f\x0B]"), windows).otherwise(F.array().cast("array<string>"))  # what has no word needs no room
+        cut = F.transform(windows, lambda p: F.struct(p.alias("body"), F.lit(True).alias("cut")))
         fits = ~force & (self.count(line) + F.coalesce(self.count(header), F.lit(0)) + self.count(body) <= most)
         return F.when(fits, F.array(F.struct(body.alias("body"), F.lit(False).alias("cut")))).otherwise(cut)
 

@@ -35,3 +35,12 @@ def test_a_file_is_made_and_read_once(spark):
 def test_objects_are_found_by_their_word():
     data = b"%PDF\n1 0 obj\n<<>>\nendobj 12 0\n obj 3 0 object 007 00 obj\x00 4 0obj x5 0 obj"
     assert list(pdf._objects(data)) == [(int(m[1]), m.start()) for m in re.finditer(rb"(?<![0-9])(\d+)\s+\d+\s+obj(?![a-z])", data)]
+
+
+def test_sizes_of_windows_are_worked_out_once(spark):
+    """Not once more for every window."""
+    rows = spark.createDataFrame([("a b c d e f g", "xx")], "t string, s string")
+    size = F.char_length(F.concat(F.lit("once"), "s"))
+    found = rows.select(text.word_windows(F.col("t"), size - 3, size - 4).alias("w"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("concat(once") == 2  # a size and an overlap
+    assert found.first()["w"] == ["a b c", "b c d", "c d e", "d e f", "e f g"]
