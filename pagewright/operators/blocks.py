@@ -8,20 +8,30 @@ from pyspark.sql import functions as F
 from pagewright.functions import ids, text
 
 
+def _numbered(docs: DataFrame, parts: Column, *more: str) -> DataFrame:
+    found = docs.select("doc_id", *more, F.posexplode(F.filter(parts, lambda p: p != "")).alias("pos", "text"))
+    return found.select("doc_id", *more, (F.col("pos") + 1).alias("ordinal"), "text")
+
+
 def paragraphs(docs: DataFrame, by: str = r"(?:\r?\n){2,}", *more: str) -> DataFrame:
     """doc_id, more, ordinal (from 1), text: the parts of a text, normalised, blank ones left out."""
-    parts = F.filter(F.transform(F.split("text", by), text.normalize_block_text), lambda p: p != "")
-    return docs.select("doc_id", *more, F.posexplode(parts).alias("pos", "text")).select("doc_id", *more, (F.col("pos") + 1).alias("ordinal"), "text")
+    return _numbered(docs, F.transform(F.split("text", by), text.normalize_block_text), *more)
 
 
 def lines(docs: DataFrame) -> DataFrame:
     """Like paragraphs, a block for each line."""
-    return paragraphs(docs, r"\r?\n")
+    return lines_with(docs)
 
 
 def lines_with(docs: DataFrame, *more: str) -> DataFrame:
     """Lines that carry columns of their document along."""
-    return paragraphs(docs, r"\r?\n", *more)
+    # What a line may need is looked for once in the whole text, and a line end of one character is split at without a regex.
+    t = F.col("text")
+    spaced = F.when(t.contains("\t") | t.contains("  "), F.regexp_replace(t, "[\t ]{2,}|\t", " ")).otherwise(t)
+    parts = F.transform(F.split(spaced, "\n"), text.trimmed)
+    # a carriage return that is left is a line end inside a block
+    parts = F.when(t.contains("\r"), F.transform(F.split(t, "\n"), text.normalize_block_text)).otherwise(parts)
+    return _numbered(docs.withColumn("text", F.replace("text", F.lit("\r\n"), F.lit("\n"))), parts, *more)
 
 
 # What a block may know of its place and its table; a parser fills in what it has.

@@ -73,7 +73,7 @@ def items(blocks: DataFrame, policy: Policy, tokenizer: Tokenizer = WORDS) -> Da
     document stay alone, so that each is a chunk that can be recognised as a repeat.
     """
     blank = (F.col("kind") == "CODE") & (text_.trimmed(F.coalesce("text", F.lit(""))) == "")  # would be a chunk without a token
-    rows = structure.kinds(structure.heading_stack(blocks, "doc_id"), "doc_id").filter(F.col("include") & ~blank)
+    rows = structure.outlined(blocks, "doc_id").filter(F.col("include") & ~blank)
     rows = rows.withColumn("mix", structure.compatible_kind(F.col("kind"), F.col("file_format")))
     rows = structure.islands(rows, F.struct("boundary", "mix"), ["doc_id"], ["ordinal"])
     group = Window.partitionBy("doc_id", "island")

@@ -31,18 +31,19 @@ RICH = f"""{LINES}, b0 AS (
 
 def _rich(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    lines = blocks.lines_with(docs, "lang")
-    n, single, o = F.char_length("text") % 23, ~F.col("text").contains(" "), F.col("ordinal")
+    lines = blocks.lines_with(docs, "lang").withColumns({"size": F.char_length("text"), "single": ~F.col("text").contains(" ")})  # counted once
+    size, single, o = F.col("size"), F.col("single"), F.col("ordinal")
+    n = size % 23
     kinds = F.array(*[F.lit(x) for x in ("TABLE", "CODE", "LIST", "HEADER", "FOOTER", "FOOTNOTE", "TABLE_ROW")])
     body = (
-        F.when(single & (F.char_length("text") % 5 == 0), "").when(single, F.col("text")).when(n == 7, F.concat(F.lit("第三条 "), "text"))
+        F.when(single & (size % 5 == 0), "").when(single, F.col("text")).when(n == 7, F.concat(F.lit("第三条 "), "text"))
         .when(n == 8, F.concat(F.lit("q ： "), "text")).when(n == 9, F.concat(F.lit("2.1 "), "text")).when(n == 10, " ").otherwise(F.col("text"))
     )
     number = F.floor(o / 40)
     return lines.select(
         "doc_id", "lang", "ordinal", F.concat(F.lit("b"), F.col("doc_id").cast("string"), F.lit("."), o.cast("string")).alias("block_id"),
         F.when(single, "TITLE").otherwise(F.coalesce(F.try_element_at(kinds, 1 + n), F.lit("PARAGRAPH"))).alias("type"), body.alias("text"),
-        F.when(single & (F.char_length("text") % 7 != 0), 1 + F.char_length("text") % 6).alias("heading_level"),
+        F.when(single & (size % 7 != 0), 1 + size % 6).alias("heading_level"),
         F.when(o % 19 != 0, (F.floor((o - 1) / 20) + 1).cast("int")).alias("page_no"),
         F.when((o % 40).between(30, 33), F.concat(F.lit("S"), number.cast("string"))).alias("sheet_name"), F.when((o % 40).between(35, 37), (number + 1).cast("int")).alias("slide_no"),
         F.when(~single & (n == 6), F.concat(F.lit("p"), F.floor(o / 10).cast("string"))).alias("parent_block_id"),
@@ -82,7 +83,7 @@ KINDS = f"{RICH}, {_KINDS}"
 
 @query(f"WITH {KINDS} SELECT doc_id, ordinal::INT AS ordinal, kind, boundary, include, array_to_string(path, ' > ') AS path FROM k")
 def block_kinds(spark, sf_dir):
-    found = structure.kinds(structure.heading_stack(_rich(spark, sf_dir), "doc_id"), "doc_id")
+    found = structure.outlined(_rich(spark, sf_dir), "doc_id")
     return found.select("doc_id", "ordinal", "kind", "boundary", "include", F.array_join("heading_path", " > ").alias("path"))
 
 

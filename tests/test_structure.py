@@ -5,11 +5,13 @@ import random
 from collections import Counter
 
 import pytest
+from helpers import SF
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from pagewright.functions import ids, numbers, secrecy, text, vectors
 from pagewright.operators import access, blocks, builder, chunking, events, index, paging, quality, structure
+from pagewright.plans import knowledge
 
 
 def block(o, kind, body, level=None, page=1, engine=None, confidence=None, doc=1, sheet=None, slide=None, parent=None, cells=None, heads=None, form="PDF"):
@@ -45,6 +47,38 @@ def test_boundaries_and_patterns(spark):
     assert got[12]["include"] and got[4]["include"] and got[6]["include"] and got[15]["boundary"] == "heading:b13"
 
 
+def test_outline_is_headings_and_kinds(spark):
+    """All that one window adds is what the two windows add one after the other, nulls and blanks too."""
+    rng = random.Random(16)
+    types = ["TITLE", "PARAGRAPH", "LIST", "CODE", "TABLE", "TABLE_ROW", "HEADER", "FOOTER", "FOOTNOTE", None]
+    texts = ["a", "", " ", None, "\u3000第一条 c ", "第两条", "1.2 x", "1 x", "问： z", "q :x", " Q：x?", "问题 : y", "\u00a02.1、", "Quite"]
+    rows = [block(o, rng.choice(types), rng.choice(texts), rng.choice([None, 0, 1, 2, 6, 9]), doc=d, sheet=rng.choice([None, "", "S"]), slide=rng.choice([None, 0, 2]), parent=rng.choice([None, "t9"])) for d in range(6) for o in range(1, 60)]
+    blocks_ = frame(spark, rows)
+    one, two = structure.outlined(blocks_, "doc_id"), structure.kinds(structure.heading_stack(blocks_, "doc_id"), "doc_id")
+    assert one.columns == two.columns and sorted(map(repr, one.collect())) == sorted(map(repr, two.collect()))
+
+
+def test_kinds_of_blocks_send_no_texts(spark):
+    """Rows are dealt out and sorted once, and without their texts where these aren't returned."""
+    plan = knowledge.block_kinds(spark, SF)._jdf.queryExecution().optimizedPlan()
+    below = []
+    while not plan.children().isEmpty():
+        if plan.nodeName() == "Window":
+            below.append({plan.child().output().apply(i).name() for i in range(plan.child().output().size())})
+        plan = plan.children().head()
+    assert len(below) == 1 and "doc_id" in below[0] and not below[0] & {"text", "__body"}
+
+
+def test_lines_of_odd_texts(spark):
+    """Lines are what their definition, part by part, gives."""
+    rng = random.Random(17)
+    odd = ["", "\r", "\n", "\r\n", " ", "  ", "\t", "a", "b c", "\u00a0", "\u3000", "\x0b", "\x85", "第"]
+    texts = [None, "", "a", "\r\r\n", "a\r\r\nb", "a \r b", " a\t\tb \n\n c  d\r"] + ["".join(rng.choices(odd, k=rng.randrange(30))) for _ in range(300)]
+    texts += ["".join(rng.choices([x for x in odd if "\r" not in x], k=rng.randrange(30))) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(blocks.lines(docs).collect()) == sorted(blocks.paragraphs(docs, r"\r?\n").collect())
+
+
 def made(spark, rows, **policy):
     got = builder.chunks(frame(spark, rows), builder.Policy(**policy)).orderBy("ordinal").collect()
     return [r for r in got if r["granularity"] == "CHILD"], [r for r in got if r["granularity"] == "PARENT"]
