@@ -18,7 +18,12 @@ def block_id(version: Column, revision: Column, ordinal: Column, content_sha: Co
 
 def chunk_id(version: Column, revision: Column, granularity: Column, block_ids: Column, part: Column, embedding_text: Column) -> Column:
     """The part's number is hashed too, so that equal parts of one block differ."""
-    return F.concat(F.lit("chunk:"), sha(version, revision, granularity, F.array_join(block_ids, "\x1f"), part, F.sha2(embedding_text, 256)))
+    return chunk_id_of(version, revision, granularity, block_ids, part, F.sha2(embedding_text, 256))
+
+
+def chunk_id_of(version: Column, revision: Column, granularity: Column, block_ids: Column, part: Column, content_sha: Column) -> Column:
+    """``chunk_id`` where the embedding text's hash is at hand."""
+    return F.concat(F.lit("chunk:"), sha(version, revision, granularity, F.array_join(block_ids, "\x1f"), part, content_sha))
 
 
 def vector_id(manifest: Column, chunk: Column, profile: Column) -> Column:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 SPACE = r"[\s\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 BLANKS = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))  # the same, one by one
@@ -45,12 +45,28 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _nfkc_all(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda all_: None if all_ is None else [None if t is None else unicodedata.normalize("NFKC", t) for t in all_])
+
+
+def _beyond_ascii(text: Column) -> Column:
+    """The text if composition may change it, else null, which costs nothing to send."""
+    return F.when(F.octet_length(text) != F.char_length(text), text)
+
+
 def canonical(text: Column, compose: bool = False) -> Column:
     """Lower case, white space runs as one space, trimmed; with ``compose`` after NFKC."""
-    t = F.lower(nfkc(text) if compose else text)
+    t = F.lower(F.coalesce(nfkc(_beyond_ascii(text)), text) if compose else text)
     return F.trim(F.regexp_replace(t, _RUNS, " "))
 
 
+def canonical_all(texts: Column) -> Column:
+    """Hashes of ``canonical(text, compose=True)`` of an array of texts."""
+    composed = F.zip_with(_nfkc_all(F.transform(texts, _beyond_ascii)), texts, lambda a, b: F.coalesce(a, b))
+    return F.transform(composed, lambda t: F.sha2(canonical(t), 256))
+
+
 def garbled_count(text: Column) -> Column:
     """Replacement characters, white squares and control characters other than LF, CR, TAB."""
     kept = F.regexp_replace(text, r"[\x{FFFD}\x{25A1}\x00-\x08\x0B\x0C\x0E-\x1F]", "")
@@ -64,7 +80,20 @@ def words(text: Column) -> Column:
 
 def token_count(text: Column) -> Column:
     """Words; the additive stand-in for a tokenizer whose vocabulary isn't at hand."""
-    return F.regexp_count(text, F.lit(r"[^ \t\r\n\f\x0B]+")).cast("long")
+
+    def counted(t: Column) -> Column:
+        # words that single spaces part are counted by these, which costs far less than a regex
+        odd = t.contains("  ") | t.contains("\t") | t.contains("\r") | t.contains("\f") | t.contains("\x0b")
+        ends = F.startswith(t, F.lit(" ")).cast("int") + F.endswith(t, F.lit(" ")).cast("int")
+        spaces = F.octet_length(t) - F.octet_length(F.replace(t, F.lit(" "), F.lit("")))
+        return F.when(odd, F.regexp_count(t, F.lit(r"[^ \t\r\n\f\x0B]+"))).when(t == "", 0).otherwise(spaces + 1 - ends).cast("long")
+
+    return bound(F.replace(F.replace(text, F.lit("\n\n"), F.lit(" ")), F.lit("\n"), F.lit(" ")), counted)
+
+
+def exploded(array: Column, pos: str, item: str) -> tuple[Column, Column]:
+    """A column (pos, item) of an array's items, and what to filter by: for arrays that cost much. An inner explode has the optimizer work its array out a second time, to see whether it is empty."""
+    return F.posexplode_outer(array).alias(pos, item), F.col(item).isNotNull()
 
 
 def word_windows(text: Column, size: Column, overlap: Column) -> Column:

@@ -9,7 +9,8 @@ from pagewright.functions import ids, text
 
 
 def _numbered(docs: DataFrame, parts: Column, *more: str) -> DataFrame:
-    found = docs.select("doc_id", *more, F.posexplode(F.filter(parts, lambda p: p != "")).alias("pos", "text"))
+    each, some = text.exploded(F.filter(parts, lambda p: p != ""), "pos", "text")
+    found = docs.select("doc_id", *more, each).filter(some)
     return found.select("doc_id", *more, (F.col("pos") + 1).alias("ordinal"), "text")
 
 

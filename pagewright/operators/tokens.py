@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pagewright.functions.bpe import PATTERN, Joined, Ranks, embedded, fitted
 from pagewright.operators.builder import Tokenizer
 
 PARTS = "array<struct<body:string,cut:boolean>>"
+PACKS = "array<struct<at:int,tokens:bigint>>"
 _met: dict[tuple[int, int, str], Ranks] = {}
 
 
@@ -64,28 +63,44 @@ class RankTokenizer(Tokenizer):
 
         return F.pandas_udf(run, PARTS)(line, own, body, header, overlap, force)
 
-    def pack(self, rows: DataFrame, keys: list[str], order: list[str], unit: list[str], most: int) -> DataFrame:
-        sent = self._sent()
-        ordered = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
-        names = ordered.columns
-        at, of = [names.index(c) for c in (*keys, *unit)], [names.index(c) for c in ("line", "header", "body", "alone")]
+    def counted(self, tokens: Column, text: Column) -> Column:
+        return tokens
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            joined, group, part, number, lonely = Joined(_kept(sent.value)), None, None, 0, False
-            for b in batches:
-                out = []
-                who = list(zip(*(b.column(c).to_pylist() for c in at), strict=True))
-                for name, line, header, body, alone in zip(who, *(b.column(c).to_pylist() for c in of), strict=True):
-                    if name[: len(keys)] != group:
-                        group, number, part = name[: len(keys)], 0, None
-                    sep = "\n\n" if header is None else "\n"
-                    if name != part or alone or lonely or joined.count_with(line, sep, body) > most:
-                        number += 1
-                        joined.begin(line, f"{header}\n{body}" if header else body)
-                    else:
-                        joined.add(line, sep, body)
-                    part, lonely = name, alone
-                    out.append(number)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int32())], [*b.schema.names, "pack"])
+    def packs(self, items: Column, unit: Callable[[Column], Column], most: int) -> Column:
+        """As for words; what a pack's embedding text has of tokens is known from packing."""
+        sent = self._sent()
 
-        return ordered.mapInArrow(run, T.StructType([*ordered.schema.fields, T.StructField("pack", T.IntegerType())]))
+        def run(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+            ranks = _kept(sent.value)
+            for docs in parts:
+                yield pd.Series([_packs(ranks, zip(*doc, strict=True), most) for doc in zip(*docs, strict=True)])
+
+        # whether an item begins a unit, and what is counted of it
+        begins = F.transform(items, lambda e, i: ~unit(e).eqNullSafe(unit(F.get(items, i - 1))) | (i == 0))
+        return F.pandas_udf(run, PACKS)(begins, *[F.transform(items, _field(c)) for c in ("line", "header", "body", "alone")])
+
+
+def _field(name: str) -> Callable[[Column], Column]:
+    return lambda e: e[name]
+
+
+def _packs(ranks: Ranks, items: Iterator[tuple], most: int) -> list[dict]:
+    """Where the packs of a document's items begin, and the tokens of each under its first item's heading line."""
+    joined, out, first, lonely = Joined(ranks), [], "", True
+
+    def close() -> None:
+        if out:
+            out[-1]["tokens"] = joined.count() if joined.line == first else ranks.count(embedded(first, joined.body))
+
+    for i, (begins, line, header, body, alone) in enumerate(items):
+        sep = "\n\n" if header is None else "\n"
+        if lonely or alone or begins or joined.count_with(line, sep, body) > most:
+            close()
+            out.append({"at": i})
+            joined.begin(line, f"{header}\n{body}" if header else body)
+            first = line
+        else:
+            joined.add(line, sep, body)
+        lonely = alone
+    close()
+    return out

@@ -79,6 +79,28 @@ def test_lines_of_odd_texts(spark):
     assert sorted(blocks.lines(docs).collect()) == sorted(blocks.paragraphs(docs, r"\r?\n").collect())
 
 
+def test_chunks_send_texts_once(spark):
+    """Blocks are dealt out by document, and that is all that is sent; no table of texts is written on the way."""
+    blocks_ = frame(spark, [block(1, "TITLE", "one", 1), block(2, "PARAGRAPH", "two")])
+    plan = builder.chunks(blocks_, builder.Policy())._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "FileScan" not in plan
+
+
+def test_links_of_equal_blocks_and_pages(spark):
+    """A parent names each block once for each place that it has in a child; neighbours and notes follow the children's order."""
+    rows = [block(k, "PARAGRAPH", " ".join([f"w{k}"] * 60), page=k % 2) for k in range(1, 5)]
+    chunks = builder.chunks(frame(spark, rows), builder.Policy(50, 100, 0))
+    got = chunks.collect()
+    own = sorted((r for r in got if r["granularity"] == "CHILD"), key=lambda r: r["ordinal"])
+    assert len(own) == 8 and [r["next"] for r in own] == [r["chunk_id"] for r in own[1:]] + [None] and [r["previous"] for r in own] == [None] + [r["chunk_id"] for r in own[:-1]]
+    links = builder.relations(chunks, frame(spark, rows).filter("ordinal = 1").select("doc_id", "page_no", "block_id")).collect()
+    for up in (r for r in got if r["granularity"] == "PARENT"):
+        wanted = {(b, i) for r in own if r["parent_chunk_id"] == up["chunk_id"] for i, b in enumerate(r["block_ids"])}
+        found = [(r["to_block"], r["ordinal"]) for r in links if r["from_chunk"] == up["chunk_id"] and r["relation"] == "SOURCE_BLOCK"]
+        assert len(found) == len(wanted) and set(found) == wanted
+    assert [r["from_chunk"] for r in links if r["relation"] == "FOOTNOTE"] == [[r for r in own if r["places"][0]["page_no"] == 1][-1]["chunk_id"]]
+
+
 def made(spark, rows, **policy):
     got = builder.chunks(frame(spark, rows), builder.Policy(**policy)).orderBy("ordinal").collect()
     return [r for r in got if r["granularity"] == "CHILD"], [r for r in got if r["granularity"] == "PARENT"]
