@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import ids, numbers, secrecy, text, vectors
 from pagewright.operators import access, blocks, builder, chunking, events, index, paging, quality, structure
-from pagewright.plans import knowledge
+from pagewright.plans import knowledge, tables
 
 
 def block(o, kind, body, level=None, page=1, engine=None, confidence=None, doc=1, sheet=None, slide=None, parent=None, cells=None, heads=None, form="PDF"):
@@ -298,6 +298,11 @@ def test_exact_search_in_blocks(spark, monkeypatch):
         assert got == want
 
 
+def test_recall_asks_every_vector(spark):
+    got = tables.recall_at_k(spark, SF).first()
+    assert got["cases"] == spark.read.parquet(f"{SF}/embeddings.parquet").count()
+
+
 def test_embedding_batches_respect_both_limits(spark):
     rows = spark.createDataFrame([("p", 1, 6), ("p", 2, 5), ("p", 3, 4)], "p string, ordinal int, tokens long")
     assert sorted((r["first"], r["n"]) for r in index.batches(rows, ["p"], 10, 2).collect()) == [(1, 1), (2, 2)]
