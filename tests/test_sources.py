@@ -7,7 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from pagewright.sources import files, markup, office
+from pagewright.sources import files, intake, markup, office
 
 
 @pytest.mark.parametrize(
@@ -257,3 +257,14 @@ def test_walked_image_headers(spark):
     rows = [("a", "JPEG", jpeg), ("b", "TIFF", tiff), ("c", "WEBP", webp), ("d", "WEBP", lossless), ("e", "JPEG", b"\xff\xd8"), ("f", "TIFF", b"II")]
     got = {r["path"]: (r["width"], r["height"]) for r in images.sizes(spark.createDataFrame([(p, k, bytearray(c)) for p, k, c in rows], "path string, kind string, content binary")).collect()}
     assert got == {**{k: (3, 4) for k in "abcd"}, "e": (None, None), "f": (None, None)}
+
+
+def test_texts_of_files_are_not_sent_to_meet_their_verdict(spark, monkeypatch):
+    """Files that no parser need open go from their row to their blocks without a join."""
+    texts = spark.createDataFrame([(1, "d.txt", "text/plain", b"one\n\ntwo"), (2, "e.html", "text/html", b"<html><p>x</p></html>")], "doc_id long, file_name string, declared_mime string, content binary")
+    good, real = [], intake.blocks
+    monkeypatch.setattr(intake, "blocks", lambda rows, pages: (good.append(rows), real(rows, pages))[1])
+    found = intake.process(texts.withColumns({"declared_size": F.octet_length("content").cast("long"), "declared_sha256": F.lit(None).cast("string")}))
+    plan = good[0]._jdf.queryExecution().analyzed()
+    assert plan.nodeName() == "Union" and "Join" not in plan.children().head().toString()
+    assert sorted((r["doc_id"], r["file_format"], r["text"]) for r in found.blocks.collect()) == [(1, "TEXT", "one"), (1, "TEXT", "two"), (2, "HTML", "x")]
