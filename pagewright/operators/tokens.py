@@ -55,7 +55,7 @@ class RankTokenizer(Tokenizer):
                 out = []
                 for line_, own_, body_, header_, lap, must in zip(*rows, strict=True):
                     single = f"{header_}\n{body_}" if header_ else body_
-                    if not must and ranks.count(embedded(line_, single)) <= most:
+                    if not must and ranks.fits(embedded(line_, single), most):
                         out.append([{"body": body_, "cut": False}])
                     else:
                         out.append([{"body": p, "cut": True} for p in fitted(ranks, own_, single, most, lap)] if single.strip() else [])

@@ -173,6 +173,21 @@ def test_chunks_against_a_plain_version(spark, lib, duck):
             assert len(lib.encode_ordinary(bpe.embedded(line, "\n\n".join([x["display"] for x in a] + [b[0]["display"]])))) > 130
 
 
+def test_short_texts_fit_without_a_count():
+    own = bpe.Ranks.read(PATH)
+    for t in ODD:
+        assert all(own.fits(t, n) == (own.count(t) <= n) for n in (0, 1, 5, 40, 4000))
+    cuts = []
+    own.cut = lambda t, real=own.cut: (cuts.append(t), real(t))[1]
+    assert own.fits("a line of words", 512) and not cuts
+    joined = bpe.Joined(own)
+    joined.begin("", "one")
+    assert joined.count_with("", "\n", "two") == own.count("one\ntwo")
+    before = len(cuts)
+    joined.add("", "\n", "two")
+    assert len(cuts) == before and joined.count() == own.count("one\ntwo")
+
+
 def test_long_texts_take_a_time_in_proportion(ranks):
     import time
 
